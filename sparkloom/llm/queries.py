@@ -41,9 +41,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_warc": op7_warc,
+    "op2_token_counts": op2_token_counts,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
