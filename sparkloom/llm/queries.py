@@ -53,11 +53,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_warc": op7_warc,
     "op2_token_counts": op2_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
 
