@@ -23,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicate_report
+
+    return near_duplicate_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
@@ -62,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_warc": op7_warc,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op2_token_counts": op2_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
