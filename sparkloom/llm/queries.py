@@ -29,6 +29,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_warc": op7_warc,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op2_token_counts": op2_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
