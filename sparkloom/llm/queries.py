@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, once Spark's Python workers can import this package."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -26,49 +26,86 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicate_report
 
-    return near_duplicate_report(_table(spark, sf_dir, "documents"))
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hpylm import train_and_score
 
-    return train_and_score(_table(spark, sf_dir, "documents"))
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts of pages, made by a fixed rule from a host's MD5.
+
+    The tables hold no filter list.  A host without its first "m." or "blog."
+    is a pattern; its digest says whether it is listed, from when to when, and
+    whether it is listed again.
+    """
+    from .urlfilter import host_of
+
+    pattern = F.regexp_replace(host_of(F.col("url")), r"^(m|blog)\.", "")
+    hosts = pages.select(pattern.alias("pattern")).where("pattern IS NOT NULL").distinct()
+    hosts = hosts.withColumn("n", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int")).where("n % 4 = 0")
+    start = F.to_date(F.lit("2024-01-01"))
+    gone = F.expr("n % 200 + 30 + n % 90")
+    moves = F.array(
+        F.struct(F.lit("add").alias("action"), F.date_add(start, F.expr("n % 200")).alias("date")),
+        F.struct(F.lit("remove").alias("action"), F.date_add(start, gone).alias("date")),
+        F.struct(F.when(F.expr("n % 8 = 0"), "add").otherwise("remove").alias("action"), F.date_add(start, gone + 40).alias("date")),
+    )
+    return hosts.select("pattern", F.when(F.expr("n % 3 = 0"), "spam").otherwise("ads").alias("list"), F.explode(moves).alias("e")).select("pattern", "list", "e.action", "e.date")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no time of fetching: it is 2024-01-01 and page_id modulo 366 days."""
+    from .urlfilter import verdicts
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 366).cast("int")))
+    return verdicts(captures, list_events(pages)).select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "lists", "blocked")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
-    return archive_report(_table(spark, sf_dir, "pages"))
+    return archive_report(table(spark, sf_dir, "pages"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_report
 
-    return substring_report(_table(spark, sf_dir, "documents"))
+    return substring_report(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import section_tokens
 
-    return section_tokens(_table(spark, sf_dir, "documents"))
+    return section_tokens(table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_report
 
-    return language_report(_table(spark, sf_dir, "documents"))
+    return language_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
@@ -76,10 +113,38 @@ QUERIES: dict[str, Query] = {
     "op7_warc": op7_warc,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op3_decontamination": op3_decontamination,
+    "op6_url_filters": op6_url_filters,
     "op2_token_counts": op2_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_url_filters": r"""
+WITH hosts AS (
+  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+         DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched
+  FROM pages),
+patterns AS (
+  SELECT DISTINCT regexp_replace(host, '^(m|blog)\.', '') AS pattern FROM hosts WHERE host IS NOT NULL),
+numbered AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 4) AS INT) AS n FROM patterns),
+listed AS (
+  SELECT pattern, n, CASE WHEN n % 3 = 0 THEN 'spam' ELSE 'ads' END AS list,
+         n % 200 AS a, n % 200 + 30 + n % 90 AS r
+  FROM numbered WHERE n % 4 = 0),
+valid AS (
+  SELECT pattern, list, DATE '2024-01-01' + a AS since, DATE '2024-01-01' + r AS until FROM listed
+  UNION ALL
+  SELECT pattern, list, DATE '2024-01-01' + r + 40, NULL FROM listed WHERE n % 8 = 0),
+hit AS (
+  SELECT h.page_id, string_agg(DISTINCT v.list, ',' ORDER BY v.list) AS lists
+  FROM hosts h JOIN valid v ON (h.host = v.pattern OR ends_with(h.host, '.' || v.pattern))
+   AND v.since <= h.fetched AND (v.until IS NULL OR h.fetched < v.until)
+  GROUP BY h.page_id)
+SELECT h.page_id, h.host, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(hit.lists, '') AS lists, hit.lists IS NOT NULL AS blocked
+FROM hosts h LEFT JOIN hit USING (page_id)
+""",
+}

@@ -26,6 +26,11 @@ _PLAIN = np.where(_SPACE, U64(0), _BYTE)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _LOWER = _PLAIN[_FOLD]
+#: For letters and digits only, as passages are compared: everything else in ASCII parts words.
+_PUNCT = np.zeros(256, bool)
+_PUNCT[:128] = True
+_PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+_ALNUM = np.where(_PUNCT, U64(0), _BYTE)[_FOLD]
 _R1, _R2, _R3 = (U64(int(x) | 1) for x in _rng.integers(2**62, 2**63, 3))
 _powers: dict[int, np.ndarray] = {}
 
@@ -64,6 +69,8 @@ class Words:
     end: np.ndarray
     #: row r has the words first[r] .. first[r + 1] - 1
     first: np.ndarray
+    #: the value of each byte in a word's fingerprint, where it isn't the usual
+    values: np.ndarray | None = None
 
     @property
     def rows(self) -> int:
@@ -78,7 +85,8 @@ class Words:
         if not len(self.start):
             return np.zeros(0, U64)
         a = self.start[0]
-        v = (_LOWER if lower else _PLAIN)[self.data[a : self.end[-1]]]
+        table = self.values if self.values is not None else _LOWER if lower else _PLAIN
+        v = table[self.data[a : self.end[-1]]]
         s = self.start - a
         seg = np.diff(np.append(s, len(v)))
         at = np.arange(len(v)) - np.repeat(s, seg)
@@ -107,12 +115,14 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], offsets - lo
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> Words:
+    """The words of each row; with alnum, lower-cased runs of letters and digits."""
+    values = _ALNUM if alnum else None
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    solid = ~_SPACE[data]
+        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), values)
+    solid = ~(_PUNCT if alnum else _SPACE)[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -120,7 +130,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     begins[inner] = solid[inner]
     ends[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, offsets, start, end, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets), values)
 
 
 def slices(col: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
