@@ -146,7 +146,7 @@ def _few_letters(data, offsets):
 @_by_slice
 def _repeated_lines(data, offsets):
     total, dup = duplicate_lines(data, offsets)
-    return 10 * dup > 3 * total
+    return (dup >= 3) & (10 * dup > 3 * total)
 
 
 RULES: tuple[Rule, ...] = (
