@@ -84,12 +84,20 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*(F.translate(F.coalesce(col(n), F.lit("")), "\x00", "").alias(n) for n in names))
 
 
-_BARE = r'("(?:[^"\\]|\\.)*")|\b(?:NaN|-?Infinity)\b|-Infinity'
-
-
 def _without_nan(c: F.Column) -> F.Column:
     """NaN and the infinities, where they stand outside of strings, as null."""
-    return F.when(c.rlike("NaN|Infinity"), F.regexp_replace(F.regexp_replace(c, r'("(?:[^"\\]|\\.)*")|-?\b(?:NaN|Infinity)\b', r"$1\u0001"), "(?<!\")\u0001", "null")).otherwise(c)
+    parts = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]++|\\.)*+"|[^"]++'), F.lit(0))
+    clean = F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"-?\b(?:NaN|Infinity)\b", "null")))
+    return F.when(c.rlike("NaN|Infinity"), F.array_join(clean, "")).otherwise(c)
+
+
+def _json_schema(lines: DataFrame) -> str:
+    """The merged schema of JSON lines: schema_of_variant_agg sees each line once, with sums on the map side."""
+    got = lines.agg(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
+    fields = re.sub(r"^OBJECT<|>$", "", got or "")
+    # a column that is null throughout is text; larger numbers than BIGINT and mixed columns stay as they are
+    kind = f"STRUCT<{fields}>".replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    return re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", kind)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -98,11 +106,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     Columns are inferred from all lines; name a schema to read a large file once.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(r"value RLIKE '\\S'")
-    good = lines.select(F.regexp_replace(_without_nan(F.col("value")), "\u0001", "").alias("value"))
+    good = lines.select(_without_nan(F.col("value")).alias("value"))
     checked = good.select(F.when(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).alias("value"))
     if schema is None:
-        inferred = checked.agg(F.schema_of_json_agg("value")).first()[0] if hasattr(F, "schema_of_json_agg") else spark.read.json(checked.rdd.map(lambda r: r.value)).schema
-        kind = inferred if isinstance(inferred, T.StructType) else T._parse_datatype_string(inferred)
+        kind = T._parse_datatype_string(_json_schema(checked))
     else:
         kind = T._parse_datatype_string(schema)
     if not kind.fields:
