@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
+import xml.etree.ElementTree as ET
+import zipfile
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -62,15 +65,45 @@ def html_text(c: Column) -> Column:
     return texts(c)
 
 
+#: Fixed value: the name space of text documents in zipped XML.
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_to_text(blob: bytes) -> str:
+    """The paragraphs of a .docx file, table cells included."""
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        body = ET.fromstring(z.read("word/document.xml"))
+    lines = []
+    for p in body.iter(f"{_WORD}p"):
+        lines.append("".join("\t" if e.tag == f"{_WORD}tab" else e.text or "" for e in p.iter() if e.tag in (f"{_WORD}t", f"{_WORD}tab")))
+    return clean_spaces("\n".join(lines))
+
+
+def xlsx_to_text(blob: bytes) -> str:
+    """The rows of all sheets of a workbook, cells with tabs between."""
+    from sparkloom.sources.readers import xlsx_rows, xlsx_sheets
+
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        rows = ["\t".join(r) for part in xlsx_sheets(z).values() for r in xlsx_rows(z, part)]
+    return "\n".join(rows)
+
+
+def bytes_to_text(name: str, blob: bytes) -> str:
+    """Text of a file by its suffix; txt, md, csv and json are taken as they are."""
+    suffix = name.lower().rpartition(".")[2]
+    if suffix == "docx":
+        return docx_to_text(blob)
+    if suffix == "xlsx":
+        return xlsx_to_text(blob)
+    text = blob.decode("utf-8-sig", "replace")
+    return html_to_text(text) if suffix in ("html", "htm") else clean_spaces(text)
+
+
 def file_text(name: Column, content: Column) -> Column:
-    """Text of files read by the binaryFile source: txt, md, csv, json and html."""
+    """Text of files read by the binaryFile source."""
 
     @F.pandas_udf("string")
     def texts(names: pd.Series, blobs: pd.Series) -> pd.Series:
-        out = []
-        for n, b in zip(names, blobs, strict=True):
-            t = bytes(b).decode("utf-8-sig", "replace")
-            out.append(html_to_text(t) if n.lower().endswith((".html", ".htm")) else clean_spaces(t))
-        return pd.Series(out)
+        return pd.Series([bytes_to_text(n, bytes(b)) for n, b in zip(names, blobs, strict=True)])
 
     return texts(name, content)

@@ -8,6 +8,7 @@ that is asked to rerun failures drops those units first.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -69,6 +70,18 @@ class UnitStore:
         units.write.mode("overwrite").parquet(side)
         self.spark.read.parquet(side).write.mode("overwrite").parquet(self._folder(node))
 
+    def purge(self) -> None:
+        """Forgets all units and the plan."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def save_plan(self, graph: Graph) -> None:
+        """Keeps the graph that a run works by, so that it can be restored later."""
+        self.spark.createDataFrame([(json.dumps(graph.dump(), ensure_ascii=False),)], "plan string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_plan")
+
+    def plan(self) -> Graph:
+        return Graph.parse(json.loads(self.spark.read.text(f"{self.path}/_plan", wholetext=True).first().value))
+
     def reopen(self, graph: Graph, node: str | None = None) -> None:
         """Forgets failed units, and all units of the nodes after them."""
         for n in graph.nodes:
@@ -105,6 +118,23 @@ class Runner:
     def run(self, data: dict | Graph) -> Result:
         graph = (data if isinstance(data, Graph) else Graph.parse(data)).validate()
         graph = bind_prompts(graph, self.res.prompts)
+        if self.store:
+            self.store.save_plan(graph)
+        self.spark.addTag(self.tag)
+        try:
+            return self._run(graph)
+        finally:
+            self.spark.removeTag(self.tag)
+
+    @property
+    def tag(self) -> str:
+        return f"sparkloom-run-{self.run_id}"
+
+    def cancel(self) -> None:
+        """Stops this run's jobs; units that are stored stay, so that it can be resumed."""
+        self.spark.interruptTag(self.tag)
+
+    def _run(self, graph: Graph) -> Result:
         chain = generation_chain(graph)
         if chain:
             return self._generate(graph, chain)
