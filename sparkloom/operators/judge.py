@@ -82,15 +82,21 @@ Votes = Callable[[DataFrame], Column]
 
 
 def judged(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, settle: bool = True) -> DataFrame:
-    """df with _votes and _ok.  A row without any text fails without a vote being asked for."""
+    """df with _votes and _ok.  A row without any text fails without a vote being asked for.
+
+    settle is for votes that call out; votes by expressions need no settling.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     full = reduce(lambda a, b: a | b, (not_blank(text_of(col(c), kinds[c], "")) for c in sample_columns(df)), F.lit(False))
     blank = F.array(F.struct(F.lit("").alias("model"), F.lit("fail").alias("status"), F.lit("the sample is empty").alias("reason"))).cast(_VOTE)
-    marked = df.withColumn("_full", full)
-    # the two kinds of rows part before the call, so that blank ones never reach it
-    asked = marked.where("_full")
-    out = asked.withColumn(VOTES, votes(asked).cast(_VOTE)).unionByName(marked.where("NOT _full").withColumn(VOTES, blank))
-    out = out.withColumn("_ok", passes(F.col(VOTES), clamp_k(pass_k, n))).drop("_full")
+    if settle:
+        # votes come from outside: the two kinds of rows part before the call, so that blank ones never reach it
+        marked = df.withColumn("_full", full)
+        asked = marked.where("_full")
+        out = asked.withColumn(VOTES, votes(asked).cast(_VOTE)).unionByName(marked.where("NOT _full").withColumn(VOTES, blank)).drop("_full")
+    else:
+        out = df.withColumn(VOTES, F.when(full, votes(df).cast(_VOTE)).otherwise(blank))
+    out = out.withColumn("_ok", passes(F.col(VOTES), clamp_k(pass_k, n)))
     return settled(out) if settle else out
 
 

@@ -12,6 +12,8 @@ from .order import user_columns, visible
 
 #: Distinct values up to which a profile lists each with its count.
 LISTED = 15
+#: The names of types in a profile.
+KINDS = ("bool", "dict", "float", "int", "list", "str")
 
 
 def _kind(c: Column, kind: T.DataType) -> Column:
@@ -34,21 +36,24 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     text = text_of(col(column), kind, None)
     rows = df.select(text.alias("v"), _kind(col(column), kind).alias("k"))
     there = F.coalesce(not_blank(F.col("v")), F.lit(False))
-    # one row a value and task leaves the map side; the few totals are summed from these
+    # one row a value and task leaves the map side; both results below reuse that one shuffle
     values = rows.groupBy(F.when(there, F.col("v")).alias("v"), "k").agg(F.count(F.lit(1)).alias("n"))
+    real = F.col("v").isNotNull()
+    by_kind = [F.sum(F.when(real & (F.col("k") == k), F.col("n"))).alias(f"k_{k}") for k in KINDS]
     total = values.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("missing"),
         F.count("v").alias("distinct"),
+        *by_kind,
     )
-    few = values.where("v IS NOT NULL").orderBy(F.desc("n"), "v").limit(LISTED + 1)
-    listed = few.agg(F.collect_list(F.struct((-F.col("n")).alias("o"), F.concat("v", F.lit("="), F.col("n").cast("string")).alias("s"))).alias("l"))
-    kinds = values.where("v IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.lit("="), F.col("n").cast("string")))), ",").alias("dtypes"))
-    return total.crossJoin(listed).crossJoin(kinds).select(  # each side is one row
+    few = values.orderBy(real.desc(), F.desc("n"), "v").limit(LISTED + 1)
+    listed = few.agg(F.collect_list(F.when(real, F.struct((-F.col("n")).alias("o"), F.concat("v", F.lit("="), F.col("n").cast("string")).alias("s")))).alias("l"))
+    dtypes = F.array_join(F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), F.col(f"k_{k}").cast("string")) for k in KINDS))), ",")
+    return total.crossJoin(listed).select(  # each side is one row
         F.lit(column).alias("column"),
         F.col("rows").cast("bigint").alias("rows"),
         F.coalesce(F.bround(F.try_divide(F.col("missing") * 100, F.col("rows")), 0).cast("bigint"), F.lit(0)).alias("missing_pct"),
-        "dtypes",
+        dtypes.alias("dtypes"),
         F.when(F.col("distinct") <= LISTED, F.array_join(F.transform(F.array_sort("l"), lambda x: x["s"]), ",")).alias("value_counts"),
         F.when(F.col("distinct") > LISTED, F.col("distinct")).alias("distinct_estimate"),
     )

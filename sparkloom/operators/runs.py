@@ -56,14 +56,21 @@ def top_logs(failures: DataFrame, logs: DataFrame, on: str, order: str, n: int =
 
 
 def retained(logs: DataFrame, group: Sequence[str], order: str, success: Column, protected: DataFrame | None = None, on: str | None = None, keep: int = LOG_SUCCESSES) -> DataFrame:
-    """A pruned log: all failures, the first successes of each group, and all of protected traces."""
-    rank = Window.partitionBy(*group, success).orderBy(order)
-    ranked = logs.withColumn("_k", F.row_number().over(rank))
-    kept = (~success) | (F.col("_k") <= keep)
-    if protected is None:
-        return ranked.where(kept).drop("_k")
-    marked = ranked.join(protected.select(on).distinct().withColumn("_safe", F.lit(True)), on, "left")
-    return marked.where(kept | F.coalesce("_safe", F.lit(False))).drop("_k", "_safe")
+    """A pruned log: all failures, the first successes of each group, and all of protected traces.
+
+    order is unique.  Only a few successes of each group and partition are
+    shuffled, to find the group's last one that stays; the log itself isn't.
+    """
+    first = Window.partitionBy(*group).orderBy(order)
+    few = logs.where(success).select(*group, order).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= keep)
+    last = few.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group))).agg(F.max(order).alias("_last"))
+    kept = logs.join(last, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], "left")
+    stays = ~success | F.coalesce(F.col(order) <= F.col("_last"), F.lit(False))
+    if protected is not None:
+        safe = protected.select(F.col(on).alias("_on")).distinct()
+        kept = kept.join(safe, F.col(on) == F.col("_on"), "left")
+        stays = stays | F.col("_on").isNotNull()
+    return kept.where(stays).select(*logs.columns)
 
 
 def trace_events(units: DataFrame, failures: DataFrame, logs: DataFrame, trace: str) -> DataFrame:
