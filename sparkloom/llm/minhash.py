@@ -184,8 +184,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     tokens = tokens.join(several, ["b", "token"])
     one, two = (tokens.select("b", "token", *(F.col(c).alias(f"{c}{i}") for c in ("a", "near", "label"))) for i in "12")
     by_token = one.join(two, ["b", "token"]).where("label1 != label2 AND NOT near1 AND (near2 OR a1 < a2)").select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    g1, g2 = (group.select("b", "h", *(F.col(c).alias(f"{c}{i}") for c in ("a", "na", "m", "x", "near", "label"))).drop(*(["h"] if i == "2" else [])) for i in "12")
-    # a link without common extras needs (100 + percent) * (h - max m) >= percent * (na + nb)
+    g1, g2 = (group.select("b", "h", *(F.col(c).alias(f"{c}{i}") for c in ("a", "na", "m", "near", "label"))) for i in "12")
+    # A link without common extras needs (100 + percent) * (h - max m) >= percent * (na1 + na2).
+    # As member 1 isn't like the hub, member 2 must be smaller than the hub, and as the sizes of
+    # a link differ by percent at most, member 1 must leave room for that: few members remain.
+    g1 = g1.where(f"NOT near1 AND 100 * {100 + percent} * (h - m1) >= {percent} * {100 + percent} * na1")
+    g2 = g2.where("na2 < h").drop("h")
     open_bound = f"{100 + percent} * (h - greatest(m1, m2)) >= {percent} * (na1 + na2)"
     by_bound = g1.join(g2, "b").where(f"label1 != label2 AND NOT near1 AND (near2 OR a1 < a2) AND {open_bound}").select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
     more = stored(by_token.union(by_bound).distinct(), "more")

@@ -148,6 +148,9 @@ def test_near_duplicates_of_a_large_group(spark):
     for i in range(40):
         w[3 * i] = f"step{i}"
         docs.append((500 + i, " ".join(w)))
+    for k in range(3, 75, 4):  # shortened copies: alike without sharing anything that a hub lacks
+        docs.append((800 + k, " ".join(base[: 150 - k])))
+        docs.append((900 + k, " ".join(base[k:])))
     got = minhash.near_duplicate_report(frame(spark, docs)).collect()
     same([(r.doc_id, r.component_id) for r in got], [(i, c) for (i, _), c in zip(docs, components(docs), strict=True)])
 
