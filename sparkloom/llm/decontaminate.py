@@ -86,7 +86,7 @@ def _count_known(table: np.ndarray, n: int):
                 g, row, _ = grams(W.split_words(data, offsets, alnum=True), n)
                 hit, i = _member(table, g)
                 once = np.unique(row[hit] * len(table) + i[hit])
-                total += np.bincount(once % len(table), minlength=len(table)) if len(once) else 0
+                np.add.at(total, once % max(len(table), 1), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(table[at].view(np.int64)), pa.array(total[at])], ["gram", "df"])
 
