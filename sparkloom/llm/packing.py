@@ -31,8 +31,9 @@ from .tokens import default_vocabulary, encoder, text_groups
 CAPACITY = 1024
 END_ID = 2
 #: Nodes of the search and fillings tried at each: bounds of the driver's work.
-NODES = 3000
+NODES = 1500
 BRANCHES = 4
+FILLING_STEPS = 600
 
 Packing = list[tuple[tuple[int, ...], int]]
 
@@ -65,40 +66,36 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [(tuple(c), n) for g in open_bins.values() for c, n in g if n]
 
 
+def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], sizes: list[int]) -> bool:
+    """Whether one piece, or two, of a filling could be exchanged for a larger free piece that fits."""
+    if not waste:
+        return False
+    free = [s for s in sizes if counts[s] > filling.count(s)]
+    parts = set(filling) | {x + y for i, x in enumerate(filling[:6]) for y in filling[i + 1 : 7]}
+    return any(p < s <= p + waste for p in parts for s in free)
+
+
 def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
     """Undominated fillings of room, fullest first and among equals the fewest pieces.
 
-    A filling in which a piece could be exchanged for a larger one that fits is
-    dominated: for each choice of larger pieces, the last is the largest that fits.
+    Sizes come in descending order, so large pieces are tried first; the search
+    ends with enough full fillings, or after a fixed number of steps.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def go(i: int, room: int, taken: tuple[int, ...]) -> bool:
-        nonlocal steps
+    todo: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    full = steps = 0
+    while todo and full < most and steps < FILLING_STEPS:
         steps += 1
+        i, left, taken = todo.pop()
         used = taken.count(sizes[i]) if i < len(sizes) else 0
-        fits = False
-        for k in range(i, len(sizes)):
-            s = sizes[k]
-            if s > room or (used if k == i else 0) >= counts[s]:
-                continue
-            fits = True
-            if go(k, room - s, (*taken, s)):
-                return True
-            if len(found) >= 8 * most or steps > 400:
-                return True
-        if not fits:
-            found.append((room, taken))
-        return room == 0 and sum(1 for w, _ in found if w == 0) >= most
-
-    go(0, room, ())
+        next_ = [(k, left - sizes[k], (*taken, sizes[k])) for k in range(i, len(sizes)) if sizes[k] <= left and (used if k == i else 0) < counts[sizes[k]]]
+        if next_:
+            todo.extend(reversed(next_[: 4 * most]))
+        elif not dominated(taken, left, counts, sizes):
+            found.append((left, taken))
+            full += left == 0
     found.sort(key=lambda x: (x[0], len(x[1])))
-    out = []
-    for _, f in found:
-        if f not in out:
-            out.append(f)
-    return out[:most]
+    return list(dict.fromkeys(f for _, f in found))[:most]
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branches: int = BRANCHES) -> Packing:
