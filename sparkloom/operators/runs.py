@@ -48,8 +48,9 @@ def latest(versions: DataFrame, key: str, version: str, *columns: str) -> DataFr
     return versions.groupBy(key).agg(F.max(version).alias(version), *(F.max_by(c, version).alias(c) for c in columns))
 
 
-def top_logs(failures: DataFrame, logs: DataFrame, on: str, order: str, n: int = 3) -> DataFrame:
-    """Each failure with its first n log rows, if any."""
+def top_logs(failures: DataFrame, logs: DataFrame, on: str, order: str, n: int = 3, clip: dict[str, int] | None = None) -> DataFrame:
+    """Each failure with its first n log rows, if any; clip cuts long columns of the log (column -> characters)."""
+    logs = logs.withColumns({c: F.substring(c, 1, k) for c, k in (clip or {}).items()})
     first = Window.partitionBy(on).orderBy(order)
     few = logs.withColumn("log_no", F.row_number().over(first).cast("bigint")).where(F.col("log_no") <= n)
     return failures.join(few, on, "left")

@@ -23,6 +23,7 @@ from sparkloom.operators.merge import merge
 from sparkloom.operators.order import POS, visible, with_positions
 from sparkloom.operators.runs import root_trace
 from sparkloom.operators.table import apply_operations, drop, limit, stack
+from sparkloom.sources.datasets import Catalog
 
 from .graph import Graph, GraphError
 from .rewrites import bind_prompts, generation_chain, input_caps
@@ -38,6 +39,7 @@ class Resources:
     processes: dict[str, Callable] = field(default_factory=dict)
     rules: dict[str, Callable[[DataFrame], F.Column]] = field(default_factory=dict)
     prompts: dict[str, str] = field(default_factory=dict)
+    catalog: Catalog | None = None
 
 
 @dataclass
@@ -172,9 +174,17 @@ class Runner:
         elif node.type == "qc":
             out = self._review(graph, name, c, came, result)
         else:
-            out = limit(came, c["count"]) if c.get("count") else came
+            return self._save(name, c, drop(limit(came, c["count"]) if c.get("count") else came, c.get("drop_columns", [])))
         return drop(out, c.get("drop_columns", []))
 
+    def _save(self, name: str, c: dict, rows: DataFrame) -> DataFrame:
+        """The output's rows, kept as a dataset as well if the node says so; a run that runs again replaces it."""
+        if c.get("save_as_dataset"):
+            if self.res.catalog is None:
+                raise GraphError(f"node {name}: there is no catalog to save to")
+            self.res.catalog.replace(c.get("dataset_name") or f"run{self.run_id}-{name}", rows)
+        return rows
+
     def _units(self, name: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame], result: Result) -> DataFrame:
         units = self.store.add(name, work(self.store.remaining(name, rows))) if self.store else work(rows)
         result.units[name] = units
@@ -224,7 +234,7 @@ class Runner:
             return drop(self._synth_rows(first.id, first.config, self._synth(first.config, root_trace(s, self.run_id, first.id))), first.config.get("drop_columns", []))
 
         rows = generate(self.spark, last.config["count"], synth, middle, first.config.get("fanout_n", 1), last.config.get("max_batches", 1000))
-        result.frames[last.id] = drop(rows, last.config.get("drop_columns", []))
+        result.frames[last.id] = self._save(last.id, last.config, drop(rows, last.config.get("drop_columns", [])))
         return result
 
 

@@ -190,6 +190,14 @@ class Catalog:
         rows.repartitionByRange(FILE_ROW).sortWithinPartitions(FILE_ROW).write.mode("overwrite").option("maxRecordsPerFile", 100_000).parquet(target)
         return version
 
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """The rows as the dataset's only version, whatever it held: what a node that runs again saves."""
+        side = f"{self.path}/{name}/.next"
+        numbered(rows).repartitionByRange(FILE_ROW).sortWithinPartitions(FILE_ROW).write.mode("overwrite").option("maxRecordsPerFile", 100_000).parquet(side)
+        for v in self.versions(name):
+            self._fs.delete(self._path(f"{self.path}/{name}/v{v}"), True)
+        self._fs.rename(self._path(side), self._path(f"{self.path}/{name}/v1"))
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         have = self.versions(name)
         if not have or (version is not None and version not in have):

@@ -23,9 +23,21 @@ FILE_ROW = "_file_row"
 
 
 def probe(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, read by Spark from whatever store holds it."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE_BYTES).alias("b")).limit(1).collect()
-    return bytes(rows[0].b) if rows else b""
+    """The first bytes of a file, or of a folder's first file, from any store that Spark reads."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted(str(s.getPath()) for s in fs.listStatus(at) if s.getPath().getName()[0] not in "._" and s.getLen())
+        if not files:
+            return b""
+        at = jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(at)
+    try:
+        head = jvm.org.apache.commons.io.input.BoundedInputStream(stream, PROBE_BYTES)
+        return jvm.org.apache.commons.io.IOUtils.toString(head, "ISO-8859-1").encode("latin-1")
+    finally:
+        stream.close()
 
 
 def encoding_of(head: bytes) -> str:
@@ -57,11 +69,12 @@ def csv_header(head: bytes, encoding: str) -> list[str]:
     return distinct_names(next(csv.reader(io.StringIO(text, newline="")), []))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text; short rows are filled with empty texts, further cells are dropped.
 
-    GBK files are decoded in Python, a file a task, as Spark's reader has no
-    such charset.
+    A file whose cells may hold newlines is read by one task; say multi_line
+    False for large files without such cells, and they are split.  GBK files are
+    decoded in Python, a file a task, as Spark's reader has no such charset.
     """
     head = probe(spark, path)
     kind = encoding_of(head)
@@ -70,7 +83,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} has no header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if kind == "UTF-8":
-        df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
+        df = spark.read.schema(schema).options(header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
     else:
         def rows(batches):
             import pandas as pd

@@ -220,6 +220,20 @@ def test_resume_and_rerun(spark, tmp_path):
     assert Runner(spark, res, store=store).run(g).frames["out"].count() == 3
 
 
+def test_output_is_saved_as_a_dataset(spark, tmp_path):
+    from sparkloom.sources.datasets import Catalog
+
+    g = pipeline()
+    g["nodes"][2]["config"] = {"save_as_dataset": True, "dataset_name": "kept", "count": 2}
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    for _ in range(2):
+        Runner(spark, Resources({"d": questions(spark)}, {"m": EchoModel()}, catalog=catalog)).run(g)
+        assert catalog.versions("kept") == [1]
+        assert [(r._file_row, r.output) for r in catalog.read("kept").orderBy("_file_row").collect()] == [(2, "答[问0]"), (3, "答[问1]")]
+    with pytest.raises(ValueError, match="catalog"):
+        Runner(spark, Resources({"d": questions(spark)}, {"m": EchoModel()})).run(g)
+
+
 def test_runner_refuses_what_is_missing(spark):
     with pytest.raises(ValueError, match="dataset d"):
         Runner(spark, Resources({}, {"m": EchoModel()})).run(pipeline())
