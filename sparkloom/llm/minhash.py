@@ -147,7 +147,7 @@ def _linked(p: DataFrame, percent: int) -> F.Column:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, th, n, component) for each distinct (id, text); th is xxhash64 of the text."""
+    """(id, th, n, component, label) for each row; th is xxhash64 of the text, label numbers the components."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     signed = stored(docs.mapInArrow(_sign(shingle, bands, rows), f"id {id_type}, th long, n long, f1 long, f2 long, bands array<long>"), "signed", "snappy")
@@ -200,10 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     named = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    by_class = named.join(least, "label").select("f1", "f2", "n", "component")
+    by_class = named.join(least, "label").select("f1", "f2", "n", "component", "label")
     out = signed.select("id", "th", "n", "f1", "f2").join(by_class, ["f1", "f2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
-    return out.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
+    return out.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(~alone, F.col("label")).alias("label"))
 
 
 def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -213,11 +213,15 @@ def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text: str = "te
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """df with one row of each component, that with the least id; rows without shingles or id stay."""
-    got = near_duplicates(df, id_col, text, percent=percent)
-    keep = got.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id"), F.col("th").alias("_th"), (F.col("n") == 0).alias("_empty")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text)).alias("_t"))
-    kept = rows.join(keep, [rows["_i"].eqNullSafe(keep["_id"]), rows["_t"] == keep["_th"]])
-    # rows that repeat an id, or texts with equal sets under one id, leave one row
-    once = kept.where("NOT _empty AND _i IS NOT NULL").groupBy("_i").agg(F.min_by("row", "_t").alias("row")).select("row")
-    return once.union(kept.where("_empty OR _i IS NULL").select("row")).select("row.*")
+    """df with one row of each component, that with the least id; rows without words or id all stay.
+
+    Texts that share an id without being alike are documents of their own.
+    """
+    got = near_duplicates(df, id_col, text, percent=percent).where("label IS NOT NULL")
+    best = got.groupBy("label").agg(F.min(F.struct("id", "th")).alias("best")).select("label", F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
+    alone = F.col(id_col).isNull() | ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text)).alias("_t"), alone.alias("_alone"))
+    kept = rows.where("NOT _alone").join(best, [F.col("_i") == F.col("_id"), F.col("_t") == F.col("_th")])
+    # rows that repeat in full leave one
+    once = kept.groupBy("label").agg(F.first("row").alias("row")).select("row")
+    return once.union(rows.where("_alone").select("row")).select("row.*")

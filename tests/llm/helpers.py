@@ -58,7 +58,16 @@ def shingles(text, k=5):
 
 
 def components(rows, percent=85):
-    """{row index: least id that its set reaches}."""
+    """For each row, the least id that its set reaches; ids aren't links."""
+    return _groups(rows, percent)[0]
+
+
+def group_numbers(rows, percent=85):
+    """For each row, a number of its component."""
+    return _groups(rows, percent)[1]
+
+
+def _groups(rows, percent):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -78,7 +87,7 @@ def components(rows, percent=85):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return [None if d is None else least[find(i)] for i, (d, _) in enumerate(rows)]
+    return [None if d is None else least[find(i)] for i, (d, _) in enumerate(rows)], [find(i) for i in range(len(rows))]
 
 
 def repeated_cover(rows, k=35):
