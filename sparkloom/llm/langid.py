@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: texts for each language. Up to 1000, Spark takes the least of each
-#: partition before it shuffles, so no language meets in one task.
+#: Bound of the training sample: texts for each language.
 TRAIN_ROWS = 1000
+#: Bound of the languages that are learnt; more are an error.
+MAX_LANGS = 500
 ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
@@ -177,11 +178,20 @@ def text_words(text: str) -> list[str]:
 def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
     """Learns from at most train_rows texts of each language of df.
 
-    The sample is bounded, so one task for each language fits it.
+    The sample is bounded, so one task for each language fits it.  Languages are
+    counted first; only rows whose hash is among about twice the sample's share
+    are shuffled, so what meets in a language's task doesn't grow with the input.
     """
     path = vocabulary or default_vocabulary()
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("rank"), F.col(text).cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"there are more than {MAX_LANGS} languages")
+    # the share of all hashes below which about twice train_rows texts of a language lie
+    cuts = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(2 * train_rows * 2**64 // n, 2**64 - 1) - 2**63))]
+    if cuts:
+        rows = rows.where(F.col("rank") <= F.create_map(*cuts)[F.col("lang")])
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).where(F.col("n") <= train_rows)
 
     def em(group: pd.DataFrame) -> pd.DataFrame:
