@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import stored
+from .scratch import drop_stored, stored
 
 CONTEXTS = 1 << 16
 STRENGTH = 1.0
@@ -47,7 +47,13 @@ ROOT_STRENGTH = 10.0
 STIRLING = 64
 BURN_IN, SAMPLES = 2, 3
 #: Bounds of a block: tokens, and texts (their numbers are kept in 15 bits).
-BLOCK_TOKENS, BLOCK_ROWS = 3_000_000, 32_000
+BLOCK_TOKENS, BLOCK_ROWS = 700_000, 32_000
+#: Tokens of a bucket that are scored at once.
+SCORE_TOKENS = 200_000
+#: Bytes of Parquet input for each bucket at most, some four million tokens.
+BUCKET_BYTES = 16 << 20
+#: Bytes of text handled at once.
+SLICE_BYTES = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 U64 = np.uint64
 _END = np.array([0x5DEECE66D1234567], U64)
@@ -69,62 +75,62 @@ def tokens(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, context_of(before), np.repeat(np.arange(w.rows), n)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """(ids, held out, words, contexts, rows) of runs of texts within the bounds of a block."""
-    ids, held, h, u, r, rows, size = [], [], [], [], [], 0, 0
+def _blocks(batches: Iterator[pa.RecordBatch], full: bool):
+    """Runs of texts within the bounds of a block: (ids, held out, tokens of each text, words, codes).
+
+    A token's code is its context, its text's number and, in the lowest bit,
+    whether the text is held out.  Without full, words and codes are left out.
+    """
+    ids, held, counts, h, code, rows, size = [], [], [], [], [], 0, 0
 
     def out():
-        return pa.concat_arrays(ids), np.concatenate(held), np.concatenate(h), np.concatenate(u), np.concatenate(r)
+        return pa.concat_arrays(ids), np.concatenate(held), np.concatenate(counts), np.concatenate(h) if full else None, np.concatenate(code) if full else None
 
     for b in batches:
         out_of = b.column(1).to_numpy(zero_copy_only=False)
-        for r0, r1, data, offsets in W.slices(b.column(2)):
+        for r0, r1, data, offsets in W.slices(b.column(2), SLICE_BYTES):
             if rows and (size > BLOCK_TOKENS or rows + r1 - r0 > BLOCK_ROWS):
                 yield out()
-                ids, held, h, u, r, rows, size = [], [], [], [], [], 0, 0
-            w, c, row = tokens(W.split_words(data, offsets))
+                ids, held, counts, h, code, rows, size = [], [], [], [], [], 0, 0
+            w = W.split_words(data, offsets)
             ids.append(b.column(0).slice(r0, r1 - r0))
             held.append(out_of[r0:r1])
-            h.append(w)
-            u.append(c)
-            r.append(row + rows)
+            counts.append(np.diff(w.first) + 1)
+            if full:
+                word, u, row = tokens(w)
+                h.append(word)
+                low = ((row + rows) << 1 | held[-1][row]).astype(np.uint32)
+                code.append(u.astype(np.uint32) << np.uint32(16) | low)
             rows += r1 - r0
-            size += len(w)
+            size += int(counts[-1].sum())
     if rows:
         yield out()
 
 
 def _pack(buckets: int):
-    """Blocks to rows: for each bucket the block's words, and for each word its (context, text) pairs.
+    """Blocks to rows: for each bucket the block's words, and for each word its tokens' codes.
 
-    A text's number carries its fold in the lowest bit.  With bucket -1 goes a
-    row of the block's texts.
+    Buckets are ranges of the words' hashes, so sorting by hash sorts by bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, (ids, held, h, u, r) in enumerate(_blocks(batches)):
-            block = (part << 32) + number
-            # the bucket is in the highest bits of the order, the word's hash below
-            bucket = (W.mix(h) >> U64(40)) % U64(buckets)
-            code = (u.astype(np.uint32) << np.uint32(16)) | (r.astype(np.uint32) << np.uint32(1)) | held[r].astype(np.uint32)
-            order = np.argsort(h, kind="stable")
-            order = order[np.argsort(bucket[order], kind="stable")]
-            h, code, bucket = h[order], code[order], bucket[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]))
-            count = np.diff(np.append(new, len(h))).astype(np.uint32)
-            word, of = h[new], bucket[new]
-            cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        for number, (_, _, _, h, code) in enumerate(_blocks(batches, True)):
+            order = np.argsort(h)
+            h, code = h[order], code[order]
+            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(new, len(h))
+            count, word = np.diff(ends).astype(np.uint32), h[new]
+            of = ((word >> U64(32)) * U64(buckets)) >> U64(32)
+            cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
             rows = {"bucket": [], "words": [], "counts": [], "codes": []}
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 rows["bucket"].append(int(of[i]))
                 rows["words"].append(word[i:j].tobytes())
                 rows["counts"].append(count[i:j].tobytes())
                 rows["codes"].append(code[ends[i] : ends[j]].tobytes())
-            n = len(rows["bucket"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(n, block)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "codes"))],
+                [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["bucket"]), (part << 32) + number)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "codes"))],
                 ["bucket", "block", "words", "counts", "codes"],
             )
 
@@ -139,10 +145,10 @@ def _texts():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, (ids, held, _, _, r) in enumerate(_blocks(batches)):
+        for number, (ids, held, counts, _, _) in enumerate(_blocks(batches, False)):
             n = len(held)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, (part << 32) + number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(held), pa.array(np.bincount(r, minlength=n).astype(np.int64))],
+                [pa.array(np.full(n, (part << 32) + number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(held), pa.array(counts.astype(np.int64))],
                 ["block", "number", "id", "held_out", "n_tokens"],
             )
 
@@ -177,11 +183,12 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     state = {
         "words": pw[first].tobytes(), "first": first.tobytes(), "contexts": pu.tobytes(), "customers": c.tobytes(),
         "tables": t.tobytes(), "root_tables": np.ones(len(first), np.uint32).tobytes(),
+        "kept_tables": [], "kept_root_tables": [],
     }
     return pd.DataFrame([{"bucket": int(rows["bucket"].iloc[0]), "round": 0, **state, "n_words": len(first), "n_tokens": int(c.sum()), "n_once": int((c == 1).sum()), "n_twice": int((c == 2).sum())}])
 
 
-_STATE = "bucket int, round int, words binary, first binary, contexts binary, customers binary, tables binary, root_tables binary"
+_STATE = "bucket int, round int, words binary, first binary, contexts binary, customers binary, tables binary, root_tables binary, kept_tables array<binary>, kept_root_tables array<binary>"
 _COUNTED = _STATE + ", n_words long, n_tokens long, n_once long, n_twice long"
 
 
@@ -273,7 +280,7 @@ def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, parent: np
     return t
 
 
-def _sweep(model: Model, round_no: int, seed: int):
+def _sweep(model: Model, round_no: int, seed: int, keep: bool):
     def one(row: dict) -> dict:
         rng = np.random.default_rng([seed, round_no, row["bucket"]])
         first = np.frombuffer(row["first"], np.int64)
@@ -288,7 +295,10 @@ def _sweep(model: Model, round_no: int, seed: int):
             rc = np.add.reduceat(t, first)
             base = np.full(len(rc), 1.0 / (model.n_words + 1))
             rt = seat(rng, rc, np.maximum(model.root_t - rt, 0), base, ROOT_STRENGTH, model.root_discount)
-        return row | {"round": round_no, "tables": t.astype(np.uint32).tobytes(), "root_tables": rt.astype(np.uint32).tobytes()}
+        now = t.astype(np.uint32).tobytes(), rt.astype(np.uint32).tobytes()
+        if keep:  # a sample of the average stays with its bucket
+            row = row | {"kept_tables": [*row["kept_tables"], now[0]], "kept_root_tables": [*row["kept_root_tables"], now[1]]}
+        return row | {"round": round_no, "tables": now[0], "root_tables": now[1]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,80 +309,96 @@ def _sweep(model: Model, round_no: int, seed: int):
 
 
 def _score(models: list[Model]):
-    """Cogrouped by bucket: packed tokens, and the states of the averaged rounds."""
+    """Cogrouped by bucket: packed tokens, and the bucket's state with its kept samples."""
 
     def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        cols = ["block", "number", "n_known", "base_score", "score"]
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in cols})
-        word, code, of = _unpack(rows)
-        u = (code >> np.uint32(16)).astype(np.int64)
-        m0 = models[0]
-        p = np.zeros(len(word))
-        states = states.sort_values("round")
-        for model, s in zip(models, states.itertuples(), strict=True):
-            words, first = np.frombuffer(s.words, U64), np.frombuffer(s.first, np.int64)
-            pu = np.frombuffer(s.contexts, np.uint16).astype(np.int64)
-            c, t = np.frombuffer(s.customers, np.uint32).astype(float), np.frombuffer(s.tables, np.uint32).astype(float)
-            if model is m0:
-                at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-                known = words[at] == word if len(words) else np.zeros(len(word), bool)
-                n = np.add.reduceat(c, first) if len(first) else np.zeros(0)
-                count = np.where(known, n[at], 0) if len(n) else np.zeros(len(word))
-                # pairs are sorted by word and context, so a pair has one key
-                size = np.diff(np.append(first, len(pu)))
-                key = np.repeat(np.arange(len(first)), size) * CONTEXTS + pu
-                want = at * CONTEXTS + u
-                pair = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-                seen = known & (key[pair] == want) if len(key) else known
-            if len(first):
-                rc, rt = np.add.reduceat(t, first), np.frombuffer(s.root_tables, np.uint32).astype(float)
-                parent = np.where(known, model.root(rc, rt)[at], model.root(0.0, 0.0))
-                p += model.below(u, np.where(seen, c[pair], 0), np.where(seen, t[pair], 0), parent)
+        s = states.iloc[0] if len(states) else None
+        first = np.frombuffer(s["first"], np.int64) if s is not None else np.zeros(0, np.int64)
+        empty = not len(first)
+        unseen = [model.root(0.0, 0.0) for model in models]
+        if not empty:
+            words, pu = np.frombuffer(s["words"], U64), np.frombuffer(s["contexts"], np.uint16).astype(np.int64)
+            c = np.frombuffer(s["customers"], np.uint32)
+            trained = np.add.reduceat(c.astype(np.int64), first)
+            # pairs are sorted by word and context
+            key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pu)))) * CONTEXTS + pu
+            samples = []
+            for i, model in enumerate(models):
+                t, rt = np.frombuffer(s["kept_tables"][i], np.uint32), np.frombuffer(s["kept_root_tables"][i], np.uint32)
+                samples.append((model, t, model.root(np.add.reduceat(t.astype(np.int64), first), rt)))
+
+        def part(chunk: pd.DataFrame) -> list[dict]:
+            word, code, of = _unpack(chunk)
+            u = (code >> np.uint32(16)).astype(np.int64)
+            known, count, p = np.zeros(len(word), bool), np.zeros(len(word), np.int64), np.zeros(len(word))
+            if empty:
+                for model, root in zip(models, unseen, strict=True):
+                    p += model.below(u, 0.0, 0.0, np.full(len(word), root))
             else:
-                p += model.below(u, 0.0, 0.0, np.full(len(word), model.root(0.0, 0.0)))
-        if not len(states):
-            known, count = np.zeros(len(word), bool), np.zeros(len(word))
-            for model in models:
-                p += model.below(u, 0.0, 0.0, np.full(len(word), model.root(0.0, 0.0)))
-        logp = np.log10(np.maximum(p / len(models), 1e-300))
-        base = np.log10((count + 1) / (m0.n_tokens + m0.n_words + 1))
-        text = of.astype(np.int64) * (1 << 15) + ((code >> np.uint32(1)) & np.uint32(0x7FFF))
-        which, at = np.unique(text, return_inverse=True)
-        blocks = rows["block"].to_numpy()
-        return pd.DataFrame({
-            "block": blocks[which >> 15], "number": (which & 0x7FFF).astype(np.int32),
-            "n_known": np.bincount(at, known).astype(np.int64), "base_score": np.bincount(at, base), "score": np.bincount(at, logp),
-        })
+                at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                known = words[at] == word
+                count = np.where(known, trained[at], 0)
+                want = at * CONTEXTS + u
+                pair = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                seen = known & (key[pair] == want)
+                for (model, t, root), none in zip(samples, unseen, strict=True):
+                    p += model.below(u, np.where(seen, c[pair], 0), np.where(seen, t[pair], 0), np.where(known, root[at], none))
+            logp = np.log10(np.maximum(p / len(models), 1e-300))
+            base = np.log10((count + 1) / (models[0].n_tokens + models[0].n_words + 1))
+            text = of.astype(np.int64) * (1 << 15) + ((code >> np.uint32(1)) & np.uint32(0x7FFF))
+            which, at = np.unique(text, return_inverse=True)
+            sums = (which & 0x7FFF).astype(np.uint16), np.bincount(at, known).astype(np.uint32), np.bincount(at, base), np.bincount(at, logp).astype(np.float32)
+            cuts = np.searchsorted(which >> 15, np.arange(len(chunk) + 1))
+            return [{"block": b} | {k: v[i:j].tobytes() for k, v in zip(_SUMS, sums, strict=True)} for b, i, j in zip(chunk["block"], cuts[:-1], cuts[1:], strict=True)]
+
+        if not len(rows):
+            return pd.DataFrame({k: [] for k in ("block", *_SUMS)})
+        # a bucket's tokens are scored a few hundred thousand at a time
+        turn = np.cumsum([len(x) // 4 for x in rows["codes"]]) // SCORE_TOKENS
+        return pd.DataFrame([r for _, g in rows.groupby(turn) for r in part(g)])
 
     return run
 
 
+_SUMS = ("numbers", "known", "base", "score")
+
+
+def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a block's texts over all buckets; a block has a bounded number of tokens."""
+    number, known, base, score = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in zip(_SUMS, (np.uint16, np.uint32, np.float64, np.float32), strict=True))
+    n = int(number.max()) + 1
+    return pd.DataFrame({
+        "block": np.full(n, rows["block"].iloc[0]), "number": np.arange(n, dtype=np.int32), "n_known": np.bincount(number, known, n).astype(np.int64),
+        "base_score": np.bincount(number, base, n), "score": np.bincount(number, score.astype(np.float64), n),
+    })
+
+
 def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1, buckets: int | None = None) -> DataFrame:
     """For each row: fold, tokens, and the base's and the model's log10 probability of its text."""
     spark = df.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket is worked on by one task: buckets grow with the input, as Spark's own statistics have it
+    size = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
     docs = df.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    packed = stored(docs.mapInArrow(_pack(buckets), _PACKED), "packed")
+    # packed twice, for counting and for scoring: cheaper than a second copy of all tokens on disk
+    packed = docs.mapInArrow(_pack(buckets), _PACKED)
     counted = stored(packed.groupBy("bucket").applyInPandas(_count, _COUNTED), "counted")
     s = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_once", "n_twice"))).first()
     # the usual estimate of the discount from the pairs seen once and twice
     discount = min(max(s.n_once / max(s.n_once + 2 * s.n_twice, 1), 0.1), 0.95)
     state = counted.drop("n_words", "n_tokens", "n_once", "n_twice")
     model = Model(round(discount, 3), s.n_words, s.n_tokens).with_totals(state)
-    kept, models = [], []
+    models = []
     for i in range(1, burn_in + samples + 1):
-        state = stored(state.mapInArrow(_sweep(model, i, seed), _STATE), "state")
+        before, state = state, stored(state.mapInArrow(_sweep(model, i, seed, i > burn_in), _STATE), "state")
         model = model.with_totals(state)
+        drop_stored(spark, before)
         if i > burn_in:
-            kept.append(state)
             models.append(model)
-    states = kept[0]
-    for k in kept[1:]:
-        states = states.union(k)
-    scored = packed.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInPandas(_score(models), "block long, number int, n_known long, base_score double, score double")
-    sums = scored.groupBy("block", "number").agg(*(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
+    scored = packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_score(models), "block long, numbers binary, known binary, base binary, score binary")
+    # a row for each block and bucket, not for each text and bucket
+    sums = scored.groupBy("block").applyInPandas(_sum_block, "block long, number int, n_known long, base_score double, score double")
     listed = docs.mapInArrow(_texts(), f"block long, number int, id {id_type}, held_out boolean, n_tokens long")
     return listed.join(sums, ["block", "number"]).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(s.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
