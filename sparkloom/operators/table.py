@@ -196,7 +196,7 @@ def code(df: DataFrame, process: Process, output: str, partition_by: Sequence[st
         out[POS] = [[*at, i] for i in range(len(out))]
         return out
 
-    keys = [col(k) for k in partition_by] or [F.lit(1)]
+    keys = [col(k) for k in partition_by]
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*fields.fields, T.StructField(POS, T.ArrayType(T.LongType()))]))
 
 

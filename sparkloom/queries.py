@@ -446,9 +446,9 @@ def describe_column(spark, sf_dir):
 
 @_query("""SELECT 'k' AS "column", count(*) AS rows, CAST(round_even(count(*) FILTER (k IS NULL) * 100.0 / count(*), 0) AS BIGINT) AS missing_pct,
  'int=' || count(k)::VARCHAR AS dtypes, NULL::VARCHAR AS value_counts, count(DISTINCT k) AS distinct_estimate
- FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id END AS k FROM events)""")
+ FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN event_id END AS k FROM events)""")
 def describe_missing(spark, sf_dir):
-    return profile.describe(_t(spark, sf_dir, "events").select(F.when(F.expr("event_id % 3 <> 0"), F.col("user_id")).alias("k")), "k")
+    return profile.describe(_t(spark, sf_dir, "events").select(F.when(F.expr("event_id % 3 <> 0"), F.col("event_id")).alias("k")), "k")
 
 
 # datasets
