@@ -12,11 +12,11 @@ word's hash.  The restaurants of all buckets interact only through the numbers
 of customers and tables of each context, at most CONTEXTS pairs of numbers.
 
 A sweep resamples, bucket by bucket, the tables of each (context, word), given
-all others: the seating of c customers at t tables has probability
-proportional to S(c, t) * (strength + discount * tables)... * parent ** t, with
-generalised Stirling numbers S; with more customers than ``STIRLING`` the
-customers are seated one by one in Chinese-restaurant order.  Then the root's
-tables are drawn in the same way.  Totals are refreshed after each sweep.  The
+all others: c customers sit at t tables with a probability proportional to
+S(c, t) * parent ** t * the product over j < t of (strength + discount *
+(other tables + j)), with generalised Stirling numbers S.  More customers than
+``STIRLING`` are seated in Chinese-restaurant order, in blocks of a 32nd of
+those seated (an approximation).  Then the root's tables are drawn likewise.  Totals are refreshed after each sweep.  The
 predictive probabilities of several sweeps are averaged.
 
 Tokens travel packed: a task's block of texts gives one row for each bucket that
