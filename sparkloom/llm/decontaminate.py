@@ -1,25 +1,37 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Every n-gram of the test items is counted over all documents (in how many it
+1. An n-gram is a pair of words, next to each other or with one word between.
+   Every n-gram of the test items is counted over all documents (in how many it
    occurs), with sums on the map side.
-2. Each stretch of ``STRETCH`` words of an item keeps its ``SEEDS`` rarest
-   n-grams as seeds.  Rarity is relative to the item, so an item that stands in
-   many documents keeps seeds as well, and nothing is dropped for being hot.
-3. Seeds join documents to items; hits on near diagonals give one region.
+2. Each item seeds with the n-grams at its rarest places, as many of them as no
+   match can do without (see below), so rarity saves work and loses nothing.
+3. Seeds join documents to items; hits on near diagonals give one region, which
+   holds every alignment of a match that goes through one of them.
 4. The region is aligned with the item; the score is the Smith-Waterman score
    over that of the item with itself, from 0 to 1.  Pairs at ``MIN_SCORE`` or
-   more are matches.
+   more are matches, and all such pairs are found.
+
+Why no match is lost: an alignment of an item of L words that matches M words
+with E edits scores 2 M - E; at a score of s or more, E <= 2 M - 2 s L.  If x of
+the M - 1 gaps between matches hold at most one edit, E >= 2 (M - 1 - x), so
+x >= s L - 1.  The two words around such a gap are an n-gram in both texts, and
+each begins at another of the item's L - 1 places.  So of any L - ceil(s L - 1)
+places at least one is the beginning of an n-gram that the document has.  As
+E <= 2 L (1 - s), the alignment lies within that many words of the hit's
+diagonal.
 
 The items are broadcast where their n-grams number at most ``BROADCAST_GRAMS``
 (checked by a count); with more, seeds meet documents in shuffled joins.
 
 Words are lower-cased runs of letters and digits.  Defined cases: null or empty
-texts match nothing; items of fewer words than a seed have their whole sequence
-as the seed; documents that repeat give a match each; ids may be null.
+texts match nothing; items of so few words that one of them would do for a match
+(one or two words) have their whole sequence as the seed and match texts that
+are nothing else; documents that repeat give a match each; ids may be null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,38 +41,49 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-GRAM = 3
-STRETCH, SEEDS = 8, 3
 MIN_SCORE = 0.5
-#: Words around a seed's diagonal that an alignment may drift to either side.
-SLACK = 12
 BROADCAST_GRAMS = 1_000_000
-#: Smith-Waterman scores.
+#: Smith-Waterman scores; the seeds' guarantee is for these.
 MATCH, MISMATCH, GAP = 2, -1, -1
 _CELLS = 1_000_000
 
 
-def grams(w: W.Words, n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, row, place in the row) of each n-gram; a shorter row has itself as one."""
-    h = w.hashes()
-    ok = np.flatnonzero(W.inside(w.first, n))
-    g, row, at = W.windows(h, n)[ok], w.row[ok], ok - w.first[w.row[ok]]
+def short_items(min_score: float) -> int:
+    """Items of up to so many words would match by a single word."""
+    return int(1 / min_score + 1e-9)
+
+
+def drift(length: int, min_score: float) -> int:
+    """How many words an alignment of a match may be off a hit's diagonal, to either side."""
+    return math.ceil(MATCH * length * (1 - min_score))
+
+
+def grams(w: W.Words, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, row, place in the row) of each n-gram; a row of up to ``short`` words also has itself, at -1."""
+    h, of = w.hashes(), w.row
+    g, row, at = [], [], []
+    for d in (1, 2):
+        ok = np.flatnonzero(W.inside(w.first, d + 1))
+        g.append(W.mix(h[ok] * W._R2 + h[ok + d]))
+        row.append(of[ok])
+        at.append(ok - w.first[of[ok]])
     size = np.diff(w.first)
-    short = np.flatnonzero((size > 0) & (size < n))
-    if len(short):
-        whole = W.spans(W.span_prefix(h, W._R3), w.first[short], w.first[short + 1], W._R3)
-        g, row, at = np.concatenate([g, whole]), np.concatenate([row, short]), np.concatenate([at, np.zeros(len(short), np.int64)])
-    return g, row, at
+    few = np.flatnonzero((size > 0) & (size <= short))
+    if len(few):
+        g.append(W.spans(W.span_prefix(h, W._R3), w.first[few], w.first[few + 1], W._R3))
+        row.append(few)
+        at.append(np.full(len(few), -1))
+    return np.concatenate(g), np.concatenate(row), np.concatenate(at)
 
 
-def _gram_rows(n: int):
+def _gram_rows(short: int):
     """(id, th, place, gram, n_words) of each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r0, _, data, offsets in W.slices(b.column(2)):
                 w = W.split_words(data, offsets, alnum=True)
-                g, row, at = grams(w, n)
+                g, row, at = grams(w, short)
                 pick = pa.array(row + r0)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(at), pa.array(g.view(np.int64)), pa.array(np.diff(w.first)[row])], ["id", "th", "place", "gram", "n_words"])
 
@@ -76,14 +99,14 @@ def _member(table: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[i] == g, i
 
 
-def _count_known(table: np.ndarray, n: int):
+def _count_known(table: np.ndarray, short: int):
     """In how many documents each n-gram of the table occurs, summed for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(table), np.int64)
         for b in batches:
             for _, _, data, offsets in W.slices(b.column(0)):
-                g, row, _ = grams(W.split_words(data, offsets, alnum=True), n)
+                g, row, _ = grams(W.split_words(data, offsets, alnum=True), short)
                 hit, i = _member(table, g)
                 once = np.unique(row[hit] * len(table) + i[hit])
                 np.add.at(total, once % max(len(table), 1), 1)
@@ -147,7 +170,7 @@ class Items:
         self.seed, self.item, self.place = seed[order], item[order], place[order]
 
 
-def _match(shared, n: int, slack: int, min_score: float):
+def _match(shared, short: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = shared.value
         table, begin = np.unique(it.seed, return_index=True)
@@ -155,7 +178,7 @@ def _match(shared, n: int, slack: int, min_score: float):
         for b in batches:
             for r0, _, data, offsets in W.slices(b.column(2)):
                 w = W.split_words(data, offsets, alnum=True)
-                g, row, at = grams(w, n)
+                g, row, at = grams(w, short)
                 hit, i = _member(table, g)
                 if not hit.any():
                     continue
@@ -174,7 +197,7 @@ def _match(shared, n: int, slack: int, min_score: float):
                     r, m = int(row[x]), int(item[x])
                     lo, hi = int(w.first[r]), int(w.first[r + 1])
                     hits[m, r] = int(y - x)
-                    for a, z in regions_of(diagonal[x:y], len(it.words[m]), slack):
+                    for a, z in regions_of(diagonal[x:y], len(it.words[m]), drift(len(it.words[m]), min_score)):
                         tasks.setdefault(m, []).append((r, lo, max(lo, lo + a), min(hi, lo + z)))
                 found = []
                 for m, todo in tasks.items():
@@ -188,7 +211,7 @@ def _match(shared, n: int, slack: int, min_score: float):
     return run
 
 
-def _align_pairs(slack: int, min_score: float):
+def _align_pairs(min_score: float):
     """For rows (id, th, item, diagonals, text, item's text): the alignment where hits come from joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +220,7 @@ def _align_pairs(slack: int, min_score: float):
                 one = [W.split_words(*W.text_buffers(b.column(c).slice(i, 1)), alnum=True) for c in (4, 5)]
                 h, item = one[0].hashes(), one[1].hashes()
                 d = b.column(3).slice(i, 1).flatten().to_numpy()
-                todo = [(0, 0, max(0, a), min(len(h), z)) for a, z in regions_of(d, len(item), slack)]
+                todo = [(0, 0, max(0, a), min(len(h), z)) for a, z in regions_of(d, len(item), drift(len(item), min_score))]
                 s = scores(h, item, todo).get(0, 0) / (MATCH * len(item))
                 if s >= min_score:
                     yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in range(3)), pa.array([s]), pa.array([len(d)], pa.int64())], ["id", "th", "item", "score", "n_hits"])
@@ -205,42 +228,45 @@ def _align_pairs(slack: int, min_score: float):
     return run
 
 
-def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = GRAM, min_score: float = MIN_SCORE, slack: int = SLACK, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(id, th, item, score, n_hits) of each document and item that match; th is xxhash64 of the text."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     tests = items.select(F.col(item_id).alias("id"), F.xxhash64(F.col(item_text)).alias("th"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL").distinct()
     doc_type, item_type = docs.schema["id"].dataType.simpleString(), tests.schema["id"].dataType.simpleString()
-    item_grams = tests.mapInArrow(_gram_rows(n), f"id {item_type}, th long, place long, gram long, n_words long")
+    short = short_items(min_score)
+    item_grams = tests.mapInArrow(_gram_rows(short), f"id {item_type}, th long, place long, gram long, n_words long").where(f"(n_words <= {short}) = (place < 0)")
     small = item_grams.limit(broadcast_grams + 1).count() <= broadcast_grams
 
     distinct = item_grams.select("gram").distinct()
     if small:
         table = np.sort(np.array([r.gram for r in distinct.collect()], np.int64).view(np.uint64))
-        known = docs.select("text").mapInArrow(_count_known(table, n), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+        known = docs.select("text").mapInArrow(_count_known(table, short), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     else:
-        doc_grams = docs.mapInArrow(_gram_rows(n), f"id {doc_type}, th long, place long, gram long, n_words long")
+        doc_grams = docs.mapInArrow(_gram_rows(short), f"id {doc_type}, th long, place long, gram long, n_words long")
         known = doc_grams.join(distinct, "gram").select("gram", "id", "th").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # n-grams that no document has can't seed
-    ranked = item_grams.join(known, "gram").withColumn("stretch", F.expr(f"place div {STRETCH}"))
-    rarest = Window.partitionBy("id", "th", "stretch").orderBy("df", "gram", "place")
-    seeds = ranked.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= SEEDS).select("id", "th", "place", "gram")
+    # places whose n-grams no document has are the rarest; they take part in the choice and give no seed
+    ranked = item_grams.join(known, "gram", "left").na.fill(0, ["df"]).withColumn("weight", F.sum("df").over(Window.partitionBy("id", "th", "place")))
+    rarest = Window.partitionBy("id", "th").orderBy("weight", "place")
+    enough = F.col("n_words") - F.greatest(F.ceil(F.col("n_words") * min_score - 1 - 1e-9), F.lit(0))
+    seeds = ranked.withColumn("k", F.dense_rank().over(rarest)).where((F.col("k") <= enough) & (F.col("df") > 0)).select("id", "th", "place", "gram").distinct()
     schema = f"id {doc_type}, th long, item {item_type}, score double, n_hits long"
 
     if small:
         rows = seeds.collect()
-        texts = {(r.id, r.th): r.text for r in tests.join(seeds.select("id", "th").distinct(), [tests["id"].eqNullSafe(seeds["id"]), tests["th"] == seeds["th"]]).select(tests["id"], tests["th"], "text").collect()} if rows else {}
+        seeding = {(r.id, r.th) for r in rows}
+        texts = {(r.id, r.th): r.text for r in tests.collect() if (r.id, r.th) in seeding}
         names = list(texts)
         number = {k: i for i, k in enumerate(names)}
         words = [W.split_words(*W.text_buffers(pa.array([texts[k]])), alnum=True).hashes() for k in names]
         shared = spark.sparkContext.broadcast(Items([k[0] for k in names], words, np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([number[r.id, r.th] for r in rows], np.int64), np.array([r.place for r in rows], np.int64)))
-        found = docs.mapInArrow(_match(shared, n, slack, min_score), schema)
+        found = docs.mapInArrow(_match(shared, short, min_score), schema)
     else:
         hits = doc_grams.join(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "gram")
         pairs = hits.groupBy("id", "th", "item", "item_th").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
         pairs = pairs.join(docs.select(F.col("id").alias("d"), F.col("th").alias("dt"), F.col("text").alias("dtext")), [F.col("id").eqNullSafe(F.col("d")), F.col("th") == F.col("dt")])
         pairs = pairs.join(tests.select(F.col("id").alias("i"), F.col("th").alias("it"), F.col("text").alias("itext")), [F.col("item").eqNullSafe(F.col("i")), F.col("item_th") == F.col("it")])
-        found = pairs.select("id", "th", "item", "diagonals", "dtext", "itext").mapInArrow(_align_pairs(slack, min_score), schema)
+        found = pairs.select("id", "th", "item", "diagonals", "dtext", "itext").mapInArrow(_align_pairs(min_score), schema)
     return found
 
 

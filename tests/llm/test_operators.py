@@ -128,6 +128,30 @@ def test_decontamination(spark, rows, limit):
     same([r.doc_id for r in left.collect()], [i for i, _ in docs if i is None or i < 2000 or i == 2002])
 
 
+@pytest.mark.parametrize("limit", [10**6, 5])
+def test_decontamination_finds_all_that_scores_enough(spark, limit):
+    """Verbatim copies beside evenly and randomly edited ones: exactly the pairs that brute force scores at least half."""
+    rng = __import__("random").Random(21)
+    items = [prose(rng, n, 60 if n < 12 else 400) for n in (3, 4, 5, 8, 11, 24, 30, 38, 59)]
+    copies = []
+    for w in items:
+        copies += [w, [x for i, x in enumerate(w) if i % 3 != 1], ["e%d" % i if i % 3 == 2 else x for i, x in enumerate(w)]]
+        copies += [sum(([x, "i%d" % i] if i % 2 else [x] for i, x in enumerate(w)), []), sum(([x, "j%d" % i] for i, x in enumerate(w)), [])]
+        for share in (0.15, 0.3, 0.4, 0.5):
+            c = []
+            for i, x in enumerate(w):
+                kind = rng.randrange(3) if rng.random() < share else 3
+                c += [[], ["s%d" % i], ["n%d" % i, x], [x]][kind]
+            copies.append(c)
+    docs = [(i, " ".join(prose(rng, rng.choice([0, 20, 300])) + c + prose(rng, 20))) for i, c in enumerate(copies)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.find_matches(frame(spark, docs), bench, broadcast_grams=limit).collect()
+    scored = {(i, k): brute_align(w, t.split()) / (2 * len(w)) for i, t in docs for k, w in enumerate(items)}
+    want = {pair: s for pair, s in scored.items() if s >= 0.5}
+    assert 60 < len(want) and sum(s < 0.6 for s in want.values()) > 10
+    assert {(r.id, r.item): r.score for r in got} == want and len(got) == len(want)
+
+
 def test_near_duplicates(spark, rows):
     want = [(i, c, i is None or i == c) for (i, _), c in zip(rows, components(rows), strict=True)]
     got = minhash.near_duplicate_report(frame(spark, rows)).collect()
