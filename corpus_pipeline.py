@@ -14,6 +14,9 @@ from sparkloom.llm.scratch import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents whose language is less probable than this are rejected, with those that have no letter.
 MIN_LANGUAGE_SCORE = 0.5
+#: Near copies are texts whose sets of word shingles have a similarity of 0.8 or more. All bands
+#: miss a pair at 0.8 with a probability of about 3e-7.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 50, 6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

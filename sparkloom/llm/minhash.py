@@ -212,16 +212,16 @@ def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text: str = "te
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """df with one row of each component, that with the least id; rows without words or id all stay.
 
     Texts that share an id without being alike are documents of their own.
     """
-    got = near_duplicates(df, id_col, text, percent=percent).where("label IS NOT NULL")
+    got = near_duplicates(df, id_col, text, percent=percent, bands=bands, rows=rows).where("label IS NOT NULL")
     best = got.groupBy("label").agg(F.min(F.struct("id", "th")).alias("best")).select("label", F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
     alone = F.col(id_col).isNull() | ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text)).alias("_t"), alone.alias("_alone"))
-    kept = rows.where("NOT _alone").join(best, [F.col("_i") == F.col("_id"), F.col("_t") == F.col("_th")])
+    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text)).alias("_t"), alone.alias("_alone"))
+    kept = whole.where("NOT _alone").join(best, [F.col("_i") == F.col("_id"), F.col("_t") == F.col("_th")])
     # rows that repeat in full leave one
     once = kept.groupBy("label").agg(F.first("row").alias("row")).select("row")
-    return once.union(rows.where("_alone").select("row")).select("row.*")
+    return once.union(whole.where("_alone").select("row")).select("row.*")

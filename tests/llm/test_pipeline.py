@@ -37,6 +37,19 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert {r.doc_id for r in last} == ids
 
 
+def test_near_dedup_links_from_080(spark, tmp_path):
+    rng = __import__("random").Random(31)
+    docs = []
+    for i in range(20):
+        base = prose(rng, 140, 10**6)
+        for k, places in enumerate(((), (30, 70, 110), (20, 50, 80, 120))):
+            docs.append((10 * i + k, " ".join(f"e{k}p{p}" if p in places else x for p, x in enumerate(base))))
+    a, b, c = (shingles(t) for _, t in docs[:3])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.8 > len(b & c) / len(b | c)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, docs), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in docs if i % 10 != 1]
+
+
 def test_run_is_the_stages_in_order(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
     got = corpus_pipeline.run(spark, sf)
