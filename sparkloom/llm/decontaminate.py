@@ -21,7 +21,10 @@ E <= 2 L (1 - s), the alignment lies within that many words of the hit's
 diagonal.
 
 The items are broadcast where their n-grams number at most ``BROADCAST_GRAMS``
-(checked by a count); with more, seeds meet documents in shuffled joins.
+(checked by a count); with more, seeds meet documents in shuffled joins.  Both
+give the same rows: an n-gram is counted once for each document row that has it,
+and ``n_hits`` is the number of different pairs of a place in the document and a
+seed's place in the item.
 
 Words are lower-cased runs of letters and digits.  Defined cases: null or empty
 texts match nothing; items of so few words that one of them would do for a match
@@ -90,6 +93,22 @@ def _gram_rows(short: int):
     return run
 
 
+def _grams_of_rows(short: int):
+    """Each n-gram of each row, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in W.slices(b.column(0)):
+                g, row, _ = grams(W.split_words(data, offsets, alnum=True), short)
+                order = np.lexsort((g, row))
+                g, row = g[order], row[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64))], ["gram"])
+
+    return run
+
+
 def _member(table: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which g are in the sorted table, their places there)."""
     if not len(table):
@@ -186,10 +205,14 @@ def _match(shared, short: int, min_score: float):
                 # a seed may stand in several items
                 each = np.repeat(np.arange(len(row)), count[i])
                 k = begin[i][each] + np.arange(len(each)) - np.repeat(np.cumsum(count[i]) - count[i], count[i])
-                item, diagonal, row = it.item[k], at[each] - it.place[k], row[each]
+                item, place, at, row = it.item[k], it.place[k], at[each], row[each]
                 h = w.hashes()
-                order = np.lexsort((row, item))
-                item, diagonal, row = item[order], diagonal[order], row[order]
+                order = np.lexsort((place, at, row, item))
+                item, place, at, row = item[order], place[order], at[order], row[order]
+                # both n-grams of a place may be the same
+                new = np.ones(len(item), bool)
+                new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | (place[1:] != place[:-1])
+                item, diagonal, row = item[new], (at - place)[new], row[new]
                 cut = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1])]))
                 tasks: dict[int, list[tuple[int, int, int, int]]] = {}
                 hits = {}
@@ -244,7 +267,7 @@ def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         known = docs.select("text").mapInArrow(_count_known(table, short), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     else:
         doc_grams = docs.mapInArrow(_gram_rows(short), f"id {doc_type}, th long, place long, gram long, n_words long")
-        known = doc_grams.join(distinct, "gram").select("gram", "id", "th").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        known = docs.select("text").mapInArrow(_grams_of_rows(short), "gram long").join(distinct, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # places whose n-grams no document has are the rarest; they take part in the choice and give no seed
     ranked = item_grams.join(known, "gram", "left").na.fill(0, ["df"]).withColumn("weight", F.sum("df").over(Window.partitionBy("id", "th", "place")))
     rarest = Window.partitionBy("id", "th").orderBy("weight", "place")
@@ -263,7 +286,8 @@ def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         found = docs.mapInArrow(_match(shared, short, min_score), schema)
     else:
         hits = doc_grams.join(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "gram")
-        pairs = hits.groupBy("id", "th", "item", "item_th").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+        pairs = hits.groupBy("id", "th", "item", "item_th").agg(F.collect_set(F.struct("place", "at")).alias("hits"))
+        pairs = pairs.withColumn("diagonals", F.expr("transform(hits, x -> x.place - x.at)")).drop("hits")
         pairs = pairs.join(docs.select(F.col("id").alias("d"), F.col("th").alias("dt"), F.col("text").alias("dtext")), [F.col("id").eqNullSafe(F.col("d")), F.col("th") == F.col("dt")])
         pairs = pairs.join(tests.select(F.col("id").alias("i"), F.col("th").alias("it"), F.col("text").alias("itext")), [F.col("item").eqNullSafe(F.col("i")), F.col("item_th") == F.col("it")])
         found = pairs.select("id", "th", "item", "diagonals", "dtext", "itext").mapInArrow(_align_pairs(min_score), schema)
