@@ -8,14 +8,21 @@ Piece probabilities are fitted by expectation-maximisation: forward and
 backward sums give each piece's expected count over all segmentations.
 
 Words are lower-cased maximal runs of letters, with a word mark in front, as in
-the vocabulary.  The recursion runs for all distinct words of a slice at once.
+the vocabulary.  A word is scored whole, however long it or its text is.  The
+recursion runs for all distinct words of a slice at once: in plain numbers where
+a word has too few bytes to underflow, in logarithms otherwise, and in stretches
+that hand on their last sums where a word is very long; all three give the same.
 
 Training takes at most ``TRAIN_ROWS`` texts of each language, those with the
-least hashes of their ids; scoring reads whole texts of all rows.
+least hashes of their ids, and words of up to ``TRAIN_WORD_BYTES`` bytes; scoring
+reads whole texts of all rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language, or with a null text, aren't learnt from; without any
-training row every text is ``und``.  Rows that repeat each get a row.
+training row every text is ``und``.  Rows that repeat each get a row.  Of equal
+posteriors the language first by name wins.  Very long texts are scored whole,
+with memory for the distinct words of a batch of texts.  Extra columns, whatever
+their names, take no part; ``identify`` carries them in ``row``.
 """
 
 from __future__ import annotations
@@ -39,8 +46,14 @@ ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a byte that no piece covers.
 UNKNOWN = 1e-7
-#: Bytes of a word beyond which it is scored in stretches of this size.
-WORD_BYTES = 48
+#: Words of more bytes, mark included, aren't learnt from.
+TRAIN_WORD_BYTES = 1000
+#: Words of up to so many bytes can't underflow: UNKNOWN ** PLAIN_BYTES is a normal number.
+PLAIN_BYTES = 40
+#: Places of a very long word that are worked on at once.
+STRETCH = 1 << 16
+#: Bounds of a group of words of like size: words, and bytes of their matrix.
+GROUP_WORDS, GROUP_CELLS = 4000, 400_000
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -90,9 +103,8 @@ def piece_hash(p: bytes) -> int:
     return h
 
 
-def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_matrix(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, sizes) of marked words, padded to the longest."""
-    raw = [(_MARK + w).encode() for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     out = np.zeros((len(raw), int(size.max())), np.uint8)
     flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -104,8 +116,8 @@ def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Lattice:
     """Which piece, if any, stands at each place of each word: piece[n][start] for length n."""
 
-    def __init__(self, words: list[str], keys: np.ndarray, longest: int):
-        self.text, self.size = word_matrix(words)
+    def __init__(self, raw: list[bytes], keys: np.ndarray, longest: int):
+        self.text, self.size = word_matrix(raw)
         n, width = self.text.shape
         code = _BYTE[self.text]
         h = np.zeros((n, width), np.uint64)
@@ -144,35 +156,80 @@ class Lattice:
                 a[e, w[first]] += np.add.reduceat(v, first, axis=0)
         return a
 
+    def log_forward(self, prob: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """The logarithms of forward(); with before, the sums at the first places are given."""
+        n, width = self.text.shape
+        begin = np.zeros((1, n, prob.shape[1])) if before is None else before
+        a = np.concatenate([begin, np.zeros((width + 1 - len(begin), *begin.shape[1:]))])
+        unknown = np.log(UNKNOWN)
+        for e in range(len(begin), width + 1):
+            a[e] = a[e - 1] + unknown
+            i, j = self.bounds[e], self.bounds[e + 1]
+            if i < j:
+                w = self.word[i:j]
+                # relative to the place before, from which no other place of a piece is far
+                v = np.exp(a[self.start[i:j], w] - a[e - 1, w]) * prob[self.piece[i:j]]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                a[e, w[first]] = a[e - 1, w[first]] + np.log(UNKNOWN + np.add.reduceat(v, first, axis=0))
+        return a
+
     def totals(self, prob: np.ndarray) -> np.ndarray:
         """The log of each word's probability in each language."""
-        a = self.forward(prob)
-        return np.log(np.maximum(a[self.size, np.arange(len(self.size))], 1e-300))
+        at = self.size, np.arange(len(self.size))
+        return np.log(self.forward(prob)[at]) if self.text.shape[1] <= PLAIN_BYTES else self.log_forward(prob)[at]
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces; weight[word] counts its occurrences."""
-        a = self.forward(prob[:, None])[:, :, 0]
+        a = self.log_forward(prob[:, None])[:, :, 0]
         width = a.shape[0] - 1
-        b = np.zeros_like(a)
-        b[self.size, np.arange(len(self.size))] = 1.0
-        for e in range(width, 0, -1):
-            # places beyond a word's end have b = 0 and so add nothing
-            b[e - 1] += b[e] * UNKNOWN
-            i, j = self.bounds[e], self.bounds[e + 1]
+        # b[place]: the log of the sum over segmentations of what follows, less that of the whole
+        b = np.full_like(a, -np.inf)
+        b[self.size, np.arange(len(self.size))] = -a[self.size, np.arange(len(self.size))]
+        unknown = np.log(UNKNOWN)
+        by_start = np.lexsort((self.word, self.start))
+        start, word, piece, end = (x[by_start] for x in (self.start, self.word, self.piece, self.end))
+        bounds = np.searchsorted(start, np.arange(width + 2))
+        for p in range(width - 1, -1, -1):
+            ends_here = self.size == p
+            b[p] = np.where(ends_here, b[p], b[p + 1] + unknown)
+            i, j = bounds[p], bounds[p + 1]
             if i < j:
-                np.add.at(b, (self.start[i:j], self.word[i:j]), b[e, self.word[i:j]] * prob[self.piece[i:j]])
-        whole = np.maximum(a[self.size, np.arange(len(self.size))], 1e-300)
-        share = a[self.start, self.word] * prob[self.piece] * b[self.end, self.word] / whole[self.word] * weight[self.word]
+                w = word[i:j]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                v = np.exp(b[end[i:j], w] - b[p, w]) * prob[piece[i:j]]
+                b[p, w[first]] += np.log1p(np.add.reduceat(v, first))
+        share = np.exp(a[self.start, self.word] + b[self.end, self.word]) * prob[self.piece] * weight[self.word]
         return np.bincount(self.piece, share, minlength=len(prob))
 
 
+def long_total(raw: bytes, model_keys: np.ndarray, longest: int, prob: np.ndarray) -> np.ndarray:
+    """totals() of one very long word: stretches hand on the sums of their last places."""
+    last, at, scale = np.zeros((1, 1, prob.shape[1])), 0, np.zeros(prob.shape[1])
+    while at < len(raw):
+        begin = at - (len(last) - 1)
+        a = Lattice([raw[begin : at + STRETCH]], model_keys, longest).log_forward(prob, last)
+        at = min(at + STRETCH, len(raw))
+        scale += a[-1, 0]
+        last = a[-(longest + 1) :] - a[-1]
+    return scale
+
+
 def text_words(text: str) -> list[str]:
-    """Lower-cased runs of letters; very long ones in stretches."""
-    out = _WORD.findall(text.lower())
-    if len(text) > WORD_BYTES and any(len(w) > WORD_BYTES // 2 for w in out):
-        step = WORD_BYTES // 2
-        out = [w[i : i + step] for w in out for i in range(0, len(w), step)]
-    return out
+    """Lower-cased runs of letters."""
+    return _WORD.findall(text.lower())
+
+
+def groups(raw: list[bytes]) -> Iterator[np.ndarray]:
+    """Places of words of like size, few enough for one matrix."""
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(size, kind="stable")
+    i = 0
+    while i < len(order):
+        j = min(len(order), i + GROUP_WORDS)
+        while j > i + 1 and (j - i) * size[order[j - 1]] > GROUP_CELLS:
+            j = i + max(1, (j - i) // 2)
+        yield order[i:j]
+        i = j
 
 
 def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
@@ -204,11 +261,12 @@ def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "
             for w in text_words(t):
                 words[w] = words.get(w, 0) + 1
         prob = np.full(len(keys), 1 / len(keys))
-        names, weight = list(words), np.array(list(words.values()), float)
-        for _ in range(rounds if names else 0):
+        counted = [(x, n) for w, n in words.items() if len(x := (_MARK + w).encode()) <= TRAIN_WORD_BYTES]
+        raw, weight = [x for x, _ in counted], np.array([n for _, n in counted], float)
+        for _ in range(rounds if raw else 0):
             total = np.full(len(keys), SMOOTHING)
-            for i in range(0, len(names), 50_000):
-                total += Lattice(names[i : i + 50_000], keys, longest).expected(prob, weight[i : i + 50_000])
+            for at in groups(raw):
+                total += Lattice([raw[i] for i in at], keys, longest).expected(prob, weight[at])
             prob = total / total.sum()
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "n": [len(group)], "prob": [prob.tobytes()]})
 
@@ -223,7 +281,7 @@ def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "
 
 
 #: Words whose scores a worker keeps before it starts anew; without influence on results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def predictor(model: Model):
@@ -270,11 +328,13 @@ def predictor(model: Model):
 
 
 def _score(words: list[str], model: Model) -> np.ndarray:
-    size = np.array([len(w) for w in words])
-    order = np.argsort(size, kind="stable")
     out = np.empty((len(words), len(model.langs)))
-    for at in np.array_split(order, max(1, len(order) // 4000)):
-        out[at] = Lattice([words[i] for i in at], model.keys, model.longest).totals(model.prob)
+    raw = [(_MARK + w).encode() for w in words]
+    for at in groups(raw):
+        if len(at) == 1 and len(raw[at[0]]) > STRETCH:
+            out[at[0]] = long_total(raw[at[0]], model.keys, model.longest, model.prob)
+        else:
+            out[at] = Lattice([raw[i] for i in at], model.keys, model.longest).totals(model.prob)
     return out
 
 
@@ -283,28 +343,29 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df's rows as a struct ``row``, with lang_pred and score."""
+    """df's rows as a struct ``row``, with lang_pred and score; a text travels once, within its row."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary of fixed size by the languages
+    place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(shared.value)
         for b in batches:
             names, post = [], []
+            texts = b.column(0).field(place)
             for r in range(0, b.num_rows, 200):
-                got = predict(b.column(1).slice(r, 200).to_pylist())
+                got = predict(texts.slice(r, 200).cast(pa.string()).to_pylist())
                 names += got[0]
                 post.append(got[1])
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(post))], ["row", "lang_pred", "score"])
 
-    rows = df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    rows = df.select(F.struct("*").alias("row"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Fits on the rows that aren't held out and predicts all rows."""
     model = fit(df.where(F.coalesce(~held_out(id_col), F.lit(False))), lang, id_col, text)
-    ids = df.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    rows = ids.select(F.struct(id_col, "held_out").alias("r"), "text")
-    got = identify(rows.select(F.col("r.*"), "text"), model)
+    rows = df.select(F.col(id_col).alias(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    got = identify(rows, model)
     return got.select(F.col("row").getField(id_col).alias(id_col), F.col("row.held_out").alias("held_out"), "lang_pred", "score")

@@ -16,7 +16,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the memory of the numpy temporaries.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Powers that a worker keeps; more, for very long texts, are worked out anew.
+KEPT_POWERS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -36,12 +38,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(r: np.uint64, n: int) -> np.ndarray:
-    """r**0 .. r**(n-1) modulo 2**64; kept and grown on demand."""
+    """r**0 .. r**(n-1) modulo 2**64; kept up to KEPT_POWERS and grown on demand."""
     have = _powers.get(int(r))
     if have is None or len(have) < n:
         x = np.full(max(n, 1 << 16), r, U64)
         x[0] = 1
-        have = _powers[int(r)] = np.cumprod(x, dtype=U64)
+        have = np.cumprod(x, dtype=U64)
+        if len(have) <= KEPT_POWERS:
+            _powers[int(r)] = have
     return have[:n]
 
 
@@ -81,17 +85,25 @@ class Words:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A fingerprint of each word; with lower, A-Z count as a-z."""
-        if not len(self.start):
-            return np.zeros(0, U64)
-        a = self.start[0]
+        """A fingerprint of each word; with lower, A-Z count as a-z.
+
+        Words are worked on by the stretch of bytes, so a very long text needs room
+        for its words and not several times its bytes.
+        """
         table = self.values if self.values is not None else _LOWER if lower else _PLAIN
-        v = table[self.data[a : self.end[-1]]]
-        s = self.start - a
-        seg = np.diff(np.append(s, len(v)))
-        at = np.arange(len(v)) - np.repeat(s, seg)
-        v *= powers(_R1, int(seg.max()))[at]
-        return mix(np.add.reduceat(v, s) + (self.end - self.start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        out = np.zeros(len(self.start), U64)
+        i = 0
+        while i < len(out):
+            a = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.start, a + SLICE_BYTES)))
+            v = table[self.data[a : self.end[j - 1]]]
+            s = self.start[i:j] - a
+            seg = np.diff(np.append(s, len(v)))
+            at = np.arange(len(v)) - np.repeat(s, seg)
+            v *= powers(_R1, int(seg.max()))[at]
+            out[i:j] = mix(np.add.reduceat(v, s) + (self.end[i:j] - self.start[i:j]).astype(U64) * U64(0x9E3779B97F4A7C15))
+            i = j
+        return out
 
     def joined(self, row: int, keep: np.ndarray | None = None) -> bytes:
         """The words of a row with one space between, where keep is set."""

@@ -414,11 +414,12 @@ def test_forward_sums_all_segmentations():
     def brute(rest):
         return 1.0 if not rest else sum(x * brute(rest[len(p) :]) for p, x in table.items() if rest.startswith(p))
 
-    for w in ("a", "ab", "abab", "bba"):
-        lat = langid.Lattice([w, "aaaaaaa"], keys, 4)
-        assert np.exp(lat.totals(prob[:, None]))[0, 0] == pytest.approx(brute(("▁" + w).encode()), rel=1e-4)
+    mark = "▁".encode()
+    for w in (b"a", b"ab", b"abab", b"bba"):
+        lat = langid.Lattice([mark + w, mark + b"aaaaaaa"], keys, 4)
+        assert np.exp(lat.totals(prob[:, None]))[0, 0] == pytest.approx(brute(mark + w), rel=1e-4)
     # expected counts over all segmentations: each byte is covered once
-    lat = langid.Lattice(["abab"], keys, 4)
+    lat = langid.Lattice([mark + b"abab"], keys, 4)
     e = lat.expected(prob, np.array([1.0]))
     size = {langid.piece_hash(p): len(p) for p in pieces}
     assert sum(e[i] * size[int(k)] for i, k in enumerate(keys)) == pytest.approx(len("▁abab".encode()), rel=1e-3)
@@ -441,3 +442,37 @@ def test_untrained_language_model_and_id(spark):
     assert all(r.n_known == 0 and r.base_score == 0 for r in hpylm.train_and_score(frame(spark, only_out)).collect())
     unlabelled = frame(spark, [(9, "some text")])
     assert [(r.lang_pred, r.score) for r in langid.language_report(unlabelled).collect()] == [("und", 0.0)]
+
+
+@pytest.mark.parametrize("letters", [10, 30, 60, 200, 5000])
+def test_long_words_are_scored_whole(letters, monkeypatch):
+    """The sum over all segmentations, by exact fractions, wherever the word is cut into stretches."""
+    from fractions import Fraction
+
+    rng = __import__("random").Random(letters)
+    word = "▁".encode() + "".join(rng.choice("abcé") for _ in range(letters)).encode()
+    pieces = {"▁".encode(): 0.3, "▁a".encode(): 0.1, b"a": 0.2, b"ab": 0.2, b"bca": 0.05, "é".encode(): 0.15}
+    keys = np.sort(np.array([langid.piece_hash(p) for p in pieces], np.uint64))
+    prob = np.zeros((len(keys), 2))
+    for p, x in pieces.items():
+        prob[np.searchsorted(keys, np.uint64(langid.piece_hash(p)))] = x, x / 2
+    exact = {p: Fraction(x) for p, x in pieces.items()}
+    if letters <= 200:
+        sums = [Fraction(1)]
+        for e in range(1, len(word) + 1):
+            sums.append(sums[e - 1] * Fraction(langid.UNKNOWN) + sum(sums[e - len(p)] * x for p, x in exact.items() if word[:e].endswith(p) and len(p) <= e))
+        want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+        assert langid.Lattice([word], keys, 4).totals(prob)[0, 0] == pytest.approx(want, rel=1e-9)
+    whole = langid.Lattice([word], keys, 4).log_forward(prob)[-1, 0]
+    assert np.isfinite(whole).all()
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert langid.long_total(word, keys, 4, prob) == pytest.approx(whole, rel=1e-9)
+
+
+def test_a_words_score_does_not_depend_on_its_text():
+    model = langid.Model(["x", "y"], np.array([0.5, 0.5]), np.sort(np.array([langid.piece_hash(p) for p in (b"donau", b"dampf", b"schiff")], np.uint64)), np.array([[0.1, 0.2]] * 3), 6)
+    alone, within = "donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesellschaft " + "und " * 40
+    one = [langid._score(langid.text_words(t), model)[0] for t in (alone, within)]
+    assert langid.text_words(within)[0] == alone and (one[0] == one[1]).all()
+    # unknown letters alone: the languages tie, and the first by name wins
+    assert langid.predictor(model)(["\u4e00" * 24])[0] == ["x"]
