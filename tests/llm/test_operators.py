@@ -300,33 +300,107 @@ def test_quality_figures(spark, rows):
     assert not any(r.kept and r.base_failed for r in got)
 
 
-def test_cascade_order_and_verdict():
+def rejected_by(t):
+    """The rules that reject a text, by plain code."""
+    w = words(t)
+    chars = "".join(w)
+    letters, capitals, digits = (sum(map(f, chars)) for f in (str.isalpha, str.isupper, str.isdigit))
+    lines = [x for x in t.split("\n") if words(x)]
+    dup = len(lines) - len(set(lines))
+    inner = [x.strip(" \t\r\x0b\x0c") for x in lines]
+    broken = sum(x.endswith(("...", "\u2026")) for x in inner)
+    return {
+        "many_symbols": 10 * sum(map(t.count, "#*$%&|<>")) > len(w),
+        "odd_word_length": not 2 * len(w) <= len(chars) <= 15 * len(w),
+        "shouting": 2 * capitals > letters,
+        "few_letters": 2 * letters < len(chars),
+        "many_digits": 10 * digits > 3 * len(chars),
+        "few_words_with_letters": 10 * sum(any(map(str.isalpha, x)) for x in w) < 6 * len(w),
+        "repeated_lines": dup >= 3 and 10 * dup > 3 * len(lines),
+        "list_lines": len(lines) >= 5 and 10 * sum(x.startswith(("-", "*", "\u2022", "\u25cf", "\u25aa")) for x in inner) > 9 * len(lines),
+        "broken_lines": broken >= 3 and 10 * broken > 3 * len(lines),
+        "one_word": 10 * max(Counter(map(lower, w)).values(), default=0) > 3 * len(w),
+    }
+
+
+GOOD = "Plain words of a text that nobody has any reason to reject at all, one line."
+BAD = {
+    "many_symbols": "some ### of *** all %%% " * 9,
+    "odd_word_length": "a b c d e f g h i j k l m n o p q r s t u v w x y z",
+    "shouting": "THIS TEXT IS ALL SHOUTED OUT LOUD " + " ".join(f"WORD{c}" for c in "ABCDEFGHIJKLMNOPQ"),
+    "few_letters": "\U0001f600\U0001f601\U0001f602 " * 30,
+    "many_digits": " ".join(f"nr{i}" for i in range(100, 140)),
+    "few_words_with_letters": " ".join(f"{i}.. lang" for i in "()[]{}!?.,;:+=~^_") + " ..!? ;;:: (()) [[]] -- ,,",
+    "repeated_lines": "same line here\n" * 3 + "x y z\n" + "same line here\n" * 3,
+    "list_lines": "\n".join(f" - point {c} of the list" for c in "abcdefg"),
+    "broken_lines": "\n".join(f"a line {c} that breaks off{e}" for c, e in zip("abcdef", ["...", "\u2026 ", "", "... \t", "...", ""], strict=True)),
+    "one_word": " ".join(f"buy {c}ord BUY Buy" for c in "abcdefghijk"),
+}
+
+
+def odd_texts():
+    rng = __import__("random").Random(11)
+    parts = ["word", "Été", "ЖЖ", "\u4e00\u4e8c", "x1", "99", "#", "...", "\n- ", "\n", "LOUD", "\u2022 item", "end\u2026\n", "\U0001f600", "plain", "text"]
+    return [" ".join(rng.choice(parts) for _ in range(rng.choice([20, 25, 60]))) for _ in range(300)] + [*BAD.values(), GOOD, GOOD * 3000, "\u3002\uff0c " * 40]
+
+
+def test_quality_verdicts(spark):
+    texts = odd_texts()
+    got = quality.quality_rules(frame(spark, list(enumerate(texts)))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        by = rejected_by(texts[r.doc_id])
+        assert r.kept == (not r.base_failed and not any(by.values())), (texts[r.doc_id], by)
+    assert sum(r.kept for r in got) > 1 and sum(not r.kept and not r.base_failed for r in got) > 20
+
+
+def texts_of(rows):
     import pyarrow as pa
 
-    asked = []
+    from sparkloom.llm import words as W
 
-    def rule(name, bad):
-        def rejects(col):
-            asked.append((name, len(col)))
-            return np.array([bad in (x or "") for x in col.to_pylist()], bool)
+    return quality.Texts(*W.text_buffers(pa.array(rows, pa.string())))
 
-        return quality.Rule(name, rejects)
 
-    rules = [rule("slow", "s"), rule("fast", "f"), rule("new", "n")]
-    plan = quality.ordered(rules, {"slow": (1.0, 0.5), "fast": (0.01, 0.4)})
-    assert [r.name for r in plan] == ["fast", "slow", "new"]
-    col = pa.array(["f", "s", "fs", "ok", None, "n"])
-    assert quality.cascade(col, plan, np.array([True] * 6)).tolist() == [False, False, False, True, True, False]
-    assert asked == [("fast", 6), ("slow", 4), ("new", 3)]
-    assert quality.cascade(col, plan, np.zeros(6, bool)).tolist() == [False] * 6
+@pytest.mark.parametrize("name", list(BAD))
+def test_quality_rules_reject(name):
+    for text, reject in ((BAD[name], True), (GOOD, False)):
+        t = texts_of([GOOD, text, None])
+        for rule in quality.RULES:
+            want = rejected_by(text)[rule.name]
+            assert bool(rule.rejects(t)[1]) == want and (not reject or want or rule.name != name)
+    assert quality.cascade(texts_of([GOOD, BAD[name], GOOD]), quality.RULES, np.ones(3, bool)).tolist() == [True, False, True]
 
 
-@pytest.mark.parametrize("bad", ["### *** %%% " * 20, "THIS IS ALL SHOUTED OUT LOUD " * 8, "12 34 56 78 " * 20, "same line here\n" * 3 + "x y z\n" + "same line here\n" * 3])
-def test_quality_rules_reject(bad):
-    import pyarrow as pa
+def test_cascade_order_and_verdict():
+    asked = []
+
+    def rule(name, bad):
+        def rejects(t):
+            asked.append((name, t.rows))
+            texts = [t.data[a:b].tobytes().decode() for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+            assert [t.words.joined(r).decode().split() for r in range(t.rows)] == [words(x) for x in texts]
+            return np.array([bad in x for x in texts], bool)
+
+        return quality.Rule(name, rejects)
 
-    good = "Plain words of a text that nobody has any reason to reject at all, one line.\n"
-    assert quality.cascade(pa.array([bad, good]), quality.RULES, np.ones(2, bool)).tolist() == [False, True]
+    rules = [rule("slow", "s"), rule("fast", "f"), rule("new", "n"), rule("twin", "f")]
+    # twin rejects as many as fast and costs more: behind fast it has nothing left to reject
+    plan = quality.ordered(rules, quality.Sample({"slow": 1.0, "fast": 0.01, "new": 0.1, "twin": 0.011}, {0b0001: 50, 0b1010: 40, 0b0000: 10}))
+    assert [r.name for r in plan] == ["fast", "slow", "twin", "new"]
+    t = texts_of(["f", "s", "fs a", "ok", None, "n"])
+    assert quality.cascade(t, plan, np.array([True] * 6)).tolist() == [False, False, False, True, True, False]
+    assert asked == [("fast", 6), ("slow", 4), ("twin", 3), ("new", 3)]
+    assert quality.cascade(t, plan, np.zeros(6, bool)).tolist() == [False] * 6
+
+
+def test_the_sample_is_no_prefix(spark):
+    """A table sorted so that all shouting stands behind: the sample sees it all the same."""
+    rows = [(i, GOOD + f" number {i} and a few words more than before") for i in range(900)] + [(i, BAD["shouting"] + f" {i}") for i in range(900, 1200)]
+    sample = quality.measure(frame(spark, rows, 1).orderBy("doc_id"), sample_rows=200)
+    bit = [r.name for r in quality.RULES].index("shouting")
+    n = sum(sample.sets.values())
+    assert 100 < n < 320 and 0.12 < sum(c for b, c in sample.sets.items() if b >> bit & 1) / n < 0.4
 
 
 def test_packing(spark, rows):
