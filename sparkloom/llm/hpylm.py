@@ -1,38 +1,54 @@
-"""A hierarchical Pitman-Yor language model, trained by Gibbs sampling.
-
-Restaurants: each context has one, and all share the root as their parent; the
-root's base is uniform over the words and one unknown word.  A context is the
-word before, hashed to ``CONTEXTS`` restaurants, so contexts are as many at any
-size of corpus while the root grows with it.  Customers of a context are its
-tokens; each of its tables sends one customer to the root.
-
-Everything known of a word (its count, its customers and tables in every
-context, and its occurrences in the texts to score) meets in the bucket of the
-word's hash.  The restaurants of all buckets interact only through the numbers
-of customers and tables of each context, at most CONTEXTS pairs of numbers.
-
-A sweep resamples, bucket by bucket, the tables of each (context, word), given
-all others: c customers sit at t tables with a probability proportional to
-S(c, t) * parent ** t * the product over j < t of (strength + discount *
-(other tables + j)), with generalised Stirling numbers S.  More customers than
-``STIRLING`` are seated in Chinese-restaurant order, in blocks of a 32nd of
-those seated (an approximation).  Then the root's tables are drawn likewise.  Totals are refreshed after each sweep.  The
-predictive probabilities of several sweeps are averaged.
-
-Tokens travel packed: a task's block of texts gives one row for each bucket that
-it touches, with sorted arrays, so a shuffle moves a few bytes a token.
+"""A hierarchical Pitman-Yor language model, trained by Gibbs sampling of table counts.
+
+Restaurants: one for each pair of words before a word (level 2), one for each
+word before (level 1), and the root (level 0), whose base is uniform over the
+words and one unknown word.  A restaurant's parent lacks the farther word, so
+pairs that end alike share a parent; the two words are END at a text's start.
+Each restaurant has a key of its own: no contexts are merged.  Customers of a
+level-2 restaurant are the training tokens, and each table of a restaurant is a
+customer of its parent.
+
+The state is, for each restaurant and word, how many tables its c customers sit
+at.  With t[.] for these counts the posterior is a product over restaurants of
+
+    rising(strength, discount; T) / rising(strength, 1; C) * product of S(c, t),
+
+S being generalised Stirling numbers.  ``DISCOUNT`` is 1/2 at all levels, for
+which S has a closed form, so each t's conditional given all others (the terms
+of its own restaurant and of its parent) is exact at any number of customers.
+Strengths are resampled, one for each level, on a grid, from their conditional.
+
+How it is spread: everything of a word before (its level-1 restaurant and the
+level-2 restaurants below it) lives in the bucket of that word's hash.  Words
+before with more tokens than half a bucket are hot: their pairs are dealt out
+by pair, hot pairs by pair and word, and their level-1 tables live with the
+root.  Root tables live in buckets of the words.  So no bucket has all tokens
+of a word.  In a sweep each bucket draws its own tables, against counts of the
+root that are refreshed between sweeps; within a bucket rows are drawn in
+``PARTS`` random parts, one after the other (rows of one part at once).  Only
+sums of hot restaurants, at most two for each bucket, and of the root are known
+to all.  Predictions are averaged over the samples, then their logarithms are
+summed as doubles.
+
+Texts are encoded once into written blocks that carry their ids, so all passes
+see the same numbers whatever task is retried.  Counts are summed in a block
+before they are shuffled; rows are packed arrays, a few bytes a token.
 
 Defined cases: a null text is empty and has one token, its end; a null id isn't
 held out; rows that repeat are scored each for itself; without training rows
-every word is unknown and has the base's probability 1.
+every word is unknown and has the base's probability 1.  A very long text is one
+block, whose task needs some 60 bytes a token.  Extra columns take no part,
+whatever their names.  For a seed, a number of buckets and a set of hot words,
+draws don't depend on how the texts are dealt out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,365 +57,850 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import drop_stored, stored
 
-CONTEXTS = 1 << 16
-STRENGTH = 1.0
-ROOT_STRENGTH = 10.0
-STIRLING = 64
+DISCOUNT = 0.5
+#: The strengths among which a level's is drawn; the prior is even on them.
+GRID = np.geomspace(0.02, 2000.0, 26)
+STRENGTHS = (10.0, 2.0, 1.0)
 BURN_IN, SAMPLES = 2, 3
-#: Bounds of a block: tokens, and texts (their numbers are kept in 15 bits).
-BLOCK_TOKENS, BLOCK_ROWS = 700_000, 32_000
-#: Tokens of a bucket that are scored at once.
-SCORE_TOKENS = 200_000
-#: Bytes of Parquet input for each bucket at most, some four million tokens.
-BUCKET_BYTES = 16 << 20
+PARTS = 4
+#: Bounds of a block: tokens, and texts (their numbers are kept in 16 bits).
+BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 60_000
+#: Tokens for each bucket, about.
+BUCKET_TOKENS = 3_000_000
+#: Counts up to which a conditional is worked out in full; beyond it, where its mass is.
+FULL = 1 << 18
+_CELLS = 400_000
 #: Bytes of text handled at once.
 SLICE_BYTES = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 U64 = np.uint64
 _END = np.array([0x5DEECE66D1234567], U64)
+#: Local numbers of words up to which three fit a 64-bit key with a bit to spare.
+_NARROW = 1 << 21
+
+ROW = "kind string, at long, of long, blob binary, x double, y double"
+Row = tuple[str, int, int, bytes | None, float, float]
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def context_of(h: np.ndarray) -> np.ndarray:
-    return (W.mix(h ^ U64(0x27D4EB2F165667C5)) >> U64(48)).astype(np.uint16)
+# -- packed arrays
 
 
-def tokens(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, row) of each token, ends included; a text starts in the context of an end."""
-    n = np.diff(w.first) + 1
-    h = np.insert(w.hashes(lower=True), w.first[1:], _END[0])
-    before = np.concatenate([_END, h[:-1]])
-    return h, context_of(before), np.repeat(np.arange(w.rows), n)
+def freeze(**arrays: np.ndarray) -> bytes:
+    """Named arrays as bytes: whole numbers in the narrowest type, hashes as they are, all compressed."""
+    head, parts = [], []
+    for name, a in arrays.items():
+        a = np.asarray(a)
+        if a.dtype.kind in "iu" and a.dtype != U64 and a.size:
+            a = a.astype(np.promote_types(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())), copy=False)
+        raw = np.ascontiguousarray(a).tobytes()
+        z = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        head.append([name, a.dtype.str, len(raw), len(z)])
+        parts.append(z)
+    h = json.dumps(head).encode()
+    return b"".join([len(h).to_bytes(4, "little"), h, *parts])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], full: bool):
-    """Runs of texts within the bounds of a block: (ids, held out, tokens of each text, words, codes).
+def thaw(blob: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    out, at = {}, 4 + n
+    for name, kind, raw, z in json.loads(blob[4 : 4 + n]):
+        data = pa.decompress(blob[at : at + z], decompressed_size=raw, codec="zstd", asbytes=True) if raw else b""
+        a = np.frombuffer(data, kind)
+        out[name] = a if a.dtype.kind == "f" or a.dtype == U64 else a.astype(np.int64)
+        at += z
+    return out
 
-    A token's code is its context, its text's number and, in the lowest bit,
-    whether the text is held out.  Without full, words and codes are left out.
-    """
-    ids, held, counts, h, code, rows, size = [], [], [], [], [], 0, 0
-
-    def out():
-        return pa.concat_arrays(ids), np.concatenate(held), np.concatenate(counts), np.concatenate(h) if full else None, np.concatenate(code) if full else None
-
-    for b in batches:
-        out_of = b.column(1).to_numpy(zero_copy_only=False)
-        for r0, r1, data, offsets in W.slices(b.column(2), SLICE_BYTES):
-            if rows and (size > BLOCK_TOKENS or rows + r1 - r0 > BLOCK_ROWS):
-                yield out()
-                ids, held, counts, h, code, rows, size = [], [], [], [], [], 0, 0
-            w = W.split_words(data, offsets)
-            ids.append(b.column(0).slice(r0, r1 - r0))
-            held.append(out_of[r0:r1])
-            counts.append(np.diff(w.first) + 1)
-            if full:
-                word, u, row = tokens(w)
-                h.append(word)
-                low = ((row + rows) << 1 | held[-1][row]).astype(np.uint32)
-                code.append(u.astype(np.uint32) << np.uint32(16) | low)
-            rows += r1 - r0
-            size += int(counts[-1].sum())
-    if rows:
-        yield out()
-
-
-def _pack(buckets: int):
-    """Blocks to rows: for each bucket the block's words, and for each word its tokens' codes.
-
-    Buckets are ranges of the words' hashes, so sorting by hash sorts by bucket.
+
+# -- the model's numbers
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma for x > 0."""
+    x = np.asarray(x, float)
+    y = x + 8
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log S(c, t) for discount 1/2, S(c + 1, t) = S(c, t - 1) + (c - t / 2) S(c, t)."""
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    return lgamma(2 * c - t) - lgamma(t) - lgamma(c - t + 1) - 2 * (c - t) * np.log(2)
+
+
+def strength_fit(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The log of restaurants' part in the posterior of their level's strength, for each of GRID."""
+    c, t = np.asarray(c, np.int64), np.asarray(t, np.int64)
+    c, t = c[c > 1], t[c > 1]
+    if not len(c):
+        return np.zeros(len(GRID))
+    pairs, n = np.unique(c.astype(U64) << U64(32) | t.astype(U64), return_counts=True)
+    c, t = (pairs >> U64(32)).astype(float)[:, None], (pairs & U64(0xFFFFFFFF)).astype(float)[:, None]
+    d, s = DISCOUNT, GRID[None, :]
+    return n @ (lgamma(s / d + t) - lgamma(s / d + 1) + (t - 1) * np.log(d) - lgamma(s + c) + lgamma(s + 1))
+
+
+@dataclass
+class Up:
+    """What a restaurant's parent adds to the conditional of a word's tables: the parent's other customers
+    of the word, its tables of the word, all its other customers, and its level's strength."""
+
+    same: np.ndarray
+    tables: np.ndarray
+    all: np.ndarray
+    strength: float
+
+
+def draw(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, strength: float, up: Up | None, base: float = 1.0) -> np.ndarray:
+    """Tables of a word with c customers, given the restaurant's tables of other words and the parent.
+
+    Without a parent (the root) each table costs the base's probability.
     """
+    out = np.minimum(np.asarray(c, np.int64), 1)
+    many = np.flatnonzero(c > 1)
+    many = many[np.argsort(c[many], kind="stable")]
+    size = c[many]
+    i = 0
+    while i < len(many):
+        # rows of about the same number of customers together
+        j = max(i + 1, min(int(np.searchsorted(size, 1.25 * size[i] + 1, "right")), i + max(1, _CELLS // int(size[i]))))
+        at = many[i:j]
+        out[at] = _draw_alike(rng, c[at].astype(float), others[at].astype(float), strength, up and Up(up.same[at].astype(float), up.tables[at].astype(float), up.all[at].astype(float), up.strength), base)
+        i = j
+    return out
+
+
+def _steps(c, others, strength, up, base, k):
+    """log of p(k + 1 tables) / p(k tables); arrays broadcast to rows by k."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = 4 * (c - k) / (k * (2 * c - k - 1)) * (strength + DISCOUNT * (others + k))
+        if up is None:
+            r = r * base
+        else:
+            n = up.same + k
+            r = r * (2 * n + 1 - up.tables) * (2 * n - up.tables) / (4 * (n - up.tables + 1) * (up.strength + up.all + k))
+        return np.where(k < c, np.log(np.maximum(r, 1e-300)), -np.inf)
+
+
+def _draw_alike(rng, c, others, strength, up, base):
+    low = np.ones(len(c)) if up is None else np.maximum(1, up.tables - up.same)
+    most = int(c.max())
+    first = np.ones(len(c))
+    if most > FULL:
+        # where the ratio of neighbours passes one, by halving; the mass is within a few roots of it
+        a, b = low.copy(), c.copy()
+        for _ in range(64):
+            m = np.floor((a + b) / 2)
+            rising = (_steps(c, others, strength, up, base, m) > 0) & (m < b)
+            a, b = np.where(rising, m + 1, a), np.where(rising, b, m)
+        reach = 12 * np.sqrt(a) + 64
+        first, most = np.maximum(low, np.floor(a - reach)), int((2 * reach).max()) + 2
+    k = first[:, None] + np.arange(most)[None, :]
+    col = lambda x: x[:, None]
+    steps = _steps(col(c), col(others), strength, up and Up(col(up.same), col(up.tables), col(up.all), up.strength), base, k[:, :-1])
+    steps[k[:, :-1] < col(low)] = 0.0
+    logp = np.zeros(k.shape)
+    np.cumsum(steps, axis=1, out=logp[:, 1:])
+    logp[(k < col(low)) | (k > col(c))] = -np.inf
+    p = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
+    at = (rng.random(len(c))[:, None] * p[:, -1:] > p).sum(axis=1)
+    return (first + np.minimum(at, most - 1)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """The numbers that all buckets share: strengths by level, and sums of the root and of hot restaurants."""
+
+    buckets: int
+    hot: np.ndarray
+    hot_pairs: np.ndarray
+    words: int = 0
+    tokens: int = 0
+    strengths: tuple[float, ...] = STRENGTHS
+    root: tuple[int, int] = (0, 0)
+    #: customers and tables of hot words before (1, 2, ...) and of hot pairs (0, 1, ...)
+    hot_c: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    hot_t: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    pair_c: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((W.mix(h ^ U64(0x27D4EB2F165667C5)) >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
+
+    def hot_number(self, words: np.ndarray) -> np.ndarray:
+        """1, 2, ... for hot words, else 0."""
+        i = np.searchsorted(self.hot, words)
+        i[i == len(self.hot)] = 0
+        return np.where(self.hot[i] == words, i + 1, 0) if len(self.hot) else np.zeros(len(words), np.int64)
+
+    def pair_number(self, pairs: np.ndarray) -> np.ndarray:
+        """0, 1, ... for hot pairs, else -1."""
+        i = np.searchsorted(self.hot_pairs, pairs)
+        i[i == len(self.hot_pairs)] = 0
+        return np.where(self.hot_pairs[i] == pairs, i, -1) if len(self.hot_pairs) else np.full(len(pairs), -1, np.int64)
+
+    def route(self, words: np.ndarray, v: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The bucket of each trigram x v w; v, x and w number words."""
+        out = self.bucket(words)[v]
+        hot = np.flatnonzero(self.hot_number(words)[v] > 0)
+        if len(hot):
+            pair = pair_key(words[v[hot]], words[x[hot]])
+            key = np.where(self.pair_number(pair) >= 0, W.mix(pair * W._R3 + words[w[hot]]), pair)
+            out[hot] = self.bucket(key)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (_, _, _, h, code) in enumerate(_blocks(batches, True)):
-            order = np.argsort(h)
-            h, code = h[order], code[order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            ends = np.append(new, len(h))
-            count, word = np.diff(ends).astype(np.uint32), h[new]
-            of = ((word >> U64(32)) * U64(buckets)) >> U64(32)
-            cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-            rows = {"bucket": [], "words": [], "counts": [], "codes": []}
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                rows["bucket"].append(int(of[i]))
-                rows["words"].append(word[i:j].tobytes())
-                rows["counts"].append(count[i:j].tobytes())
-                rows["codes"].append(code[ends[i] : ends[j]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["bucket"]), (part << 32) + number)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "codes"))],
-                ["bucket", "block", "words", "counts", "codes"],
-            )
 
-    return run
+def pair_key(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return W.mix(v * W._R2 + W.mix(x))
 
 
-_PACKED = "bucket int, block long, words binary, counts binary, codes binary"
+# -- blocks of texts
 
 
-def _texts():
-    """(block, number, id, held_out, n_tokens) of each text, numbered as _pack does."""
+def _encode(block_tokens: int):
+    """Texts to blocks: ids, folds, sizes, the block's words, and the tokens as places in these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (ids, held, counts, _, _) in enumerate(_blocks(batches, False)):
-            n = len(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, (part << 32) + number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(held), pa.array(counts.astype(np.int64))],
-                ["block", "number", "id", "held_out", "n_tokens"],
+        task = TaskContext.get()
+        part, number = task.partitionId() if task else 0, 0
+        ids, held, sizes, h, rows, size = [], [], [], [], 0, 0
+
+        def out():
+            tokens = np.concatenate(h)
+            words, place = np.unique(tokens, return_inverse=True)
+            fold = np.concatenate(held)
+            n = np.concatenate(sizes)
+            of = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([len(tokens)]), pa.array([int(n[~fold].sum())]), pa.array([freeze(held=fold.astype(np.uint8), sizes=n)], pa.binary()), pa.array([freeze(words=words, tokens=place)], pa.binary())],
+                ["block", "ids", "n_all", "n_train", "texts", "tokens"],
             )
 
+        for b in batches:
+            fold = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for r0, r1, data, offsets in W.slices(b.column(2), SLICE_BYTES):
+                if rows and (size > block_tokens or rows + r1 - r0 > BLOCK_ROWS):
+                    yield out()
+                    number += 1
+                    ids, held, sizes, h, rows, size = [], [], [], [], 0, 0
+                for a in range(r0, r1, BLOCK_ROWS):  # a slice of empty texts may have very many
+                    z = min(r1, a + BLOCK_ROWS)
+                    if rows + z - a > BLOCK_ROWS:
+                        yield out()
+                        number += 1
+                        ids, held, sizes, h, rows, size = [], [], [], [], 0, 0
+                    o = offsets[a - r0 : z - r0 + 1]
+                    w = W.split_words(data[o[0] : o[-1]], o - o[0])
+                    ids.append(b.column(0).slice(a, z - a))
+                    held.append(fold[a:z])
+                    sizes.append(np.diff(w.first) + 1)
+                    h.append(np.insert(w.hashes(lower=True), w.first[1:], _END[0]))
+                    rows += z - a
+                    size += len(h[-1])
+        if rows:
+            yield out()
+
     return run
 
 
-def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, code, block's place) of each token of a bucket's rows."""
-    word, code, of = [], [], []
-    for i, (w, c, k) in enumerate(zip(rows["words"], rows["counts"], rows["codes"], strict=True)):
-        n = np.frombuffer(c, np.uint32)
-        word.append(np.repeat(np.frombuffer(w, U64), n))
-        code.append(np.frombuffer(k, np.uint32))
-        of.append(np.full(len(code[-1]), i, np.int32))
-    return np.concatenate(word), np.concatenate(code), np.concatenate(of)
-
-
-def _count(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's training counts: its words, and for each its contexts with customers and first tables."""
-    word, code, _ = _unpack(rows)
-    train = (code & 1) == 0
-    word, u = word[train], (code[train] >> np.uint32(16)).astype(np.uint16)
-    order = np.lexsort((u, word))
-    word, u = word[order], u[order]
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (u[1:] != u[:-1])]) if len(word) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    c = np.diff(np.append(at, len(word))).astype(np.uint32)
-    pw, pu = word[at], u[at]
-    neww = np.concatenate([[True], pw[1:] != pw[:-1]]) if len(pw) else np.zeros(0, bool)
-    first = np.flatnonzero(neww).astype(np.int64)
-    t = np.ones(len(at), np.uint32)
-    state = {
-        "words": pw[first].tobytes(), "first": first.tobytes(), "contexts": pu.tobytes(), "customers": c.tobytes(),
-        "tables": t.tobytes(), "root_tables": np.ones(len(first), np.uint32).tobytes(),
-        "kept_tables": [], "kept_root_tables": [],
-    }
-    return pd.DataFrame([{"bucket": int(rows["bucket"].iloc[0]), "round": 0, **state, "n_words": len(first), "n_tokens": int(c.sum()), "n_once": int((c == 1).sum()), "n_twice": int((c == 2).sum())}])
-
-
-_STATE = "bucket int, round int, words binary, first binary, contexts binary, customers binary, tables binary, root_tables binary, kept_tables array<binary>, kept_root_tables array<binary>"
-_COUNTED = _STATE + ", n_words long, n_tokens long, n_once long, n_twice long"
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Customers and tables of each context, and of the root (context -1), summed over a task's buckets."""
-    c, t, root = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(2)
-    for b in batches:
-        for u, cc, tt, rt in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            u, cc, tt = np.frombuffer(u, np.uint16), np.frombuffer(cc, np.uint32), np.frombuffer(tt, np.uint32)
-            c += np.bincount(u, cc, CONTEXTS)
-            t += np.bincount(u, tt, CONTEXTS)
-            root += (tt.sum(), np.frombuffer(rt, np.uint32).sum())
-    at = np.flatnonzero(c)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(c[at], root[0])), pa.array(np.append(t[at], root[1]))], ["u", "c", "t"])
+def before(tokens: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, word before that) of each token."""
+    starts = np.cumsum(sizes) - sizes
+    v = np.concatenate([[end], tokens[:-1]])
+    v[starts] = end
+    x = np.concatenate([[end], v[:-1]])
+    x[starts] = end
+    return v, x
 
 
-class Model:
-    """The numbers that all buckets share; their size doesn't depend on the corpus."""
-
-    def __init__(self, discount: float, n_words: int, n_tokens: int):
-        self.discount, self.root_discount = discount, discount
-        self.n_words, self.n_tokens = n_words, n_tokens
-        self.c, self.t = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        self.root_c = self.root_t = 0.0
-
-    def with_totals(self, state: DataFrame) -> Model:
-        out = Model(self.discount, self.n_words, self.n_tokens)
-        sums = state.select("contexts", "customers", "tables", "root_tables").mapInArrow(_totals, "u long, c double, t double").groupBy("u").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-        got = sums.toPandas()  # at most CONTEXTS + 1 rows
-        root = got["u"] == -1
-        out.root_c, out.root_t = float(got.loc[root, "c"].sum()), float(got.loc[root, "t"].sum())
-        at = got.loc[~root, "u"].to_numpy(int)
-        out.c[at], out.t[at] = got.loc[~root, "c"], got.loc[~root, "t"]
-        return out
+def _read_block(texts: bytes, tokens: bytes) -> tuple[np.ndarray, ...]:
+    """(words, v, x, w, number of the text, held out) of a block's tokens."""
+    t, k = thaw(texts), thaw(tokens)
+    v, x = before(k["tokens"], t["sizes"], int(np.searchsorted(k["words"], _END[0])))
+    row = np.repeat(np.arange(len(t["sizes"])), t["sizes"])
+    return k["words"], v, x, k["tokens"], row, t["held"][row] > 0
+
 
-    def root(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """The root's predictive probabilities of words with c customers at t tables."""
-        base = 1.0 / (self.n_words + 1)
-        return (np.maximum(c - self.root_discount * t, 0) + (ROOT_STRENGTH + self.root_discount * self.root_t) * base) / (ROOT_STRENGTH + self.root_c)
-
-    def below(self, u: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Predictive probabilities in the contexts u."""
-        return (np.maximum(c - self.discount * t, 0) + (STRENGTH + self.discount * self.t[u]) * parent) / (STRENGTH + self.c[u])
-
-
-_stirling: dict[float, np.ndarray] = {}
-
-
-def log_stirling(d: float) -> np.ndarray:
-    """log S(c, t) for c, t up to STIRLING: S(c+1, t) = S(c, t-1) + (c - t d) S(c, t)."""
-    if d not in _stirling:
-        s = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
-        s[0, 0] = 0
-        for c in range(STIRLING):
-            for t in range(1, c + 2):
-                stay = s[c, t] + np.log(c - t * d) if c >= t and c - t * d > 0 else -np.inf
-                s[c + 1, t] = np.logaddexp(s[c, t - 1], stay)
-        _stirling[d] = s
-    return _stirling[d]
-
-
-def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, d: float) -> np.ndarray:
-    """Tables for c customers of a dish, given the restaurant's tables of other dishes."""
-    t = np.ones(len(c), np.int64)
-    ls = log_stirling(d)
-    small = (c > 1) & (c <= STIRLING)
-    for size in np.unique(c[small]):
-        at = np.flatnonzero(c == size)
-        k = np.arange(1, size + 1)
-        steps = np.log(strength + d * (others[at, None] + k - 1)) + np.log(parent[at])[:, None]
-        logp = ls[size, 1 : size + 1] + np.cumsum(steps, axis=1)
-        p = np.exp(logp - logp.max(axis=1, keepdims=True))
-        cum = np.cumsum(p, axis=1)
-        t[at] = 1 + (rng.random(len(at))[:, None] * cum[:, -1:] > cum).sum(axis=1)
-    big = np.flatnonzero(c > STIRLING)
-    if len(big):
-        # customers come in blocks of a 32nd of those seated
-        seated, tab = np.ones(len(big)), np.ones(len(big))
-        goal = c[big].astype(float)
-        while True:
-            go = np.flatnonzero(seated < goal)
-            if not len(go):
-                break
-            step = np.minimum(np.maximum(np.floor(seated[go] / 32), 1), goal[go] - seated[go])
-            new = (strength + d * (others[big[go]] + tab[go])) * parent[big[go]]
-            tab[go] += rng.binomial(step.astype(np.int64), np.clip(new / (new + np.maximum(seated[go] - d * tab[go], 1e-9)), 0, 1))
-            seated[go] += step
-        t[big] = np.minimum(tab, goal)
-    return t
-
-
-def _sweep(model: Model, round_no: int, seed: int, keep: bool):
-    def one(row: dict) -> dict:
-        rng = np.random.default_rng([seed, round_no, row["bucket"]])
-        first = np.frombuffer(row["first"], np.int64)
-        u, c = np.frombuffer(row["contexts"], np.uint16), np.frombuffer(row["customers"], np.uint32).astype(np.int64)
-        t = np.frombuffer(row["tables"], np.uint32).astype(np.int64)
-        rt = np.frombuffer(row["root_tables"], np.uint32).astype(np.int64)
-        if len(first):
-            rc = np.add.reduceat(t, first)
-            parent = np.repeat(model.root(rc, rt), np.diff(np.append(first, len(c))))
-            some = np.flatnonzero(c > 1)  # a single customer has one table
-            t[some] = seat(rng, c[some], np.maximum(model.t[u[some]] - t[some], 0), parent[some], STRENGTH, model.discount)
-            rc = np.add.reduceat(t, first)
-            base = np.full(len(rc), 1.0 / (model.n_words + 1))
-            rt = seat(rng, rc, np.maximum(model.root_t - rt, 0), base, ROOT_STRENGTH, model.root_discount)
-        now = t.astype(np.uint32).tobytes(), rt.astype(np.uint32).tobytes()
-        if keep:  # a sample of the average stays with its bucket
-            row = row | {"kept_tables": [*row["kept_tables"], now[0]], "kept_root_tables": [*row["kept_root_tables"], now[1]]}
-        return row | {"round": round_no, "tables": now[0], "root_tables": now[1]}
+def _heavy(share: float):
+    """Counts of words before, and of pairs of which the nearer word is heavy, that may be hot in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                yield pa.RecordBatch.from_pylist([one(b.slice(i, 1).to_pylist()[0])], b.schema)
+            for texts, tokens in zip(b.column(0), b.column(1), strict=True):
+                words, v, x, _, _, _ = _read_block(texts.as_py(), tokens.as_py())
+                least = max(1.0, share * len(v))
+                n = np.bincount(v, minlength=len(words))
+                big = np.flatnonzero(n >= least)
+                on = n[v] >= least
+                pair, k = np.unique(pair_key(words[v[on]], words[x[on]]), return_counts=True)
+                keep = k >= least
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([words[big], pair[keep]]).view(np.int64)), pa.array(np.repeat([False, True], [len(big), int(keep.sum())])), pa.array(np.concatenate([n[big], k[keep]]))],
+                    ["key", "pair", "n"],
+                )
 
     return run
 
 
-def _score(models: list[Model]):
-    """Cogrouped by bucket: packed tokens, and the bucket's state with its kept samples."""
-
-    def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        s = states.iloc[0] if len(states) else None
-        first = np.frombuffer(s["first"], np.int64) if s is not None else np.zeros(0, np.int64)
-        empty = not len(first)
-        unseen = [model.root(0.0, 0.0) for model in models]
-        if not empty:
-            words, pu = np.frombuffer(s["words"], U64), np.frombuffer(s["contexts"], np.uint16).astype(np.int64)
-            c = np.frombuffer(s["customers"], np.uint32)
-            trained = np.add.reduceat(c.astype(np.int64), first)
-            # pairs are sorted by word and context
-            key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pu)))) * CONTEXTS + pu
-            samples = []
-            for i, model in enumerate(models):
-                t, rt = np.frombuffer(s["kept_tables"][i], np.uint32), np.frombuffer(s["kept_root_tables"][i], np.uint32)
-                samples.append((model, t, model.root(np.add.reduceat(t.astype(np.int64), first), rt)))
-
-        def part(chunk: pd.DataFrame) -> list[dict]:
-            word, code, of = _unpack(chunk)
-            u = (code >> np.uint32(16)).astype(np.int64)
-            known, count, p = np.zeros(len(word), bool), np.zeros(len(word), np.int64), np.zeros(len(word))
-            if empty:
-                for model, root in zip(models, unseen, strict=True):
-                    p += model.below(u, 0.0, 0.0, np.full(len(word), root))
-            else:
-                at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-                known = words[at] == word
-                count = np.where(known, trained[at], 0)
-                want = at * CONTEXTS + u
-                pair = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                seen = known & (key[pair] == want)
-                for (model, t, root), none in zip(samples, unseen, strict=True):
-                    p += model.below(u, np.where(seen, c[pair], 0), np.where(seen, t[pair], 0), np.where(known, root[at], none))
-            logp = np.log10(np.maximum(p / len(models), 1e-300))
-            base = np.log10((count + 1) / (models[0].n_tokens + models[0].n_words + 1))
-            text = of.astype(np.int64) * (1 << 15) + ((code >> np.uint32(1)) & np.uint32(0x7FFF))
-            which, at = np.unique(text, return_inverse=True)
-            sums = (which & 0x7FFF).astype(np.uint16), np.bincount(at, known).astype(np.uint32), np.bincount(at, base), np.bincount(at, logp).astype(np.float32)
-            cuts = np.searchsorted(which >> 15, np.arange(len(chunk) + 1))
-            return [{"block": b} | {k: v[i:j].tobytes() for k, v in zip(_SUMS, sums, strict=True)} for b, i, j in zip(chunk["block"], cuts[:-1], cuts[1:], strict=True)]
-
-        if not len(rows):
-            return pd.DataFrame({k: [] for k in ("block", *_SUMS)})
-        # a bucket's tokens are scored a few hundred thousand at a time
-        turn = np.cumsum([len(x) // 4 for x in rows["codes"]]) // SCORE_TOKENS
-        return pd.DataFrame([r for _, g in rows.groupby(turn) for r in part(g)])
+def trigram_order(v: np.ndarray, x: np.ndarray, w: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by v, x and w; which in that order are new)."""
+    if words <= _NARROW:
+        key = (v.astype(U64) << U64(42)) | (x.astype(U64) << U64(21)) | w.astype(U64)
+        order = np.argsort(key)
+        s = key[order]
+        return order, np.concatenate([[True], s[1:] != s[:-1]])
+    order = np.lexsort((w, x, v))
+    a, b, c = v[order], x[order], w[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+
+
+def pack_block(block: int, texts: bytes, tokens: bytes, model: Model, with_texts: bool) -> Iterator[Row]:
+    """A block's different trigrams, a row for each bucket: words, places in them, and training counts.
+
+    With texts, also how often each stands in the block, and the numbers of the texts.
+    """
+    words, v, x, w, row, held = _read_block(texts, tokens)
+    order, new = trigram_order(v, x, w, len(words))
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(order)))
+    c = np.add.reduceat((~held[order]).astype(np.int64), first)
+    at = order[first]
+    v, x, w = v[at], x[at], w[at]
+    to = model.route(words, v, x, w)
+    narrow = np.uint16 if model.buckets <= 1 << 16 else np.int64
+    by = np.argsort(to.astype(narrow), kind="stable")
+    if with_texts:
+        row = row[order][np.argsort(np.repeat(to, n).astype(narrow), kind="stable")]
+    v, x, w, c, n, to = v[by], x[by], w[by], c[by], n[by], to[by]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+    spans = np.concatenate([[0], np.cumsum(n)])
+    place = np.zeros(len(words), np.int64)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if 16 * (j - i) < len(words):
+            used = np.unique(np.concatenate([v[i:j], x[i:j], w[i:j]]))
+        else:
+            mark = np.zeros(len(words), bool)
+            mark[v[i:j]] = mark[x[i:j]] = mark[w[i:j]] = True
+            used = np.flatnonzero(mark)
+        place[used] = np.arange(len(used))
+        more = {"n": n[i:j], "row": row[spans[i] : spans[j]]} if with_texts else {}
+        yield "tokens", int(to[i]), block, freeze(words=words[used], v=place[v[i:j]], x=place[x[i:j]], w=place[w[i:j]], c=c[i:j], **more), 0.0, 0.0
+
+
+def _pack(model: Model, with_texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, texts, tokens in zip(*(b.column(i) for i in range(3)), strict=True):
+                yield _batch(pack_block(block.as_py(), texts.as_py(), tokens.as_py(), model, with_texts))
 
     return run
 
 
-_SUMS = ("numbers", "known", "base", "score")
+_SCHEMA = pa.schema([("kind", pa.string()), ("at", pa.int64()), ("of", pa.int64()), ("blob", pa.binary()), ("x", pa.float64()), ("y", pa.float64())])
+
+
+def _batch(rows: Iterable[Row]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+# -- a bucket of words before
+
+
+@dataclass
+class Bucket:
+    """A bucket's different trigrams, by v, x, w, and the rows of both levels that they make.
 
+    Entries are the (hot word before or 0, word) pairs whose counts the root's buckets keep.
+    """
+
+    words: np.ndarray
+    v: np.ndarray
+    x: np.ndarray
+    w: np.ndarray
+    c: np.ndarray
+    #: of each trigram: its level-2 restaurant and its level-1 row
+    r2: np.ndarray
+    l1: np.ndarray
+    pair: np.ndarray  # of each level-2 restaurant: hot pair or -1
+    v1: np.ndarray  # of each level-1 row: the word before
+    e1: np.ndarray  # of each level-1 row: its entry
+    hot1: np.ndarray  # of each word: hot number or 0
+    entry_w: np.ndarray
+    entry_p: np.ndarray
+    live2: np.ndarray
+    kids: np.ndarray
+    live1: np.ndarray
+
+    @property
+    def here(self) -> np.ndarray:
+        """Which level-1 rows have their tables in this bucket."""
+        return self.hot1[self.v1] == 0
+
+
+def merge_rows(blobs: list[bytes], model: Model) -> tuple[Bucket, list[tuple[np.ndarray, dict]]]:
+    """The bucket of packed rows, and for each row the trigrams that it lists (with its arrays)."""
+    rows = [thaw(b) for b in blobs]
+    words = np.unique(np.concatenate([r["words"] for r in rows]))
+    to = [np.searchsorted(words, r["words"]) for r in rows]
+    v, x, w = (np.concatenate([t[r[k]] for t, r in zip(to, rows, strict=True)]) for k in "vxw")
+    order, new = trigram_order(v, x, w, len(words))
+    first = np.flatnonzero(new)
+    c = np.add.reduceat(np.concatenate([r["c"] for r in rows])[order], first)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    at = order[first]
+    v, x, w = v[at], x[at], w[at]
+    sizes = np.cumsum([0, *(len(r["c"]) for r in rows)])
+    return structure(words, v, x, w, c, model), [(group[a:b], r) for a, b, r in zip(sizes[:-1], sizes[1:], rows, strict=True)]
+
+
+def structure(words: np.ndarray, v: np.ndarray, x: np.ndarray, w: np.ndarray, c: np.ndarray, model: Model) -> Bucket:
+    new = np.concatenate([[True], (v[1:] != v[:-1]) | (x[1:] != x[:-1])])
+    r2, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    hot1 = model.hot_number(words)
+    pair = np.full(len(first), -1, np.int64)
+    on = np.flatnonzero(hot1[v[first]] > 0)
+    pair[on] = model.pair_number(pair_key(words[v[first][on]], words[x[first][on]]))
+    n = len(words)
+    pairs, l1 = np.unique(v * n + w, return_inverse=True)
+    v1, w1 = pairs // n, pairs % n
+    size = len(model.hot) + 1
+    entries, e1 = np.unique(w1 * size + hot1[v1], return_inverse=True)
+    train, live2 = c > 0, c > 1
+    kids = np.bincount(l1[train], minlength=len(pairs))
+    busy = np.bincount(l1[live2], minlength=len(pairs)) > 0
+    return Bucket(words, v, x, w, c, r2, l1, pair, v1, e1, hot1, words[entries // size], entries % size, live2, kids, busy | ((kids > 1) & (hot1[v1] == 0)))
+
+
+def _by_word_bucket(w: np.ndarray, model: Model) -> Iterator[tuple[int, np.ndarray]]:
+    to = model.bucket(w)
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]])) if len(w) else []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(to[order[i]]), order[i:j]
+
+
+def _fit_rows(level: int, fit: np.ndarray) -> Iterator[Row]:
+    for g in np.flatnonzero(fit):
+        yield "fit", level * len(GRID) + int(g), 0, None, float(fit[g]), 0.0
+
+
+def count_bucket(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
+    """Packed rows to a bucket's first state, with each customer's tables one, and its message to the root's buckets."""
+    b, _ = merge_rows([r[3] for r in rows], model)
+    train = b.c > 0
+    tokens = np.bincount(b.e1[b.l1], b.c, len(b.entry_w)).astype(np.int64)
+    # level 2
+    all_c = np.bincount(b.r2, b.c).astype(np.int64)
+    all_t = np.bincount(b.r2[train], minlength=len(all_c))
+    ur, r2 = np.unique(b.r2[b.live2], return_inverse=True)
+    still = np.ones(len(all_c), bool)
+    still[ur] = False
+    still &= b.pair < 0
+    fit2 = strength_fit(all_c[still], all_t[still])
+    static2 = np.bincount(b.r2[train & ~b.live2], minlength=len(all_c))[ur]
+    # level 1
+    rows1 = np.flatnonzero(b.live1)
+    number = np.full(len(b.v1), -1, np.int64)
+    number[rows1] = np.arange(len(rows1))
+    busy_kids = np.bincount(b.l1[b.live2], minlength=len(b.v1))
+    has = (b.kids > 0) & b.here
+    per_v = np.bincount(b.v1[has], minlength=len(b.words))
+    live_v = np.zeros(len(b.words), bool)
+    live_v[b.v1[rows1]] = True
+    fit1 = strength_fit(per_v[~live_v], per_v[~live_v])
+    uv, v1 = np.unique(b.v1[rows1], return_inverse=True)
+    static1 = np.bincount(b.v1[has & ~b.live1], minlength=len(b.words))[uv]
+    # what the root's buckets hear of: one table for each level-1 row here, the tables below hot ones
+    sent = np.bincount(b.e1, np.where(b.here, has, b.kids), len(b.entry_w)).astype(np.int64)
+    live_e, e1 = np.unique(b.e1[rows1], return_inverse=True)
+    live = np.zeros(len(b.entry_w), bool)
+    live[live_e] = True
+    yield (
+        "state", at, 0,
+        freeze(
+            c2=b.c[b.live2], r2=r2, l2=number[b.l1[b.live2]], static2=static2, all2=all_c[ur], pair=b.pair[ur], t2=np.ones(int(b.live2.sum()), np.int64),
+            v1=v1, e1=e1, hot=b.hot1[uv], static1=static1, kids1=(b.kids - busy_kids)[rows1], t1=np.ones(len(rows1), np.int64), entry_w=b.entry_w[live_e], entry_p=b.entry_p[live_e],
+        ),
+        0.0, 0.0,
+    )
+    for to, on in _by_word_bucket(b.entry_w, model):
+        yield "first", to, at, freeze(w=b.entry_w[on], p=b.entry_p[on], n=sent[on], tokens=tokens[on], live=live[on].astype(np.uint8)), 0.0, 0.0
+    q = np.flatnonzero(b.pair >= 0)
+    for i in q:
+        yield "pair", int(b.pair[i]), 0, None, float(all_c[i]), float(all_t[i])
+    yield from _fit_rows(2, fit2)
+    yield from _fit_rows(1, fit1)
+
+
+def sweep_bucket(at: int, rows: list[Row], model: Model, rng: np.random.Generator, keep: int | None) -> Iterator[Row]:
+    """Draws a bucket's tables anew, given the root's counts of its entries; sends what changed."""
+    state = next(r for r in rows if r[0] == "state")
+    s = thaw(state[3])
+    n_e = len(s["entry_w"])
+    rc, rt, c_hot, t_hot = (np.zeros(n_e, np.int64) for _ in range(4))
+    replies = {r[2]: thaw(r[3]) for r in rows if r[0] == "reply"}
+    for to, on in _by_word_bucket(s["entry_w"], model):
+        a = replies[to]
+        rc[on], rt[on], c_hot[on], t_hot[on] = a["rc"], a["rt"], a["c1"], a["t1"]
+    _, theta1, theta2 = model.strengths
+    c2, r2, l2, t2 = s["c2"], s["r2"], s["l2"], s["t2"].copy()
+    v1, e1, hot = s["v1"], s["e1"], s["hot"]
+    here = hot[v1] == 0
+    sum_of = lambda i, x, n: np.bincount(i, x, n).astype(np.int64)
+    n1, nv = len(v1), len(hot)
+    c1 = np.where(here, s["kids1"] + sum_of(l2, t2, n1), c_hot[e1])
+    t1 = np.where(here, s["t1"], t_hot[e1])
+    cv = np.where(hot == 0, s["static1"] + sum_of(v1, np.where(here, c1, 0), nv), model.hot_c[hot])
+    tv = s["static1"] + sum_of(v1, np.where(here, t1, 0), nv)
+    old2, old1 = t2.copy(), t1.copy()
+    tu = s["static2"] + sum_of(r2, t2, len(s["static2"]))
+    mine = tu.copy()
+    paired = s["pair"] >= 0
+    tu[paired] = model.pair_t[s["pair"][paired]]
+    c0 = model.root[0]
+
+    def settle(new: np.ndarray, on: np.ndarray) -> None:
+        """Takes new tables of level-1 rows, and what follows above."""
+        nonlocal c0
+        d = new - t1[on]
+        t1[on] = new
+        np.add.at(tv, v1[on], d)
+        np.add.at(rc, e1[on], d)
+        c0 += int(d.sum())
+        np.minimum(rt, rc, out=rt)
+
+    part2, part1 = rng.integers(0, PARTS, len(t2)), rng.integers(0, PARTS, n1)
+    for part in range(PARTS):
+        on = np.flatnonzero(part2 == part)
+        p = l2[on]
+        up = Up(c1[p] - t2[on], t1[p], cv[v1[p]] - t2[on], theta1)
+        d = draw(rng, c2[on], tu[r2[on]] - t2[on], theta2, up) - t2[on]
+        t2[on] += d
+        np.add.at(tu, r2[on], d)
+        np.add.at(c1, p, d)
+        np.add.at(cv, v1[p], d)
+        # rows below one parent are drawn at once: it can't have more tables than customers
+        over = np.flatnonzero(here & (t1 > c1))
+        settle(c1[over], over)
+        t1[~here] = np.minimum(t1[~here], c1[~here])
+        on = np.flatnonzero(here & (part1 == part))
+        up = Up(rc[e1[on]] - t1[on], rt[e1[on]], c0 - t1[on], model.strengths[0])
+        settle(draw(rng, c1[on], tv[v1[on]] - t1[on], theta1, up), on)
+    kept = {} if keep is None else {f"t2_{keep}": t2, f"t1_{keep}": t1}
+    yield "state", at, 0, freeze(**(s | {"t2": t2, "t1": t1} | kept)), 0.0, 0.0
+    delta = sum_of(e1, np.where(here, t1 - old1, 0), n_e) + sum_of(e1[l2], np.where(here[l2], 0, t2 - old2), n_e)
+    for to, on in _by_word_bucket(s["entry_w"], model):
+        yield "change", to, at, freeze(w=s["entry_w"][on], p=s["entry_p"][on], n=delta[on]), 0.0, 0.0
+    moved = s["static2"] + sum_of(r2, t2, len(s["static2"])) - mine
+    for i in np.flatnonzero(paired & (moved != 0)):
+        yield "pair", int(s["pair"][i]), 0, None, 0.0, float(moved[i])
+    yield from _fit_rows(2, strength_fit(s["all2"][~paired], tu[~paired]))
+    yield from _fit_rows(1, strength_fit(cv[hot == 0], tv[hot == 0]))
+
+
+# -- a bucket of words, with the root's tables and those of hot words before
+
+
+def _find(s: dict[str, np.ndarray], w: np.ndarray, p: np.ndarray, hot_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each entry's word, place of its hot row or -1)."""
+    i = np.searchsorted(s["words"], w)
+    k = np.full(len(w), -1, np.int64)
+    on = p > 0
+    k[on] = np.searchsorted(s["hot_w"] * hot_size + s["hot_p"], i[on] * hot_size + p[on])
+    return i, k
+
+
+def _answers(s: dict[str, np.ndarray], i: np.ndarray, k: np.ndarray, rc: np.ndarray, rt: np.ndarray, c1: np.ndarray, t1: np.ndarray) -> dict[str, np.ndarray]:
+    pick = lambda a: np.where(k >= 0, a[np.maximum(k, 0)], 0) if len(a) else np.zeros(len(k), np.int64)
+    return {"rc": rc[i], "rt": rt[i], "c1": pick(c1), "t1": pick(t1)}
+
+
+def _root_sums(s: dict[str, np.ndarray], rc: np.ndarray) -> Iterator[Row]:
+    yield "root", 0, 0, None, float(rc.sum()), float(s["rt"].sum())
+    p, at = np.unique(s["hot_p"], return_inverse=True)
+    for q, c, t in zip(p, np.bincount(at, s["c1"], len(p)), np.bincount(at, s["t1"], len(p)), strict=True):
+        yield "hot", int(q), 0, None, float(c), float(t)
+
+
+def root_customers(s: dict[str, np.ndarray], t1: np.ndarray) -> np.ndarray:
+    return s["below"] + np.bincount(s["hot_w"], t1, len(s["words"])).astype(np.int64)
+
+
+def first_root(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
+    """The root's first state from the buckets' messages, its replies, and where each bucket's entries stand."""
+    heard = [(r[2], thaw(r[3])) for r in rows]
+    size = len(model.hot) + 1
+    words = np.unique(np.concatenate([m["w"] for _, m in heard]))
+    w = np.concatenate([np.searchsorted(words, m["w"]) for _, m in heard])
+    p, n, tokens = (np.concatenate([m[k] for _, m in heard]) for k in ("p", "n", "tokens"))
+    below = np.bincount(w, np.where(p == 0, n, 0), len(words)).astype(np.int64)
+    keys, row = np.unique((w * size + p)[p > 0], return_inverse=True)
+    c1 = np.bincount(row, n[p > 0], len(keys)).astype(np.int64)
+    s = {"words": words, "count": np.bincount(w, tokens, len(words)).astype(np.int64), "below": below, "hot_w": keys // size, "hot_p": keys % size, "c1": c1, "t1": np.minimum(c1, 1)}
+    rc = root_customers(s, s["t1"])
+    s["rt"] = np.minimum(rc, 1)
+    yield "root state", at, 0, freeze(**s), 0.0, 0.0
+    for of, m in heard:
+        i, k = _find(s, m["w"], m["p"], size)
+        yield "link", at, of, freeze(place=np.where(k >= 0, len(words) + k, i)), 0.0, 0.0
+        on = m["live"] > 0
+        if on.any():
+            yield "reply", of, at, freeze(**_answers(s, i[on], k[on], rc, s["rt"], s["c1"], s["t1"])), 0.0, 0.0
+    yield "known", 0, 0, None, float((s["count"] > 0).sum()), float(s["count"].sum())
+    yield from _root_sums(s, rc)
+
+
+def sweep_root(at: int, rows: list[Row], model: Model, rng: np.random.Generator, keep: int | None) -> Iterator[Row]:
+    """Takes the buckets' changes, draws hot words' and the root's tables anew, and replies."""
+    s = thaw(next(r for r in rows if r[0] == "root state")[3])
+    size = len(model.hot) + 1
+    heard = [(r[2], m, *_find(s, m["w"], m["p"], size)) for r in rows if r[0] == "change" for m in (thaw(r[3]),)]
+    below, c1, t1, rt = (s[k].copy() for k in ("below", "c1", "t1", "rt"))
+    c0, total = model.root
+    c0 -= int(root_customers(s, t1).sum())
+    for _, m, i, k in heard:
+        np.add.at(below, i[k < 0], m["n"][k < 0])
+        np.add.at(c1, k[k >= 0], m["n"][k >= 0])
+    s |= {"below": below, "c1": c1}
+    t1 = np.minimum(t1, c1)
+    rc = root_customers(s, t1)
+    c0 += int(rc.sum())
+    tables = model.hot_t.copy()
+    np.minimum(rt, rc, out=rt)
+    part1 = rng.integers(0, PARTS, len(t1))
+    for part in range(PARTS if len(t1) else 0):
+        on = np.flatnonzero((part1 == part) & (c1 > 0))
+        w, p = s["hot_w"][on], s["hot_p"][on]
+        new = draw(rng, c1[on], tables[p] - t1[on], model.strengths[1], Up(rc[w] - t1[on], rt[w], np.maximum(c0 - t1[on], rc[w] - t1[on]), model.strengths[0]))
+        d = new - t1[on]
+        np.add.at(tables, p, d)
+        np.add.at(rc, w, d)
+        c0 += int(d.sum())
+        t1[on] = new
+        np.minimum(rt, rc, out=rt)
+    part0 = rng.integers(0, PARTS, len(rc))
+    for part in range(PARTS):
+        on = np.flatnonzero((part0 == part) & (rc > 0))
+        new = draw(rng, rc[on], np.maximum(total - rt[on], 0), model.strengths[0], None, 1.0 / (model.words + 1))
+        total += int((new - rt[on]).sum())
+        rt[on] = new
+    s |= {"t1": t1, "rt": rt}
+    if keep is not None:
+        s |= {f"rc_{keep}": rc, f"rt_{keep}": rt, f"c1_{keep}": c1, f"t1_{keep}": t1}
+    yield "root state", at, 0, freeze(**s), 0.0, 0.0
+    for of, _, i, k in heard:
+        yield "reply", of, at, freeze(**_answers(s, i, k, rc, rt, c1, t1)), 0.0, 0.0
+    yield from _root_sums(s, rc)
+
+
+def answer_all(at: int, rows: list[Row], samples: int) -> Iterator[Row]:
+    """For all entries of each bucket: the word's training count, and the samples' counts at the root and of hot rows."""
+    s = thaw(next(r for r in rows if r[0] == "root state")[3])
+    n = len(s["words"])
+    for r in rows:
+        if r[0] == "link":
+            place = thaw(r[3])["place"]
+            k = np.where(place < n, -1, place - n)
+            i = np.where(place < n, place, s["hot_w"][np.maximum(k, 0)] if len(s["hot_w"]) else place)
+            out = {"count": s["count"][i]}
+            for j in range(samples):
+                a = _answers(s, i, k, *(s[f"{x}_{j}"] for x in ("rc", "rt", "c1", "t1")))
+                out |= {f"{x}_{j}": y for x, y in a.items()}
+            yield "answer", r[2], at, freeze(**out), 0.0, 0.0
+
+
+# -- scores
+
+
+def predict(c: np.ndarray, t: np.ndarray, all_c: np.ndarray, all_t: np.ndarray, strength: float, parent: np.ndarray) -> np.ndarray:
+    """A restaurant's predictive probability of a word with c customers at t tables."""
+    return (np.maximum(c - DISCOUNT * t, 0) + (strength + DISCOUNT * all_t) * parent) / (strength + all_c)
+
+
+def score_bucket(at: int, rows: list[Row], models: list[Model]) -> Iterator[Row]:
+    """For each block, the sums over the bucket's tokens of each of its texts."""
+    packed = [r for r in rows if r[0] == "tokens"]
+    model = models[0]
+    b, listed = merge_rows([r[3] for r in packed], model)
+    s = thaw(next(r for r in rows if r[0] == "state")[3])
+    answers = {r[2]: thaw(r[3]) for r in rows if r[0] == "answer"}
+    parts = list(_by_word_bucket(b.entry_w, model))
+
+    def entry(name: str) -> np.ndarray:
+        out = np.zeros(len(b.entry_w), np.int64)
+        for to, on in parts:
+            out[on] = answers[to][name]
+        return out
+
+    train, here, hot = b.c > 0, b.here, b.hot1[b.v1]
+    all_c = np.bincount(b.r2, b.c).astype(np.int64)
+    paired = b.pair >= 0
+    total = np.zeros(len(b.c))
+    for j, m in enumerate(models):
+        rc, rt, c_hot, t_hot = (entry(f"{x}_{j}") for x in ("rc", "rt", "c1", "t1"))
+        p = predict(rc, rt, m.root[0], m.root[1], m.strengths[0], 1.0 / (m.words + 1))
+        t2 = train.astype(np.int64)
+        t2[b.live2] = s[f"t2_{j}"]
+        c1 = np.where(here, np.bincount(b.l1, t2, len(b.v1)).astype(np.int64), c_hot[b.e1])
+        t1 = np.minimum(c1, 1)
+        t1[b.live1] = s[f"t1_{j}"]
+        t1 = np.where(here, t1, t_hot[b.e1])
+        cv, tv = (np.bincount(b.v1, np.where(here, a, 0), len(b.words)) for a in (c1, t1))
+        cv1, tv1 = np.where(here, cv[b.v1], m.hot_c[hot]), np.where(here, tv[b.v1], m.hot_t[hot])
+        p = predict(c1, t1, cv1, tv1, m.strengths[1], p[b.e1])
+        cu, tu = all_c.copy(), np.bincount(b.r2, t2, len(all_c)).astype(np.int64)
+        cu[paired], tu[paired] = m.pair_c[b.pair[paired]], m.pair_t[b.pair[paired]]
+        total += predict(b.c, t2, cu[b.r2], tu[b.r2], m.strengths[2], p[b.l1])
+    logp = np.log10(total / len(models))
+    count = entry("count")[b.e1][b.l1]
+    base = np.log10((count + 1) / (model.tokens + model.words + 1))
+    for (group, r), (_, _, block, _, _, _) in zip(listed, packed, strict=True):
+        g = np.repeat(group, r["n"])
+        row, inverse = np.unique(r["row"], return_inverse=True)
+        k = len(row)
+        yield "sums", block, at, freeze(row=row, known=np.bincount(inverse, count[g] > 0, k).astype(np.int64), base=np.bincount(inverse, base[g], k), score=np.bincount(inverse, logp[g], k)), 0.0, 0.0
+
+
+def sum_block(ids: pa.Array, texts: bytes, blobs: Iterable[bytes], id_name: str, tokens: int) -> pa.Table:
+    t = thaw(texts)
+    n = len(t["sizes"])
+    known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for blob in blobs:
+        s = thaw(blob)
+        known[s["row"]] += s["known"]
+        base[s["row"]] += s["base"]
+        score[s["row"]] += s["score"]
+    return pa.table({id_name: ids, "held_out": pa.array(t["held"] > 0), "n_tokens": t["sizes"], "n_known": known, "train_tokens": np.full(n, tokens, np.int64), "base_score": base, "score": score})
+
+
+# -- the run
+
+
+def _grouped(df: DataFrame, work) -> DataFrame:
+    """work(at, rows) on all rows of each bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cols = [t.column(f.name).to_pylist() for f in _SCHEMA]
+        del t
+        rows = list(zip(*cols, strict=True))
+        # buckets' messages come in any order; sums of doubles and draws must not depend on it
+        rows.sort(key=lambda r: (r[0], r[2]))
+        return pa.Table.from_batches([_batch(work(rows[0][1], rows))], _SCHEMA)
+
+    return df.groupBy("at").applyInArrow(run, ROW)
+
+
+class Sums:
+    """The few sums that the driver needs of a step's rows: root, hot restaurants and fits of strengths."""
+
+    def __init__(self, df: DataFrame):
+        few = df.where("blob IS NULL").groupBy("kind", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        # one row for the root, each hot restaurant (at most two for each bucket) and each point of the grid
+        self.rows = [(r.kind, r.at, r.x, r.y) for r in few.collect()]
+
+    def pairs(self, kind: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        c, t = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for k, at, x, y in self.rows:
+            if k == kind:
+                c[at], t[at] = round(x), round(y)
+        return c, t
+
+    def fit(self, level: int) -> np.ndarray:
+        out = np.zeros(len(GRID))
+        for k, at, x, _ in self.rows:
+            if k == "fit" and at // len(GRID) == level:
+                out[at % len(GRID)] = x
+        return out
 
-def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a block's texts over all buckets; a block has a bounded number of tokens."""
-    number, known, base, score = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in zip(_SUMS, (np.uint16, np.uint32, np.float64, np.float32), strict=True))
-    n = int(number.max()) + 1
-    return pd.DataFrame({
-        "block": np.full(n, rows["block"].iloc[0]), "number": np.arange(n, dtype=np.int32), "n_known": np.bincount(number, known, n).astype(np.int64),
-        "base_score": np.bincount(number, base, n), "score": np.bincount(number, score.astype(np.float64), n),
-    })
 
+def draw_strength(rng: np.random.Generator, fit: np.ndarray) -> float:
+    p = np.exp(fit - fit.max())
+    return float(rng.choice(GRID, p=p / p.sum()))
 
-def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1, buckets: int | None = None) -> DataFrame:
-    """For each row: fold, tokens, and the base's and the model's log10 probability of its text."""
+
+def hot_keys(blocks: DataFrame, model: Model, n_all: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words before, and pairs, with more than ``most`` tokens: at most n_all / most of each."""
+    found = blocks.select("texts", "tokens").mapInArrow(_heavy(most / max(n_all, 1) / 4), "key long, pair boolean, n long")
+    rows = found.groupBy("key", "pair").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+    return tuple(np.sort(np.array([r.key for r in rows if r.pair == pair], np.int64).view(U64)) for pair in (False, True))
+
+
+def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1, buckets: int | None = None, hot_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS, strengths: tuple[float, float, float] | None = None) -> DataFrame:
+    """For each row: fold, tokens, and the base's and the model's log10 probability of its text.
+
+    buckets and hot_tokens (words before with more tokens are dealt out) default
+    by the number of tokens.  Given strengths (root first) aren't resampled.
+    """
     spark = df.sparkSession
-    # a bucket is worked on by one task: buckets grow with the input, as Spark's own statistics have it
-    size = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
     docs = df.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    # packed twice, for counting and for scoring: cheaper than a second copy of all tokens on disk
-    packed = docs.mapInArrow(_pack(buckets), _PACKED)
-    counted = stored(packed.groupBy("bucket").applyInPandas(_count, _COUNTED), "counted")
-    s = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_once", "n_twice"))).first()
-    # the usual estimate of the discount from the pairs seen once and twice
-    discount = min(max(s.n_once / max(s.n_once + 2 * s.n_twice, 1), 0.1), 0.95)
-    state = counted.drop("n_words", "n_tokens", "n_once", "n_twice")
-    model = Model(round(discount, 3), s.n_words, s.n_tokens).with_totals(state)
-    models = []
-    for i in range(1, burn_in + samples + 1):
-        before, state = state, stored(state.mapInArrow(_sweep(model, i, seed, i > burn_in), _STATE), "state")
-        model = model.with_totals(state)
-        drop_stored(spark, before)
-        if i > burn_in:
+    blocks = stored(docs.mapInArrow(_encode(block_tokens), f"block long, ids array<{id_type}>, n_all long, n_train long, texts binary, tokens binary"), "blocks", "uncompressed")
+    n = blocks.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("all"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
+    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["all"] // BUCKET_TOKENS))
+    most = hot_tokens or max(n["all"] / buckets / 2, 1000.0)
+    none = np.zeros(0, U64)
+    model = Model(buckets, none, none, tokens=n["train"], strengths=strengths or STRENGTHS)
+    model = replace(model, **dict(zip(("hot", "hot_pairs"), hot_keys(blocks, model, n["all"], most), strict=True)))
+    hots, pairs = len(model.hot) + 1, len(model.hot_pairs)
+
+    packed = blocks.select("block", "texts", "tokens")
+    counted = stored(_grouped(packed.mapInArrow(_pack(model, False), ROW), lambda at, rows, m=model: count_bucket(at, rows, m)), "counted", "uncompressed")
+    below = Sums(counted)
+    static = [np.zeros(len(GRID)), below.fit(1), below.fit(2)]
+    pair_c, pair_t = below.pairs("pair", pairs)
+    model = replace(model, pair_c=pair_c, pair_t=pair_t)
+    rooted = stored(_grouped(counted.where("kind = 'first'"), lambda at, rows, m=model: first_root(at, rows, m)), "rooted", "uncompressed")
+    links = rooted.where("kind = 'link'")
+    above = Sums(rooted)
+    (v, _), (c0, t0) = above.pairs("known", 1), above.pairs("root", 1)
+    hot_c, hot_t = above.pairs("hot", hots)
+    model = replace(model, words=int(v[0]), root=(int(c0[0]), int(t0[0])), hot_c=hot_c, hot_t=hot_t)
+    state, root = counted.where("kind = 'state'"), rooted
+    rng = np.random.default_rng(seed)
+    models: list[Model] = []
+    tables: list[DataFrame] = []
+    for i in range(burn_in + samples):
+        keep = i - burn_in if i >= burn_in else None
+        old = tables
+        swept = stored(
+            _grouped(state.unionByName(root.where("kind = 'reply'")), lambda at, rows, m=model, i=i, keep=keep: sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep)),
+            "swept", "uncompressed",
+        )
+        below = Sums(swept)
+        pair_t = pair_t + below.pairs("pair", pairs)[1]
+        root = stored(
+            _grouped(root.where("kind = 'root state'").unionByName(swept.where("kind = 'change'")), lambda at, rows, m=model, i=i, keep=keep: sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)),
+            "root", "uncompressed",
+        )
+        above = Sums(root)
+        (c0, t0), (hot_c, hot_t) = above.pairs("root", 1), above.pairs("hot", hots)
+        fits = [
+            strength_fit(c0, t0),
+            static[1] + below.fit(1) + strength_fit(hot_c, hot_t),
+            static[2] + below.fit(2) + strength_fit(pair_c, pair_t),
+        ]
+        model = replace(model, root=(int(c0[0]), int(t0[0])), hot_c=hot_c, hot_t=hot_t, pair_t=pair_t, strengths=strengths or tuple(draw_strength(rng, f) for f in fits))
+        state, tables = swept.where("kind = 'state'"), [swept, root]
+        for t in old or [counted]:
+            drop_stored(spark, t)
+        if keep is not None:
             models.append(model)
-    scored = packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_score(models), "block long, numbers binary, known binary, base binary, score binary")
-    # a row for each block and bucket, not for each text and bucket
-    sums = scored.groupBy("block").applyInPandas(_sum_block, "block long, number int, n_known long, base_score double, score double")
-    listed = docs.mapInArrow(_texts(), f"block long, number int, id {id_type}, held_out boolean, n_tokens long")
-    return listed.join(sums, ["block", "number"]).select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(s.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    answers = stored(_grouped(root.where("kind = 'root state'").unionByName(links), lambda at, rows, k=samples: answer_all(at, rows, k)), "answers", "uncompressed")
+    tokens = packed.mapInArrow(_pack(model, True), ROW)
+    sums = _grouped(tokens.unionByName(state).unionByName(answers), lambda at, rows, m=models: score_bucket(at, rows, m))
+
+    def finish(texts: pa.Table, got: pa.Table) -> pa.Table:
+        ids = texts.column("ids").combine_chunks()
+        order = np.argsort(got.column("of").to_numpy())
+        blobs = got.column("blob")
+        return sum_block((ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten(), texts.column("texts")[0].as_py(), (blobs[int(i)].as_py() for i in order), "id", n["train"])
+
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = blocks.select(F.col("block").alias("at"), "ids", "texts").groupBy("at").cogroup(sums.select("at", "of", "blob").groupBy("at")).applyInArrow(finish, schema)
+    return out.withColumnRenamed("id", id_col)

@@ -227,28 +227,6 @@ def test_language_model(spark, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_predictions_sum_to_one():
-    m = hpylm.Model(0.6, 3, 10)
-    c, t = np.array([5.0, 3.0, 2.0]), np.array([2.0, 1.0, 1.0])
-    m.root_c, m.root_t = c.sum(), t.sum()
-    root = np.append(m.root(c, t), m.root(0.0, 0.0))  # three words and the unknown one
-    assert root.sum() == pytest.approx(1)
-    m.c[7], m.t[7] = 6, 3
-    below = m.below(np.full(4, 7), np.array([4.0, 2, 0, 0]), np.array([2.0, 1, 0, 0]), root)
-    assert below.sum() == pytest.approx(1)
-
-
-def test_seating_has_the_right_distribution():
-    """Tables of three customers of a dish, against the enumerated probabilities."""
-    d, strength, parent, others = 0.5, 1.0, 0.3, 4
-    s = np.exp(hpylm.log_stirling(d)[3, 1:4])
-    w = s * np.cumprod([(strength + d * (others + k)) * parent for k in range(3)])
-    t = hpylm.seat(np.random.default_rng(1), np.full(40_000, 3), np.full(40_000, others), np.full(40_000, parent), strength, d)
-    assert np.allclose(np.bincount(t, minlength=4)[1:] / 40_000, w / w.sum(), atol=0.01)
-    many = hpylm.seat(np.random.default_rng(1), np.full(200, 500), np.full(200, 10), np.full(200, 0.1), 1.0, 0.5)
-    assert (many >= 1).all() and (many <= 500).all() and many.std() > 0
-
-
 def test_url_filters(spark):
     events = spark.createDataFrame(
         [("bad.org", "spam", "add", "2024-01-10"), ("bad.org", "spam", "add", "2024-01-12"), ("bad.org", "spam", "remove", "2024-01-20"), ("a.bad.org", "ads", "add", "2024-01-15"), ("x.com", "ads", "add", "2024-02-01"), ("x.com", "ads", "remove", "2024-02-01"), (None, "ads", "add", "2024-01-01")],
