@@ -10,13 +10,20 @@ packing is a list of (lengths of a bin, how many such bins); pieces are then
 dealt to bins by their rank among the pieces of their length, which Spark
 computes from counts of each partition, without a global sort.
 
+The search is bounded by its parameters: ``nodes`` states in all, ``branches``
+fillings tried in each, and ``steps`` of enumeration for these.  A state that is
+cut off by them only costs quality: the best packing known is always whole.
+
 Defined cases: a null text is empty and gives one piece, the end id; rows that
-repeat are packed each for itself; an empty table gives an empty result.
+repeat are packed each for itself; an empty table gives an empty result; of
+packings with equally many bins the first found stays.  A very long text is
+encoded whole by one task.  Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +37,8 @@ from .tokens import default_vocabulary, encoder, text_groups
 
 CAPACITY = 1024
 END_ID = 2
-#: Nodes of the search and fillings tried at each: bounds of the driver's work.
-NODES = 1500
-BRANCHES = 4
-FILLING_STEPS = 600
+#: States of the search, fillings tried at each, and steps to enumerate these: bounds of the driver's work.
+NODES, BRANCHES, STEPS = 1500, 4, 600
 
 Packing = list[tuple[tuple[int, ...], int]]
 
@@ -70,27 +75,29 @@ def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], size
     """Whether one piece, or two, of a filling could be exchanged for a larger free piece that fits."""
     if not waste:
         return False
-    free = [s for s in sizes if counts[s] > filling.count(s)]
-    parts = set(filling) | {x + y for i, x in enumerate(filling[:6]) for y in filling[i + 1 : 7]}
-    return any(p < s <= p + waste for p in parts for s in free)
+    used = {s: filling.count(s) for s in set(filling)}
+    free = sorted(s for s in sizes if counts[s] > used.get(s, 0))
+    parts = {*used, *(x + y for x in used for y in used if x < y), *(2 * x for x, n in used.items() if n > 1)}
+    return any(i < len(free) and free[i] <= p + waste for p in parts for i in (bisect_right(free, p),))
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
+def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int, steps: int = STEPS) -> list[tuple[int, ...]]:
     """Undominated fillings of room, fullest first and among equals the fewest pieces.
 
     Sizes come in descending order, so large pieces are tried first; the search
-    ends with enough full fillings, or after a fixed number of steps.
+    ends with ``most`` full fillings, or after a number of steps.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     todo: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    full = steps = 0
-    while todo and full < most and steps < FILLING_STEPS:
-        steps += 1
+    full = 0
+    while todo and full < most and steps:
+        steps -= 1
         i, left, taken = todo.pop()
         used = taken.count(sizes[i]) if i < len(sizes) else 0
         next_ = [(k, left - sizes[k], (*taken, sizes[k])) for k in range(i, len(sizes)) if sizes[k] <= left and (used if k == i else 0) < counts[sizes[k]]]
         if next_:
-            todo.extend(reversed(next_[: 4 * most]))
+            # more than the steps left can't be looked at
+            todo.extend(reversed(next_[:steps]))
         elif not dominated(taken, left, counts, sizes):
             found.append((left, taken))
             full += left == 0
@@ -98,7 +105,7 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int) ->
     return list(dict.fromkeys(f for _, f in found))[:most]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branches: int = BRANCHES) -> Packing:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branches: int = BRANCHES, steps: int = STEPS) -> Packing:
     """Bins for all pieces: counts[length] pieces of each length."""
     counts = {s: n for s, n in counts.items() if n}
     total = sum(s * n for s, n in counts.items())
@@ -124,7 +131,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                 best, fewest = done + tail, bins + sum(n for _, n in tail)
         top = live[0]
         now[top] -= 1
-        options = fillings(now, [s for s in live if now[s]], capacity - top, branches)
+        options = fillings(now, [s for s in live if now[s]], capacity - top, branches, steps)
         now[top] += 1
         for f in reversed(options):
             take: dict[int, int] = {top: 1}
@@ -176,13 +183,13 @@ def pieces(df: DataFrame, id_col: str, text: str, capacity: int, end_id: int, vo
     return df.select(F.col(id_col), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, nodes: int = NODES) -> DataFrame:
-    """Each piece with its sequence and its place there."""
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, nodes: int = NODES, branches: int = BRANCHES, steps: int = STEPS) -> DataFrame:
+    """Each piece with its sequence and its place there; the last three bound the search."""
     cut = stored(pieces(df, id_col, text, capacity, end_id, vocabulary or default_vocabulary()), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    packing = bin_completion(counts, capacity, nodes)
+    packing = bin_completion(counts, capacity, nodes, branches, steps)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
     sequence = 0

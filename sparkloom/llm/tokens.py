@@ -4,8 +4,8 @@ A text is cut at white space into units, as the vocabulary's own pattern does
 (a unit is an optional space with the run of other characters behind it, or a
 run of white space); no token crosses a unit.  Each worker keeps the ids of the
 units that it has met, so a unit is encoded once and texts are assembled by
-array lookups.  The ids equal those of encoding the whole text at once, with
-the strings of special tokens taken as ordinary text.
+array lookups.  The strings of the vocabulary's added tokens are cut out first
+and have their own ids, so ids equal those of encoding the whole text at once.
 
 ``section_tokens`` attributes tokens to sections.  A whole text is encoded
 once; byte spans follow from the tokens' lengths; an interval join by binary
@@ -15,12 +15,14 @@ earliest of these on a tie.
 
 Defined cases: a null or empty text has no tokens and one empty section;
 sections are \\n-ended lines, the newline belonging to its line; rows are never
-merged, so repeated rows each give their sections.
+merged, so repeated rows each give their sections.  A very long text is encoded
+whole by one task, which needs some 50 bytes for each of its words.  Extra
+columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -29,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units kept by a worker before it starts anew; a cache, without influence on results.
-CACHE_UNITS = 500_000
+#: Units, and their characters, kept by a worker before it starts anew; a cache, without influence on results.
+CACHE_UNITS, CACHE_CHARS = 300_000, 8_000_000
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space for Python but not for the vocabulary's pattern.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -39,7 +41,30 @@ _ODD = re.compile("[\x1c-\x1f]")
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter by which such vocabularies write each byte: printable ones as they are, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks of byte strings, ids of added tokens) of a byte-level BPE file."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    letters = _byte_letters()
+    added = {t["content"]: t["id"] for t in data["added_tokens"]}
+    odd = [t["content"] for t in data["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd or data["model"]["type"] != "BPE" or data["normalizer"] or data["pre_tokenizer"].get("add_prefix_space"):
+        raise ValueError(f"{path}: only plain byte-level BPE is known, and added tokens taken literally")
+    vocab = {k: v for k, v in data["model"]["vocab"].items() if k not in added}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in data["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError(f"{path}: ids must follow the order of merges")
+    return {bytes(letters[c] for c in k): v for k, v in vocab.items()}, added
 
 
 class _Units(dict):
@@ -60,20 +85,27 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks, self.added = read_vocabulary(path)
         self._bpe = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.newline = ranks[b"\n"]
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int32)
-        for token, i in ranks.items():
+        most = max([*ranks.values(), *self.added.values()])
+        self.bytes_of = np.zeros(most + 1, np.int32)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.bytes_of[i] = len(token)
+        self._type = np.uint16 if most < 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
         self._units = _Units()
-        self._ids = np.zeros(1 << 16, np.uint16)
+        self._ids = np.zeros(1 << 16, self._type)
         self._ends = np.zeros(1 << 16, np.int64)
-        self._done = 0
+        self._done = self._chars = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        """The ids of a text without the units kept: those with added tokens, or odd white space."""
+        parts = self._cut.split(text) if self._cut else [text]
+        return np.array([i for p in parts for i in ([self.added[p]] if p in self.added else self._bpe.encode_ordinary(p))], np.uint32)
 
     def _learn(self) -> None:
         """Encodes the new units, words together with newlines between."""
@@ -102,17 +134,18 @@ class Encoder:
         self._ids[base : base + total] = flat
         self._ends[self._done : self._done + len(new)] = base + np.cumsum(sizes)
         self._done += len(new)
+        self._chars += sum(map(len, new))
         new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
-        if self._done > CACHE_UNITS:
+        if self._done > CACHE_UNITS or self._chars > CACHE_CHARS:
             self._reset()
         number = self._units.__getitem__
         found, counts, odd = [], [], {}
         for i, t in enumerate(texts):
-            if _ODD.search(t):
-                odd[i] = np.asarray(self._bpe.encode_ordinary(t), np.uint32)
+            if _ODD.search(t) or any(x in t for x in self.added):
+                odd[i] = self._whole(t)
                 counts.append(0)
                 continue
             u = _UNIT.findall(t)
