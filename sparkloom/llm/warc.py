@@ -14,7 +14,9 @@ False magic inside compressed data fails that validation.
 Defined cases: a null payload is empty.  Rows with a null id write records
 without an id and are revisits only of a record with one; equal payloads whose
 ids are all null are all responses.  Rows that repeat the largest id are all
-responses.  No rows give archives without records and an empty result.
+responses.  No rows give archives without records and an empty result.  A very
+long payload is one record, held whole by its task.  Extra columns aren't
+archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_folder
+from .scratch import new_folder, stored
+from .skew import join_unique
 
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -50,11 +53,12 @@ def with_roles(df: DataFrame, id_col: str, url: str, html: str, min_bytes: int =
     """id, url, payload and first: the id of the response that holds an equal payload."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    # the winners need no payloads: map-side sums keep a hot payload small
-    top = rows.groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if min_bytes:
         rows = rows.withColumn("sha", F.when(F.length("payload") >= min_bytes, F.col("sha")))
-    return rows.join(top, "sha", "left").select("id", "url", "payload", "first")
+    # the winners need no payloads: map-side sums keep a hot payload small
+    top = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # payloads with many copies stay dealt out by their ids
+    return join_unique(rows, stored(top, "roles"), ["sha"], F.xxhash64("id", "url"), how="left").select("id", "url", "payload", "first")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
