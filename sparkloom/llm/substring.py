@@ -20,7 +20,12 @@ passages costs n rows and not n * n:
 Defined cases: a null text has no words; texts under min_words can't repeat;
 a repeat within one document counts; rows that repeat (the same id as well) are
 occurrences of their own, and each such row is returned; ids may be null.  An
-empty table gives an empty result.
+empty table gives an empty result.  Equal windows tie by their leftmost anchor.
+A very long text is read whole by one task, which needs some 60 bytes a word.
+Extra columns take no part, whatever their names; ``remove_repeats`` keeps them.
+
+Seeds, windows and classes with many occurrences don't gather: their counts are
+summed on the map side, and the rows of hot ones stay dealt out in each join.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import stored
+from .scratch import stored, temporary
+from .skew import join_unique
 
 MIN_WORDS = 35
 #: Words of an anchor.  Any window of MIN_WORDS has MIN_WORDS - SEED_WORDS + 1 of them.
@@ -132,13 +138,18 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     if not 0 <= min_words - seed_words < 63:
         raise ValueError("min_words - seed_words must be from 0 to 62")
+    with temporary(df.sparkSession) as made:
+        return made.keep(_repeated_windows(df, id_col, text, min_words, seed_words), "repeats")
+
+
+def _repeated_windows(df: DataFrame, id_col: str, text: str, min_words: int, seed_words: int) -> DataFrame:
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     seeds = docs.mapInArrow(_anchor_rows(min_words, seed_words, True), "seed long, c1 long")
     seeds = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("least"), F.max("c1").alias("most"))
-    seeds = seeds.where("n > 1").select("seed", (F.col("least") != F.col("most")).alias("several"))
+    seeds = stored(seeds.where("n > 1").select("seed", "n", (F.col("least") != F.col("most")).alias("several")), "seeds")
     found = docs.mapInArrow(_anchor_rows(min_words, seed_words, False), f"id {id_type}, th long, lo int, hi int, seed long, c1 long, c2 long")
-    found = stored(found.join(seeds, "seed"), "anchors")
+    found = stored(join_unique(found, seeds, ["seed"], F.xxhash64("id", "th", "lo")), "anchors")
 
     classes = found.groupBy("seed", "c1", "c2").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("id", "th", "lo", "hi", "several"))
@@ -147,16 +158,16 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     to_extend = classes.where("several").groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "seed", "c1", "c2")).alias("at"))
     texts = docs.join(to_extend, [docs["id"].eqNullSafe(to_extend["id"]), docs["th"] == to_extend["th"]]).select("text", "at")
     wins = stored(texts.mapInArrow(_window_rows(min_words), "w1 long, w2 long, seed long, c1 long, c2 long, bit long"), "windows")
-    twice = wins.groupBy("w1", "w2").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d"))
-    twice = twice.where("a != b OR c != d").select("w1", "w2")
-    masks = wins.join(twice, ["w1", "w2"]).groupBy("seed", "c1", "c2").agg(F.bit_or("bit").alias("part"))
+    twice = wins.groupBy("w1", "w2").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d"), F.count(F.lit(1)).alias("n"))
+    twice = stored(twice.where("a != b OR c != d").select("w1", "w2", "n"), "twice")
+    masks = join_unique(wins, twice, ["w1", "w2"], F.xxhash64("seed", "c1", "c2", "bit")).groupBy("seed", "c1", "c2").agg(F.bit_or("bit").alias("part"))
     whole = F.expr("shiftleft(1L, hi - lo + 1) - 1L")
     masks = (
         classes.join(masks, ["seed", "c1", "c2"], "left")
-        .select("seed", "c1", "c2", F.when(F.col("n") > 1, whole).otherwise(F.col("part")).alias("mask"))
+        .select("seed", "c1", "c2", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("part")).alias("mask"))
         .where("mask IS NOT NULL")
     )
-    return found.join(masks, ["seed", "c1", "c2"]).groupBy("id", "th", "lo").agg(F.bit_or("mask").alias("mask"))
+    return join_unique(found, stored(masks, "masks"), ["seed", "c1", "c2"], F.xxhash64("id", "th", "lo")).groupBy("id", "th", "lo").agg(F.bit_or("mask").alias("mask"))
 
 
 def _apply(min_words: int, width: int, id_name: str, want_text: bool):
