@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, temporary
+from .skew import join_unique
 
 MAX_ROUNDS = 100
 
@@ -17,15 +18,24 @@ def components(edges: DataFrame) -> DataFrame:
     label, so rounds grow with the logarithm of the longest path.  Rounds end in
     written tables; the driver only sees how many labels changed.
     """
+    with temporary(edges.sparkSession) as made:
+        return made.keep(_settled(edges), "labels")
+
+
+def _settled(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    # n: the neighbours of a node, by which hubs are kept apart in the joins
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "m").alias("label"), "n"), "labels")
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        new = stored(new.join(jump, "new").select("node", F.least("new", "further").alias("label"), (F.least("new", "further") != F.col("label")).alias("moved")), "labels")
+        near = join_unique(both, labels.select(F.col("node").alias("b"), "label", "n"), ["b"], F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = stored(labels.join(near, "node").select("node", "label", "n", F.least("label", "near").alias("new")), "near")
+        # a label that many nodes have is asked for once
+        asked = new.groupBy("new").agg(F.count(F.lit(1)).alias("asked"))
+        jump = stored(labels.select(F.col("node").alias("new"), F.col("label").alias("further")).join(asked, "new"), "jump")
+        new = join_unique(new, jump, ["new"], F.col("node"), weight="asked")
+        new = stored(new.select("node", F.least("new", "further").alias("label"), "n", (F.least("new", "further") != F.col("label")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
         labels = new.drop("moved")
         if not moved:
-            return labels
+            return labels.select("node", "label")
     raise RuntimeError("labels didn't settle")

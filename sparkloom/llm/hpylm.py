@@ -887,11 +887,11 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
         ]
         model = replace(model, root=(int(c0[0]), int(t0[0])), hot_c=hot_c, hot_t=hot_t, pair_t=pair_t, strengths=strengths or tuple(draw_strength(rng, f) for f in fits))
         state, tables = swept.where("kind = 'state'"), [swept, root]
-        for t in old or [counted]:
-            drop_stored(spark, t)
+        drop_stored(spark, *(old or [counted]))
         if keep is not None:
             models.append(model)
     answers = stored(_grouped(root.where("kind = 'root state'").unionByName(links), lambda at, rows, k=samples: answer_all(at, rows, k)), "answers", "uncompressed")
+    drop_stored(spark, root, rooted)
     tokens = packed.mapInArrow(_pack(model, True), ROW)
     sums = _grouped(tokens.unionByName(state).unionByName(answers), lambda at, rows, m=models: score_bucket(at, rows, m))
 

@@ -9,13 +9,16 @@
    most others in all its buckets, and candidates are (member, hub) only, so a
    bucket of n texts gives n - 1 pairs.
 4. Star candidates are confirmed on full sets.
-5. Two members of a bucket can be alike while one of them isn't like the hub.
-   For such pairs the counts against the hub H bound the overlap: with m = H
-   without A and x = A without H, ``|A & B| <= |H| - max(m) + |xA & xB|``.  So a
-   pair is a link only if it shares a shingle that H lacks, or if the bound
-   allows a link without one.  Exactly these pairs are confirmed as well.  No
-   member is dropped, and copies that differ from the hub by their own edits
-   share none of them, so the pairs stay few.
+5. Two members of a bucket can be alike while one of them isn't like the hub H.
+   Let D(A) be the shingles that A and H don't share.  A and B differ in
+   |D(A)| + |D(B)| - 2 |D(A) & D(B)| shingles, and are a link only if that is at
+   most (100 - percent) / (100 + percent) of |A| + |B|.  As A isn't like H, they
+   must share members of D, as many as this asks for.  So only the members that
+   some other one has as well count, pairs are found by the rarest of these
+   (as many as no link can do without), and are kept where the bound leaves room
+   for a link.  Exactly these pairs are confirmed as well.  No member is
+   dropped, and copies that differ from the hub by their own edits share none of
+   them, so the pairs stay few.
 6. Components of the confirmed links give the classes.
 
 With 40 bands of 8 rows two sets at similarity 0.85 miss all common buckets
@@ -25,7 +28,10 @@ Defined cases: a text of fewer words than a shingle has its whole sequence as
 one; an empty or null text has no shingles, is linked with nothing and is kept.
 Rows with a null id are linked with nothing and kept, their component is null.
 Rows that repeat are one class; all rows that carry the class's least id are
-kept by ``kept``; ``keep_one`` keeps a single row of each component.
+kept by ``kept``; ``keep_one`` keeps a single row of each component, of equal
+ids the one with the least hash of its text.  A very long text is read whole by
+one task, which needs some 60 bytes a word.  Extra columns take no part,
+whatever their names; ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -34,12 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import stored
+from .scratch import stored, temporary
+from .skew import join_unique
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
@@ -116,8 +123,8 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _compare(k: int, extras: bool):
-    """For rows (a, b, text of a, text of b): set sizes and overlap, or with extras what b lacks."""
+def _compare(k: int, apart: bool):
+    """For rows (a, b, text of a, text of b): set sizes and overlap, or the shingles that they don't share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +134,9 @@ def _compare(k: int, extras: bool):
                 for c in (2, 3):
                     parts = [shingle_sets(W.split_words(data, offsets), k) for _, _, data, offsets in W.slices(b.column(c))]
                     sets.append([g[i:j] for g, bounds in parts for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
-                if extras:
-                    lack = [np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sets, strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lack, pa.list_(pa.int64()))], ["a", "b", "extras"])
+                if apart:
+                    lists = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sets, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], ["a", "b", "apart"])
                 else:
                     both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([len(x) for x in v], pa.int64()) for v in sets), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
@@ -138,8 +145,11 @@ def _compare(k: int, extras: bool):
 
 
 def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    """pairs (a, b) with both texts; b may be the hub of very many."""
+    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    tb = stored(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(hubs, "b"), "hub-texts")
+    return join_unique(pairs.select("a", "b").join(ta, "a"), tb, ["b"], F.col("a")).select("a", "b", "ta", "tb")
 
 
 def _linked(p: DataFrame, percent: int) -> F.Column:
@@ -150,18 +160,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     """(id, th, n, component, label) for each row; th is xxhash64 of the text, label numbers the components."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    signed = stored(docs.mapInArrow(_sign(shingle, bands, rows), f"id {id_type}, th long, n long, f1 long, f2 long, bands array<long>"), "signed", "snappy")
+    with temporary(df.sparkSession) as made:
+        signed = stored(docs.mapInArrow(_sign(shingle, bands, rows), f"id {id_type}, th long, n long, f1 long, f2 long, bands array<long>"), "signed", "snappy")
+        sets = made.keep(signed.select("id", "th", "n", "f1", "f2"), "sets")
+        named = made.keep(_named_classes(docs, signed, shingle, percent), "named")
+    out = join_unique(sets, named, ["f1", "f2", "n"], F.xxhash64("id", "th"), weight="copies", how="left")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    return out.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(~alone, F.col("label")).alias("label"))
+
 
+def _named_classes(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(f1, f2, n, component, label, copies) of each distinct set of shingles."""
     # one node for each distinct set
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("rep_th"))
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("rep_th"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     of_node = classes.select(F.col("rep").alias("id"), F.col("rep_th").alias("th"), "node")
     keys = signed.select("id", "th", "bands").join(of_node, ["id", "th"]).select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "size")
-    met = stored(keys.join(shared, "key"), "met")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "size", F.col("size").alias("n"))
+    met = stored(join_unique(keys, stored(shared, "shared"), ["key"], F.col("node")), "met")
     weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    star = stored(met.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
+    hubs = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    star = stored(join_unique(met, stored(hubs, "hubs"), ["key"], F.col("node")).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
 
     used = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     wanted = of_node.join(used, "node")
@@ -172,38 +191,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     label = components(links)
 
     # members of hubs that have members unlike them
-    mixed = checked.where(~_linked(checked, percent)).select("b").distinct()
-    group = checked.join(mixed, "b")
-    group = group.select("a", "b", "na", F.col("nb").alias("h"), (F.col("nb") - F.col("both")).alias("m"), (F.col("na") - F.col("both")).alias("x"), _linked(group, percent).alias("near"))
+    mixed = checked.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.bool_and(_linked(checked, percent)).alias("like")).where("NOT like").select("b", "n")
+    group = join_unique(checked, stored(mixed, "mixed"), ["b"], F.col("a"))
+    group = group.select("a", "b", "na", F.col("nb").alias("h"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("d"), _linked(group, percent).alias("near"))
     group = group.join(label.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     group = stored(group, "group")
-    lack = _texts_of(group, texts).mapInArrow(_compare(shingle, True), "a long, b long, extras array<long>")
-    # a shingle that one member alone has joins nothing; those are most
-    tokens = stored(lack.join(group.select("a", "b", "near", "label"), ["a", "b"]).select("a", "b", "near", "label", F.explode("extras").alias("token")), "extras")
-    several = tokens.groupBy("b", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_and("near").alias("all_near")).where("l0 != l1 AND NOT all_near").select("b", "token")
-    tokens = tokens.join(several, ["b", "token"])
-    one, two = (tokens.select("b", "token", *(F.col(c).alias(f"{c}{i}") for c in ("a", "near", "label"))) for i in "12")
-    by_token = one.join(two, ["b", "token"]).where("label1 != label2 AND NOT near1 AND (near2 OR a1 < a2)").select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    g1, g2 = (group.select("b", "h", *(F.col(c).alias(f"{c}{i}") for c in ("a", "na", "m", "near", "label"))) for i in "12")
-    # A link without common extras needs (100 + percent) * (h - max m) >= percent * (na1 + na2).
-    # As member 1 isn't like the hub, member 2 must be smaller than the hub, and as the sizes of
-    # a link differ by percent at most, member 1 must leave room for that: few members remain.
-    g1 = g1.where(f"NOT near1 AND 100 * {100 + percent} * (h - m1) >= {percent} * {100 + percent} * na1")
-    g2 = g2.where("na2 < h").drop("h")
-    open_bound = f"{100 + percent} * (h - greatest(m1, m2)) >= {percent} * (na1 + na2)"
-    by_bound = g1.join(g2, "b").where(f"label1 != label2 AND NOT near1 AND (near2 OR a1 < a2) AND {open_bound}").select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    more = stored(by_token.union(by_bound).distinct(), "more")
+    apart = _texts_of(group, texts).mapInArrow(_compare(shingle, True), "a long, b long, apart array<long>")
+    tokens = apart.select("a", "b", F.explode("apart").alias("token"))
+    tokens = stored(tokens.join(group, ["a", "b"]), "apart")
+    # what one member alone has joins nothing; those are most
+    seen = tokens.groupBy("b", "token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_and("near").alias("all_near")).where("n > 1")
+    seen = stored(seen.select("b", "token", "n", F.col("n").alias("rank"), F.expr("l0 != l1 AND NOT all_near").alias("joins")), "seen")
+    tokens = join_unique(tokens, seen, ["b", "token"], F.col("a"))
+    # v: the shingles apart from the hub that others have as well; a member unlike the hub is
+    # a link only with those that share about half of what it has too many of
+    v = Window.partitionBy("a", "b")
+    tokens = tokens.withColumns({"v": F.count(F.lit(1)).over(v), "place": F.row_number().over(v.orderBy("rank", "token"))})
+    least = f"greatest(1, CASE WHEN near THEN 1 ELSE CAST(ceil(({100 + percent} * d - {100 - percent} * (na + h)) / {2 * (100 + percent)}.0 - 1e-9) AS BIGINT) END)"
+    tokens = stored(tokens.where(f"joins AND place <= v - {least} + 1").select("a", "b", "token", "na", "d", "v", "near", "label"), "tokens")
+    one, two = (tokens.select("b", "token", *(F.col(c).alias(f"{c}{i}") for c in ("a", "na", "d", "v", "near", "label"))) for i in "12")
+    room = f"{100 + percent} * (d1 + d2 - 2 * least(v1, v2)) <= {100 - percent} * (na1 + na2)"
+    more = one.where("NOT near1").join(two, ["b", "token"]).where(f"label1 != label2 AND (near2 OR a1 < a2) AND {room}")
+    more = stored(more.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct(), "more")
     rechecked = _texts_of(more, texts).mapInArrow(_compare(shingle, False), compared)
     more_links = stored(rechecked.where(_linked(rechecked, percent)).select("a", "b"), "links")
     if more_links.limit(1).count():
         label = components(links.union(more_links))
 
     named = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    by_class = named.join(least, "label").select("f1", "f2", "n", "component", "label")
-    out = signed.select("id", "th", "n", "f1", "f2").join(by_class, ["f1", "f2", "n"], "left")
-    alone = (F.col("n") == 0) | F.col("id").isNull()
-    return out.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(~alone, F.col("label")).alias("label"))
+    least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("nodes"))
+    return join_unique(named, stored(least, "components"), ["label"], F.col("node"), weight="nodes").select("f1", "f2", "n", "component", "label", "copies")
 
 
 def near_duplicate_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

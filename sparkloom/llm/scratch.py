@@ -24,8 +24,52 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_open: list[temporary] = []
+
+
+class temporary:
+    """Intermediate tables of a block of code: at its end all that it stored go, but those it keeps.
+
+    What the block returns must read only kept tables.  Spark deletes shuffle
+    files when the driver's collector finds their plans unused, so it is asked
+    to look.  After an error nothing is deleted.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], []
+
+    def __enter__(self) -> temporary:
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a stored table that outlives the block."""
+        n = len(self.made)
+        out = stored(df, name)
+        self.kept += self.made[n:]
+        del self.made[n:]
+        return out
+
+    def __exit__(self, kind, error, trace) -> None:
+        _open.pop()
+        if _open:
+            _open[-1].made += self.kept
+        if error is None:
+            for path in self.made:
+                _delete(self.spark, path)
+            self.spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _open:
+        _open[-1].made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -40,8 +84,8 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table that stored() wrote and that no later step reads."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that no later step reads, and the shuffle files of finished plans."""
+    for f in {os.path.dirname(x) for df in tables for x in df.inputFiles()}:
+        _delete(spark, f)
+    spark._jvm.System.gc()

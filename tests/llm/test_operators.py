@@ -87,7 +87,7 @@ def test_encoder_equals_tokenizers(rows):
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     enc = tokens.Encoder(tokens.default_vocabulary())
-    texts = [t or "" for _, t in rows] + ["a\n b", "a  b \n\n c d", " 's don't 12ab-- \t", "日本語 テスト　x", "x\x1cy \x1fz", "🙂🙂 é"]
+    texts = [t or "" for _, t in rows] + ["a\n b", "a  b \n\n c d", " 's don't 12ab-- \t", "日本語 テスト　x", "x\x1cy \x1fz", "🙂🙂 é", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a<|endoftext|b <|endoftext|>\x1c<|endoftext|>\n"]
     for _ in range(2):
         ids, bounds = enc.encode(texts)
         for i, t in enumerate(texts):
@@ -382,12 +382,16 @@ def test_the_sample_is_no_prefix(spark):
 
 
 def test_packing(spark, rows):
-    docs = rows + [(4000, " ".join(prose(__import__("random").Random(2), 1500, 10**6)))]
+    docs = rows + [(4000, " ".join(prose(__import__("random").Random(2), 1500, 10**6))), (4001, "one <|endoftext|> two<|endoftext|>")]
     got = packing.pack_documents(frame(spark, docs)).collect()
-    enc = tokens.Encoder(tokens.default_vocabulary())
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, bins = Counter(), defaultdict(list)
     for i, t in docs:
-        ids = [*enc.encode([t or ""])[0].tolist(), 2]
+        ids = [*enc.encode(t or "", add_special_tokens=False).ids, 2]
         cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             pieces[i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
@@ -528,3 +532,25 @@ def test_a_words_score_does_not_depend_on_its_text():
     assert langid.text_words(within)[0] == alone and (one[0] == one[1]).all()
     # unknown letters alone: the languages tie, and the first by name wins
     assert langid.predictor(model)(["\u4e00" * 24])[0] == ["x"]
+
+
+@pytest.mark.parametrize("seed, percent", [(1, 80), (2, 85), (3, 80), (4, 60)])
+def test_variants_of_one_text(spark, seed, percent):
+    """A hub with many members around the threshold, with common and own edits: no link is lost, whatever the hub settles."""
+    rng = __import__("random").Random(seed)
+    base, lines = prose(rng, 90, 10**6), [prose(rng, 12, 10**6) for _ in range(3)]
+    texts = []
+    for _ in range(70):
+        w = base[:]
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([1, 1, 3])] = [f"own{rng.randrange(10**6)}"] * rng.choice([0, 1])
+        for line in rng.sample(lines, rng.choice([0, 1, 1, 2, 3])):
+            at = rng.choice([0, len(w) // 2, len(w)])
+            w[at:at] = line
+        if rng.random() < 0.3:
+            w = w[rng.choice([0, 5, 15]) : len(w) - rng.choice([0, 8, 20])]
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    got = {r.id: r.component for r in minhash.near_duplicates(frame(spark, docs), percent=percent, bands=64, rows=2 if percent == 60 else 4).collect()}
+    assert [got[i] for i, _ in docs] == components(docs, percent)
