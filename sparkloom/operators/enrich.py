@@ -15,7 +15,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,7 @@ from .order import HIDDEN, PARENT, POS, TRACE, child, user_columns
 OUTCOME = "struct<status:string,error:string,outs:array<string>,prompt_tokens:bigint,completion_tokens:bigint>"
 UNIT = "_unit"
 FEEDBACK = "_qc_reason"
+Outcome = TypeVar("Outcome")
 
 
 @dataclass
@@ -45,10 +46,10 @@ class Model(Protocol):
 
 
 class EchoModel:
-    """A deterministic model for tests and dry runs: it answers the prompt in brackets."""
+    """A deterministic model for tests and dry runs: it gives the prompt back, marked as an echo."""
 
     def complete(self, system: str, user: str, params: dict) -> Reply:
-        return Reply(f"答[{user}]", 1, 2)
+        return Reply(f"echo<{user}>", 1, 2)
 
 
 @dataclass
@@ -74,7 +75,7 @@ class ChatModel:
         return Reply(text, use.get("prompt_tokens", 0), use.get("completion_tokens", 0))
 
 
-def attempt(call: Callable[[], Reply], retries: int, wait: float = 1.0) -> Reply:
+def attempt(call: Callable[[], Outcome], retries: int, wait: float = 1.0) -> Outcome:
     """Tries again up to retries times, waiting twice as long each time."""
     for k in range(retries + 1):
         try:
@@ -208,12 +209,14 @@ def path_get(value, path: str):
     return value
 
 
-def fetch_units(df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "GET", params: dict[str, str] | None = None, headers: dict[str, str] | None = None, body: str = "", body_format: str = "json", timeout: float = 30, retries: int = 2, poll_path: str | None = None, poll_until: str = "", poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True) -> DataFrame:
-    """df with a unit for each row that holds the response's body.
+def fetch_units(df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "GET", params: dict[str, str] | None = None, headers: dict[str, str] | None = None, body: str = "", body_format: str = "json", timeout: float = 30, retries: int = 2, poll_path: str | None = None, poll_until: str = "", poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True, records_path: str | None = None) -> DataFrame:
+    """df with a unit for each row that holds the response's body, which must be JSON.
 
     Endpoint, parameters, headers and body are templates.  With poll_path the
     request is sent again until the value there reads poll_until; a body that
-    isn't JSON counts as not ready.  Error texts name the status and no secrets.
+    isn't JSON counts as not ready.  With records_path there must be an array.
+    What isn't so fails the row's unit alone.  Error texts name the status and no
+    secrets.
     """
     if body_format not in CONTENT_TYPES:
         raise ValueError(f"body_format {body_format!r} is unknown")
@@ -227,28 +230,31 @@ def fetch_units(df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "G
             head["Content-Type"] = CONTENT_TYPES[body_format]
         request = {"url": filled["url"], "method": method, "params": {k[2:]: v for k, v in filled.items() if k.startswith("p:")}, "headers": head, "body": filled["body"], "timeout": timeout}
 
-        def call() -> Reply:
+        def call() -> Response:
             try:
                 r = fetcher.fetch(request)
             except Exception as e:
                 raise RuntimeError(f"the request failed ({type(e).__name__})") from None
             if r.status >= 400:
                 raise RuntimeError(f"the response has status {r.status}")
-            return Reply(r.body)
+            return r
 
         for k in range(poll_most if poll_path else 1):
-            text = attempt(call, retries, wait).text
-            if not poll_path:
-                break
+            got = attempt(call, retries, wait)
             try:
-                if str(path_get(json.loads(text), poll_path)) == poll_until:
-                    break
+                value = json.loads(got.body)
             except ValueError:
-                pass
+                if not poll_path:
+                    raise ValueError(f"the response isn't JSON (status {got.status})") from None
+            else:
+                if not poll_path or str(path_get(value, poll_path)) == poll_until:
+                    break
             if k + 1 == poll_most:
                 raise TimeoutError(f"not ready after {poll_most} requests")
             time.sleep(poll_interval)
-        return {"outs": [text], "prompt_tokens": 0, "completion_tokens": 0}
+        if records_path and not isinstance(path_get(value, records_path), list):
+            raise ValueError(f"{records_path} isn't an array in the response")
+        return {"outs": [got.body], "prompt_tokens": 0, "completion_tokens": 0}
 
     out = df.withColumn(UNIT, _outcomes(work, concurrency)(*(render(t, df.schema) for t in parts.values())))
     return settled(out) if settle else out

@@ -147,8 +147,8 @@ def review(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, regenerate:
 
 
 def first_round_rate(metric: DataFrame, *by: str) -> DataFrame:
-    """The share that passed at once; null where nothing was judged."""
-    return metric.groupBy(*by).agg(F.try_divide(F.sum("first_round_pass"), F.sum("total")).alias("first_round_rate"))
+    """The share that passed at once; 0 where nothing was judged."""
+    return metric.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("first_round_pass"), F.sum("total")), F.lit(0.0)).alias("first_round_rate"))
 
 
 def failures_wide(failures: DataFrame, judges: int) -> DataFrame:

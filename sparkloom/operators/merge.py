@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.values import col
 
-from .order import HIDDEN, POS, dense, user_columns
+from .order import HIDDEN, POS, dense, require, user_columns
 
 
 class MergeError(ValueError):
@@ -29,15 +29,20 @@ def merge(branches: Sequence[DataFrame], aligned: bool = False) -> DataFrame:
     """Row i of every branch as one row; hidden columns come from the first.
 
     Branches must be of equal length, share a column, and agree in each column
-    that more than one has, type included.  aligned says that all descend row by
-    row from one ancestor and so can join on ``_pos`` without being numbered.
+    that more than one has, type included; a difference fails the query whatever
+    columns are used later.  aligned says that all descend row by row from one
+    ancestor, and so can join on ``_pos`` without being counted or numbered.
     """
     if len(branches) == 1:
         return branches[0]
-    counts = [b.count() for b in branches]
-    if len(set(counts)) > 1:
-        raise MergeError(f"the branches have different numbers of rows: {', '.join(map(str, counts))}")
-    if counts[0]:
+    if aligned:
+        filled = bool(branches[0].limit(1).count())
+    else:
+        counts = [b.count() for b in branches]
+        if len(set(counts)) > 1:
+            raise MergeError(f"the branches have different numbers of rows: {', '.join(map(str, counts))}")
+        filled = counts[0] > 0
+    if filled:
         check_anchor([user_columns(b) for b in branches])
     kinds: dict[str, set[str]] = {}
     for b in branches:
@@ -45,7 +50,7 @@ def merge(branches: Sequence[DataFrame], aligned: bool = False) -> DataFrame:
             if f.name not in HIDDEN:
                 kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
     clash = sorted(c for c, k in kinds.items() if len(k) > 1)
-    if clash and counts[0]:
+    if clash and filled:
         raise MergeError(f"the branches have different types in {', '.join(clash)}")
     key = POS if aligned else "_n"
     numbered = [b if aligned else dense(b) for b in branches]
@@ -59,11 +64,10 @@ def merge(branches: Sequence[DataFrame], aligned: bool = False) -> DataFrame:
     def part(i: int, c: str):
         return F.col(f"_b{i}").getField(c)
 
-    out = []
-    for c, own in owners.items():
-        first = part(own[0], c)
-        differs = reduce(lambda a, b: a | b, (~first.eqNullSafe(part(i, c)) for i in own[1:]), F.lit(False))
-        out.append((F.when(differs, F.raise_error(F.lit(f"the branches differ in {c}")).cast(branches[own[0]].schema[c].dataType)).otherwise(first) if len(own) > 1 else first).alias(c))
+    differs = [F.when(~part(own[0], c).eqNullSafe(part(i, c)), F.raise_error(F.lit(f"the branches differ in {c}")).cast("string")) for c, own in owners.items() for i in own[1:]]
+    if differs:
+        joined = require(joined, F.coalesce(*differs, F.lit("")))
+    out = [part(own[0], c).alias(c) for c, own in owners.items()]
     return joined.select(*out, *(part(0, h).alias(h) for h in HIDDEN if h in branches[0].columns))
 
 

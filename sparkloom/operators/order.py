@@ -32,6 +32,16 @@ def with_positions(df: DataFrame, *keys: str | Column, source: int = 0) -> DataF
     return df.withColumn(POS, F.array(F.lit(source).cast("bigint"), *(c.cast("bigint") for c in cols)))
 
 
+def require(df: DataFrame, check: Column) -> DataFrame:
+    """df, with check evaluated for every row that is read, whatever columns are used later.
+
+    A check raises an error or not; its value doesn't matter.  As the filter
+    isn't deterministic, neither it nor what it needs is pruned or folded, and
+    later filters stay behind it.
+    """
+    return df.where(F.xxhash64(check).cast("double") + F.rand() < float("inf"))
+
+
 def child(pos: Column, number: Column) -> Column:
     return F.concat(pos, F.array(number.cast("bigint")))
 

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.values import col, java_regex, not_blank, strict_cast, text_of
 
-from .order import HIDDEN, POS, dense, user_columns
+from .order import HIDDEN, POS, dense, require, user_columns
 
-#: Rows up to which sampling and shuffling draw from Python's generator; the drawn places are broadcast.
+#: Places that an exact draw may broadcast: the rows of a sample, or of a table that is shuffled.
 EXACT_ROWS = 200_000
 
 
@@ -51,9 +51,10 @@ def concat(df: DataFrame, target: str, columns: Sequence[str], sep: str = "") ->
 
 
 def cast(df: DataFrame, column: str, to: str) -> DataFrame:
+    """A value that can't be cast fails the query, even where the column isn't used later."""
     if column not in df.columns:
         raise ValueError(f"cast: there is no column {column}")
-    return _put(df, column, strict_cast(col(column), df.schema[column].dataType, to))
+    return require(_put(df, column, strict_cast(col(column), df.schema[column].dataType, to)), col(column))
 
 
 def try_cast(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -143,25 +144,30 @@ def seed_order(df: DataFrame, seed: int, key: Column | None = None) -> DataFrame
 def sample(df: DataFrame, n: int, seed: int | None = None, key: Column | None = None, exact: bool = False) -> DataFrame:
     """n rows without replacement, in the order drawn; all rows, unchanged, if there aren't more.
 
-    exact draws from Python's generator while the table has at most EXACT_ROWS
-    rows; else rows are drawn by the order of seeded hashes, which scales as a
-    top-n does.
+    exact draws places from Python's generator, at most EXACT_ROWS of a table of
+    any size, which numbers the whole table; else rows are drawn by the order of
+    seeded hashes, which scales as a top-n does.
     """
     seed = random.randrange(2**31) if seed is None else seed
     if exact:
         total = df.count()
         if n >= total:
             return df
-        if total <= EXACT_ROWS:
-            return _take(df, random.Random(seed).sample(range(total), n))
-    elif df.limit(n + 1).count() <= n:
+        if n > EXACT_ROWS:
+            raise ValueError(f"an exact sample has at most {EXACT_ROWS} rows; draw with exact=False")
+        return _take(df, random.Random(seed).sample(range(total), n))
+    if df.limit(n + 1).count() <= n:
         return df
     return limit(seed_order(df, seed, key), n)
 
 
 def shuffle(df: DataFrame, seed: int | None = None, key: Column | None = None, exact: bool = False) -> DataFrame:
+    """All rows in a random order; exact, for at most EXACT_ROWS rows, is the order of Python's generator."""
     seed = random.randrange(2**31) if seed is None else seed
-    if exact and (total := df.count()) <= EXACT_ROWS:
+    if exact:
+        total = df.limit(EXACT_ROWS + 1).count()
+        if total > EXACT_ROWS:
+            raise ValueError(f"an exact shuffle takes at most {EXACT_ROWS} rows; shuffle with exact=False")
         places = list(range(total))
         random.Random(seed).shuffle(places)
         return _take(df, places)
@@ -224,9 +230,9 @@ def apply_operations(df: DataFrame, operations: Sequence[dict], seed: int | None
         elif kind == "dedup":
             df = dedup(df, op.get("columns"))
         elif kind == "sample":
-            df = sample(df, op["n"], own, exact=op.get("exact", True))
+            df = sample(df, op["n"], own, exact=op.get("exact", False))
         elif kind == "shuffle":
-            df = shuffle(df, own, exact=op.get("exact", True))
+            df = shuffle(df, own, exact=op.get("exact", False))
         elif kind == "code":
             df = code(df, (processes or {})[op["process"]], op["output"], op.get("partition_by", ()))
         else:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from .graph import Graph, Node
 
@@ -17,32 +19,43 @@ def intersection(lists: Sequence[Sequence[str]]) -> list[str]:
     return [n for n in lists[0] if all(n in x for x in lists[1:])] if lists else []
 
 
-def _operation(cols: list[str], op: dict) -> list[str]:
-    kind = op.get("op")
-    if kind == "rename":
-        return list(dict.fromkeys(op["mapping"].get(c, c) for c in cols))
-    if kind == "drop":
-        return [c for c in cols if c not in op["columns"]]
-    if kind == "concat":
-        return union([cols, [op["target"]]])
-    if kind == "code":
-        declared = op.get("output_columns") or [f.split()[0] for f in op.get("output", "").split(",") if f.strip()]
-        return list(declared) or cols
-    return cols
-
-
-def _out(node: Node, cols: list[str]) -> list[str]:
-    c = node.config
-    if node.type == "auto_process":
-        for op in c.get("operations", []):
-            cols = _operation(cols, op)
-    elif node.type == "llm_synth":
-        cols = union([cols, c.get("output_columns", []) if c.get("output_mode") == "json" else [c.get("output_column", "output")]])
-    elif node.type == "http_fetch":
-        cols = union([cols, list(c.get("extract", {}))])
-    elif node.type == "qc":
-        cols = union([cols, [c.get("status_column", "qc_status"), c.get("feedback_column", "qc_feedback")]])
-    return [x for x in cols if x not in c.get("drop_columns", [])]
+@dataclass(frozen=True)
+class Change:
+    """What an operation or a node does to a list of columns: it keeps those that pass, under new names, and adds some."""
+
+    adds: Sequence[str] = ()
+    drops: Collection[str] = ()
+    names: Mapping[str, str] = field(default_factory=dict)
+    replaces_all: bool = False
+
+    def __call__(self, columns: Sequence[str]) -> list[str]:
+        kept = [] if self.replaces_all else [self.names.get(c, c) for c in columns if c not in self.drops]
+        return union([kept, self.adds])
+
+
+def _code(op: dict) -> Change:
+    listed = op.get("output_columns") or [f.split()[0] for f in op.get("output", "").split(",") if f.strip()]
+    return Change(adds=listed, replaces_all=bool(listed))
+
+
+#: Operations that change no column aren't listed.
+OPERATIONS: dict[str, Callable[[dict], Change]] = {
+    "rename": lambda op: Change(names=op["mapping"]),
+    "drop": lambda op: Change(drops=op["columns"]),
+    "concat": lambda op: Change(adds=[op["target"]]),
+    "code": _code,
+}
+NODES: dict[str, Callable[[dict], list[Change]]] = {
+    "auto_process": lambda c: [OPERATIONS[op["op"]](op) for op in c.get("operations", []) if op.get("op") in OPERATIONS],
+    "llm_synth": lambda c: [Change(adds=c.get("output_columns", []) if c.get("output_mode") == "json" else [c.get("output_column", "output")])],
+    "http_fetch": lambda c: [Change(adds=list(c.get("extract", {})))],
+    "qc": lambda c: [Change(adds=[c.get("status_column", "qc_status"), c.get("feedback_column", "qc_feedback")])],
+}
+
+
+def changes(node: Node) -> list[Change]:
+    """All that a node does to its columns, one after the other."""
+    return [*NODES.get(node.type, lambda c: [])(node.config), Change(drops=node.config.get("drop_columns", []))]
 
 
 def propagate(graph: Graph, datasets: dict[str, Sequence[str]]) -> dict[str, dict[str, list[str]]]:
@@ -58,7 +71,7 @@ def propagate(graph: Graph, datasets: dict[str, Sequence[str]]) -> dict[str, dic
             came = intersection([list(datasets[d]) for d in node.config.get("dataset_ids", [])])
         else:
             came = union([out[p]["output"] for p in graph.parents(name)])
-        out[name] = {"input": came, "output": _out(node, came)}
+        out[name] = {"input": came, "output": reduce(lambda cols, change: change(cols), changes(node), list(came))}
     return out
 
 

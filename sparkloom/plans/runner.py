@@ -2,8 +2,9 @@
 
 Nodes that Spark can express stay lazy, so Catalyst optimises across them; only
 nodes that call out are settled.  A store, if given, keeps each calling node's
-units as Parquet: a run that is resumed works on rows without a unit, and one
-that is asked to rerun failures drops those units first.
+units as Parquet, batch by batch, and each judge's verdict: a run that is resumed
+works on rows without a unit and asks no judge twice, and one that is asked to
+rerun failures drops those units first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.jsonpath import explode_records, extract
+from sparkloom.functions.session import settled
 from sparkloom.operators import judge
 from sparkloom.operators.enrich import UNIT, Fetcher, Model, fetch_units, synth_units, unit_rows, usage
 from sparkloom.operators.generate import generate
@@ -42,40 +44,88 @@ class Resources:
     catalog: Catalog | None = None
 
 
+#: Rows whose units are worked on and stored together, and such batches of a node at most.
+STORE_ROWS, STORE_BATCHES = 2_000, 256
+#: Table operations that keep each row and its position.
+ROW_KEEPING = frozenset({"rename", "drop", "concat", "cast"})
+
+
 @dataclass
 class UnitStore:
-    """Units of calling nodes, one Parquet folder a node."""
+    """Units of calling nodes and verdicts of judges: a Parquet folder a node, in versions of which the last counts.
+
+    A version is visible once its first write is whole; batches are appended to
+    it, each as a whole.
+    """
 
     spark: SparkSession
     path: str
+    batch_rows: int = STORE_ROWS
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, node: str) -> list[int]:
+        p, fs = self._fs(f"{self.path}/{node}")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{node}/{n}/_SUCCESS")[0]))
 
     def _folder(self, node: str) -> str:
-        return f"{self.path}/{node}"
+        return f"{self.path}/{node}/v{max(self._versions(node), default=1)}"
 
     def exists(self, node: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(node) + "/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return bool(self._versions(node))
 
     def read(self, node: str) -> DataFrame:
         return self.spark.read.parquet(self._folder(node))
 
-    def add(self, node: str, units: DataFrame) -> DataFrame:
-        units.write.mode("append").parquet(self._folder(node))
+    def fill(self, node: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Works on the rows that have no unit yet, batch by batch; each batch that is done stays, whatever fails later."""
+        todo = settled(self.remaining(node, rows))
+        batches = max(1, min(STORE_BATCHES, -(-todo.count() // self.batch_rows)))
+        for i in range(batches):
+            work(todo.where(F.pmod(F.xxhash64(POS), F.lit(batches)) == i)).write.mode("append").parquet(self._folder(node))
         return self.read(node)
 
     def remaining(self, node: str, rows: DataFrame) -> DataFrame:
         return rows.join(self.read(node).select(POS), POS, "left_anti") if self.exists(node) else rows
 
     def replace(self, node: str, units: DataFrame) -> None:
-        """Units are read from the folder that is replaced, so they go beside it first."""
-        side = self._folder(node) + ".new"
-        units.write.mode("overwrite").parquet(side)
-        self.spark.read.parquet(side).write.mode("overwrite").parquet(self._folder(node))
+        """units, which may be read from the node's folder, as its next version; older ones go once it is whole."""
+        old = self._versions(node)
+        units.write.mode("overwrite").parquet(f"{self.path}/{node}/v{max(old, default=0) + 1}")
+        for v in old:
+            p, fs = self._fs(f"{self.path}/{node}/v{v}")
+            fs.delete(p, True)
+
+    def forget(self, node: str) -> None:
+        p, fs = self._fs(f"{self.path}/{node}")
+        fs.delete(p, True)
+
+    def verdict(self, node: str, judge_rows: Callable[[], judge.Verdict]) -> judge.Verdict:
+        """A judge's verdict, asked for once: a run that is resumed reads it."""
+        parts = ("failures", "metric", "passed")  # the last one is whole after the others
+        if not self.exists(f"{node}@passed"):
+            v = judge_rows()
+            for part in parts:
+                self.replace(f"{node}@{part}", getattr(v, part))
+        return judge.Verdict(**{part: self.read(f"{node}@{part}") for part in parts})
+
+    def forget_verdicts(self, node: str) -> None:
+        """Those of all batches as well; the one that says that a verdict is there goes first."""
+        p, fs = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        for n in sorted(names, key=lambda n: not n.endswith("@passed")):
+            if n.rpartition("@")[0].partition("~")[0] == node:
+                self.forget(n)
 
     def purge(self) -> None:
         """Forgets all units and the plan."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._fs(self.path)
+        fs.delete(p, True)
 
     def save_plan(self, graph: Graph) -> None:
         """Keeps the graph that a run works by, so that it can be restored later."""
@@ -85,7 +135,7 @@ class UnitStore:
         return Graph.parse(json.loads(self.spark.read.text(f"{self.path}/_plan", wholetext=True).first().value))
 
     def reopen(self, graph: Graph, node: str | None = None) -> None:
-        """Forgets failed units, and all units of the nodes after them."""
+        """Forgets failed units, and all units and verdicts of the nodes after them."""
         for n in graph.nodes:
             inside = node is None or n.id == node
             if inside and self.exists(n.id):
@@ -94,6 +144,7 @@ class UnitStore:
                 if bad.limit(1).count():
                     self.replace(n.id, units.where(F.col(f"{UNIT}.status") == "done"))
                     for d in graph.descendants(n.id):
+                        self.forget_verdicts(d)
                         if self.exists(d):
                             self.replace(d, self.read(d).limit(0))
 
@@ -142,13 +193,17 @@ class Runner:
             return self._generate(graph, chain)
         caps = input_caps(graph)
         result = Result({})
+        # the node whose rows, in their positions, a node still has
+        source: dict[str, str] = {}
         for name in graph.order():
-            parents = graph.parents(name)
-            came = merge([result.frames[p] for p in parents]) if parents else None
+            parents, node = graph.parents(name), graph.node(name)
+            came = merge([result.frames[p] for p in parents], aligned=len({source[p] for p in parents}) == 1) if parents else None
+            keeps = node.type == "auto_process" and all(op.get("op") in ROW_KEEPING for op in node.config.get("operations", []))
+            source[name] = next(iter({source[p] for p in parents})) if keeps and len({source[p] for p in parents}) == 1 else name
             result.frames[name] = self._node(graph, name, came, caps.get(name), result)
         return result
 
-    def _node(self, graph: Graph, name: str, came: DataFrame | None, cap: int | None, result: Result) -> DataFrame:
+    def _node(self, graph: Graph, name: str, came: DataFrame | None, cap: int | None, result: Result, batch: int | None = None) -> DataFrame:
         node, c = graph.node(name), graph.node(name).config
         if node.type == "input":
             missing = [d for d in c.get("dataset_ids", []) if d not in self.res.datasets]
@@ -172,7 +227,7 @@ class Runner:
                 out = extract(out, "_body", c.get("extract", {}))
             out = out.drop("_body")
         elif node.type == "qc":
-            out = self._review(graph, name, c, came, result)
+            out = self._review(graph, name, c, came, result, batch)
         else:
             return self._save(name, c, drop(limit(came, c["count"]) if c.get("count") else came, c.get("drop_columns", [])))
         return drop(out, c.get("drop_columns", []))
@@ -186,7 +241,7 @@ class Runner:
         return rows
 
     def _units(self, name: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame], result: Result) -> DataFrame:
-        units = self.store.add(name, work(self.store.remaining(name, rows))) if self.store else work(rows)
+        units = self.store.fill(name, rows, work) if self.store else work(rows)
         result.units[name] = units
         return units
 
@@ -198,9 +253,9 @@ class Runner:
         return unit_rows(units, name, c.get("output_column", "output"), fields)
 
     def _fetch(self, c: dict, rows: DataFrame) -> DataFrame:
-        return fetch_units(rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""), c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""), c.get("poll_interval", 2), c.get("poll_max_attempts", 30), c.get("concurrency", 4), c.get("retry_wait", 1.0))
+        return fetch_units(rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""), c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""), c.get("poll_interval", 2), c.get("poll_max_attempts", 30), c.get("concurrency", 4), c.get("retry_wait", 1.0), records_path=c.get("records_path"))
 
-    def _review(self, graph: Graph, name: str, c: dict, came: DataFrame, result: Result) -> DataFrame:
+    def _review(self, graph: Graph, name: str, c: dict, came: DataFrame, result: Result, batch: int | None = None) -> DataFrame:
         judges = [str(j) for j in c.get("judge_model_ids") or [c["model_config_id"]]]
         if all(j in self.res.rules for j in judges):
             votes = lambda d: judge.by_rules({j: (self.res.rules[j](d), f"{j} rejects it") for j in judges})
@@ -217,7 +272,8 @@ class Runner:
                 return drop(self._synth_rows(target, t, self._synth(t, base, 1)), t.get("drop_columns", []))
 
         own = [x for p in graph.ancestors(name) if graph.node(p).type == "qc" for x in (graph.node(p).config.get("status_column", "qc_status"), graph.node(p).config.get("feedback_column", "qc_feedback"))]
-        v = judge.review(came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"), c.get("feedback_column", "qc_feedback"), own)
+        ask = lambda: judge.review(came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"), c.get("feedback_column", "qc_feedback"), own)
+        v = self.store.verdict(name if batch is None else f"{name}~{batch}", ask) if self.store else ask()
         result.verdicts[name] = v
         return v.passed
 
@@ -225,15 +281,19 @@ class Runner:
         result = Result({})
         first, last = graph.node(chain[0]), graph.node(chain[-1])
 
-        def middle(rows: DataFrame) -> DataFrame:
+        def middle(rows: DataFrame, batch: int) -> DataFrame:
             for n in chain[1:-1]:
-                rows = self._node(graph, n, rows, None, result)
+                rows = self._node(graph, n, rows, None, result, batch)
             return rows
 
-        def synth(s: DataFrame) -> DataFrame:
-            return drop(self._synth_rows(first.id, first.config, self._synth(first.config, root_trace(s, self.run_id, first.id))), first.config.get("drop_columns", []))
+        def synth(s: DataFrame, batch: int) -> DataFrame:
+            # seeds have the same positions in a run that is resumed, so their units are found again
+            rows = root_trace(s, self.run_id, first.id)
+            units = self._units(first.id, rows, lambda d: self._synth(first.config, d), result)
+            mine = units.join(s.select(POS), POS, "left_semi") if self.store else units
+            return drop(self._synth_rows(first.id, first.config, mine), first.config.get("drop_columns", []))
 
-        rows = generate(self.spark, last.config["count"], synth, middle, first.config.get("fanout_n", 1), last.config.get("max_batches", 1000))
+        rows = generate(self.spark, last.config["count"], synth, middle, first.config.get("fanout_n", 1), max_batches=last.config.get("max_batches"))
         result.frames[last.id] = self._save(last.id, last.config, drop(rows, last.config.get("drop_columns", [])))
         return result
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -42,10 +41,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str, *order: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # columns and casts
@@ -195,7 +191,7 @@ def output_count(spark, sf_dir):
     return visible(table.limit(df.select("doc_id", "lang", POS), 25))
 
 
-@_query("SELECT doc_id, '答[' || lang || ']' AS output FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 20) WHERE length(text) >= 600")
+@_query("SELECT doc_id, 'echo<' || lang || '>' AS output FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 20) WHERE length(text) >= 600")
 def output_count_earlystop(spark, sf_dir):
     """The output's count caps the rows that the model works on; what is dropped later isn't made up for."""
     graph = {
@@ -231,13 +227,13 @@ def extract_vars(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("["), F.array_join(variables_of(text), ", "), F.lit("]")).alias("vars"))
 
 
-@_query("SELECT doc_id, '答[Sum up ' || source || ': ' || lang || ']' AS output FROM documents")
+@_query("SELECT doc_id, 'echo<Sum up ' || source || ': ' || lang || '>' AS output FROM documents")
 def synth_column_stub(spark, sf_dir):
     df = _t(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "lang", POS)
     return visible(unit_rows(synth_units(df, EchoModel(), "Sum up {{source}}: {{lang}}", settle=False), "llm")).select("doc_id", "output")
 
 
-@_query("SELECT doc_id, i AS copy, '答[' || lang || ']' AS output FROM documents, range(2) t(i)")
+@_query("SELECT doc_id, i AS copy, 'echo<' || lang || '>' AS output FROM documents, range(2) t(i)")
 def synth_fanout(spark, sf_dir):
     df = _t(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", POS)
     rows = unit_rows(synth_units(df, EchoModel(), "{{lang}}", fanout=2, settle=False), "llm")
@@ -344,13 +340,13 @@ def qc_rescan(spark, sf_dir):
     return v.passed.select("doc_id", F.element_at(POS, 1).cast("int").alias("rounds"), "qc_status")
 
 
-@_query("SELECT id AS seed, '答[seed ' || CAST(id AS VARCHAR) || ']' AS output FROM range(400) t(id) WHERE id % 4 <> 0 ORDER BY id LIMIT 60")
+@_query("SELECT id AS seed, 'echo<seed ' || CAST(id AS VARCHAR) || '>' AS output FROM range(400) t(id) WHERE id % 4 <> 0 ORDER BY id LIMIT 60")
 def generation_loop(spark, sf_dir):
-    def synth(s):
+    def synth(s, _):
         rows = s.withColumn("seed", F.element_at(POS, -1))
         return unit_rows(synth_units(rows, EchoModel(), "seed {{seed}}"), "llm")
 
-    got = generate.generate(session.prepare(spark), 60, synth, lambda d: d.where("seed % 4 <> 0"))
+    got = generate.generate(session.prepare(spark), 60, synth, lambda d, _: d.where("seed % 4 <> 0"))
     return visible(got).select("seed", "output")
 
 
@@ -521,9 +517,18 @@ def shards_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("bigint").alias("dims"))
 
 
-@_query()
+@_query(r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', chr(10), 'g'),
+      '(?s)</?[a-zA-Z!][^>]*>', chr(10), 'g'),
+      '[ \t]{2,}', ' ', 'g'),
+    '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
+  '[ \t\x{a0}\r]*\n[ \t\x{a0}\r]*', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+', ''), '\s+$', '') AS text
+FROM pages""")
 def html_text_of_pages(spark, sf_dir):
-    """An HTML parser is beyond SQL; tests hold it against a plain loop."""
+    """The SQL knows the entities that pages hold; the operator knows all of HTML's."""
     return _t(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
@@ -543,7 +548,7 @@ def code_op_grouped(spark, sf_dir):
 
 @_query("""WITH d AS (SELECT doc_id, text, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
 f AS (SELECT * FROM d WHERE length(text) >= 200)
-SELECT doc_id, lang, '答[' || lang || ': ' || substr(text, 1, 0) || CAST(doc_id AS VARCHAR) || ']' AS output, 'pass' AS qc_status, '' AS qc_feedback FROM f WHERE doc_id % 7 <> 0""")
+SELECT doc_id, lang, 'echo<' || lang || ': ' || substr(text, 1, 0) || CAST(doc_id AS VARCHAR) || '>' AS output, 'pass' AS qc_status, '' AS qc_feedback FROM f WHERE doc_id % 7 <> 0""")
 def workflow_end_to_end(spark, sf_dir):
     """Input, table operations, a model, a judge and an output in one graph."""
     graph = {

@@ -191,12 +191,12 @@ class Catalog:
         return version
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """The rows as the dataset's only version, whatever it held: what a node that runs again saves."""
-        side = f"{self.path}/{name}/.next"
-        numbered(rows).repartitionByRange(FILE_ROW).sortWithinPartitions(FILE_ROW).write.mode("overwrite").option("maxRecordsPerFile", 100_000).parquet(side)
+        """The rows as the dataset's only version, with the next number, whatever it held: what a node that runs again saves."""
+        # the new version is whole before the old ones go, so a reader always finds one
+        kept = self.write(name, numbered(rows))
         for v in self.versions(name):
-            self._fs.delete(self._path(f"{self.path}/{name}/v{v}"), True)
-        self._fs.rename(self._path(side), self._path(f"{self.path}/{name}/v1"))
+            if v != kept:
+                self._fs.delete(self._path(f"{self.path}/{name}/v{v}"), True)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         have = self.versions(name)

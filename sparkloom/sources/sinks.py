@@ -15,6 +15,8 @@ from sparkloom.operators.order import POS, user_columns, visible
 SHARD_ROWS = 100_000
 #: Fixed value: rows of a sheet below its header.
 SHEET_ROWS = 1_048_575
+#: Fixed value: characters of a workbook's cell.
+CELL_CHARS = 32_767
 
 
 def _in_order(df: DataFrame) -> DataFrame:
@@ -57,7 +59,9 @@ def _cell(v: object) -> str:
         return f'<c t="b"><v>{int(v)}</v></c>'
     if isinstance(v, (int, float)) and abs(v) < 1e15:
         return f"<c><v>{v!r}</v></c>"
-    text = "".join(ch for ch in str(v) if ch in "\t\n\r" or ord(ch) >= 32)[:32767]
+    text = "".join(ch for ch in str(v) if ch in "\t\n\r" or ord(ch) >= 32)
+    if len(text) > CELL_CHARS:
+        raise ValueError(f"a workbook's cell has at most {CELL_CHARS} characters, this one has {len(text)}")
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 

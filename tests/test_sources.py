@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sparkloom.functions.htmltext import clean_spaces, file_text, html_to_text
+from sparkloom.functions.htmltext import bytes_to_text, clean_spaces, file_text, html_to_text
 from sparkloom.operators import profile
 from sparkloom.operators.order import POS, with_positions
 from sparkloom.sources import datasets, packages, readers, sinks
@@ -154,8 +154,11 @@ def test_profiles(spark):
 
 
 def test_html(spark, tmp_path):
-    assert html_to_text("<p>a<script>x()</script>b</p><div>c &amp; d</div>") == "ab\n\nc & d"
-    assert html_to_text(None) is None and clean_spaces("a \t b \r\n\n\n\n c") == "a b\n\nc"
+    assert html_to_text("<p>a<script>x()</script>b</p><div>c &amp; d</div>") == "a\nb\nc & d"
+    assert html_to_text(None) is None and clean_spaces("a \t b \n\n\n\n c") == "a b\nc"
+    for name in ("a.zip", "b", "c.pdf"):
+        with pytest.raises(ValueError):
+            bytes_to_text(name, b"%PDF-1.7")
     put(tmp_path, "a.html", "<b>x</b>")
     put(tmp_path, "b.txt", "y   z")
     df = spark.read.format("binaryFile").load(f"file://{tmp_path}")

@@ -85,18 +85,30 @@ def test_casts(spark):
             table.cast(rows(spark, [(bad,)], "x string"), "x", "int").collect()
     with pytest.raises(PySparkException):
         table.cast(rows(spark, [("inf",)], "x string"), "x", "float").collect()
+    # the value isn't used later: the cast fails all the same
+    bad = table.cast(rows(spark, [("1", 1), ("abc", 2)], "x string, y bigint"), "x", "int")
+    for later in (bad.drop("x"), bad.select("y"), bad.where("y = 1"), bad.groupBy().count()):
+        with pytest.raises(PySparkException):
+            later.collect()
+    with pytest.raises(PySparkException):
+        bad.count()
     with pytest.raises(ValueError):
         table.cast(basic(spark), "q", "date")
     assert got(table.try_cast(rows(spark, [("3",), ("x",)], "x string"), "x", "int")) == [(3,), (None,)]
 
 
-def test_sampling(spark):
+def test_sampling(spark, monkeypatch):
     df = rows(spark, [(i,) for i in range(10)], "i bigint")
     first = got(table.sample(df, 5, 42, exact=True))
     assert first == [(i,) for i in random.Random(42).sample(range(10), 5)] == got(table.sample(df, 5, 42, exact=True))
     assert got(table.sample(df, 99, 42, exact=True)) == got(df) == got(table.sample(df, 10, 42))
     assert sorted(got(table.shuffle(df, 42, exact=True))) == got(df)
     assert len(set(got(table.sample(df, 4, 1)))) == 4
+    monkeypatch.setattr(table, "EXACT_ROWS", 6)
+    assert got(table.sample(df, 5, 42, exact=True)) == first
+    for draw in (lambda: table.sample(df, 7, 42, exact=True), lambda: table.shuffle(df, 42, exact=True)):
+        with pytest.raises(ValueError, match="exact=False"):
+            draw()
     assert sorted(got(table.shuffle(df, 3))) == got(df)
 
 
@@ -143,6 +155,13 @@ def test_merge(spark):
         merge.merge([b, b.withColumn("b", F.col("b") == 2)])
     with pytest.raises(PySparkException, match="differ in b"):
         merge.merge([b, b.withColumn("b", F.col("b") + 1)]).collect()
+    for aligned in (False, True):
+        apart = merge.merge([b, b.withColumn("b", F.when(F.col("q") == "q2", None).otherwise(F.col("b")))], aligned)
+        for later in (apart.select("q"), apart.groupBy().count(), apart.where("q = 'q1'")):
+            with pytest.raises(PySparkException, match="differ in b"):
+                later.collect()
+        with pytest.raises(PySparkException, match="differ in b"):
+            apart.count()
 
 
 def test_templates(spark):
