@@ -31,8 +31,9 @@ to all.  Predictions are averaged over the samples, then their logarithms are
 summed as doubles.
 
 Texts are encoded once into written blocks that carry their ids, so all passes
-see the same numbers whatever task is retried.  Counts are summed in a block
-before they are shuffled; rows are packed arrays, a few bytes a token.
+see the same numbers whatever task is retried; words are numbered, frequent ones
+first.  Counts are summed in a block before they are shuffled; rows are packed
+arrays, a few bytes a token.
 
 Defined cases: a null text is empty and has one token, its end; a null id isn't
 held out; rows that repeat are scored each for itself; without training rows
@@ -77,6 +78,8 @@ U64 = np.uint64
 _END = np.array([0x5DEECE66D1234567], U64)
 #: Local numbers of words up to which three fit a 64-bit key with a bit to spare.
 _NARROW = 1 << 21
+#: Words up to which their numbers are looked up in a table.
+_TABLE = 1 << 25
 
 ROW = "kind string, at long, of long, blob binary, x double, y double"
 Row = tuple[str, int, int, bytes | None, float, float]
@@ -90,15 +93,21 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def freeze(**arrays: np.ndarray) -> bytes:
-    """Named arrays as bytes: whole numbers in the narrowest type, hashes as they are, all compressed."""
+    """Named arrays as bytes, compressed: whole numbers by planes of bytes, ascending ones by their steps, hashes as they are."""
     head, parts = [], []
     for name, a in arrays.items():
         a = np.asarray(a)
+        steps = False
         if a.dtype.kind in "iu" and a.dtype != U64 and a.size:
-            a = a.astype(np.promote_types(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())), copy=False)
-        raw = np.ascontiguousarray(a).tobytes()
+            steps = bool(a.size > 2 and a[0] >= 0 and (a[1:] >= a[:-1]).all())
+            if steps:
+                a = np.diff(a, prepend=0)
+            kind = np.promote_types(np.min_scalar_type(a.min()), np.min_scalar_type(a.max()))
+            a = a.astype(np.int64 if kind == U64 else kind, copy=False)
+        a = np.ascontiguousarray(a)
+        raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.dtype.kind in "iu" and a.itemsize > 1 and a.dtype != U64 else a.tobytes()
         z = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
-        head.append([name, a.dtype.str, len(raw), len(z)])
+        head.append([name, a.dtype.str, len(raw), len(z), steps])
         parts.append(z)
     h = json.dumps(head).encode()
     return b"".join([len(h).to_bytes(4, "little"), h, *parts])
@@ -107,14 +116,47 @@ def freeze(**arrays: np.ndarray) -> bytes:
 def thaw(blob: bytes) -> dict[str, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     out, at = {}, 4 + n
-    for name, kind, raw, z in json.loads(blob[4 : 4 + n]):
+    for name, kind, raw, z, steps in json.loads(blob[4 : 4 + n]):
         data = pa.decompress(blob[at : at + z], decompressed_size=raw, codec="zstd", asbytes=True) if raw else b""
-        a = np.frombuffer(data, kind)
-        out[name] = a if a.dtype.kind == "f" or a.dtype == U64 else a.astype(np.int64)
+        t = np.dtype(kind)
+        if t.kind in "iu" and t != U64:
+            planes = np.frombuffer(data, np.uint8).reshape(t.itemsize, -1).T if t.itemsize > 1 else np.frombuffer(data, np.uint8)
+            a = np.ascontiguousarray(planes).view(t).ravel().astype(np.int64)
+            out[name] = np.cumsum(a) if steps else a
+        else:
+            out[name] = np.frombuffer(data, t)
         at += z
     return out
 
 
+def in_runs(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x, ascending within runs of equal v, by its steps there."""
+    out = np.diff(x, prepend=0)
+    begin = np.concatenate([[True], v[1:] != v[:-1]])
+    out[begin] = x[begin]
+    return out
+
+
+def from_runs(v: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    total = np.cumsum(steps)
+    return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(v))))
+
+
+def local_numbers(*arrays: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the different numbers of the words in arrays, ascending; the arrays as places in these)."""
+    most = max((int(a.max()) for a in arrays if len(a)), default=0)
+    if most < _TABLE:
+        mark = np.zeros(most + 1, bool)
+        for a in arrays:
+            mark[a] = True
+        words = np.flatnonzero(mark)
+        place = np.cumsum(mark, dtype=np.int32) - np.int32(1)
+        return words, [place[a].astype(np.int64) for a in arrays]
+    words = np.unique(np.concatenate([np.unique(a) for a in arrays]))
+    return words, [np.searchsorted(words, a) for a in arrays]
+
+
 # -- the model's numbers
 
 
@@ -229,7 +271,7 @@ class Model:
     pair_t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((W.mix(h ^ U64(0x27D4EB2F165667C5)) >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
+        return ((W.mix(h.astype(U64) ^ U64(0x27D4EB2F165667C5)) >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
 
     def hot_number(self, words: np.ndarray) -> np.ndarray:
         """1, 2, ... for hot words, else 0."""
@@ -249,20 +291,20 @@ class Model:
         hot = np.flatnonzero(self.hot_number(words)[v] > 0)
         if len(hot):
             pair = pair_key(words[v[hot]], words[x[hot]])
-            key = np.where(self.pair_number(pair) >= 0, W.mix(pair * W._R3 + words[w[hot]]), pair)
+            key = np.where(self.pair_number(pair) >= 0, W.mix(pair * W._R3 + words[w[hot]].astype(U64)), pair)
             out[hot] = self.bucket(key)
         return out
 
 
 def pair_key(v: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return W.mix(v * W._R2 + W.mix(x))
+    return W.mix(v.astype(U64) * W._R2 + W.mix(x.astype(U64)))
 
 
 # -- blocks of texts
 
 
 def _encode(block_tokens: int):
-    """Texts to blocks: ids, folds, sizes, the block's words, and the tokens as places in these."""
+    """Texts to blocks: ids, folds, sizes, the hashes of the block's words, and the tokens as places in these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -276,7 +318,7 @@ def _encode(block_tokens: int):
             n = np.concatenate(sizes)
             of = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([len(tokens)]), pa.array([int(n[~fold].sum())]), pa.array([freeze(held=fold.astype(np.uint8), sizes=n)], pa.binary()), pa.array([freeze(words=words, tokens=place)], pa.binary())],
+                [pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([len(tokens)]), pa.array([int(n[~fold].sum())]), pa.array([freeze(held=fold.astype(np.uint8), sizes=n)], pa.binary()), pa.array([freeze(h=words, n=np.bincount(place), tokens=place)], pa.binary())],
                 ["block", "ids", "n_all", "n_train", "texts", "tokens"],
             )
 
@@ -317,10 +359,41 @@ def before(tokens: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     return v, x
 
 
+def ask_names(block: int, tokens: bytes, model: Model) -> Iterator[Row]:
+    """A block's words to the buckets of their hashes, to be numbered."""
+    k = thaw(tokens)
+    for to, on in _by_word_bucket(k["h"], model):
+        yield "ask", to, block, freeze(h=k["h"][on], n=k["n"][on]), 0.0, 0.0
+
+
+def name_words(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
+    """Numbers for a bucket's words, the frequent ones first, so that most numbers are small."""
+    asked = [(r[2], thaw(r[3])) for r in rows]
+    words, place = np.unique(np.concatenate([a["h"] for _, a in asked]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([a["n"] for _, a in asked]))
+    number = np.empty(len(words), np.int64)
+    number[np.lexsort((words, -n))] = np.arange(len(words)) * model.buckets + at
+    cuts = np.cumsum([0, *(len(a["h"]) for _, a in asked)])
+    for (block, _), i, j in zip(asked, cuts[:-1], cuts[1:], strict=True):
+        yield "named", block, at, freeze(number=number[place[i:j]]), 0.0, 0.0
+
+
+def rename_block(tokens: bytes, named: dict[int, bytes], model: Model) -> bytes:
+    """A block's tokens as places in the ascending numbers of its words."""
+    k = thaw(tokens)
+    number = np.empty(len(k["h"]), np.int64)
+    for to, on in _by_word_bucket(k["h"], model):
+        number[on] = thaw(named[to])["number"]
+    order = np.argsort(number)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return freeze(words=number[order], tokens=place[k["tokens"]], end=place[np.searchsorted(k["h"], _END)])
+
+
 def _read_block(texts: bytes, tokens: bytes) -> tuple[np.ndarray, ...]:
     """(words, v, x, w, number of the text, held out) of a block's tokens."""
     t, k = thaw(texts), thaw(tokens)
-    v, x = before(k["tokens"], t["sizes"], int(np.searchsorted(k["words"], _END[0])))
+    v, x = before(k["tokens"], t["sizes"], int(k["end"][0]))
     row = np.repeat(np.arange(len(t["sizes"])), t["sizes"])
     return k["words"], v, x, k["tokens"], row, t["held"][row] > 0
 
@@ -339,7 +412,7 @@ def _heavy(share: float):
                 pair, k = np.unique(pair_key(words[v[on]], words[x[on]]), return_counts=True)
                 keep = k >= least
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([words[big], pair[keep]]).view(np.int64)), pa.array(np.repeat([False, True], [len(big), int(keep.sum())])), pa.array(np.concatenate([n[big], k[keep]]))],
+                    [pa.array(np.concatenate([words[big], pair[keep].view(np.int64)])), pa.array(np.repeat([False, True], [len(big), int(keep.sum())])), pa.array(np.concatenate([n[big], k[keep]]))],
                     ["key", "pair", "n"],
                 )
 
@@ -359,7 +432,7 @@ def trigram_order(v: np.ndarray, x: np.ndarray, w: np.ndarray, words: int) -> tu
 
 
 def pack_block(block: int, texts: bytes, tokens: bytes, model: Model, with_texts: bool) -> Iterator[Row]:
-    """A block's different trigrams, a row for each bucket: words, places in them, and training counts.
+    """A block's different trigrams, a row for each bucket: the numbers of their words, and training counts.
 
     With texts, also how often each stands in the block, and the numbers of the texts.
     """
@@ -376,19 +449,12 @@ def pack_block(block: int, texts: bytes, tokens: bytes, model: Model, with_texts
     if with_texts:
         row = row[order][np.argsort(np.repeat(to, n).astype(narrow), kind="stable")]
     v, x, w, c, n, to = v[by], x[by], w[by], c[by], n[by], to[by]
+    v, x, w = words[v], words[x], words[w]
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
     spans = np.concatenate([[0], np.cumsum(n)])
-    place = np.zeros(len(words), np.int64)
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        if 16 * (j - i) < len(words):
-            used = np.unique(np.concatenate([v[i:j], x[i:j], w[i:j]]))
-        else:
-            mark = np.zeros(len(words), bool)
-            mark[v[i:j]] = mark[x[i:j]] = mark[w[i:j]] = True
-            used = np.flatnonzero(mark)
-        place[used] = np.arange(len(used))
         more = {"n": n[i:j], "row": row[spans[i] : spans[j]]} if with_texts else {}
-        yield "tokens", int(to[i]), block, freeze(words=words[used], v=place[v[i:j]], x=place[x[i:j]], w=place[w[i:j]], c=c[i:j], **more), 0.0, 0.0
+        yield "tokens", int(to[i]), block, freeze(v=v[i:j], x=in_runs(v[i:j], x[i:j]), w=w[i:j], c=c[i:j], **more), 0.0, 0.0
 
 
 def _pack(model: Model, with_texts: bool):
@@ -445,9 +511,8 @@ class Bucket:
 def merge_rows(blobs: list[bytes], model: Model) -> tuple[Bucket, list[tuple[np.ndarray, dict]]]:
     """The bucket of packed rows, and for each row the trigrams that it lists (with its arrays)."""
     rows = [thaw(b) for b in blobs]
-    words = np.unique(np.concatenate([r["words"] for r in rows]))
-    to = [np.searchsorted(words, r["words"]) for r in rows]
-    v, x, w = (np.concatenate([t[r[k]] for t, r in zip(to, rows, strict=True)]) for k in "vxw")
+    x = np.concatenate([from_runs(r["v"], r["x"]) for r in rows])
+    words, (v, x, w) = local_numbers(np.concatenate([r["v"] for r in rows]), x, np.concatenate([r["w"] for r in rows]))
     order, new = trigram_order(v, x, w, len(words))
     first = np.flatnonzero(new)
     c = np.add.reduceat(np.concatenate([r["c"] for r in rows])[order], first)
@@ -828,7 +893,7 @@ def hot_keys(blocks: DataFrame, model: Model, n_all: int, most: float) -> tuple[
     """Words before, and pairs, with more than ``most`` tokens: at most n_all / most of each."""
     found = blocks.select("texts", "tokens").mapInArrow(_heavy(most / max(n_all, 1) / 4), "key long, pair boolean, n long")
     rows = found.groupBy("key", "pair").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
-    return tuple(np.sort(np.array([r.key for r in rows if r.pair == pair], np.int64).view(U64)) for pair in (False, True))
+    return np.sort(np.array([r.key for r in rows if not r.pair], np.int64)), np.sort(np.array([r.key for r in rows if r.pair], np.int64).view(U64))
 
 
 def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1, buckets: int | None = None, hot_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS, strengths: tuple[float, float, float] | None = None) -> DataFrame:
@@ -840,12 +905,26 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    blocks = stored(docs.mapInArrow(_encode(block_tokens), f"block long, ids array<{id_type}>, n_all long, n_train long, texts binary, tokens binary"), "blocks", "uncompressed")
-    n = blocks.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("all"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
+    schema = f"block long, ids array<{id_type}>, n_all long, n_train long, texts binary, tokens binary"
+    encoded = stored(docs.mapInArrow(_encode(block_tokens), schema), "encoded", "uncompressed")
+    n = encoded.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("all"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
     buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["all"] // BUCKET_TOKENS))
     most = hot_tokens or max(n["all"] / buckets / 2, 1000.0)
-    none = np.zeros(0, U64)
-    model = Model(buckets, none, none, tokens=n["train"], strengths=strengths or STRENGTHS)
+    model = Model(buckets, np.zeros(0, np.int64), np.zeros(0, U64), tokens=n["train"], strengths=strengths or STRENGTHS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, tokens in zip(b.column(0), b.column(1), strict=True):
+                yield _batch(ask_names(block.as_py(), tokens.as_py(), model))
+
+    def rename(block: pa.Table, named: pa.Table) -> pa.Table:
+        got = dict(zip(named.column("of").to_pylist(), named.column("blob").to_pylist(), strict=True))
+        tokens = pa.array([rename_block(block.column("tokens")[0].as_py(), got, model)], pa.binary())
+        return block.drop_columns(["at", "tokens"]).append_column("tokens", tokens)
+
+    named = _grouped(encoded.select("block", "tokens").mapInArrow(ask, ROW), lambda at, rows, m=model: name_words(at, rows, m))
+    blocks = stored(encoded.withColumn("at", F.col("block")).groupBy("at").cogroup(named.groupBy("at")).applyInArrow(rename, schema), "blocks", "uncompressed")
+    drop_stored(spark, encoded)
     model = replace(model, **dict(zip(("hot", "hot_pairs"), hot_keys(blocks, model, n["all"], most), strict=True)))
     hots, pairs = len(model.hot) + 1, len(model.hot_pairs)
 

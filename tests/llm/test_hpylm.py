@@ -92,25 +92,46 @@ def test_strength_fit():
 
 
 def test_freeze():
-    a = {"none": np.zeros(0, np.int64), "low": np.array([-1, 300]), "hash": np.array([1, 2**64 - 1], np.uint64), "x": np.array([1.5])}
+    a = {"none": np.zeros(0, np.int64), "low": np.array([-1, 300]), "up": np.array([3, 3, 70_000, 2**40]), "mixed": np.array([70_000, 2, -(2**20)]), "hash": np.array([1, 2**64 - 1], np.uint64), "x": np.array([1.5])}
     got = H.thaw(H.freeze(**a))
     assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in a.items())
 
 
+def test_runs():
+    v, x = np.array([1, 1, 4, 4, 4, 9]), np.array([2, 7, 0, 0, 3, 1])
+    assert H.in_runs(v, x).tolist() == [2, 5, 0, 0, 3, 1] and H.from_runs(v, H.in_runs(v, x)).tolist() == x.tolist()
+
+
+def test_local_numbers(monkeypatch):
+    a, b = np.array([5, 900, 5]), np.array([7, 5])
+    for table in (H._TABLE, 1):
+        monkeypatch.setattr(H, "_TABLE", table)
+        words, (p, q) = H.local_numbers(a, b)
+        assert words.tolist() == [5, 7, 900] and p.tolist() == [0, 2, 0] and q.tolist() == [1, 0]
+
+
 class Local:
     """A run on lists of rows instead of Spark's tables."""
 
     def __init__(self, docs, buckets=1, hot=(), pairs=(), strengths=H.STRENGTHS):
         batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([out(i) for i, _ in docs]), pa.array([t for _, t in docs], pa.string())], ["id", "held", "text"])
         self.docs = docs
-        self.blocks = [tuple(b.column(k)[0].as_py() for k in (0, 4, 5)) + (b.column(1)[0].values,) for b in H._encode(50)(iter([batch]))]
         train = sum(len(trigrams(t)) for i, t in docs if not out(i))
+        none = H.Model(buckets, np.zeros(0, np.int64), np.zeros(0, np.uint64), tokens=train, strengths=strengths)
+        encoded = [tuple(b.column(k)[0].as_py() for k in (0, 4, 5)) + (b.column(1)[0].values,) for b in H._encode(50)(iter([batch]))]
+        named = self.grouped([r for b, _, tokens, _ in encoded for r in H.ask_names(b, tokens, none)], lambda at, rows: H.name_words(at, rows, none))
+        self.blocks, self.number = [], {}
+        of_hash = {}
+        for b, texts, tokens, ids in encoded:
+            renamed = H.rename_block(tokens, {r[2]: r[3] for r in named if r[1] == b}, none)
+            old, new = H.thaw(tokens), H.thaw(renamed)
+            of_hash |= dict(zip(old["h"][old["tokens"]].tolist(), new["words"][new["tokens"]].tolist(), strict=True))
+            self.blocks.append((b, texts, renamed, ids))
+        assert len(set(of_hash.values())) == len(of_hash)
         h = lambda w: H._END[0] if w is END else H.W.split_words(*H.W.text_buffers(pa.array([w]))).hashes(lower=True)[0]
-        self.hash = {w: h(w) for _, t in docs for g in trigrams(t) for w in g}
-        self.model = H.Model(
-            buckets, np.sort(np.array([self.hash[w] for w in hot], np.uint64)), np.sort(np.array([H.pair_key(*(np.array([self.hash[w]]) for w in vx))[0] for vx in pairs], np.uint64)),
-            tokens=train, strengths=strengths,
-        )
+        self.number = {w: of_hash[int(h(w))] for _, t in docs for g in trigrams(t) for w in g}
+        at = lambda w: np.array([self.number[w]])
+        self.model = replace(none, hot=np.sort(np.array([self.number[w] for w in hot], np.int64)), hot_pairs=np.sort(np.array([H.pair_key(at(v), at(x))[0] for v, x in pairs], np.uint64)))
         counted = self.grouped(self.packed(False), lambda at, rows: H.count_bucket(at, rows, self.model))
         n = len(self.model.hot_pairs)
         self.model = replace(self.model, pair_c=self.sums(counted, "pair", n)[0], pair_t=self.sums(counted, "pair", n)[1])
@@ -154,8 +175,8 @@ class Local:
 
     def tables(self):
         """({(x, v, w): t}, {(v, w): t}, {w: t}) of the state as it is, by words."""
-        name = {int(h): w for w, h in self.hash.items()}
-        at = lambda hashes: [name[int(h)] for h in hashes]
+        name = {n: w for w, n in self.number.items()}
+        at = lambda numbers: [name[int(n)] for n in numbers]
         two, one, root = {}, {}, {}
         states = {r[1]: H.thaw(r[3]) for r in self.state if r[0] == "state"}
         packed = defaultdict(list)
@@ -288,7 +309,7 @@ def test_samples_follow_the_posterior(buckets, hot, pairs, monkeypatch):
                 for key, t in zip([*two, *one, *root], [*t2, *t1, *t0], strict=True):
                     sums[key] += w * t
     run = Local(docs, buckets, hot, pairs, strengths)
-    seen, n = Counter(), 3000
+    seen, n = Counter(), 1500
     for i in range(n):
         run.sweep(i)
         a, b, c = run.tables()
@@ -296,7 +317,7 @@ def test_samples_follow_the_posterior(buckets, hot, pairs, monkeypatch):
             seen[key] += t
     for key in [*two, *one, *root]:
         # buckets that draw side by side see each other's tables a sweep late
-        assert seen[key] / n == pytest.approx(sums[key] / total, rel=0.03 if buckets == 1 else 0.08), key
+        assert seen[key] / n == pytest.approx(sums[key] / total, rel=0.05 if buckets == 1 else 0.08), key
 
 
 def test_on_spark_as_locally(spark):
