@@ -74,7 +74,7 @@ def xlsx_to_text(blob: bytes) -> str:
     from sparkloom.sources.readers import xlsx_rows, xlsx_sheets
 
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
-        rows = ["\t".join(r) for part in xlsx_sheets(z).values() for r in xlsx_rows(z, part)]
+        rows = ["\t".join("" if v is None else str(v) for v in r) for part in xlsx_sheets(z).values() for r in xlsx_rows(z, part)]
     return "\n".join(rows)
 
 

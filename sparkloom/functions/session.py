@@ -33,6 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def file_system(path: str):
+    """(Arrow's file system, the path there) of a local path or a URI, as Hadoop or others write it."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        path = path.removeprefix("file:").removeprefix("//")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, in the folder of spark.checkpoint.dir.
 

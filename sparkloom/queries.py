@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,10 +15,14 @@ from sparkloom.functions.htmltext import html_text
 from sparkloom.functions.template import render, variables_of
 from sparkloom.functions.values import col
 from sparkloom.operators import generate, judge, merge, profile, runs, table
-from sparkloom.operators.enrich import EchoModel, Response, fetch_units, synth_units, unit_rows
+from sparkloom.operators.enrich import UNIT, EchoModel, Response, fetch_units, synth_units, unit_rows, usage
 from sparkloom.operators.order import POS, TRACE, dense, visible, with_positions
+from sparkloom.plans.graph import Graph
+from sparkloom.plans.lineage import propagate
+from sparkloom.plans.rewrites import prompt_users
 from sparkloom.plans.runner import Resources, Runner
-from sparkloom.sources import datasets, readers, sinks
+from sparkloom.sources import datasets, packages, readers, sinks
+from sparkloom.sources.samples import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +299,26 @@ def http_stub_poll(spark, sf_dir):
     return jsonpath.extract(unit_rows(units, "http", "body"), "body", {"asked": "asked"}).select("event_id", "asked")
 
 
+class _OddReplies:
+    """Records for most ids; something that isn't an array, or isn't JSON, for some."""
+
+    def fetch(self, request):
+        key = int(request["url"].rsplit("/", 1)[1])
+        records = [{"n": key}, {"n": key + 1}]
+        return Response(200, "<html>busy</html>" if key % 7 == 0 else json.dumps({"items": {"n": key} if key % 5 == 0 else records}))
+
+
+@_query("SELECT event_id, CAST(event_id + i AS VARCHAR) AS n FROM events, range(2) t(i) WHERE event_id % 7 <> 0 AND event_id % 5 <> 0")
+def http_bad_replies(spark, sf_dir):
+    """Replies that aren't records fail their own row and no other."""
+    graph = {
+        "nodes": [{"id": "in", "type": "input", "config": {"dataset_ids": ["d"]}}, {"id": "web", "type": "http_fetch", "config": {"endpoint": "http://jobs.invalid/{{event_id}}", "records_path": "items", "extract": {"n": "n"}, "retries": 0}}, {"id": "out", "type": "output", "config": {}}],
+        "edges": [{"source": "in", "target": "web"}, {"source": "web", "target": "out"}],
+    }
+    events = _t(spark, sf_dir, "events", "event_id").select("event_id", POS)
+    return Runner(spark, Resources({"d": events}, fetcher=_OddReplies())).run(graph).frames["out"].select("event_id", "n")
+
+
 # judging and generation
 
 
@@ -409,9 +434,8 @@ def rerun_failed(spark, sf_dir):
 
 @_query("SELECT event_type, count(*) FILTER (value >= 5) AS done, count(*) FILTER (value < 5) AS failed, coalesce(sum(CASE WHEN value >= 5 THEN length(props) END), 0)::BIGINT AS tokens FROM events GROUP BY event_type")
 def token_sums(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    ok = F.col("value") >= 5
-    return e.groupBy("event_type").agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, F.length("props"))), F.lit(0)).cast("bigint").alias("tokens"))
+    used = F.struct(F.when(F.col("value") >= 5, "done").otherwise("failed").alias("status"), F.length("props").cast("bigint").alias("prompt_tokens"), F.lit(0).cast("bigint").alias("completion_tokens"))
+    return usage(_t(spark, sf_dir, "events").withColumn(UNIT, used), "event_type").select("event_type", "done", "failed", F.col("prompt_tokens").alias("tokens"))
 
 
 @_query(f"SELECT node_id, status, count(*) AS n FROM {_UNITS} GROUP BY ALL")
@@ -517,6 +541,112 @@ def shards_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("bigint").alias("dims"))
 
 
+@_query("SELECT event_id, event_type, value, event_id % 2 = 0 AS even, [event_id, user_id] AS both FROM events WHERE event_id < 500")
+def jsonl_inferred(spark, sf_dir):
+    """Types are found from all lines."""
+    path = _folder(spark, "inferred")
+    rows = _t(spark, sf_dir, "events").where("event_id < 500")
+    sinks.write_jsonl(rows.select("event_id", "event_type", "value", (F.col("event_id") % 2 == 0).alias("even"), F.array("event_id", "user_id").alias("both")), path)
+    return readers.read_jsonl(spark, path)
+
+
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def json_array_scan(spark, sf_dir):
+    path = _folder(spark, "array")
+    rows = _t(spark, sf_dir, "region").select(F.struct("r_regionkey", "r_name").alias("r"))
+    rows.agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(path)
+    return readers.read_json(spark, path).select("r_regionkey", "r_name")
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, CAST(n_regionkey AS VARCHAR) AS c FROM nation")
+def csv_duplicate_headers(spark, sf_dir):
+    path = _folder(spark, "headers")
+    lines = _t(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", F.lit("dropped")).alias("value"))
+    spark.createDataFrame([("x,x,x.1",)], "value string").coalesce(1).write.text(f"{path}/head")
+    whole = spark.read.text(f"{path}/head").unionByName(lines).coalesce(1)
+    whole.write.text(f"{path}/all")
+    return table.rename(readers.read_csv(spark, f"{path}/all"), {"x": "a", "x.1": "b", "x.1.1": "c"})
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '\"quoted\"' AS note FROM customer")
+def csv_open_lines(spark, sf_dir):
+    """Cells with newlines: the reader finds them and doesn't split the files."""
+    path = _folder(spark, "open")
+    sinks.write_csv(_t(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"quoted"')).alias("note")), path)
+    return readers.read_csv(spark, path)
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_nationkey % 2 = 0 AS even, n_nationkey / 4.0 AS part FROM nation")
+def xlsx_round_trip(spark, sf_dir):
+    """Cells keep their types."""
+    path = f"{_folder(spark, 'book')}.xlsx"
+    rows = _t(spark, sf_dir, "nation", "n_nationkey")
+    sinks.write_xlsx(rows.select("n_nationkey", "n_name", (F.col("n_nationkey") % 2 == 0).alias("even"), (F.col("n_nationkey") / 4).alias("part"), POS), path)
+    return readers.read_xlsx(spark, path)["Sheet1"]
+
+
+@_query("SELECT CAST(n + 1 AS BIGINT) AS file_row, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n BETWEEN 201 AND 300")
+def page_scan(spark, sf_dir):
+    """The third page of a stored version: the row numbers are in its files."""
+    catalog = datasets.Catalog(spark, _folder(spark, "pages"))
+    catalog.write("orders", datasets.numbered(_t(spark, sf_dir, "orders", "o_orderkey")))
+    return datasets.page(catalog.read("orders"), 3, 100).select(F.col("_file_row").cast("bigint").alias("file_row"), "o_orderkey")
+
+
+@_query("""SELECT file_row, n_name FROM (SELECT n_nationkey + 2 AS file_row, n_name, sum(length(n_name) + 13) OVER (ORDER BY n_nationkey) AS so_far, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE n_nationkey BETWEEN 3 AND 20)
+WHERE so_far <= 150 OR r = 1""")
+def character_budget(spark, sf_dir):
+    """Rows of a range up to so many characters of their JSON."""
+    rows = datasets.numbered(_t(spark, sf_dir, "nation", "n_nationkey"))
+    got, _ = datasets.read_range(rows, 5, 22, ["n_name"], max_chars=150)
+    return got.select(F.col("_file_row").cast("bigint").alias("file_row"), "n_name")
+
+
+@_query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def package_round_trip(spark, sf_dir):
+    folder = _folder(spark, "package")
+    with tempfile.TemporaryDirectory() as local:  # a package is one file of the driver's; its rows are unpacked to the shared folder
+        packages.export_package(f"{local}/p.zip", {"nodes": [], "edges": []}, {"s": _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")})
+        return packages.import_package(spark, f"{local}/p.zip", folder)[1]["s"]
+
+
+_GRAPH = {
+    "nodes": [
+        {"id": "in", "type": "input", "config": {"dataset_ids": ["d"]}},
+        {"id": "clean", "type": "auto_process", "config": {"operations": [{"op": "rename", "mapping": {"a": "b", "b": "a"}}, {"op": "concat", "target": "ab", "columns": ["a", "b"]}], "drop_columns": ["c"]}},
+        {"id": "llm", "type": "llm_synth", "config": {"output_column": "said", "user_prompt_ref": 7}},
+        {"id": "qc", "type": "qc", "config": {"user_prompt_ref": 7, "system_prompt_ref": 8}},
+        {"id": "out", "type": "output", "config": {"drop_columns": ["qc_feedback"]}},
+    ],
+    "edges": [{"source": a, "target": b} for a, b in (("in", "clean"), ("in", "llm"), ("clean", "qc"), ("llm", "qc"), ("qc", "out"))],
+}
+
+
+@_query("SELECT * FROM (VALUES ('in', 'a,b,c'), ('clean', 'b,a,ab'), ('llm', 'a,b,c,said'), ('qc', 'b,a,ab,c,said,qc_status,qc_feedback'), ('out', 'b,a,ab,c,said,qc_status')) t(node, columns)")
+def lineage_columns(spark, sf_dir):
+    got = propagate(Graph.parse(_GRAPH), {"d": ["a", "b", "c"]})
+    return session.prepare(spark).createDataFrame([(n, ",".join(x["output"])) for n, x in got.items()], "node string, columns string")
+
+
+@_query("""WITH RECURSIVE e(a, b) AS (VALUES ('in', 'clean'), ('in', 'llm'), ('clean', 'qc'), ('llm', 'qc'), ('qc', 'out')),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS ancestor, b AS descendant FROM r""")
+def reachability(spark, sf_dir):
+    g = Graph.parse(_GRAPH)
+    down = {(n.id, d) for n in g.nodes for d in g.descendants(n.id)}
+    assert down == {(a, n.id) for n in g.nodes for a in g.ancestors(n.id)}
+    return session.prepare(spark).createDataFrame(sorted(down), "ancestor string, descendant string")
+
+
+@_query("SELECT * FROM (VALUES ('g', 'llm'), ('g', 'qc')) t(graph, node)")
+def prompt_used_by(spark, sf_dir):
+    return session.prepare(spark).createDataFrame(prompt_users({"g": Graph.parse(_GRAPH)}, "7"), "graph string, node string")
+
+
+@_query("SELECT 'What is ' || i || ' plus ' || (i * 7 % 10) || '?' AS question, CAST(i + i * 7 % 10 AS VARCHAR) AS answer FROM range(20) t(i)")
+def sample_dataset(spark, sf_dir):
+    return visible(samples(session.prepare(spark))["sums"])
+
+
 @_query(r"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(replace(

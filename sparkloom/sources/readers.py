@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sparkloom.functions.session import file_system
 from sparkloom.functions.values import col
 
 #: Bytes that decide the encoding, and that hold the header.
@@ -69,12 +71,19 @@ def csv_header(head: bytes, encoding: str) -> list[str]:
     return distinct_names(next(csv.reader(io.StringIO(text, newline="")), []))
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def has_open_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a cell of a CSV file holds a newline: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text; short rows are filled with empty texts, further cells are dropped.
 
-    A file whose cells may hold newlines is read by one task; say multi_line
-    False for large files without such cells, and they are split.  GBK files are
-    decoded in Python, a file a task, as Spark's reader has no such charset.
+    Files are split among tasks, unless cells hold newlines: then a file is read
+    by one task.  Without multi_line, a pass over the lines finds out which.  GBK
+    files are decoded in Python, a file a task, as Spark's reader has no such
+    charset.
     """
     head = probe(spark, path)
     kind = encoding_of(head)
@@ -83,6 +92,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         raise ValueError(f"{path} has no header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if kind == "UTF-8":
+        multi_line = has_open_lines(spark, path) if multi_line is None else multi_line
         df = spark.read.schema(schema).options(header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
     else:
         def rows(batches):
@@ -156,86 +166,138 @@ def xlsx_sheets(book: zipfile.ZipFile) -> dict[str, str]:
     return out
 
 
-def xlsx_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str]]:
-    """The cells of each row that has any, as texts."""
+#: The numbers of built-in formats that show a date, a time or both.
+DATE_FORMATS = frozenset({*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)})
+
+
+def _shows_dates(code: str) -> bool:
+    """Whether a number format has a date's or a time's letters outside of quotes and brackets."""
+    bare = re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code, flags=re.I)
+    return bool(re.search(r"[ymdhs]", bare, re.I)) and bare.lower() != "general"
+
+
+def date_styles(book: zipfile.ZipFile) -> tuple[frozenset[int], dt.datetime]:
+    """(styles of cells that show dates, the day that counts as 0)."""
+    new = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+    zero = dt.datetime(1904, 1, 1) if new is not None and new.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
+    if "xl/styles.xml" not in book.namelist():
+        return frozenset(), zero
+    root = ET.fromstring(book.read("xl/styles.xml"))
+    own = {int(n.get("numFmtId")) for n in root.iter(f"{_NS}numFmt") if _shows_dates(n.get("formatCode", ""))}
+    cells = root.find(f"{_NS}cellXfs")
+    return frozenset(i for i, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own), zero
+
+
+def _number(text: str) -> int | float:
+    return int(text) if re.fullmatch(r"-?\d+", text) else float(text)
+
+
+def xlsx_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[object]]:
+    """The cells of each row that has any: texts, numbers, truth values, dates as texts, None where there is nothing."""
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml"))]
+    dates, zero = date_styles(book)
     with book.open(part) as f:
         for _, el in ET.iterparse(f):
             if el.tag != f"{_NS}row":
                 continue
-            row: list[str] = []
+            row: list[object] = []
             for c in el.iter(f"{_NS}c"):
                 at = _column_number(c.get("r")) if c.get("r") else len(row)
                 kind, v = c.get("t"), c.find(f"{_NS}v")
+                value: object = None
                 if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
-                elif v is None or v.text is None:
-                    text = ""
-                elif kind == "s":
-                    text = shared[int(v.text)]
-                elif kind == "b":
-                    text = "True" if v.text == "1" else "False"
-                else:
-                    text = v.text
-                row += [""] * (at - len(row)) + [text]
+                    value = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                elif v is not None and v.text is not None:
+                    if kind == "s":
+                        value = shared[int(v.text)]
+                    elif kind == "b":
+                        value = v.text == "1"
+                    elif kind in ("str", "e", "d"):
+                        value = v.text
+                    else:
+                        value = _number(v.text)
+                        if int(c.get("s", 0)) in dates:
+                            at_time = zero + dt.timedelta(seconds=round(value * 86400))
+                            value = str(at_time.time() if 0 <= value < 1 else at_time)
+                row += [None] * (at - len(row)) + [value]
             el.clear()
-            if any(row):
+            if any(x not in (None, "") for x in row):
                 yield row
 
 
+def column_types(rows: Iterator[list[object]], names: list[str]) -> T.StructType:
+    """The narrowest type of each column: truth values, whole numbers, numbers, else texts."""
+    seen: list[set[type]] = [set() for _ in names]
+    for r in rows:
+        for kinds, v in zip(seen, r, strict=False):
+            if v is not None:
+                # numbers beyond 64 bits stay texts
+                kinds.add(str if isinstance(v, int) and not -(2**63) <= v < 2**63 else type(v))
+
+    def kind(kinds: set[type]) -> T.DataType:
+        if kinds == {bool}:
+            return T.BooleanType()
+        if kinds == {int}:
+            return T.LongType()
+        return T.DoubleType() if kinds in ({float}, {int, float}) else T.StringType()
+
+    return T.StructType([T.StructField(n, kind(k)) for n, k in zip(names, seen, strict=True)])
+
+
+def _as(value: object, kind: T.DataType) -> object:
+    if isinstance(kind, T.StringType):
+        return "" if value is None else str(value)
+    return float(value) if isinstance(kind, T.DoubleType) and value is not None else value
+
+
 class _XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str, names: list[str]):
-        self.path, self.sheet, self.names = path, sheet, names
+    def __init__(self, path: str, sheet: str, schema: T.StructType):
+        self.path, self.sheet, self.schema = path, sheet, schema
 
     def partitions(self):
         return [InputPartition(self.sheet)]
 
     def read(self, partition):
-        import pyarrow.fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(self.path)
+        kinds = [f.dataType for f in self.schema.fields]
+        fs, path = file_system(self.path)
         with fs.open_input_file(path) as f, zipfile.ZipFile(f) as book:
             rows = xlsx_rows(book, xlsx_sheets(book)[partition.value])
             next(rows, None)
             for r in rows:
-                yield tuple((r + [""] * len(self.names))[: len(self.names)])
+                yield tuple(_as(v, k) for v, k in zip((r + [None] * len(kinds))[: len(kinds)], kinds, strict=True))
 
 
 class XlsxSource(DataSource):
-    """``spark.read.format("xlsx_table").option("path", uri).option("sheet", name)``: a sheet, cells as text."""
+    """``spark.read.format("xlsx_table").option("path", path).option("sheet", name)``: a sheet with its cells' types.
+
+    Types are found by reading the sheet once, at most 1,048,576 rows, a row at a time.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "xlsx_table"
 
-    def _names(self) -> list[str]:
-        import pyarrow.fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(self.options["path"])
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as book:
-            return distinct_names(next(xlsx_rows(book, xlsx_sheets(book)[self.options["sheet"]]), []))
-
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(n, T.StringType()) for n in self._names()])
+        fs, path = file_system(self.options["path"])
+        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as book:
+            rows = xlsx_rows(book, xlsx_sheets(book)[self.options["sheet"]])
+            return column_types(rows, distinct_names(["" if n is None else str(n) for n in next(rows, [])]))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _XlsxReader(self.options["path"], self.options["sheet"], schema.fieldNames())
+        return _XlsxReader(self.options["path"], self.options["sheet"], schema)
 
 
 def read_xlsx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A table for each sheet that has a header and at least one row."""
-    import pyarrow.fs as pafs
-
     if path.lower().endswith(".xls"):
         raise ValueError("the old .xls format isn't supported")
-    uri = path if "://" in path else f"file://{path}"
     spark.dataSource.register(XlsxSource)
-    fs, local = pafs.FileSystem.from_uri(uri)
+    fs, local = file_system(path)
     with fs.open_input_file(local) as f, zipfile.ZipFile(f) as book:
         full = [name for name, part in xlsx_sheets(book).items() if sum(1 for _, _ in zip(range(2), xlsx_rows(book, part))) == 2]
-    return {s: spark.read.format("xlsx_table").option("path", uri).option("sheet", s).load() for s in full}
+    return {s: spark.read.format("xlsx_table").option("path", path).option("sheet", s).load() for s in full}
 
 
 def read_any(spark: SparkSession, path: str) -> dict[str, DataFrame]:

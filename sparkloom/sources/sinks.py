@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.session import file_system
 from sparkloom.functions.values import col, finite, text_of
 from sparkloom.operators.order import POS, user_columns, visible
 
@@ -65,8 +66,14 @@ def _cell(v: object) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
+def _created(path: str):
+    """A new file at a local path or a URI."""
+    fs, at = file_system(path)
+    return fs.open_output_stream(at, compression=None)
+
+
 def write_xlsx(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> None:
-    """A workbook on the driver's disk, row by row; a new sheet when one is full.
+    """A workbook at a local path or a URI, row by row; a new sheet when one is full.
 
     A workbook is one file, so rows stream through the driver, a partition at a
     time; use Parquet or CSV for large tables.
@@ -88,13 +95,17 @@ def write_xlsx(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> None:
         f.write(b"</sheetData></worksheet>")
         f.close()
 
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    with _created(path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
         for row in flat.toLocalIterator(prefetchPartitions=True):
             if not left:
                 if out:
                     end(out)
                 out, left = begin(z), sheet_rows
-            out.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+            try:
+                out.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+            except ValueError:
+                out.close()  # else the error would be lost behind that of closing the book
+                raise
             left -= 1
         end(out or begin(z))
         rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

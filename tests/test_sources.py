@@ -47,13 +47,33 @@ def test_json(spark, tmp_path):
     assert readers.read_json(spark, put(tmp_path, "b.json", '{"x": 1}')).count() == 1
 
 
+def test_csv_files_are_split_unless_cells_hold_newlines(spark, tmp_path):
+    assert not readers.has_open_lines(spark, put(tmp_path, "a.csv", 'a,b\n"say ""hi""",2\n'))
+    assert readers.has_open_lines(spark, put(tmp_path, "b.csv", 'a,b\n"x ""\ny",2\n'))
+    assert cells(readers.read_csv(spark, put(tmp_path, "c.csv", 'a,b\n"say ""hi""",2\n'))) == [('say "hi"', "2")]
+
+
+def test_xlsx_dates_and_mixed_columns(tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {main}/>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;d&quot;"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("s.xml", f'<worksheet {main}><sheetData><row><c s="1"><v>45292</v></c><c s="2"><v>45292.5</v></c><c s="3"><v>3.5</v></c><c s="1"><v>0.25</v></c><c t="e"><v>#N/A</v></c></row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "d.xlsx") as z:
+        assert list(readers.xlsx_rows(z, "s.xml")) == [["2024-01-01 00:00:00", "2024-01-01 12:00:00", 3.5, "06:00:00", "#N/A"]]
+    rows = [[1, True, 2, "x", None, 2**70], [2, None, 2.5, 7, None, 1]]
+    assert [f.dataType.simpleString() for f in readers.column_types(iter(rows), list("abcdef")).fields] == ["bigint", "boolean", "double", "string", "string", "string"]
+
+
 def test_xlsx_round_trip(spark, tmp_path):
     df = with_positions(spark.createDataFrame([(0, "007", True, None), (1, "a\x01<b>", False, 2.5)], "i bigint, t string, f boolean, x double"), "i")
     path = str(tmp_path / "book.xlsx")
     sinks.write_xlsx(df, path, sheet_rows=1)
     sheets = readers.read_xlsx(spark, path)
     assert list(sheets) == ["Sheet1", "Sheet2"]
-    assert cells(sheets["Sheet1"]) == [("0", "007", "True", "")] and cells(sheets["Sheet2"]) == [("1", "a<b>", "False", "2.5")]
+    assert cells(sheets["Sheet1"]) == [(0, "007", True, "")] and cells(sheets["Sheet2"]) == [(1, "a<b>", False, 2.5)]
+    with pytest.raises(ValueError, match="characters"):
+        sinks.write_xlsx(spark.range(1).select(F.repeat(F.lit("x"), 40_000).alias("t")), str(tmp_path / "long.xlsx"))
     assert list(readers.read_any(spark, path)) == ["book-Sheet1", "book-Sheet2"]
     with pytest.raises(ValueError):
         readers.read_xlsx(spark, "old.xls")
