@@ -554,3 +554,49 @@ def test_variants_of_one_text(spark, seed, percent):
     docs = list(enumerate(texts))
     got = {r.id: r.component for r in minhash.near_duplicates(frame(spark, docs), percent=percent, bands=64, rows=2 if percent == 60 else 4).collect()}
     assert [got[i] for i, _ in docs] == components(docs, percent)
+
+
+@pytest.fixture(scope="module")
+def long_text():
+    """A text several times as long as what is hashed at once, with a passage of its own twice."""
+    rng = __import__("random").Random(9)
+    w = [f"q{rng.randrange(10**7)}é" for _ in range(150_000)]
+    w[100_000:100_040] = w[10:50]
+    return w
+
+
+def test_a_very_long_text(spark, long_text):
+    from sparkloom.llm import words as W
+
+    text = " ".join(long_text)
+    assert len(text.encode()) > 2 * W.SLICE_BYTES
+    df = frame(spark, [(1, text), (2, text), (3, " ".join(long_text[:60])), (4, "short")], 2)
+    n = len(long_text)
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_report(df).collect()}
+    assert cut == {1: (n, n), 2: (n, n), 3: (60, 60), 4: (1, 0)}
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicate_report(df).collect()}
+    assert near[1] == near[2] == (len({tuple(long_text[i : i + 5]) for i in range(n - 4)}), 1) and near[3][1] == 3
+    base = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.quality_rules(df).collect()}
+    assert base[1] == (n, 80) and base[3] == (60, 0)
+    scored = {r.doc_id: r for r in hpylm.train_and_score(df, buckets=3).collect()}
+    assert scored[1].n_tokens == n + 1 and scored[1].score == pytest.approx(scored[2].score) and math.isfinite(scored[1].score)
+    got = defaultdict(int)
+    for r in packing.pack_documents(df).collect():
+        got[r.doc_id] += r.length
+    sections = {r.doc_id: r.n_tokens for r in tokens.section_tokens(df).collect()}
+    assert all(got[i] == sections[i] + 1 for i in (1, 2, 3, 4))
+    items = spark.createDataFrame([(7, " ".join(long_text[70_000:70_030]))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.contamination_report(df, items).collect()} == {(1, 7, 1.0), (2, 7, 1.0)}
+
+
+def test_hashes_do_not_depend_on_slices(monkeypatch):
+    import pyarrow as pa
+
+    from sparkloom.llm import words as W
+
+    w = W.split_words(*W.text_buffers(pa.array(["one Two  three", None, "x" * 300 + " é y", ""])))
+    whole = [w.hashes(), w.hashes(lower=True)]
+    monkeypatch.setattr(W, "SLICE_BYTES", 4)
+    monkeypatch.setattr(W, "KEPT_POWERS", 8)
+    monkeypatch.setattr(W, "_powers", {})
+    assert all((a == b).all() for a, b in zip(whole, [w.hashes(), w.hashes(lower=True)], strict=True))
