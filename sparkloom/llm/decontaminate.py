@@ -29,7 +29,10 @@ seed's place in the item.
 Words are lower-cased runs of letters and digits.  Defined cases: null or empty
 texts match nothing; items of so few words that one of them would do for a match
 (one or two words) have their whole sequence as the seed and match texts that
-are nothing else; documents that repeat give a match each; ids may be null.
+are nothing else; documents that repeat give a match each; ids may be null.  Of
+places with equally rare n-grams the earlier is rarer.  A very long text is read
+whole by one task, which needs some 100 bytes a word.  Extra columns take no
+part, whatever their names; ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import stored
+from .skew import join_dealt
 
 MIN_SCORE = 0.5
 BROADCAST_GRAMS = 1_000_000
@@ -239,6 +244,7 @@ def _align_pairs(min_score: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found, score, hits = [], [], []
             for i in range(b.num_rows):
                 one = [W.split_words(*W.text_buffers(b.column(c).slice(i, 1)), alnum=True) for c in (4, 5)]
                 h, item = one[0].hashes(), one[1].hashes()
@@ -246,7 +252,11 @@ def _align_pairs(min_score: float):
                 todo = [(0, 0, max(0, a), min(len(h), z)) for a, z in regions_of(d, len(item), drift(len(item), min_score))]
                 s = scores(h, item, todo).get(0, 0) / (MATCH * len(item))
                 if s >= min_score:
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in range(3)), pa.array([s]), pa.array([len(d)], pa.int64())], ["id", "th", "item", "score", "n_hits"])
+                    found.append(i)
+                    score.append(s)
+                    hits.append(len(d))
+            pick = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in range(3)), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], ["id", "th", "item", "score", "n_hits"])
 
     return run
 
@@ -267,7 +277,9 @@ def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         known = docs.select("text").mapInArrow(_count_known(table, short), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     else:
         doc_grams = docs.mapInArrow(_gram_rows(short), f"id {doc_type}, th long, place long, gram long, n_words long")
-        known = docs.select("text").mapInArrow(_grams_of_rows(short), "gram long").join(distinct, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        # summed before the join, so that a common n-gram doesn't gather
+        counts = docs.select("text").mapInArrow(_grams_of_rows(short), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        known = stored(counts.join(distinct, "gram"), "known")
     # places whose n-grams no document has are the rarest; they take part in the choice and give no seed
     ranked = item_grams.join(known, "gram", "left").na.fill(0, ["df"]).withColumn("weight", F.sum("df").over(Window.partitionBy("id", "th", "place")))
     rarest = Window.partitionBy("id", "th").orderBy("weight", "place")
@@ -285,7 +297,9 @@ def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         shared = spark.sparkContext.broadcast(Items([k[0] for k in names], words, np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([number[r.id, r.th] for r in rows], np.int64), np.array([r.place for r in rows], np.int64)))
         found = docs.mapInArrow(_match(shared, short, min_score), schema)
     else:
-        hits = doc_grams.join(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "gram")
+        seeds = stored(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "seeds")
+        weights = stored(known.join(seeds.select("gram").distinct(), "gram"), "weights")
+        hits = join_dealt(doc_grams.drop("n_words"), seeds, ["gram"], F.xxhash64("id", "th", "place"), weights, "df")
         pairs = hits.groupBy("id", "th", "item", "item_th").agg(F.collect_set(F.struct("place", "at")).alias("hits"))
         pairs = pairs.withColumn("diagonals", F.expr("transform(hits, x -> x.place - x.at)")).drop("hits")
         pairs = pairs.join(docs.select(F.col("id").alias("d"), F.col("th").alias("dt"), F.col("text").alias("dtext")), [F.col("id").eqNullSafe(F.col("d")), F.col("th") == F.col("dt")])
