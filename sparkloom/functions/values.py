@@ -31,8 +31,16 @@ def _float_text(c: Column) -> Column:
     high = F.concat(F.substring(whole, F.lit(1), e + 1), F.lit("."), F.when(F.length(digits) > e + 1, F.substring(digits, e + 2, F.lit(40))).otherwise("0"))
     low = F.concat(F.lit("0.000"), digits)
     exponent = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
-    special = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf")))
-    return F.coalesce(special, F.when(e.isNull(), s).when((e >= 0) & (e < 16), F.concat(sign, high)).when(e == -4, F.concat(sign, low)).otherwise(F.concat(sign, exponent)))
+    infinite = F.abs(c) == float("inf")
+    # most numbers have no exponent: for these nothing else is worked out
+    return (
+        F.when(F.isnan(c), "nan")
+        .when(infinite, F.concat(sign, F.lit("inf")))
+        .when(~F.contains(s, F.lit("E")), s)
+        .when((e >= 0) & (e < 16), F.concat(sign, high))
+        .when(e == -4, F.concat(sign, low))
+        .otherwise(F.concat(sign, exponent))
+    )
 
 
 def text_of(c: Column, kind: T.DataType, null: str | None = "None") -> Column:
