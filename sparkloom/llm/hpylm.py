@@ -62,12 +62,14 @@ DISCOUNT = 0.5
 #: The strengths among which a level's is drawn; the prior is even on them.
 GRID = np.geomspace(0.02, 2000.0, 26)
 STRENGTHS = (10.0, 2.0, 1.0)
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 2
 PARTS = 4
 #: Bounds of a block: tokens, and texts (their numbers are kept in 16 bits).
 BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 60_000
 #: Tokens for each bucket, about.
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_300_000
+#: Buckets of words before for each bucket of words.
+WORDS_SHARE = 6
 #: Counts up to which a conditional is worked out in full; beyond it, where its mass is.
 FULL = 1 << 18
 _CELLS = 400_000
@@ -270,8 +272,13 @@ class Model:
     pair_c: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((W.mix(h.astype(U64) ^ U64(0x27D4EB2F165667C5)) >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
+    @property
+    def word_buckets(self) -> int:
+        """Buckets of words, fewer than those of words before: what they hear is far less, and rows of both meet."""
+        return -(-self.buckets // WORDS_SHARE)
+
+    def bucket(self, h: np.ndarray, buckets: int | None = None) -> np.ndarray:
+        return ((W.mix(h.astype(U64) ^ U64(0x27D4EB2F165667C5)) >> U64(32)) * U64(buckets or self.buckets) >> U64(32)).astype(np.int64)
 
     def hot_number(self, words: np.ndarray) -> np.ndarray:
         """1, 2, ... for hot words, else 0."""
@@ -372,7 +379,7 @@ def name_words(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
     words, place = np.unique(np.concatenate([a["h"] for _, a in asked]), return_inverse=True)
     n = np.bincount(place, np.concatenate([a["n"] for _, a in asked]))
     number = np.empty(len(words), np.int64)
-    number[np.lexsort((words, -n))] = np.arange(len(words)) * model.buckets + at
+    number[np.lexsort((words, -n))] = np.arange(len(words)) * model.word_buckets + at
     cuts = np.cumsum([0, *(len(a["h"]) for _, a in asked)])
     for (block, _), i, j in zip(asked, cuts[:-1], cuts[1:], strict=True):
         yield "named", block, at, freeze(number=number[place[i:j]]), 0.0, 0.0
@@ -543,7 +550,7 @@ def structure(words: np.ndarray, v: np.ndarray, x: np.ndarray, w: np.ndarray, c:
 
 
 def _by_word_bucket(w: np.ndarray, model: Model) -> Iterator[tuple[int, np.ndarray]]:
-    to = model.bucket(w)
+    to = model.bucket(w, model.word_buckets)
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]])) if len(w) else []
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -847,8 +854,8 @@ def sum_block(ids: pa.Array, texts: bytes, blobs: Iterable[bytes], id_name: str,
 # -- the run
 
 
-def _grouped(df: DataFrame, work) -> DataFrame:
-    """work(at, rows) on all rows of each bucket."""
+def _grouped(df: DataFrame, parts: int, work) -> DataFrame:
+    """work(at, rows) on all rows of each bucket; there are about ``parts`` of them."""
 
     def run(t: pa.Table) -> pa.Table:
         cols = [t.column(f.name).to_pylist() for f in _SCHEMA]
@@ -858,7 +865,12 @@ def _grouped(df: DataFrame, work) -> DataFrame:
         rows.sort(key=lambda r: (r[0], r[2]))
         return pa.Table.from_batches([_batch(work(rows[0][1], rows))], _SCHEMA)
 
-    return df.groupBy("at").applyInArrow(run, ROW)
+    return _dealt(df, parts).groupBy("at").applyInArrow(run, ROW)
+
+
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """df by ``at``, in more partitions than the session has where there are more buckets."""
+    return df.repartition(parts, "at") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 class Sums:
@@ -908,7 +920,7 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     schema = f"block long, ids array<{id_type}>, n_all long, n_train long, texts binary, tokens binary"
     encoded = stored(docs.mapInArrow(_encode(block_tokens), schema), "encoded", "uncompressed")
     n = encoded.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("all"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
-    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["all"] // BUCKET_TOKENS))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["all"] // BUCKET_TOKENS))
     most = hot_tokens or max(n["all"] / buckets / 2, 1000.0)
     model = Model(buckets, np.zeros(0, np.int64), np.zeros(0, U64), tokens=n["train"], strengths=strengths or STRENGTHS)
 
@@ -922,19 +934,19 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
         tokens = pa.array([rename_block(block.column("tokens")[0].as_py(), got, model)], pa.binary())
         return block.drop_columns(["at", "tokens"]).append_column("tokens", tokens)
 
-    named = _grouped(encoded.select("block", "tokens").mapInArrow(ask, ROW), lambda at, rows, m=model: name_words(at, rows, m))
+    named = _grouped(encoded.select("block", "tokens").mapInArrow(ask, ROW), model.word_buckets, lambda at, rows, m=model: name_words(at, rows, m))
     blocks = stored(encoded.withColumn("at", F.col("block")).groupBy("at").cogroup(named.groupBy("at")).applyInArrow(rename, schema), "blocks", "uncompressed")
     drop_stored(spark, encoded)
     model = replace(model, **dict(zip(("hot", "hot_pairs"), hot_keys(blocks, model, n["all"], most), strict=True)))
     hots, pairs = len(model.hot) + 1, len(model.hot_pairs)
 
     packed = blocks.select("block", "texts", "tokens")
-    counted = stored(_grouped(packed.mapInArrow(_pack(model, False), ROW), lambda at, rows, m=model: count_bucket(at, rows, m)), "counted", "uncompressed")
+    counted = stored(_grouped(packed.mapInArrow(_pack(model, False), ROW), buckets, lambda at, rows, m=model: count_bucket(at, rows, m)), "counted", "uncompressed")
     below = Sums(counted)
     static = [np.zeros(len(GRID)), below.fit(1), below.fit(2)]
     pair_c, pair_t = below.pairs("pair", pairs)
     model = replace(model, pair_c=pair_c, pair_t=pair_t)
-    rooted = stored(_grouped(counted.where("kind = 'first'"), lambda at, rows, m=model: first_root(at, rows, m)), "rooted", "uncompressed")
+    rooted = stored(_grouped(counted.where("kind = 'first'"), model.word_buckets, lambda at, rows, m=model: first_root(at, rows, m)), "rooted", "uncompressed")
     links = rooted.where("kind = 'link'")
     above = Sums(rooted)
     (v, _), (c0, t0) = above.pairs("known", 1), above.pairs("root", 1)
@@ -948,13 +960,13 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
         keep = i - burn_in if i >= burn_in else None
         old = tables
         swept = stored(
-            _grouped(state.unionByName(root.where("kind = 'reply'")), lambda at, rows, m=model, i=i, keep=keep: sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep)),
+            _grouped(state.unionByName(root.where("kind = 'reply'")), buckets, lambda at, rows, m=model, i=i, keep=keep: sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep)),
             "swept", "uncompressed",
         )
         below = Sums(swept)
         pair_t = pair_t + below.pairs("pair", pairs)[1]
         root = stored(
-            _grouped(root.where("kind = 'root state'").unionByName(swept.where("kind = 'change'")), lambda at, rows, m=model, i=i, keep=keep: sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)),
+            _grouped(root.where("kind = 'root state'").unionByName(swept.where("kind = 'change'")), model.word_buckets, lambda at, rows, m=model, i=i, keep=keep: sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)),
             "root", "uncompressed",
         )
         above = Sums(root)
@@ -969,10 +981,10 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
         drop_stored(spark, *(old or [counted]))
         if keep is not None:
             models.append(model)
-    answers = stored(_grouped(root.where("kind = 'root state'").unionByName(links), lambda at, rows, k=samples: answer_all(at, rows, k)), "answers", "uncompressed")
+    answers = stored(_grouped(root.where("kind = 'root state'").unionByName(links), model.word_buckets, lambda at, rows, k=samples: answer_all(at, rows, k)), "answers", "uncompressed")
     drop_stored(spark, root, rooted)
     tokens = packed.mapInArrow(_pack(model, True), ROW)
-    sums = _grouped(tokens.unionByName(state).unionByName(answers), lambda at, rows, m=models: score_bucket(at, rows, m))
+    sums = _grouped(tokens.unionByName(state).unionByName(answers), buckets, lambda at, rows, m=models: score_bucket(at, rows, m))
 
     def finish(texts: pa.Table, got: pa.Table) -> pa.Table:
         ids = texts.column("ids").combine_chunks()
