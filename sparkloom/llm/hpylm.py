@@ -62,7 +62,7 @@ DISCOUNT = 0.5
 #: The strengths among which a level's is drawn; the prior is even on them.
 GRID = np.geomspace(0.02, 2000.0, 26)
 STRENGTHS = (10.0, 2.0, 1.0)
-BURN_IN, SAMPLES = 1, 2
+BURN_IN, SAMPLES = 2, 3
 PARTS = 4
 #: Bounds of a block: tokens, and texts (their numbers are kept in 16 bits).
 BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 60_000
@@ -444,12 +444,21 @@ def pack_block(block: int, texts: bytes, tokens: bytes, model: Model, with_texts
     With texts, also how often each stands in the block, and the numbers of the texts.
     """
     words, v, x, w, row, held = _read_block(texts, tokens)
-    order, new = trigram_order(v, x, w, len(words))
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(order)))
-    c = np.add.reduceat((~held[order]).astype(np.int64), first)
-    at = order[first]
-    v, x, w = v[at], x[at], w[at]
+    if with_texts or len(words) > _NARROW:
+        order, new = trigram_order(v, x, w, len(words))
+        first = np.flatnonzero(new)
+        c = np.add.reduceat((~held[order]).astype(np.int64), first)
+        at = order[first]
+        v, x, w = v[at], x[at], w[at]
+    else:
+        # without texts the keys themselves are sorted, which is cheaper than their order
+        key = np.sort(((v.astype(U64) << U64(21) | x.astype(U64)) << U64(21) | w.astype(U64)) << U64(1) | held.astype(U64))
+        tri = key >> U64(1)
+        first = np.flatnonzero(np.concatenate([[True], tri[1:] != tri[:-1]]))
+        c = np.add.reduceat((key & U64(1) == 0).astype(np.int64), first)
+        tri, low = tri[first], U64(_NARROW - 1)
+        v, x, w = ((tri >> U64(s) & low).astype(np.int64) for s in (42, 21, 0))
+    n = np.diff(np.append(first, len(held)))
     to = model.route(words, v, x, w)
     narrow = np.uint16 if model.buckets <= 1 << 16 else np.int64
     by = np.argsort(to.astype(narrow), kind="stable")
@@ -594,13 +603,14 @@ def count_bucket(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
     live = np.zeros(len(b.entry_w), bool)
     live[live_e] = True
     yield (
-        "state", at, 0,
+        "fixed", at, 0,
         freeze(
-            c2=b.c[b.live2], r2=r2, l2=number[b.l1[b.live2]], static2=static2, all2=all_c[ur], pair=b.pair[ur], t2=np.ones(int(b.live2.sum()), np.int64),
-            v1=v1, e1=e1, hot=b.hot1[uv], static1=static1, kids1=(b.kids - busy_kids)[rows1], t1=np.ones(len(rows1), np.int64), entry_w=b.entry_w[live_e], entry_p=b.entry_p[live_e],
+            c2=b.c[b.live2], r2=r2, l2=number[b.l1[b.live2]], static2=static2, all2=all_c[ur], pair=b.pair[ur],
+            v1=v1, e1=e1, hot=b.hot1[uv], static1=static1, kids1=(b.kids - busy_kids)[rows1], entry_w=b.entry_w[live_e], entry_p=b.entry_p[live_e],
         ),
         0.0, 0.0,
     )
+    yield "state", at, 0, freeze(t2=np.ones(int(b.live2.sum()), np.int64), t1=np.ones(len(rows1), np.int64)), 0.0, 0.0
     for to, on in _by_word_bucket(b.entry_w, model):
         yield "first", to, at, freeze(w=b.entry_w[on], p=b.entry_p[on], n=sent[on], tokens=tokens[on], live=live[on].astype(np.uint8)), 0.0, 0.0
     q = np.flatnonzero(b.pair >= 0)
@@ -612,8 +622,9 @@ def count_bucket(at: int, rows: list[Row], model: Model) -> Iterator[Row]:
 
 def sweep_bucket(at: int, rows: list[Row], model: Model, rng: np.random.Generator, keep: int | None) -> Iterator[Row]:
     """Draws a bucket's tables anew, given the root's counts of its entries; sends what changed."""
-    state = next(r for r in rows if r[0] == "state")
-    s = thaw(state[3])
+    fixed, state = (next(r for r in rows if r[0] == kind) for kind in ("fixed", "state"))
+    old = thaw(state[3])
+    s = thaw(fixed[3]) | old
     n_e = len(s["entry_w"])
     rc, rt, c_hot, t_hot = (np.zeros(n_e, np.int64) for _ in range(4))
     replies = {r[2]: thaw(r[3]) for r in rows if r[0] == "reply"}
@@ -665,7 +676,8 @@ def sweep_bucket(at: int, rows: list[Row], model: Model, rng: np.random.Generato
         up = Up(rc[e1[on]] - t1[on], rt[e1[on]], c0 - t1[on], model.strengths[0])
         settle(draw(rng, c1[on], tv[v1[on]] - t1[on], theta1, up), on)
     kept = {} if keep is None else {f"t2_{keep}": t2, f"t1_{keep}": t1}
-    yield "state", at, 0, freeze(**(s | {"t2": t2, "t1": t1} | kept)), 0.0, 0.0
+    yield fixed
+    yield "state", at, 0, freeze(**(old | {"t2": t2, "t1": t1} | kept)), 0.0, 0.0
     delta = sum_of(e1, np.where(here, t1 - old1, 0), n_e) + sum_of(e1[l2], np.where(here[l2], 0, t2 - old2), n_e)
     for to, on in _by_word_bucket(s["entry_w"], model):
         yield "change", to, at, freeze(w=s["entry_w"][on], p=s["entry_p"][on], n=delta[on]), 0.0, 0.0
@@ -834,9 +846,10 @@ def score_bucket(at: int, rows: list[Row], models: list[Model]) -> Iterator[Row]
     base = np.log10((count + 1) / (model.tokens + model.words + 1))
     for (group, r), (_, _, block, _, _, _) in zip(listed, packed, strict=True):
         g = np.repeat(group, r["n"])
-        row, inverse = np.unique(r["row"], return_inverse=True)
-        k = len(row)
-        yield "sums", block, at, freeze(row=row, known=np.bincount(inverse, count[g] > 0, k).astype(np.int64), base=np.bincount(inverse, base[g], k), score=np.bincount(inverse, logp[g], k)), 0.0, 0.0
+        of = r["row"]
+        row = np.flatnonzero(np.bincount(of))
+        known, its_base, score = (np.bincount(of, a[g])[row] for a in (count > 0, base, logp))
+        yield "sums", block, at, freeze(row=row, known=known.astype(np.int64), base=its_base, score=score), 0.0, 0.0
 
 
 def sum_block(ids: pa.Array, texts: bytes, blobs: Iterable[bytes], id_name: str, tokens: int) -> pa.Table:
@@ -952,7 +965,7 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     (v, _), (c0, t0) = above.pairs("known", 1), above.pairs("root", 1)
     hot_c, hot_t = above.pairs("hot", hots)
     model = replace(model, words=int(v[0]), root=(int(c0[0]), int(t0[0])), hot_c=hot_c, hot_t=hot_t)
-    state, root = counted.where("kind = 'state'"), rooted
+    state, root = counted.where("kind IN ('fixed', 'state')"), rooted
     rng = np.random.default_rng(seed)
     models: list[Model] = []
     tables: list[DataFrame] = []
@@ -977,14 +990,14 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
             static[2] + below.fit(2) + strength_fit(pair_c, pair_t),
         ]
         model = replace(model, root=(int(c0[0]), int(t0[0])), hot_c=hot_c, hot_t=hot_t, pair_t=pair_t, strengths=strengths or tuple(draw_strength(rng, f) for f in fits))
-        state, tables = swept.where("kind = 'state'"), [swept, root]
+        state, tables = swept.where("kind IN ('fixed', 'state')"), [swept, root]
         drop_stored(spark, *(old or [counted]))
         if keep is not None:
             models.append(model)
     answers = stored(_grouped(root.where("kind = 'root state'").unionByName(links), model.word_buckets, lambda at, rows, k=samples: answer_all(at, rows, k)), "answers", "uncompressed")
     drop_stored(spark, root, rooted)
     tokens = packed.mapInArrow(_pack(model, True), ROW)
-    sums = _grouped(tokens.unionByName(state).unionByName(answers), buckets, lambda at, rows, m=models: score_bucket(at, rows, m))
+    sums = _grouped(tokens.unionByName(state.where("kind = 'state'")).unionByName(answers), buckets, lambda at, rows, m=models: score_bucket(at, rows, m))
 
     def finish(texts: pa.Table, got: pa.Table) -> pa.Table:
         ids = texts.column("ids").combine_chunks()

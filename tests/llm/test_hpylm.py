@@ -166,7 +166,7 @@ class Local:
 
     def sweep(self, i, keep=None, seed=1):
         m = self.model
-        swept = self.grouped([r for r in self.state if r[0] == "state"] + [r for r in self.root if r[0] == "reply"], lambda at, rows: H.sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep))
+        swept = self.grouped([r for r in self.state if r[0] in ("fixed", "state")] + [r for r in self.root if r[0] == "reply"], lambda at, rows: H.sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep))
         self.root = self.grouped([r for r in self.root if r[0] == "root state"] + [r for r in swept if r[0] == "change"], lambda at, rows: H.sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep))
         self.state = swept
         self.model = replace(m, pair_t=m.pair_t + self.sums(swept, "pair", len(m.pair_t))[1], **self.above(self.root))
