@@ -93,7 +93,10 @@ def _gram_rows(short: int):
                 w = W.split_words(data, offsets, alnum=True)
                 g, row, at = grams(w, short)
                 pick = pa.array(row + r0)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(at), pa.array(g.view(np.int64)), pa.array(np.diff(w.first)[row])], ["id", "th", "place", "gram", "n_words"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(at), pa.array(g.view(np.int64)), pa.array(np.diff(w.first)[row])],
+                    ["id", "th", "place", "gram", "n_words"]
+                )
 
     return run
 
@@ -234,7 +237,14 @@ def _match(shared, short: int, min_score: float):
                 if found:
                     r, m, s, c = zip(*found, strict=True)
                     pick = pa.array(np.array(r) + r0)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array([it.names[x] for x in m], it.names.type if isinstance(it.names, pa.Array) else None), pa.array(s, pa.float64()), pa.array(c, pa.int64())], ["id", "th", "item", "score", "n_hits"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0).take(pick), b.column(1).take(pick),
+                            pa.array([it.names[x] for x in m], it.names.type if isinstance(it.names, pa.Array) else None), pa.array(s, pa.float64()),
+                            pa.array(c, pa.int64())
+                        ],
+                        ["id", "th", "item", "score", "n_hits"]
+                    )
 
     return run
 
@@ -261,7 +271,10 @@ def _align_pairs(min_score: float):
     return run
 
 
-def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def find_matches(
+    df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    min_score: float = MIN_SCORE, broadcast_grams: int = BROADCAST_GRAMS
+) -> DataFrame:
     """(id, th, item, score, n_hits) of each document and item that match; th is xxhash64 of the text."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
@@ -294,7 +307,12 @@ def find_matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         names = list(texts)
         number = {k: i for i, k in enumerate(names)}
         words = [W.split_words(*W.text_buffers(pa.array([texts[k]])), alnum=True).hashes() for k in names]
-        shared = spark.sparkContext.broadcast(Items([k[0] for k in names], words, np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([number[r.id, r.th] for r in rows], np.int64), np.array([r.place for r in rows], np.int64)))
+        shared = spark.sparkContext.broadcast(
+            Items(
+                [k[0] for k in names], words, np.array([r.gram for r in rows], np.int64).view(np.uint64),
+                np.array([number[r.id, r.th] for r in rows], np.int64), np.array([r.place for r in rows], np.int64)
+            )
+        )
         found = docs.mapInArrow(_match(shared, short, min_score), schema)
     else:
         seeds = stored(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "seeds")

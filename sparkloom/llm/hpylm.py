@@ -213,7 +213,10 @@ def draw(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, strength:
         # rows of about the same number of customers together
         j = max(i + 1, min(int(np.searchsorted(size, 1.25 * size[i] + 1, "right")), i + max(1, _CELLS // int(size[i]))))
         at = many[i:j]
-        out[at] = _draw_alike(rng, c[at].astype(float), others[at].astype(float), strength, up and Up(up.same[at].astype(float), up.tables[at].astype(float), up.all[at].astype(float), up.strength), base)
+        out[at] = _draw_alike(
+            rng, c[at].astype(float), others[at].astype(float), strength,
+            up and Up(up.same[at].astype(float), up.tables[at].astype(float), up.all[at].astype(float), up.strength), base
+        )
         i = j
     return out
 
@@ -325,7 +328,11 @@ def _encode(block_tokens: int):
             n = np.concatenate(sizes)
             of = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([len(tokens)]), pa.array([int(n[~fold].sum())]), pa.array([freeze(held=fold.astype(np.uint8), sizes=n)], pa.binary()), pa.array([freeze(h=words, n=np.bincount(place), tokens=place)], pa.binary())],
+                [
+                    pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([len(tokens)]),
+                    pa.array([int(n[~fold].sum())]), pa.array([freeze(held=fold.astype(np.uint8), sizes=n)], pa.binary()),
+                    pa.array([freeze(h=words, n=np.bincount(place), tokens=place)], pa.binary())
+                ],
                 ["block", "ids", "n_all", "n_train", "texts", "tokens"],
             )
 
@@ -921,7 +928,10 @@ def hot_keys(blocks: DataFrame, model: Model, n_all: int, most: float) -> tuple[
     return np.sort(np.array([r.key for r in rows if not r.pair], np.int64)), np.sort(np.array([r.key for r in rows if r.pair], np.int64).view(U64))
 
 
-def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1, buckets: int | None = None, hot_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS, strengths: tuple[float, float, float] | None = None) -> DataFrame:
+def train_and_score(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1,
+    buckets: int | None = None, hot_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS, strengths: tuple[float, float, float] | None = None
+) -> DataFrame:
     """For each row: fold, tokens, and the base's and the model's log10 probability of its text.
 
     buckets and hot_tokens (words before with more tokens are dealt out) default
@@ -979,7 +989,10 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
         below = Sums(swept)
         pair_t = pair_t + below.pairs("pair", pairs)[1]
         root = stored(
-            _grouped(root.where("kind = 'root state'").unionByName(swept.where("kind = 'change'")), model.word_buckets, lambda at, rows, m=model, i=i, keep=keep: sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)),
+            _grouped(
+                root.where("kind = 'root state'").unionByName(swept.where("kind = 'change'")), model.word_buckets, lambda at, rows, m=model, i=i,
+                keep=keep: sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)
+            ),
             "root", "uncompressed",
         )
         above = Sums(root)

@@ -175,7 +175,10 @@ def pieces(df: DataFrame, id_col: str, text: str, capacity: int, end_id: int, vo
                 nth[order] = np.arange(len(s)) - np.searchsorted(s, s) + seen[s]
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(nth)],
+                    [
+                        b.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length),
+                        pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(nth)
+                    ],
                     ["id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
 
@@ -183,7 +186,10 @@ def pieces(df: DataFrame, id_col: str, text: str, capacity: int, end_id: int, vo
     return df.select(F.col(id_col), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, nodes: int = NODES, branches: int = BRANCHES, steps: int = STEPS) -> DataFrame:
+def pack_documents(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None,
+    nodes: int = NODES, branches: int = BRANCHES, steps: int = STEPS
+) -> DataFrame:
     """Each piece with its sequence and its place there; the last three bound the search."""
     cut = stored(pieces(df, id_col, text, capacity, end_id, vocabulary or default_vocabulary()), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -296,7 +296,12 @@ def measure(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sa
                 for k, c in zip(*np.unique(bits, return_counts=True), strict=True):
                     sets[int(k)] = sets.get(int(k), 0) + int(c)
         if n:
-            yield pa.RecordBatch.from_pydict({"rule": pa.array([*range(len(rules)), *[-1] * len(sets)], pa.int64()), "bits": pa.array([*[-1] * len(rules), *sets], pa.int64()), "x": pa.array([*seconds.tolist(), *map(float, sets.values())], pa.float64())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rule": pa.array([*range(len(rules)), *[-1] * len(sets)], pa.int64()), "bits": pa.array([*[-1] * len(rules), *sets], pa.int64()),
+                    "x": pa.array([*seconds.tolist(), *map(float, sets.values())], pa.float64())
+                }
+            )
 
     rows = df.count()
     share = min(1.0, sample_rows / rows) if rows else 1.0

@@ -48,7 +48,10 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], deal: Column
     values = [c for c in right.columns if c not in (*keys, weight)]
     hot = F.broadcast(right.where(F.col(weight) > most).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.struct(F.lit(True).alias("_found"), *values).alias("_hot")))
     # always 0, but not a literal: Spark would take that out of the join's keys
-    rest = right.where(F.col(weight) <= most).select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.struct(F.lit(True).alias("_found"), *values).alias("_rest"), F.pmod(F.col(weight).cast("long"), F.lit(1).cast("long")).alias("_none"))
+    rest = right.where(F.col(weight) <= most).select(
+        *(F.col(k).alias(f"_key_{k}") for k in keys), F.struct(F.lit(True).alias("_found"), *values).alias("_rest"),
+        F.pmod(F.col(weight).cast("long"), F.lit(1).cast("long")).alias("_none")
+    )
     marked = left.join(hot, [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
     # rows of hot keys get a dealing value that no key of the rest has
     marked = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(F.xxhash64(deal).bitwiseOR(F.lit(1)), F.lit(1).cast("long"))))

@@ -189,7 +189,12 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, split_byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema(
+            [
+                ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
+                ("payload_digest", pa.string()), ("payload", pa.binary())
+            ]
+        )
         for b in batches:
             for name, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:

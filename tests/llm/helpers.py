@@ -42,7 +42,10 @@ def corpus(seed=5, n=60):
         elif kind == 5:
             w = ["Été", "ÀÉ", "naïve", "it's", "#", "$1", "|"] + w
         out.append((i, rng.choice([" ", "\n", "\t ", "  ", "\x1c ", "\r\n"]).join(w)))
-    return out + [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "tiny"), (1004, "a " * 300), (1005, "a " * 300), (None, " ".join(base)), (7, out[7][1]), (7, out[7][1]), (8, "another text under a used id")]
+    return out + [
+        (1000, None), (1001, ""), (1002, " \n\t"), (1003, "tiny"), (1004, "a " * 300), (1005, "a " * 300), (None, " ".join(base)), (7, out[7][1]),
+        (7, out[7][1]), (8, "another text under a used id")
+    ]
 
 
 def frame(spark, rows, partitions=3):

@@ -92,7 +92,10 @@ def test_strength_fit():
 
 
 def test_freeze():
-    a = {"none": np.zeros(0, np.int64), "low": np.array([-1, 300]), "up": np.array([3, 3, 70_000, 2**40]), "mixed": np.array([70_000, 2, -(2**20)]), "hash": np.array([1, 2**64 - 1], np.uint64), "x": np.array([1.5])}
+    a = {
+        "none": np.zeros(0, np.int64), "low": np.array([-1, 300]), "up": np.array([3, 3, 70_000, 2**40]), "mixed": np.array([70_000, 2, -(2**20)]),
+        "hash": np.array([1, 2**64 - 1], np.uint64), "x": np.array([1.5])
+    }
     got = H.thaw(H.freeze(**a))
     assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in a.items())
 
@@ -166,8 +169,14 @@ class Local:
 
     def sweep(self, i, keep=None, seed=1):
         m = self.model
-        swept = self.grouped([r for r in self.state if r[0] in ("fixed", "state")] + [r for r in self.root if r[0] == "reply"], lambda at, rows: H.sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep))
-        self.root = self.grouped([r for r in self.root if r[0] == "root state"] + [r for r in swept if r[0] == "change"], lambda at, rows: H.sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep))
+        swept = self.grouped(
+            [r for r in self.state if r[0] in ("fixed", "state")] + [r for r in self.root if r[0] == "reply"], lambda at,
+            rows: H.sweep_bucket(at, rows, m, np.random.default_rng([seed, i, at, 0]), keep)
+        )
+        self.root = self.grouped(
+            [r for r in self.root if r[0] == "root state"] + [r for r in swept if r[0] == "change"], lambda at,
+            rows: H.sweep_root(at, rows, m, np.random.default_rng([seed, i, at, 1]), keep)
+        )
         self.state = swept
         self.model = replace(m, pair_t=m.pair_t + self.sums(swept, "pair", len(m.pair_t))[1], **self.above(self.root))
         if keep is not None:
@@ -241,7 +250,10 @@ def plain_score(docs, samples, strengths):
     return [(i, sum(math.log10(mean(g)) for g in trigrams(t))) for i, t in docs]
 
 
-DOCS = [(i, " ".join(t)) for i, t in enumerate(["a b a b c", "a b a", "b a b", "c a b", "a b c a b", "q a b r", "a a a b b", "", "A B", "x y z a b c", "c", "c", "a b a b a b"] * 2)] + [(None, "a b"), (77, None), (5, "a b"), (5, "a b")]
+DOCS = [
+    (i, " ".join(t)) for i,
+    t in enumerate(["a b a b c", "a b a", "b a b", "c a b", "a b c a b", "q a b r", "a a a b b", "", "A B", "x y z a b c", "c", "c", "a b a b a b"] * 2)
+] + [(None, "a b"), (77, None), (5, "a b"), (5, "a b")]
 
 
 @pytest.mark.parametrize("buckets, hot, pairs", [(1, (), ()), (5, (), ()), (5, ("a", END), ()), (3, ("a", "b", END), (("b", "a"), (END, END)))])

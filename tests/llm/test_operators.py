@@ -87,7 +87,10 @@ def test_encoder_equals_tokenizers(rows):
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     enc = tokens.Encoder(tokens.default_vocabulary())
-    texts = [t or "" for _, t in rows] + ["a\n b", "a  b \n\n c d", " 's don't 12ab-- \t", "日本語 テスト　x", "x\x1cy \x1fz", "🙂🙂 é", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a<|endoftext|b <|endoftext|>\x1c<|endoftext|>\n"]
+    texts = [t or "" for _, t in rows] + [
+        "a\n b", "a  b \n\n c d", " 's don't 12ab-- \t", "日本語 テスト　x", "x\x1cy \x1fz", "🙂🙂 é", "x <|endoftext|> y", "<|endoftext|><|endoftext|>",
+        "a<|endoftext|b <|endoftext|>\x1c<|endoftext|>\n"
+    ]
     for _ in range(2):
         ids, bounds = enc.encode(texts)
         for i, t in enumerate(texts):
@@ -118,7 +121,10 @@ def test_decontamination(spark, rows, limit):
     edited = items[1][1].split()
     for p in (4, 11, 17, 23):
         edited[p] = "other"
-    docs = rows + [(2000, "Intro. " + items[0][1].upper() + " more text"), (2001, "x y " + " ".join(edited)), (2002, items[2][1][:60]), (2003, items[0][1] + " " + items[3][1])] + [(3000 + k, f"n{k} " + items[3][1]) for k in range(40)]
+    docs = rows + [
+        (2000, "Intro. " + items[0][1].upper() + " more text"), (2001, "x y " + " ".join(edited)), (2002, items[2][1][:60]),
+        (2003, items[0][1] + " " + items[3][1])
+    ] + [(3000 + k, f"n{k} " + items[3][1]) for k in range(40)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontaminate.find_matches(frame(spark, docs), bench, broadcast_grams=limit).collect()
     found = {(r.id, r.item) for r in got}
@@ -229,17 +235,34 @@ def test_language_model(spark, rows):
 
 def test_url_filters(spark):
     events = spark.createDataFrame(
-        [("bad.org", "spam", "add", "2024-01-10"), ("bad.org", "spam", "add", "2024-01-12"), ("bad.org", "spam", "remove", "2024-01-20"), ("a.bad.org", "ads", "add", "2024-01-15"), ("x.com", "ads", "add", "2024-02-01"), ("x.com", "ads", "remove", "2024-02-01"), (None, "ads", "add", "2024-01-01")],
+        [
+            ("bad.org", "spam", "add", "2024-01-10"), ("bad.org", "spam", "add", "2024-01-12"), ("bad.org", "spam", "remove", "2024-01-20"),
+            ("a.bad.org", "ads", "add", "2024-01-15"), ("x.com", "ads", "add", "2024-02-01"), ("x.com", "ads", "remove", "2024-02-01"),
+            (None, "ads", "add", "2024-01-01")
+        ],
         "pattern string, list string, action string, date string",
     ).selectExpr("pattern", "list", "action", "CAST(date AS DATE) AS date")
-    captures = [(1, "http://bad.org/x", "2024-01-09"), (2, "https://u@BAD.org:80/", "2024-01-10"), (3, "http://a.bad.org", "2024-01-19"), (4, "http://a.bad.org", "2024-01-20"), (5, "http://notbad.org", "2024-01-15"), (6, "http://x.com", "2024-02-01"), (7, None, "2024-01-15"), (8, "nonsense", "2024-01-15"), (9, "http://bad.org", None), (2, "https://u@BAD.org:80/", "2024-01-10")]
-    df = spark.createDataFrame(captures, "page_id bigint, url string, fetched string").selectExpr("page_id", "url", "CAST(fetched AS DATE) AS fetched", "'clash' AS host", "'clash' AS pattern", "1 AS row")
+    captures = [
+        (1, "http://bad.org/x", "2024-01-09"), (2, "https://u@BAD.org:80/", "2024-01-10"), (3, "http://a.bad.org", "2024-01-19"),
+        (4, "http://a.bad.org", "2024-01-20"), (5, "http://notbad.org", "2024-01-15"), (6, "http://x.com", "2024-02-01"), (7, None, "2024-01-15"),
+        (8, "nonsense", "2024-01-15"), (9, "http://bad.org", None), (2, "https://u@BAD.org:80/", "2024-01-10")
+    ]
+    df = spark.createDataFrame(captures, "page_id bigint, url string, fetched string").selectExpr(
+        "page_id", "url", "CAST(fetched AS DATE) AS fetched", "'clash' AS host", "'clash' AS pattern", "1 AS row"
+    )
     got = urlfilter.verdicts(df, events).collect()
-    same([(r.page_id, r.lists, r.blocked) for r in got], [(1, "", False), (2, "spam", True), (2, "spam", True), (3, "ads,spam", True), (4, "ads", True), (5, "", False), (6, "", False), (7, "", False), (8, "", False), (9, "", False)])
+    same(
+        [(r.page_id, r.lists, r.blocked) for r in got],
+        [(1, "", False), (2, "spam", True), (2, "spam", True), (3, "ads,spam", True), (4, "ads", True), (5, "", False), (6, "", False), (7, "", False), (8, "", False), (9, "", False)]
+    )
 
 
 def pages():
-    return [(1, "http://a/ü", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (4, "http://c\r\nX: y", None), (6, "http://d", ""), (7, "http://e", "é" * 5000), (None, "http://f", "<p>x</p>"), (None, "http://g", "alone"), (7, "http://e", "é" * 5000), (8, "u", "\x1f\x8b\x08 not gzip WARC/1.0")]
+    return [
+        (1, "http://a/ü", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (4, "http://c\r\nX: y", None), (6, "http://d", ""),
+        (7, "http://e", "é" * 5000), (None, "http://f", "<p>x</p>"), (None, "http://g", "alone"), (7, "http://e", "é" * 5000),
+        (8, "u", "\x1f\x8b\x08 not gzip WARC/1.0")
+    ]
 
 
 @pytest.mark.parametrize("split, least", [(1 << 20, 0), (64, 0), (300, 100)])

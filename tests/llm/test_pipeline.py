@@ -73,7 +73,10 @@ def test_the_library_works_without_the_subpackage(tmp_path):
                         os.symlink(os.path.join(ROOT, name, x), tmp_path / name / x)
             else:
                 os.symlink(os.path.join(ROOT, name), tmp_path / name)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(k for k in e.queries() if k[2:3].isdigit() or k == 'pipeline'))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(k for k in e.queries() if k[2:3].isdigit() or k == 'pipeline'))"],
+        cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    )
     assert said.returncode == 0 and said.stdout.strip().endswith("[]"), said.stderr
     assert importlib.import_module("__spark_entry__").queries().keys() >= {"pipeline", "op1_substring_dedup", "op10_language_id"}
 
