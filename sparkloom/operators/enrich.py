@@ -114,7 +114,10 @@ def _outcomes(work: Callable[[tuple], dict], concurrency: int):
     return run.asNondeterministic()
 
 
-def synth_units(df: DataFrame, model: Model, user_prompt: str, system_prompt: str = "", fanout: int = 1, json_mode: bool = False, params: dict | None = None, retries: int = 3, concurrency: int = 4, wait: float = 1.0, settle: bool = True) -> DataFrame:
+def synth_units(
+    df: DataFrame, model: Model, user_prompt: str, system_prompt: str = "", fanout: int = 1, json_mode: bool = False, params: dict | None = None,
+    retries: int = 3, concurrency: int = 4, wait: float = 1.0, settle: bool = True
+) -> DataFrame:
     """df with a unit of fanout model replies for each row; a failing reply fails the unit.
 
     Where a row carries the feedback of a judge, the prompt ends with it.
@@ -162,7 +165,9 @@ def unit_rows(units: DataFrame, node: str, output_column: str | None = "output",
     rows = done(units).select("*", F.posexplode(f"{UNIT}.outs").alias("_i", "_out"), many.alias("_many")).drop(UNIT)
     if TRACE in rows.columns:
         own = F.concat(col(TRACE), F.lit(f"|{node}:"), F.array_join(F.transform(POS, lambda x: x.cast("string")), "."), F.lit(":"), F.col("_i").cast("string"))
-        rows = rows.withColumns({PARENT: F.when(F.col("_many"), col(TRACE)).otherwise(col(PARENT) if PARENT in rows.columns else F.lit(None).cast("string")), TRACE: F.when(F.col("_many"), own).otherwise(col(TRACE))})
+        rows = rows.withColumns(
+            {PARENT: F.when(F.col("_many"), col(TRACE)).otherwise(col(PARENT) if PARENT in rows.columns else F.lit(None).cast("string")), TRACE: F.when(F.col("_many"), own).otherwise(col(TRACE))}
+        )
     rows = rows.withColumn(POS, child(F.col(POS), F.col("_i"))) if POS in rows.columns else rows
     if fields is None:
         return rows.withColumn(output_column, F.col("_out")).drop("_i", "_out", "_many")
@@ -209,7 +214,11 @@ def path_get(value, path: str):
     return value
 
 
-def fetch_units(df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "GET", params: dict[str, str] | None = None, headers: dict[str, str] | None = None, body: str = "", body_format: str = "json", timeout: float = 30, retries: int = 2, poll_path: str | None = None, poll_until: str = "", poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True, records_path: str | None = None) -> DataFrame:
+def fetch_units(
+    df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "GET", params: dict[str, str] | None = None, headers: dict[str, str] | None = None,
+    body: str = "", body_format: str = "json", timeout: float = 30, retries: int = 2, poll_path: str | None = None, poll_until: str = "",
+    poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True, records_path: str | None = None
+) -> DataFrame:
     """df with a unit for each row that holds the response's body, which must be JSON.
 
     Endpoint, parameters, headers and body are templates.  With poll_path the
@@ -269,7 +278,11 @@ def usage(units: DataFrame, *by: str) -> DataFrame:
     """Token sums and counts by status."""
     u = lambda c: F.col(f"{UNIT}.{c}")
     ok = u("status") == "done"
-    return units.groupBy(*by).agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, u("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum(F.when(ok, u("completion_tokens"))), F.lit(0)).alias("completion_tokens"))
+    return units.groupBy(*by).agg(
+        F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum(F.when(ok, u("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"),
+        F.coalesce(F.sum(F.when(ok, u("completion_tokens"))), F.lit(0)).alias("completion_tokens")
+    )
 
 
 def sample_columns(df: DataFrame) -> list[str]:
@@ -277,4 +290,7 @@ def sample_columns(df: DataFrame) -> list[str]:
     return [c for c in user_columns(df) if c not in (FEEDBACK, UNIT)]
 
 
-__all__ = ["HIDDEN", "ChatModel", "Column", "EchoModel", "Fetcher", "Model", "Reply", "Response", "UrlFetcher", "done", "failed", "fetch_units", "path_get", "seeds", "synth_units", "unit_rows", "usage"]
+__all__ = [
+    "HIDDEN", "ChatModel", "Column", "EchoModel", "Fetcher", "Model", "Reply", "Response", "UrlFetcher", "done", "failed", "fetch_units", "path_get",
+    "seeds", "synth_units", "unit_rows", "usage"
+]

@@ -40,7 +40,15 @@ def check_columns(df: DataFrame, status: str, feedback: str, own: Sequence[str]
 
 def by_rules(rules: dict[str, tuple[Column, str]]) -> Column:
     """Votes from expressions: judge -> (passes, reason if not).  No Python runs."""
-    return F.array(*(F.struct(F.lit(n).alias("model"), F.when(F.coalesce(ok, F.lit(False)), PASS).otherwise("fail").alias("status"), F.when(F.coalesce(ok, F.lit(False)), "").otherwise(why).alias("reason")) for n, (ok, why) in rules.items()))
+    return F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("model"), F.when(F.coalesce(ok, F.lit(False)), PASS).otherwise("fail").alias("status"),
+                F.when(F.coalesce(ok, F.lit(False)), "").otherwise(why).alias("reason")
+            ) for n,
+            (ok, why) in rules.items()
+        )
+    )
 
 
 def by_models(df: DataFrame, models: dict[str, Model], user_prompt: str, system_prompt: str = "", params: dict | None = None, retries: int = 3, concurrency: int = 4, wait: float = 1.0) -> Column:
@@ -109,7 +117,10 @@ class Verdict:
     metric: DataFrame
 
 
-def review(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, regenerate: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 3, status: str = "qc_status", feedback: str = "qc_feedback", own: Sequence[str] = (), settle: bool = True) -> Verdict:
+def review(
+    df: DataFrame, votes: Votes, n: int, pass_k: object = 1, regenerate: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 3,
+    status: str = "qc_status", feedback: str = "qc_feedback", own: Sequence[str] = (), settle: bool = True
+) -> Verdict:
     """Judges df; rows that fail are regenerated and judged again, up to max_rounds times.
 
     regenerate gets the failed rows with the judges' reasons in ``_qc_reason``

@@ -20,7 +20,10 @@ def _kind(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.VariantType):
         s = F.schema_of_variant(c)
         return F.when(s == "BIGINT", "int").when(s == "BOOLEAN", "bool").when(s == "STRING", "str").when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").otherwise("float")
-    for types, name in (((T.BooleanType,), "bool"), ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "int"), ((T.FloatType, T.DoubleType, T.DecimalType), "float"), ((T.ArrayType,), "list"), ((T.StructType, T.MapType), "dict")):
+    for types, name in (
+        ((T.BooleanType,), "bool"), ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "int"),
+        ((T.FloatType, T.DoubleType, T.DecimalType), "float"), ((T.ArrayType,), "list"), ((T.StructType, T.MapType), "dict")
+    ):
         if isinstance(kind, types):
             return F.lit(name)
     return F.lit("str")
@@ -63,7 +66,11 @@ def preview(df: DataFrame, rows: int = 20, cell: int = 500, chars: int = 16_000)
     """The first rows as texts of at most cell characters; fewer rows, then shorter cells, to fit chars."""
     shown = visible(df).limit(rows)
     texts = [text_of(col(c), df.schema[c].dataType, None).alias(c) for c in user_columns(df)]
-    got = [r.asDict() for r in shown.select(*(F.when(F.length(t) > cell, F.concat(F.substring(t, 1, cell), F.lit("…"))).otherwise(t).alias(c) for t, c in zip(texts, user_columns(df), strict=True))).collect()]
+    got = [
+        r.asDict() for r in shown.select(
+            *(F.when(F.length(t) > cell, F.concat(F.substring(t, 1, cell), F.lit("…"))).otherwise(t).alias(c) for t, c in zip(texts, user_columns(df), strict=True))
+        ).collect()
+    ]
 
     def size() -> int:
         return sum(len(str(v)) for r in got for v in r.values())

@@ -80,8 +80,13 @@ def trace_events(units: DataFrame, failures: DataFrame, logs: DataFrame, trace:
     units has (node_id, row_idx, status, trace_id, parent_trace_id); failures
     and logs have (node_id, trace_id) and their own columns.
     """
-    family = units.where((F.col("trace_id") == trace) | (F.col("parent_trace_id") == trace)).select("trace_id").union(units.where(F.col("trace_id") == trace).where("parent_trace_id IS NOT NULL").select(F.col("parent_trace_id").alias("trace_id"))).distinct()
-    tagged = [f.join(family, "trace_id", "left_semi").select("node_id", "trace_id", F.lit(k).alias("kind"), F.to_json(F.struct(*[c for c in f.columns if not c.startswith("_")])).alias("detail")) for k, f in (("unit", units), ("rejection", failures), ("call", logs))]
+    family = units.where((F.col("trace_id") == trace) | (F.col("parent_trace_id") == trace)).select("trace_id").union(
+        units.where(F.col("trace_id") == trace).where("parent_trace_id IS NOT NULL").select(F.col("parent_trace_id").alias("trace_id"))
+    ).distinct()
+    tagged = [
+        f.join(family, "trace_id", "left_semi").select("node_id", "trace_id", F.lit(k).alias("kind"), F.to_json(F.struct(*[c for c in f.columns if not c.startswith("_")])).alias("detail")) for k,
+        f in (("unit", units), ("rejection", failures), ("call", logs))
+    ]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 

@@ -246,14 +246,22 @@ class Runner:
         return units
 
     def _synth(self, c: dict, rows: DataFrame, fanout: int | None = None) -> DataFrame:
-        return synth_units(rows, self.res.models[str(c["model_config_id"])], c.get("user_prompt", ""), c.get("system_prompt", ""), fanout or c.get("fanout_n", 1), c.get("output_mode") == "json", c.get("params"), c.get("retries", 3), c.get("concurrency", 4), c.get("retry_wait", 1.0))
+        return synth_units(
+            rows, self.res.models[str(c["model_config_id"])], c.get("user_prompt", ""), c.get("system_prompt", ""), fanout or c.get("fanout_n", 1),
+            c.get("output_mode") == "json", c.get("params"), c.get("retries", 3), c.get("concurrency", 4), c.get("retry_wait", 1.0)
+        )
 
     def _synth_rows(self, name: str, c: dict, units: DataFrame) -> DataFrame:
         fields = {f: "string" for f in c.get("output_columns", [])} if c.get("output_mode") == "json" else None
         return unit_rows(units, name, c.get("output_column", "output"), fields)
 
     def _fetch(self, c: dict, rows: DataFrame) -> DataFrame:
-        return fetch_units(rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""), c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""), c.get("poll_interval", 2), c.get("poll_max_attempts", 30), c.get("concurrency", 4), c.get("retry_wait", 1.0), records_path=c.get("records_path"))
+        return fetch_units(
+            rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""),
+            c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""),
+            c.get("poll_interval", 2), c.get("poll_max_attempts", 30), c.get("concurrency", 4), c.get("retry_wait", 1.0),
+            records_path=c.get("records_path")
+        )
 
     def _review(self, graph: Graph, name: str, c: dict, came: DataFrame, result: Result, batch: int | None = None) -> DataFrame:
         judges = [str(j) for j in c.get("judge_model_ids") or [c["model_config_id"]]]
@@ -261,7 +269,10 @@ class Runner:
             votes = lambda d: judge.by_rules({j: (self.res.rules[j](d), f"{j} rejects it") for j in judges})
         else:
             models = {j: self.res.models[j] for j in judges}
-            votes = lambda d: judge.by_models(d, models, c.get("user_prompt", ""), c.get("system_prompt", ""), c.get("params"), c.get("retries", 3), c.get("concurrency", 4), c.get("retry_wait", 1.0))
+            votes = lambda d: judge.by_models(
+                d, models, c.get("user_prompt", ""), c.get("system_prompt", ""), c.get("params"), c.get("retries", 3), c.get("concurrency", 4),
+                c.get("retry_wait", 1.0)
+            )
         target, again = graph.rescan_target(name), None
         if target is not None:
             t = graph.node(target).config
@@ -271,8 +282,13 @@ class Runner:
                 # one reply a row, whatever the node's fan-out
                 return drop(self._synth_rows(target, t, self._synth(t, base, 1)), t.get("drop_columns", []))
 
-        own = [x for p in graph.ancestors(name) if graph.node(p).type == "qc" for x in (graph.node(p).config.get("status_column", "qc_status"), graph.node(p).config.get("feedback_column", "qc_feedback"))]
-        ask = lambda: judge.review(came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"), c.get("feedback_column", "qc_feedback"), own)
+        own = [
+            x for p in graph.ancestors(name) if graph.node(p).type == "qc" for x in (graph.node(p).config.get("status_column", "qc_status"), graph.node(p).config.get("feedback_column", "qc_feedback"))
+        ]
+        ask = lambda: judge.review(
+            came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"),
+            c.get("feedback_column", "qc_feedback"), own
+        )
         v = self.store.verdict(name if batch is None else f"{name}~{batch}", ask) if self.store else ask()
         result.verdicts[name] = v
         return v.passed

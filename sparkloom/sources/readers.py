@@ -130,7 +130,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(r"value RLIKE '\\S'")
     good = lines.select(_without_nan(F.col("value")).alias("value"))
-    checked = good.select(F.when(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).alias("value"))
+    checked = good.select(
+        F.when(
+            F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.col("value")
+        ).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).alias("value")
+    )
     if schema is None:
         kind = T._parse_datatype_string(_json_schema(checked))
     else:

@@ -71,7 +71,10 @@ def test_lineage():
     g = graph(
         [
             ("in", "input", {"dataset_ids": ["d", "e"], "drop_columns": ["z"]}),
-            ("ops", "auto_process", {"operations": [{"op": "rename", "mapping": {"q": "question"}}, {"op": "concat", "target": "both", "columns": ["question", "a"]}, {"op": "drop", "columns": ["a"]}]}),
+            (
+                "ops", "auto_process",
+                {"operations": [{"op": "rename", "mapping": {"q": "question"}}, {"op": "concat", "target": "both", "columns": ["question", "a"]}, {"op": "drop", "columns": ["a"]}]}
+            ),
             ("llm", "llm_synth", {"output_column": "answer"}),
             ("web", "http_fetch", {"extract": {"title": "t"}}),
             ("out", "output", {"drop_columns": ["both"]}),

@@ -57,8 +57,14 @@ def test_xlsx_dates_and_mixed_columns(tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
         z.writestr("xl/workbook.xml", f"<workbook {main}/>")
-        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;d&quot;"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
-        z.writestr("s.xml", f'<worksheet {main}><sheetData><row><c s="1"><v>45292</v></c><c s="2"><v>45292.5</v></c><c s="3"><v>3.5</v></c><c s="1"><v>0.25</v></c><c t="e"><v>#N/A</v></c></row></sheetData></worksheet>')
+        z.writestr(
+            "xl/styles.xml",
+            f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;d&quot;"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+        )
+        z.writestr(
+            "s.xml",
+            f'<worksheet {main}><sheetData><row><c s="1"><v>45292</v></c><c s="2"><v>45292.5</v></c><c s="3"><v>3.5</v></c><c s="1"><v>0.25</v></c><c t="e"><v>#N/A</v></c></row></sheetData></worksheet>'
+        )
     with zipfile.ZipFile(tmp_path / "d.xlsx") as z:
         assert list(readers.xlsx_rows(z, "s.xml")) == [["2024-01-01 00:00:00", "2024-01-01 12:00:00", 3.5, "06:00:00", "#N/A"]]
     rows = [[1, True, 2, "x", None, 2**70], [2, None, 2.5, 7, None, 1]]

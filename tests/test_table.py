@@ -43,7 +43,10 @@ def test_dedup_is_idempotent(spark, data):
 
 @pytest.mark.parametrize(
     "mode, value, kept",
-    [("min_len", 3, ["world"]), ("max_len", 2, ["你好", "你好"]), ("contains", "or", ["world"]), ("not_contains", "or", ["你好", "你好"]), ("regex", r"^w\w+$", ["world"]), ("equals", "world", ["world"]), ("not_empty", None, ["你好", "你好", "world"])],
+    [
+        ("min_len", 3, ["world"]), ("max_len", 2, ["你好", "你好"]), ("contains", "or", ["world"]), ("not_contains", "or", ["你好", "你好"]),
+        ("regex", r"^w\w+$", ["world"]), ("equals", "world", ["world"]), ("not_empty", None, ["你好", "你好", "world"])
+    ],
 )
 def test_predicates(spark, mode, value, kept):
     assert [r[0] for r in got(table.filter_rows(basic(spark), "q", mode, value))] == kept
@@ -129,7 +132,10 @@ def test_code(spark):
 
 
 def test_apply_operations(spark):
-    ops = [{"op": "dedup", "columns": ["q"]}, {"op": "rename", "mapping": {"q": "question"}}, {"op": "concat", "target": "t", "columns": ["question", "n"], "sep": "-"}, {"op": "drop", "columns": ["n"]}]
+    ops = [
+        {"op": "dedup", "columns": ["q"]}, {"op": "rename", "mapping": {"q": "question"}},
+        {"op": "concat", "target": "t", "columns": ["question", "n"], "sep": "-"}, {"op": "drop", "columns": ["n"]}
+    ]
     assert got(table.apply_operations(basic(spark), ops)) == [("你好", "你好-1"), ("world", "world-3")]
     with pytest.raises(ValueError):
         table.apply_operations(basic(spark), [{"op": "explode"}])
