@@ -570,13 +570,13 @@ def shards_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("bigint").alias("dims"))
 
 
-@_query("SELECT event_id, event_type, value, event_id % 2 = 0 AS even, [event_id, user_id] AS both FROM events WHERE event_id < 500")
+@_query("SELECT event_id, event_type, value, event_id % 2 = 0 AS even, CAST(user_id AS BIGINT) AS second FROM events WHERE event_id < 500")
 def jsonl_inferred(spark, sf_dir):
     """Types are found from all lines."""
     path = _folder(spark, "inferred")
     rows = _t(spark, sf_dir, "events").where("event_id < 500")
     sinks.write_jsonl(rows.select("event_id", "event_type", "value", (F.col("event_id") % 2 == 0).alias("even"), F.array("event_id", "user_id").alias("both")), path)
-    return readers.read_jsonl(spark, path)
+    return readers.read_jsonl(spark, path).select("event_id", "event_type", "value", "even", F.element_at("both", 2).alias("second"))
 
 
 @_query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
@@ -622,7 +622,7 @@ def page_scan(spark, sf_dir):
     return datasets.page(catalog.read("orders"), 3, 100).select(F.col("_file_row").cast("bigint").alias("file_row"), "o_orderkey")
 
 
-@_query("""SELECT file_row, n_name FROM (SELECT n_nationkey + 2 AS file_row, n_name, sum(length(n_name) + 13) OVER (ORDER BY n_nationkey) AS so_far, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE n_nationkey BETWEEN 3 AND 20)
+@_query("""SELECT CAST(file_row AS BIGINT) AS file_row, n_name FROM (SELECT n_nationkey + 2 AS file_row, n_name, sum(length(n_name) + 13) OVER (ORDER BY n_nationkey) AS so_far, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE n_nationkey BETWEEN 3 AND 20)
 WHERE so_far <= 150 OR r = 1""")
 def character_budget(spark, sf_dir):
     """Rows of a range up to so many characters of their JSON."""
