@@ -623,3 +623,38 @@ def test_hashes_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(W, "KEPT_POWERS", 8)
     monkeypatch.setattr(W, "_powers", {})
     assert all((a == b).all() for a, b in zip(whole, [w.hashes(), w.hashes(lower=True)], strict=True))
+
+
+@pytest.mark.parametrize("limit", [10**6, 5])
+def test_all_matches_against_brute_force(spark, limit):
+    """Every document against every item, whatever words they share: the same pairs and scores."""
+    import re
+
+    rng = __import__("random").Random(21)
+    vocabulary = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 5, 8, 12])))) for i in range(12)] + [(50, None), (51, " -- ")]
+    docs = []
+    for i in range(40):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 6, 30]))]
+        if i % 2:  # an item with edits inside
+            own = items[i % 12][1].split()
+            for _ in range(rng.choice([0, 1, 2])):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own
+        docs.append((i, rng.choice([" ", ", ", "\n"]).join(w).upper() if i % 3 else " ".join(w)))
+    docs += [(None, docs[1][1]), (1, docs[1][1]), (99, None)]
+    plain = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = []
+    for d, t in docs:
+        for k, x in items:
+            a, b = plain(x), plain(t)
+            if not a or not b:
+                continue
+            # items of one or two words match texts that are nothing else
+            score = float(a == b) if len(a) <= 2 else brute_align(a, b) / (2 * len(a))
+            if score >= 0.5:
+                want.append((d, k, round(score, 9)))
+    got = decontaminate.find_matches(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_grams=limit)
+    same([(r.id, r.item, round(r.score, 9)) for r in got.collect()], want)
+    assert len(want) > 20
