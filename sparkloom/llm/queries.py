@@ -108,6 +108,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_warc": op7_warc,
@@ -119,6 +137,9 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL: dict[str, str] = {
@@ -146,5 +167,61 @@ hit AS (
   GROUP BY h.page_id)
 SELECT h.page_id, h.host, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(hit.lists, '') AS lists, hit.lists IS NOT NULL AS blocked
 FROM hosts h LEFT JOIN hit USING (page_id)
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+w AS (SELECT doc, lang, source, unnest(ws) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+wide AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS n_lang,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS total_lang
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT lang, source, term, n, CAST(1 + 1000000000 * CAST(n + 1 AS HUGEINT) // CAST(total + v AS HUGEINT) AS BIGINT) AS p,
+         CAST(1 + 1000000000 * CAST(n_lang + 1 AS HUGEINT) // CAST(total_lang + v AS HUGEINT) AS BIGINT) AS q
+  FROM wide),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+most AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM s WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM most
+QUALIFY rank <= 200
+""",
+    # DuckDB has no CRC-32: it is folded over the bits of each distinct word
+    "op12_importance_resampling": r"""
+WITH texts AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+w AS (
+  SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM texts),
+n AS (SELECT kind, id, word, count(*) AS n FROM w GROUP BY ALL),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)),
+crc AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(h), 2), i -> CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    (c, b) -> list_reduce(list_concat([xor(c, b)], range(8)), (x, bit) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+  FROM bytes),
+hits AS (SELECT kind, id, crc % 10000 AS bucket, n FROM n JOIN crc USING (word)),
+b AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM hits GROUP BY bucket),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM b),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM b, totals),
+weighed AS (SELECT id AS doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM hits JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed
 """,
 }
