@@ -25,7 +25,7 @@ take no part, whatever their names.
 ``with_successor`` finds the next row by id without a global sort: quantiles of
 the ids are bucket bounds, which are ids of the table, so the row that begins a
 bucket is known by its id and is copied to the end of the bucket before.  Null
-ids come first; rows that share an id are ordered by xxhash64 of the text; an id
+ids come first; rows that share an id are ordered by 52 bits of xxhash64 of the text; an id
 with so many rows that it spans several buckets is cut by that hash as well.
 Only rows equal in both stay together.  The driver sees the bounds alone.
 """
@@ -127,6 +127,11 @@ def _bounds(keyed: DataFrame, buckets: int) -> list[tuple[int, list[int]]]:
     if least is None:
         return [(0, [0])]
     times = Counter(inner or [])
+    if any(abs(k) > 1 << 53 for k in times if k != -(1 << 63)):
+        # quantiles are formed in doubles: the rows that begin buckets are looked up
+        near = _constant(sorted({least, *times}), "array<bigint>")
+        begin = keyed.groupBy(F.size(F.filter(near, lambda c: c <= F.col("_k"))).alias("_b")).agg(F.min("_k").alias("_k"))
+        times = Counter({r["_k"]: times[r["_k"]] or 1 for r in begin.collect()})
     hot = {k: n for k, n in times.items() if n > 1}
     cuts: dict[int, list[int]] = {k: [] for k in {least, *times}}
     if hot:
@@ -142,7 +147,7 @@ def with_successor(df: DataFrame, id_col: str, text: str, columns: dict[str, str
     """df with columns of the next row by id under new names; the last row is followed by the first."""
     spark = df.sparkSession
     buckets = buckets or SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = {"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    keys = {"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_th": F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 12)}
     bounds = _bounds(df.select(*(c.alias(k) for k, c in keys.items())), buckets)
     ids = [k for k, _ in bounds]
     # two short searches instead of a long one
@@ -161,7 +166,7 @@ def with_successor(df: DataFrame, id_col: str, text: str, columns: dict[str, str
     here = F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy"))
     before = F.struct(F.pmod(F.col("_b") - 1, F.lit(total)).alias("b"), F.lit(True).alias("copy"))
     dealt = rows.withColumn("_to", F.explode(F.when(begins, F.array(here, before)).otherwise(F.array(here)))).drop("_g", "_i", "_at", "_cut", "_b")
-    order = Window.partitionBy("_to.b").orderBy("_to.copy", "_k", "_th")
+    order = Window.partitionBy("_to.b").orderBy("_to.copy", "_k", "_th", text)
     return dealt.withColumns({new: F.lead(old).over(order) for old, new in columns.items()}).where("NOT _to.copy").drop("_to", "_k", "_th")
 
 

@@ -207,8 +207,8 @@ n AS (SELECT kind, id, word, count(*) AS n FROM w GROUP BY ALL),
 bytes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)),
 crc AS (
   SELECT word, xor(4294967295, list_reduce(
-    list_concat([4294967295], list_transform(range(1, length(h), 2), i -> CAST('0x' || substr(h, i, 2) AS BIGINT))),
-    (c, b) -> list_reduce(list_concat([xor(c, b)], range(8)), (x, bit) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+    list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
   FROM bytes),
 hits AS (SELECT kind, id, crc % 10000 AS bucket, n FROM n JOIN crc USING (word)),
 b AS (
