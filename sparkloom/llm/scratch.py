@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
 import tempfile
 import uuid
@@ -24,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-_open: list[temporary] = []
+#: The blocks that are open, by thread: operators that run side by side don't see each other's tables.
+_open: contextvars.ContextVar[tuple[temporary, ...]] = contextvars.ContextVar("_open", default=())
 
 
 class temporary:
@@ -39,7 +41,7 @@ class temporary:
         self.spark, self.made, self.kept = spark, [], []
 
     def __enter__(self) -> temporary:
-        _open.append(self)
+        _open.set((*_open.get(), self))
         return self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -51,9 +53,10 @@ class temporary:
         return out
 
     def __exit__(self, kind, error, trace) -> None:
-        _open.pop()
-        if _open:
-            _open[-1].made += self.kept
+        rest = tuple(x for x in _open.get() if x is not self)
+        _open.set(rest)
+        if rest:
+            rest[-1].made += self.kept
         if error is None:
             for path in self.made:
                 _delete(self.spark, path)
@@ -67,8 +70,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if _open:
-        _open[-1].made.append(path)
+    if _open.get():
+        _open.get()[-1].made.append(path)
     return path
 
 

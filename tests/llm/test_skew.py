@@ -71,3 +71,32 @@ def test_intermediate_tables_go(spark):
         left = stored(spark.range(1), "left")
         raise ZeroDivisionError
     assert left.count() == 1
+
+
+@pytest.mark.parametrize("first_to_end", [0, 1])
+def test_operators_in_two_threads(spark, first_to_end):
+    """Each keeps its own tables, whichever ends first."""
+    import threading
+
+    begun, ended, got, wrong = threading.Barrier(2), threading.Event(), {}, []
+
+    def work(k):
+        try:
+            with temporary(spark) as made:
+                begun.wait(60)
+                own = stored(spark.range(10 + k), f"thread{k}")
+                begun.wait(60)
+                if k != first_to_end:
+                    ended.wait(60)
+                got[k] = made.keep(own.where("id >= 5"), f"kept{k}")
+            ended.set()
+        except Exception as e:
+            wrong.append(e)
+            ended.set()
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in (0, 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert not wrong and {k: d.count() for k, d in got.items()} == {0: 5, 1: 6}
