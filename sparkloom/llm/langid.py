@@ -14,8 +14,9 @@ a word has too few bytes to underflow, in logarithms otherwise, and in stretches
 that hand on their last sums where a word is very long; all three give the same.
 
 Training takes at most ``TRAIN_ROWS`` texts of each language, those with the
-least hashes of their ids, and words of up to ``TRAIN_WORD_BYTES`` bytes; scoring
-reads whole texts of all rows.
+least hashes of their ids; the prior counts all texts that could be learnt from.
+A word longer than ``STRETCH`` bytes is learnt in stretches.  Scoring reads whole
+texts of all rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language, or with a null text, aren't learnt from; without any
@@ -46,8 +47,6 @@ ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a byte that no piece covers.
 UNKNOWN = 1e-7
-#: Words of more bytes, mark included, aren't learnt from.
-TRAIN_WORD_BYTES = 1000
 #: Words of up to so many bytes can't underflow: UNKNOWN ** PLAIN_BYTES is a normal number.
 PLAIN_BYTES = 40
 #: Places of a very long word that are worked on at once.
@@ -214,6 +213,17 @@ def long_total(raw: bytes, model_keys: np.ndarray, longest: int, prob: np.ndarra
     return scale
 
 
+def stretches(raw: bytes) -> Iterator[bytes]:
+    """A word's bytes in parts of at most STRETCH bytes, cut between characters."""
+    i = 0
+    while i < len(raw):
+        j = min(i + STRETCH, len(raw))
+        while j < len(raw) and raw[j] & 0xC0 == 0x80:
+            j -= 1
+        yield raw[i:j]
+        i = j
+
+
 def text_words(text: str) -> list[str]:
     """Lower-cased runs of letters."""
     return _WORD.findall(text.lower())
@@ -261,7 +271,7 @@ def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "
             for w in text_words(t):
                 words[w] = words.get(w, 0) + 1
         prob = np.full(len(keys), 1 / len(keys))
-        counted = [(x, n) for w, n in words.items() if len(x := (_MARK + w).encode()) <= TRAIN_WORD_BYTES]
+        counted = [(x, n) for w, n in words.items() for x in stretches((_MARK + w).encode())]
         raw, weight = [x for x, _ in counted], np.array([n for _, n in counted], float)
         for _ in range(rounds if raw else 0):
             total = np.full(len(keys), SMOOTHING)
@@ -275,7 +285,8 @@ def fit(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "
     keys = np.sort(np.array([piece_hash(p) for p in pieces], np.uint64))
     if len(np.unique(keys)) < len(keys):
         raise ValueError("two pieces share a hash")
-    prior = np.array([float(r.n) for r in got])
+    # all rows that could be learnt from count, not only the sampled ones
+    prior = np.array([float(counts[r.lang]) for r in got])
     prob = np.stack([np.frombuffer(r.prob) for r in got], axis=1) if got else np.zeros((len(keys), 0))
     return Model([r.lang for r in got], prior / max(prior.sum(), 1), keys, prob, max(map(len, pieces)))
 

@@ -516,6 +516,19 @@ def test_empty_tables(spark, rows):
         assert df.collect() == []
 
 
+def test_the_prior_counts_all_texts(spark):
+    df = spark.createDataFrame([(i, "alpha beta" if i % 4 else "gamma", "a" if i % 4 else "b") for i in range(400)], "doc_id bigint, text string, lang string")
+    model = langid.fit(df, train_rows=20, rounds=1)
+    assert model.langs == ["a", "b"] and model.prior.tolist() == pytest.approx([0.75, 0.25])
+
+
+def test_long_words_are_learnt_in_stretches(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    raw = "▁àéàéàéabc".encode()
+    parts = list(langid.stretches(raw))
+    assert b"".join(parts) == raw and all(p.decode() and len(p) <= 7 for p in parts) and len(parts) > 2
+
+
 def test_untrained_language_model_and_id(spark):
     only_out = [(i, "a b") for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     assert all(r.n_known == 0 and r.base_score == 0 for r in hpylm.train_and_score(frame(spark, only_out)).collect())
