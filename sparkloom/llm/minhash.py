@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .scratch import stored, temporary
-from .skew import join_unique
+from .skew import join_dealt, join_unique
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
@@ -145,11 +145,11 @@ def _compare(k: int, apart: bool):
 
 
 def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with both texts; b may be the hub of very many."""
+    """pairs (a, b) with both texts; b may be the hub of very many, whose text then goes to each of its parts."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    tb = stored(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(hubs, "b"), "hub-texts")
-    return join_unique(pairs.select("a", "b").join(ta, "a"), tb, ["b"], F.col("a")).select("a", "b", "ta", "tb")
+    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    hubs = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "hubs")
+    return join_dealt(pairs.select("a", "b").join(ta, "a"), tb, ["b"], F.col("a"), hubs).select("a", "b", "ta", "tb")
 
 
 def _linked(p: DataFrame, percent: int) -> F.Column:
