@@ -516,6 +516,25 @@ def test_empty_tables(spark, rows):
         assert df.collect() == []
 
 
+def test_rules_are_measured_without_what_they_share(spark, rows):
+    def free(t):
+        return np.full(t.rows, not {"kind", "lines", "n_words", "word_chars"} <= set(t.__dict__))
+
+    sample = quality.measure(frame(spark, rows), [quality.Rule("free", free), *quality.RULES[:3]])
+    assert sum(n for bits, n in sample.sets.items() if bits & 1) == 0 < sum(sample.sets.values())
+
+
+def test_survivors_keep_their_code_points():
+    from sparkloom.llm import words as W
+
+    data, offsets = W.text_buffers(__import__("pyarrow").array(["Été 12", "abc", "", "ÀÉ x"]))
+    t = quality.Texts(data, offsets)
+    t.prepare()
+    some = t.subset(np.array([True, False, True, True]))
+    alone = quality.Texts(some.data, some.offsets)
+    assert "kind" in some.__dict__ and some.kind.tolist() == alone.kind.tolist() and some.words.first.tolist() == alone.words.first.tolist()
+
+
 def test_the_prior_counts_all_texts(spark):
     df = spark.createDataFrame([(i, "alpha beta" if i % 4 else "gamma", "a" if i % 4 else "b") for i in range(400)], "doc_id bigint, text string, lang string")
     model = langid.fit(df, train_rows=20, rounds=1)
