@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sparkloom.functions.session import file_system
+from sparkloom.functions.session import file_system, prepare
 from sparkloom.functions.values import col
 
+from .splits import json_array_items, read_csv_ranges
+
 #: Bytes that decide the encoding, and that hold the header.
 PROBE_BYTES = 64 * 1024
 #: The column of data rows' numbers in their file; the header is row 1.
@@ -80,30 +82,19 @@ def has_open_lines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text; short rows are filled with empty texts, further cells are dropped.
 
-    Files are split among tasks, unless cells hold newlines: then a file is read
-    by one task.  Without multi_line, a pass over the lines finds out which.  GBK
-    files are decoded in Python, a file a task, as Spark's reader has no such
-    charset.
+    Files are split among tasks.  Cells with newlines, and charsets that Spark's
+    reader lacks, are read by ranges that find out about each other (``splits``).
+    Without multi_line, a pass over the lines finds out which it is.
     """
     head = probe(spark, path)
     kind = encoding_of(head)
     names = csv_header(head, kind)
     if not names:
         raise ValueError(f"{path} has no header")
+    if kind != "UTF-8" or (has_open_lines(spark, path) if multi_line is None else multi_line):
+        return read_csv_ranges(prepare(spark), path, names, kind.lower())
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if kind == "UTF-8":
-        multi_line = has_open_lines(spark, path) if multi_line is None else multi_line
-        df = spark.read.schema(schema).options(header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
-    else:
-        def rows(batches):
-            import pandas as pd
-
-            for b in batches:
-                for content in b["content"]:
-                    lines = list(csv.reader(io.StringIO(bytes(content).decode("gbk", "replace").replace("\x00", ""), newline="")))[1:]
-                    yield pd.DataFrame([(r + [""] * len(names))[: len(names)] for r in lines], columns=names)
-
-        df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+    df = spark.read.schema(schema).options(header=True, escape='"', mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
     return df.select(*(F.translate(F.coalesce(col(n), F.lit("")), "\x00", "").alias(n) for n in names))
 
 
@@ -115,38 +106,44 @@ def _without_nan(c: F.Column) -> F.Column:
 
 
 def _json_schema(lines: DataFrame) -> str:
-    """The merged schema of JSON lines: schema_of_variant_agg sees each line once, with sums on the map side."""
+    """The merged schema of JSON objects: schema_of_variant_agg sees each once, with sums on the map side."""
     got = lines.agg(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
     fields = re.sub(r"^OBJECT<|>$", "", got or "")
-    # a column that is null throughout is text; larger numbers than BIGINT and mixed columns stay as they are
+    # a column that is null throughout is text, and so are mixed ones
     kind = f"STRUCT<{fields}>".replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
-    return re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", kind)
-
+    # whole numbers over 64 bits keep their digits; other decimals are doubles
+    return re.sub(r"DECIMAL\((\d+),(\d+)\)", lambda m: m[0] if m[2] == "0" else "DOUBLE", kind)
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """One object a line; blank lines are skipped; a line that isn't an object fails the query.
 
-    Columns are inferred from all lines; name a schema to read a large file once.
-    """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(r"value RLIKE '\\S'")
-    good = lines.select(_without_nan(F.col("value")).alias("value"))
+def _objects(texts: DataFrame, schema: str | None) -> DataFrame:
+    """Columns of JSON objects (value); a text that isn't an object fails the query."""
+    good = texts.select(_without_nan(F.col("value")).alias("value"))
     checked = good.select(
         F.when(
             F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.col("value")
         ).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).alias("value")
     )
-    if schema is None:
-        kind = T._parse_datatype_string(_json_schema(checked))
-    else:
-        kind = T._parse_datatype_string(schema)
+    kind = T._parse_datatype_string(schema or _json_schema(checked))
     if not kind.fields:
-        return spark.createDataFrame([], "value string").drop("value")
+        return texts.sparkSession.createDataFrame([], "value string").drop("value")
     return checked.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A single object, or an array of objects."""
-    return spark.read.option("multiLine", True).option("encoding", "UTF-8").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One object a line; blank lines are skipped; a line that isn't an object fails the query.
+
+    Columns are inferred from all lines; name a schema to read a large file once.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return _objects(lines.where(r"value RLIKE '\\S'"), schema)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A single object, or an array of objects, which many tasks read."""
+    head = probe(spark, path).removeprefix(b"\xef\xbb\xbf").lstrip()
+    if not head.startswith(b"["):
+        return spark.read.option("multiLine", True).option("encoding", "UTF-8").json(path)
+    return _objects(json_array_items(prepare(spark), path), schema)
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
