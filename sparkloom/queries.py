@@ -514,7 +514,7 @@ def _edited(spark, sf_dir, edit: Callable[[datasets.EditPlan], object]) -> DataF
     """A new version in a catalog, written and read again."""
     catalog = datasets.Catalog(spark, _folder(spark, "catalog"))
     rows = _t(spark, sf_dir, "nation", "n_nationkey").withColumns({c: F.col(c).cast("string") for c in ("n_nationkey", "n_regionkey")})
-    catalog.write("nation", datasets.numbered(rows))
+    catalog.write("nation", rows)
     plan = catalog.plan("nation")
     edit(plan)
     version = catalog.edit("nation", plan)
@@ -616,10 +616,24 @@ def xlsx_round_trip(spark, sf_dir):
 
 @_query("SELECT CAST(n + 1 AS BIGINT) AS file_row, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n BETWEEN 201 AND 300")
 def page_scan(spark, sf_dir):
-    """The third page of a stored version: the row numbers are in its files."""
+    """The third page of a stored version: only the files that hold it are opened."""
     catalog = datasets.Catalog(spark, _folder(spark, "pages"))
-    catalog.write("orders", datasets.numbered(_t(spark, sf_dir, "orders", "o_orderkey")))
-    return datasets.page(catalog.read("orders"), 3, 100).select(F.col("_file_row").cast("bigint").alias("file_row"), "o_orderkey")
+    catalog.write("orders", _t(spark, sf_dir, "orders", "o_orderkey"))
+    return catalog.read("orders", first=202, last=301).select(F.col("_file_row").alias("file_row"), "o_orderkey")
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) + 1 AS r FROM orders),
+e AS (SELECT r AS k, 1 AS j, o_orderkey, o_orderpriority FROM o WHERE r NOT BETWEEN 10 AND 500 AND r <> 700
+ UNION ALL SELECT 700, 0, -1, 'NEW' UNION ALL SELECT 900, 0, -2, 'NEW')
+SELECT CAST(row_number() OVER (ORDER BY k, j) + 1 AS BIGINT) AS file_row, o_orderkey, o_orderpriority AS priority, 'k' AS tag FROM e""")
+def version_chain(spark, sf_dir):
+    """Three edits of a large version, none of which writes its rows anew."""
+    catalog = datasets.Catalog(spark, _folder(spark, "chain"))
+    catalog.write("orders", _t(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_orderpriority", POS))
+    catalog.edit("orders", catalog.plan("orders").replace_rows(700, [{"o_orderkey": -1, "o_orderpriority": "NEW"}]).insert_rows(900, [{"o_orderkey": -2, "o_orderpriority": "NEW"}]))
+    catalog.edit("orders", catalog.plan("orders").delete_rows(10, 500))
+    catalog.edit("orders", catalog.plan("orders").rename_column("o_orderpriority", "priority").add_constant_column("tag", "k"))
+    return table.rename(catalog.read("orders"), {"_file_row": "file_row"})
 
 
 @_query("""SELECT CAST(file_row AS BIGINT) AS file_row, n_name FROM (SELECT n_nationkey + 2 AS file_row, n_name, sum(length(n_name) + 13) OVER (ORDER BY n_nationkey) AS so_far, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE n_nationkey BETWEEN 3 AND 20)

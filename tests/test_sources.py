@@ -152,6 +152,61 @@ def test_catalog(spark, tmp_path):
         c.read("nobody")
 
 
+def plain_edit(rows, gone, added):
+    """rows with numbers from 2 on; added are (before, row)."""
+    out = []
+    for n in range(2, len(rows) + 3):
+        out += [r for at, r in added if at == n]
+        if n < len(rows) + 2 and not any(a <= n <= b for a, b in gone):
+            out.append(rows[n - 2])
+    return out
+
+
+def test_versions_share_files(spark, tmp_path):
+    """Random chains of edits against a list; no edit writes more than its own rows."""
+    import random
+
+    rng = random.Random(4)
+    c = datasets.Catalog(spark, f"file://{tmp_path}/catalog")
+    rows = [f"r{i}" for i in range(300)]
+    c.write("d", with_positions(spark.range(300).select(F.concat(F.lit("r"), "id").alias("name"), "id").repartition(3), "id").drop("id"))
+    for step in range(6):
+        plan = c.plan("d")
+        a = rng.randrange(2, len(rows) - 10)
+        new = [f"n{step}{k}" for k in range(rng.randrange(3))]
+        at = rng.choice([2, len(rows) + 2, a])
+        if step % 2:
+            plan.delete_rows(a, a + 4)
+            gone, added = [(a, a + 4)], []
+        else:
+            plan.replace_rows(a + 5, [{"name": x} for x in new]).insert_rows(at, [{"name": "i"}])
+            gone, added = [(a + 5, a + 5)], [*((a + 5, x) for x in new), (at, "i")]
+        before = sum(1 for _ in (tmp_path / "catalog/d/data").rglob("*.parquet"))
+        c.edit("d", plan)
+        assert sum(1 for _ in (tmp_path / "catalog/d/data").rglob("*.parquet")) - before == (not step % 2)
+        rows = plain_edit(rows, gone, added)
+        assert [r["name"] for r in c.rows("d", 2, 10**6)] == rows
+    assert [(r["_file_row"], r["name"]) for r in c.page("d", 2, 50)] == list(enumerate(rows, 2))[50:100]
+    assert [(r._file_row, r.name) for r in c.read("d").orderBy("_file_row").collect()] == list(enumerate(rows, 2))
+    assert sorted(r.name for r in c.read("d", first=5, last=9).collect()) == sorted(rows[3:8])
+    assert c.read("d", 1).count() == 300 and c.read("d", first=10**6, last=10**6).count() == 0
+    c.replace("d", spark.createDataFrame([("only",)], "name string"))
+    assert c.versions("d") == [8] and len(list((tmp_path / "catalog/d/data").iterdir())) == 1 and c.rows("d", 2, 9) == [{"_file_row": 2, "name": "only"}]
+
+
+def test_versions_of_columns(spark, tmp_path):
+    c = datasets.Catalog(spark, f"file://{tmp_path}/catalog")
+    c.write("d", with_positions(spark.createDataFrame([(1, "x", 1.5), (2, None, None)], "i long, s string, f double"), "i"))
+    c.edit("d", c.plan("d").add_constant_column("k", "v").rename_column("s", "t"))
+    c.edit("d", c.plan("d").insert_rows(2, [{"i": "7", "t": "new"}]).drop_columns("f"))
+    c.edit("d", c.plan("d").rename_column("k", "s"))
+    want = [{"_file_row": 2, "i": 7, "t": "new", "s": ""}, {"_file_row": 3, "i": 1, "t": "x", "s": "v"}, {"_file_row": 4, "i": 2, "t": None, "s": "v"}]
+    assert c.rows("d", 2, 9) == want and c.columns("d") == ["i", "t", "s"]
+    assert [r.asDict() for r in c.read("d").select("_file_row", "i", "t", "s").orderBy("_file_row").collect()] == want
+    with pytest.raises(datasets.VersionConflict):
+        c._commit("d", 2, c.manifest("d"))
+
+
 def test_packages(spark, tmp_path):
     graph = {"nodes": [{"id": "w", "type": "http_fetch", "config": {"url": "https://u:p@h.org/a?token=abc&x=1", "headers": {"Authorization": "Bearer x", "X-Api-Key": "{{key}}"}}}], "edges": []}
     path = str(tmp_path / "p.zip")
