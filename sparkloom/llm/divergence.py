@@ -8,8 +8,9 @@
 3. Terms meet their layout on the language and a salt, so a language with most
    terms is dealt out; Spark broadcasts the layout only where its size allows.
 4. With its layout a term's map becomes a wide vector, one share for each source.
-   Higher-order functions emit a contribution for each ordered pair of sources;
-   sums by pair are combined on the map side, so a task sends one row a pair.
+   Higher-order functions emit a contribution for each ordered pair of sources,
+   ``BLOCK`` pairs a row; sums are combined on the map side, so a task sends each
+   pair once.
 5. The terms that a source has most in excess of its language are the first 200
    by value, for which Spark keeps 200 a group before it shuffles.
 
@@ -41,8 +42,10 @@ MIN_DOCS = 3
 SCALE, PRIOR = 1_000_000_000, 1
 #: Ranks of a source's terms that are reported.
 TERM_RANKS = 200
-#: Counts that a partition holds at most before it hands them on.
-MAX_COUNTS = 300_000
+#: Counts that a partition holds at most before it hands them on; some 250 bytes each.
+MAX_COUNTS = 600_000
+#: Pairs whose contributions one row of the sums holds.
+BLOCK = 16
 
 #: For bytes.translate: letters and bytes over 0x7F stay, A-Z are lower-cased, the rest parts terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,9 +108,11 @@ def layouts(groups: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def share(count: Column, total: Column, terms: Column, scale: int = SCALE, prior: int = PRIOR) -> Column:
-    """1 + floor(scale * (count + prior) / (total + prior * terms)), exactly: the quotient is formed in decimals of 38 digits."""
-    top = F.lit(scale).cast("decimal(12,0)") * (count + prior).cast("decimal(19,0)")
-    return F.call_function("div", top, (total + prior * terms).cast("decimal(19,0)")) + 1
+    """1 + floor(scale * (count + prior) / (total + prior * terms)), exactly: beyond 64 bits in decimals of 38 digits."""
+    most = ((1 << 63) - 1) // scale - prior
+    all_of = total + prior * terms
+    wide = F.call_function("div", F.lit(scale).cast("decimal(12,0)") * (count + prior).cast("decimal(19,0)"), all_of.cast("decimal(19,0)"))
+    return F.when(count <= most, F.call_function("div", F.lit(scale).cast("long") * (count + prior), all_of)).otherwise(wide) + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -131,8 +136,11 @@ def divergence(df: DataFrame, lang: str = "lang", source: str = "source", text:
         all_of = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
         wide = wide.withColumn("p", shares).withColumn("q", share(all_of, F.col("total"), F.col("terms")))
         wide = made.keep(wide.select("lang", "term", "sources", "counts", "p", "q"), "vectors")
-    each = F.transform("p", lambda p, i: F.transform("p", lambda q, j: F.struct(i.alias("i"), j.alias("j"), _gap(p, q).alias("value"))))
-    sums = wide.select("lang", F.explode(F.flatten(each)).alias("x")).where("x.i != x.j").groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum("x.value").alias("value"))
+    # a row for each source and block of others, whose contributions are summed side by side
+    each = F.transform("p", lambda p: F.transform("p", lambda q: _gap(p, q)))
+    rows = wide.select("lang", F.posexplode(each).alias("i", "of")).select("lang", "i", "of", F.explode(F.sequence(F.lit(0), F.call_function("div", F.size("of") - 1, F.lit(BLOCK)).cast("int"))).alias("b"))
+    sums = rows.groupBy("lang", "i", "b").agg(*(F.sum(F.get("of", F.col("b") * BLOCK + k)).alias(f"s{k}") for k in range(BLOCK)))
+    sums = sums.select("lang", "i", "b", F.posexplode(F.array(*(f"s{k}" for k in range(BLOCK)))).alias("k", "value")).select("lang", "i", (F.col("b") * BLOCK + F.col("k")).alias("j"), "value")
     named = layout.select("lang", F.posexplode("sources").alias("i", "source"), "sources").select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).where("i != j")
     pairs = named.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     excess = F.filter(
