@@ -59,8 +59,8 @@ def text_of(c: Column, kind: T.DataType, null: str | None = "None") -> Column:
 
 
 def not_blank(c: Column) -> Column:
-    """Has a character that isn't Unicode white space."""
-    return c.rlike(r"(?U)\S")
+    """Has a character that isn't white space, as Python knows it: Unicode's, and the four separators of ASCII."""
+    return c.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def java_regex(pattern: str) -> str:

@@ -9,6 +9,7 @@ are settled at once, so a retried task or a second use never calls again.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.parse
 import urllib.request
@@ -96,41 +97,86 @@ def _finite(value):
     return [_finite(v) for v in value] if isinstance(value, list) else value
 
 
-def _outcomes(work: Callable[[tuple], dict], concurrency: int):
-    """A pandas UDF that runs work on each row of its arguments, several at a time."""
+def slots(df: DataFrame, concurrency: int) -> tuple[DataFrame, int]:
+    """df in parts that make calls side by side, and the calls that each part may have in flight.
+
+    All parts together never have more than ``concurrency``, however many tasks
+    the session runs at once.
+    """
+    parts = max(1, min(int(concurrency), df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(parts, F.xxhash64(POS)) if POS in df.columns else df.repartition(parts), max(1, int(concurrency)) // parts
+
+
+class Pace:
+    """Lets calls of one task begin no sooner than ``gap`` seconds after each other."""
+
+    def __init__(self, gap: float):
+        self.gap, self.lock, self.next = gap, threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.gap <= 0:
+            return
+        with self.lock:
+            now = time.monotonic()
+            begin = max(now, self.next)
+            self.next = begin + self.gap
+        time.sleep(begin - now)
+
+
+def _outcomes(calls: Callable[[tuple, Pace], list[Callable[[], object]]], finish: Callable[[list], dict], threads: int, gap: float):
+    """A pandas UDF: the calls of each row run side by side with those of others, ``threads`` at a time; the first that fails fails its row."""
 
     @F.pandas_udf(OUTCOME)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        def one(args):
+        pace = Pace(gap)
+
+        def ended(args, running) -> dict:
             try:
-                return {"status": "done", "error": None} | work(args)
+                return {"status": "done", "error": None} | finish([r.result() for r in running])
             except Exception as e:
+                for r in running:
+                    r.cancel()
                 return {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500], "outs": [], "prompt_tokens": 0, "completion_tokens": 0}
 
-        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        with ThreadPoolExecutor(threads) as pool:
             for cols in batches:
-                yield pd.DataFrame(list(pool.map(one, zip(*cols, strict=True))), columns=["status", "error", "outs", "prompt_tokens", "completion_tokens"])
+                rows = [(args, [pool.submit(c) for c in calls(args, pace)]) for args in zip(*cols, strict=True)]
+                yield pd.DataFrame([ended(*r) for r in rows], columns=["status", "error", "outs", "prompt_tokens", "completion_tokens"])
 
     return run.asNondeterministic()
 
 
+def _gap(df: DataFrame, per_minute: float | None) -> float:
+    return 60 * df.rdd.getNumPartitions() / per_minute if per_minute else 0.0
+
+
 def synth_units(
     df: DataFrame, model: Model, user_prompt: str, system_prompt: str = "", fanout: int = 1, json_mode: bool = False, params: dict | None = None,
-    retries: int = 3, concurrency: int = 4, wait: float = 1.0, settle: bool = True
+    retries: int = 3, concurrency: int = 4, wait: float = 1.0, settle: bool = True, per_minute: float | None = None
 ) -> DataFrame:
     """df with a unit of fanout model replies for each row; a failing reply fails the unit.
 
-    Where a row carries the feedback of a judge, the prompt ends with it.
+    At most ``concurrency`` calls are in flight, those of one row's fan-out side
+    by side among them, and at most ``per_minute`` begin in a minute.  Where a
+    row carries the feedback of a judge, the prompt ends with it.
     """
     if isinstance(fanout, bool) or not isinstance(fanout, int) or fanout < 1:
         raise ValueError("fanout must be a whole number from 1 on")
 
-    def work(args):
+    df, threads = slots(df, concurrency)
+
+    def calls(args: tuple, pace: Pace) -> list[Callable[[], Reply]]:
         user, system = args
-        outs, used = [], [0, 0]
-        for _ in range(fanout):
-            r = attempt(lambda: model.complete(system, user, params or {}), retries, wait)
-            used = [used[0] + r.prompt_tokens, used[1] + r.completion_tokens]
+
+        def ask() -> Reply:
+            pace.wait()
+            return model.complete(system, user, params or {})
+
+        return [lambda: attempt(ask, retries, wait)] * fanout
+
+    def finish(replies: list[Reply]) -> dict:
+        outs = []
+        for r in replies:
             if json_mode:
                 got = json.loads(r.text)
                 if not isinstance(got, dict):
@@ -138,12 +184,12 @@ def synth_units(
                 outs.append(json.dumps(_finite(got), ensure_ascii=False))
             else:
                 outs.append(r.text)
-        return {"outs": outs, "prompt_tokens": used[0], "completion_tokens": used[1]}
+        return {"outs": outs, "prompt_tokens": sum(r.prompt_tokens for r in replies), "completion_tokens": sum(r.completion_tokens for r in replies)}
 
     user = render(user_prompt, df.schema)
     if FEEDBACK in df.columns:
         user = F.concat(user, F.when(F.coalesce(col(FEEDBACK), F.lit("")) != "", F.concat(F.lit("\n\nAn earlier answer was rejected: "), col(FEEDBACK))).otherwise(""))
-    out = df.withColumn(UNIT, _outcomes(work, concurrency)(user, render(system_prompt, df.schema)))
+    out = df.withColumn(UNIT, _outcomes(calls, finish, threads, _gap(df, per_minute))(user, render(system_prompt, df.schema)))
     return settled(out) if settle else out
 
 
@@ -217,7 +263,8 @@ def path_get(value, path: str):
 def fetch_units(
     df: DataFrame, fetcher: Fetcher, endpoint: str, method: str = "GET", params: dict[str, str] | None = None, headers: dict[str, str] | None = None,
     body: str = "", body_format: str = "json", timeout: float = 30, retries: int = 2, poll_path: str | None = None, poll_until: str = "",
-    poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True, records_path: str | None = None
+    poll_interval: float = 2, poll_most: int = 30, concurrency: int = 4, wait: float = 1.0, settle: bool = True, records_path: str | None = None,
+    per_minute: float | None = None
 ) -> DataFrame:
     """df with a unit for each row that holds the response's body, which must be JSON.
 
@@ -231,8 +278,9 @@ def fetch_units(
         raise ValueError(f"body_format {body_format!r} is unknown")
     parts = {"url": endpoint, "body": body} | {f"p:{k}": v for k, v in (params or {}).items()} | {f"h:{k}": v for k, v in (headers or {}).items()}
     names = list(parts)
+    df, threads = slots(df, concurrency)
 
-    def work(args):
+    def work(args: tuple, pace: Pace) -> str:
         filled = dict(zip(names, args, strict=True))
         head = {k[2:]: v for k, v in filled.items() if k.startswith("h:")}
         if filled["body"] and not any(h.lower() == "content-type" for h in head):
@@ -240,6 +288,7 @@ def fetch_units(
         request = {"url": filled["url"], "method": method, "params": {k[2:]: v for k, v in filled.items() if k.startswith("p:")}, "headers": head, "body": filled["body"], "timeout": timeout}
 
         def call() -> Response:
+            pace.wait()
             try:
                 r = fetcher.fetch(request)
             except Exception as e:
@@ -263,9 +312,11 @@ def fetch_units(
             time.sleep(poll_interval)
         if records_path and not isinstance(path_get(value, records_path), list):
             raise ValueError(f"{records_path} isn't an array in the response")
-        return {"outs": [got.body], "prompt_tokens": 0, "completion_tokens": 0}
+        return got.body
 
-    out = df.withColumn(UNIT, _outcomes(work, concurrency)(*(render(t, df.schema) for t in parts.values())))
+    calls = lambda args, pace: [lambda: work(args, pace)]
+    finish = lambda bodies: {"outs": bodies, "prompt_tokens": 0, "completion_tokens": 0}
+    out = df.withColumn(UNIT, _outcomes(calls, finish, threads, _gap(df, per_minute))(*(render(t, df.schema) for t in parts.values())))
     return settled(out) if settle else out
 
 

@@ -16,7 +16,7 @@ from sparkloom.functions.session import settled
 from sparkloom.functions.template import render
 from sparkloom.functions.values import col, not_blank, text_of
 
-from .enrich import FEEDBACK, Model, attempt, sample_columns
+from .enrich import FEEDBACK, Model, attempt, sample_columns, slots
 from .order import POS
 
 VOTES = "_votes"
@@ -89,10 +89,12 @@ def reasons(votes: Column) -> Column:
 Votes = Callable[[DataFrame], Column]
 
 
-def judged(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, settle: bool = True) -> DataFrame:
+def judged(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, settle: bool = True, concurrency: int | None = None) -> DataFrame:
     """df with _votes and _ok.  A row without any text fails without a vote being asked for.
 
     settle is for votes that call out; votes by expressions need no settling.
+    With concurrency, rows are asked in as many parts as may be at work at once:
+    votes then have a thread each.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     full = reduce(lambda a, b: a | b, (not_blank(text_of(col(c), kinds[c], "")) for c in sample_columns(df)), F.lit(False))
@@ -101,6 +103,7 @@ def judged(df: DataFrame, votes: Votes, n: int, pass_k: object = 1, settle: bool
         # votes come from outside: the two kinds of rows part before the call, so that blank ones never reach it
         marked = df.withColumn("_full", full)
         asked = marked.where("_full")
+        asked = slots(asked, concurrency)[0] if concurrency else asked
         out = asked.withColumn(VOTES, votes(asked).cast(_VOTE)).unionByName(marked.where("NOT _full").withColumn(VOTES, blank)).drop("_full")
     else:
         out = df.withColumn(VOTES, F.when(full, votes(df).cast(_VOTE)).otherwise(blank))
@@ -119,7 +122,7 @@ class Verdict:
 
 def review(
     df: DataFrame, votes: Votes, n: int, pass_k: object = 1, regenerate: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 3,
-    status: str = "qc_status", feedback: str = "qc_feedback", own: Sequence[str] = (), settle: bool = True
+    status: str = "qc_status", feedback: str = "qc_feedback", own: Sequence[str] = (), settle: bool = True, concurrency: int | None = None
 ) -> Verdict:
     """Judges df; rows that fail are regenerated and judged again, up to max_rounds times.
 
@@ -129,7 +132,7 @@ def review(
     set of jobs whose result is settled.
     """
     check_columns(df, status, feedback, own)
-    now = judged(df.drop(*own), votes, n, pass_k, settle)
+    now = judged(df.drop(*own), votes, n, pass_k, settle, concurrency)
     metric = now.agg(F.count(F.lit(1)).alias("total"), F.count_if("_ok").alias("first_round_pass"))
 
     def passed_of(frame: DataFrame, k: int) -> DataFrame:
@@ -147,7 +150,7 @@ def review(
             if POS in again.columns:
                 gone = again.join(new.select(F.slice(POS, 1, F.size(POS) - 1).alias(POS)), POS, "left_anti")
                 lost.append(gone.withColumn(VOTES, F.col("_old")).withColumn("_round", F.lit(rounds)).drop("_old", FEEDBACK))
-            now = judged(new.drop("_old", FEEDBACK), votes, n, pass_k, settle)
+            now = judged(new.drop("_old", FEEDBACK), votes, n, pass_k, settle, concurrency)
             good.append(passed_of(now, rounds))
             bad = now.where("NOT _ok")
     failures = bad.drop("_ok").withColumn("_round", F.lit(rounds))
@@ -157,8 +160,13 @@ def review(
     return Verdict(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good), failures, metric)
 
 
-def first_round_rate(metric: DataFrame, *by: str) -> DataFrame:
-    """The share that passed at once; 0 where nothing was judged."""
+def first_round_rate(metric: DataFrame) -> DataFrame:
+    """The share of a run's rows that passed at once; null where nothing was judged."""
+    return metric.agg(F.try_divide(F.sum("first_round_pass"), F.sum("total")).alias("first_round_rate"))
+
+
+def node_rates(metric: DataFrame, *by: str) -> DataFrame:
+    """The same for each node; 0 where a node judged nothing."""
     return metric.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("first_round_pass"), F.sum("total")), F.lit(0.0)).alias("first_round_rate"))
 
 

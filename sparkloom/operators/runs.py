@@ -90,21 +90,26 @@ def trace_events(units: DataFrame, failures: DataFrame, logs: DataFrame, trace:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
-def threshold(text: str) -> float:
-    """A goal such as 90% or 0.85."""
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(%?)\s*", text)
-    if not m:
-        raise ValueError(f"{text!r} is no share")
-    value = float(m[1]) / (100 if m[2] else 1)
-    if value > 1:
-        raise ValueError(f"{text!r} is over 100%")
-    return value
-
-
-def goal_reached(history: Sequence[float], goal: float, patience: int) -> str | None:
-    """Why a loop towards a goal ends: 'reached', 'stalled', or None if it goes on."""
-    if history and history[-1] >= goal:
-        return "reached"
-    if len(history) > patience and max(history[-patience:]) <= max(history[:-patience]):
-        return "stalled"
+def threshold(text: str) -> float | None:
+    """The share that a goal in words asks for: its first percentage, else its first decimal fraction; None if it names none."""
+    percent = re.search(r"(\d+(?:\.\d+)?)\s*%", text)
+    if percent:
+        return float(percent[1]) / 100
+    fraction = re.search(r"(?<![\w.])(?:0?\.\d+|1\.0)(?!\w)", text)
+    return float(fraction[0]) if fraction else None
+
+
+def goal_reached(history: Sequence[float | None], goal: float | None, patience: int) -> str | None:
+    """Why a loop towards a goal ends: 'reached', 'stalled', or None if it goes on.
+
+    A round without a metric counts as one without a gain; without a goal no
+    metric ends the loop.
+    """
+    best, idle = 0.0, 0
+    for metric in history:
+        if goal is not None and metric is not None and metric >= goal:
+            return "reached"
+        best, idle = (metric, 0) if metric is not None and metric > best else (best, idle + 1)
+        if goal is not None and idle >= patience:
+            return "stalled"
     return None

@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.jsonpath import explode_records, extract
@@ -28,6 +28,7 @@ from sparkloom.operators.table import apply_operations, drop, limit, stack
 from sparkloom.sources.datasets import Catalog
 
 from .graph import Graph, GraphError
+from .queue import CallSlots
 from .rewrites import bind_prompts, generation_chain, input_caps
 
 
@@ -82,14 +83,37 @@ class UnitStore:
     def read(self, node: str) -> DataFrame:
         return self.spark.read.parquet(self._folder(node))
 
-    def fill(self, node: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Works on the rows that have no unit yet, batch by batch; each batch that is done stays, whatever fails later."""
+    def fill(self, node: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame], seen: Callable[[int, int, int], None] | None = None) -> DataFrame:
+        """Works on the rows that have no unit yet, batch by batch; each batch that is done stays, whatever fails later.
+
+        Where there are several batches, the rows are written by batch once, so
+        that each batch reads its own.  ``seen`` gets the units done and failed so
+        far, of how many, behind each batch: counts that its write gives.
+        """
         todo = settled(self.remaining(node, rows))
-        batches = max(1, min(STORE_BATCHES, -(-todo.count() // self.batch_rows)))
-        for i in range(batches):
-            work(todo.where(F.pmod(F.xxhash64(POS), F.lit(batches)) == i)).write.mode("append").parquet(self._folder(node))
+        total = todo.count()
+        batches = max(1, min(STORE_BATCHES, -(-total // self.batch_rows)))
+        parts = [todo]
+        if batches > 1:
+            waiting = f"{self.path}/_waiting/{node}"
+            todo.withColumn("_batch", F.pmod(F.xxhash64(POS), F.lit(batches)).cast("int")).repartition(batches, "_batch").write.mode("overwrite").partitionBy("_batch").parquet(waiting)
+            parts = [self.spark.read.schema(todo.schema).parquet(waiting + f"/_batch={i}") if self._exists(f"{waiting}/_batch={i}") else todo.limit(0) for i in range(batches)]
+        done = failed = 0
+        for part in parts:
+            count = Observation()
+            ok = F.col(f"{UNIT}.status") == "done"
+            work(part).observe(count, F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed")).write.mode("append").parquet(self._folder(node))
+            done, failed = done + count.get["done"], failed + count.get["failed"]
+            if seen:
+                seen(done, failed, total)
+        if batches > 1:
+            self.forget(f"_waiting/{node}")
         return self.read(node)
 
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
     def remaining(self, node: str, rows: DataFrame) -> DataFrame:
         return rows.join(self.read(node).select(POS), POS, "left_anti") if self.exists(node) else rows
 
@@ -165,8 +189,14 @@ class Result:
 
 
 class Runner:
-    def __init__(self, spark: SparkSession, resources: Resources, run: str = "1", store: UnitStore | None = None):
-        self.spark, self.res, self.run_id, self.store = spark, resources, run, store
+    """progress gets (node, done, failed, total) behind each stored batch; calls bounds those of all runs that share it."""
+
+    def __init__(
+        self, spark: SparkSession, resources: Resources, run: str = "1", store: UnitStore | None = None,
+        progress: Callable[[str, int, int, int], None] | None = None, calls: CallSlots | None = None
+    ):
+        self.spark, self.res, self.run_id, self.store, self.progress = spark, resources, run, store, progress
+        self.calls = calls or CallSlots()
 
     def run(self, data: dict | Graph) -> Result:
         graph = (data if isinstance(data, Graph) else Graph.parse(data)).validate()
@@ -241,27 +271,30 @@ class Runner:
         return rows
 
     def _units(self, name: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame], result: Result) -> DataFrame:
-        units = self.store.fill(name, rows, work) if self.store else work(rows)
+        seen = (lambda *n: self.progress(name, *n)) if self.progress else None
+        units = self.store.fill(name, rows, work, seen) if self.store else work(rows)
         result.units[name] = units
         return units
 
     def _synth(self, c: dict, rows: DataFrame, fanout: int | None = None) -> DataFrame:
-        return synth_units(
-            rows, self.res.models[str(c["model_config_id"])], c.get("user_prompt", ""), c.get("system_prompt", ""), fanout or c.get("fanout_n", 1),
-            c.get("output_mode") == "json", c.get("params"), c.get("retries", 3), c.get("concurrency", 4), c.get("retry_wait", 1.0)
-        )
+        with self.calls.taken(c.get("concurrency", 4)) as most:
+            return synth_units(
+                rows, self.res.models[str(c["model_config_id"])], c.get("user_prompt", ""), c.get("system_prompt", ""), fanout or c.get("fanout_n", 1),
+                c.get("output_mode") == "json", c.get("params"), c.get("retries", 3), most, c.get("retry_wait", 1.0), per_minute=c.get("calls_per_minute")
+            )
 
     def _synth_rows(self, name: str, c: dict, units: DataFrame) -> DataFrame:
         fields = {f: "string" for f in c.get("output_columns", [])} if c.get("output_mode") == "json" else None
         return unit_rows(units, name, c.get("output_column", "output"), fields)
 
     def _fetch(self, c: dict, rows: DataFrame) -> DataFrame:
-        return fetch_units(
-            rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""),
-            c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""),
-            c.get("poll_interval", 2), c.get("poll_max_attempts", 30), c.get("concurrency", 4), c.get("retry_wait", 1.0),
-            records_path=c.get("records_path")
-        )
+        with self.calls.taken(c.get("concurrency", 4)) as most:
+            return fetch_units(
+                rows, self.res.fetcher, c.get("endpoint") or c.get("url"), c.get("method", "GET"), c.get("params"), c.get("headers"), c.get("body", ""),
+                c.get("body_format", "json"), c.get("timeout", 30), c.get("retries", 2), c.get("poll_status_path"), c.get("poll_until", ""),
+                c.get("poll_interval", 2), c.get("poll_max_attempts", 30), most, c.get("retry_wait", 1.0),
+                records_path=c.get("records_path"), per_minute=c.get("calls_per_minute")
+            )
 
     def _review(self, graph: Graph, name: str, c: dict, came: DataFrame, result: Result, batch: int | None = None) -> DataFrame:
         judges = [str(j) for j in c.get("judge_model_ids") or [c["model_config_id"]]]
@@ -270,8 +303,7 @@ class Runner:
         else:
             models = {j: self.res.models[j] for j in judges}
             votes = lambda d: judge.by_models(
-                d, models, c.get("user_prompt", ""), c.get("system_prompt", ""), c.get("params"), c.get("retries", 3), c.get("concurrency", 4),
-                c.get("retry_wait", 1.0)
+                d, models, c.get("user_prompt", ""), c.get("system_prompt", ""), c.get("params"), c.get("retries", 3), 1, c.get("retry_wait", 1.0)
             )
         target, again = graph.rescan_target(name), None
         if target is not None:
@@ -285,10 +317,15 @@ class Runner:
         own = [
             x for p in graph.ancestors(name) if graph.node(p).type == "qc" for x in (graph.node(p).config.get("status_column", "qc_status"), graph.node(p).config.get("feedback_column", "qc_feedback"))
         ]
-        ask = lambda: judge.review(
-            came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"),
-            c.get("feedback_column", "qc_feedback"), own
-        )
+        called = not all(j in self.res.rules for j in judges)
+
+        def ask() -> judge.Verdict:
+            with self.calls.taken(c.get("concurrency", 4)) as most:
+                return judge.review(
+                    came, votes, len(judges), c.get("pass_k", 1), again, c.get("max_rounds", 3), c.get("status_column", "qc_status"),
+                    c.get("feedback_column", "qc_feedback"), own, concurrency=most if called else None
+                )
+
         v = self.store.verdict(name if batch is None else f"{name}~{batch}", ask) if self.store else ask()
         result.verdicts[name] = v
         return v.passed

@@ -187,3 +187,8 @@ def test_wide_and_long_names(spark):
     long = "c" * 4000
     df = spark.range(1).select(F.array("id").alias(POS), F.lit("v").alias(long), *(F.lit(i).alias(f"c{i}") for i in range(300)), F.lit("s").alias("_qc_score"))
     assert visible(table.dedup(df)).columns[0] == long and "_qc_score" in visible(df).columns
+
+
+def test_separators_of_ascii_are_blank(spark):
+    df = spark.createDataFrame([("\x1c",), ("\x1f \x1d",), ("\u3000\x85",), ("a\x1c",), ("",), (None,)], "s string")
+    assert [r.s for r in table.filter_rows(df, "s", "not_empty").collect()] == ["a\x1c", None]
