@@ -42,8 +42,8 @@ MIN_DOCS = 3
 SCALE, PRIOR = 1_000_000_000, 1
 #: Ranks of a source's terms that are reported.
 TERM_RANKS = 200
-#: Counts that a partition holds at most before it hands them on; some 250 bytes each.
-MAX_COUNTS = 600_000
+#: Counts that a partition holds at most before it hands them on; some 400 bytes each, with what is made of them.
+MAX_COUNTS = 120_000
 #: Pairs whose contributions one row of the sums holds.
 BLOCK = 16
 
@@ -60,12 +60,11 @@ def _count(most: int):
         counts: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
         held = 0
 
-        def handed() -> pa.RecordBatch:
-            rows = [(lang, source, term, n, d) for (lang, source), own in counts.items() for term, (n, d) in own.items()]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
-            columns[2] = columns[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        def handed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in counts.items():
+                terms = pa.array(own.keys(), pa.binary()).cast(pa.string())
+                n, docs = (pa.array((x[i] for x in own.values()), pa.int64()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), pa.repeat(source, len(own)), terms, n, docs], ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
             data, offsets = text_buffers(b.column(2))
@@ -83,10 +82,10 @@ def _count(most: int):
                         have[0] += n
                         have[1] += 1
                 if held > most:
-                    yield handed()
+                    yield from handed()
                     counts.clear()
                     held = 0
-        yield handed()
+        yield from handed()
 
     return run
 
