@@ -14,7 +14,7 @@ from sparkloom.functions import jsonpath, session
 from sparkloom.functions.htmltext import html_text
 from sparkloom.functions.template import render, variables_of
 from sparkloom.functions.values import col
-from sparkloom.operators import generate, judge, merge, profile, runs, table
+from sparkloom.operators import generate, judge, merge, profile, runs, table, temporal
 from sparkloom.operators.enrich import UNIT, EchoModel, Response, fetch_units, synth_units, unit_rows, usage
 from sparkloom.operators.order import POS, TRACE, dense, visible, with_positions
 from sparkloom.plans.graph import Graph
@@ -23,6 +23,7 @@ from sparkloom.plans.rewrites import prompt_users
 from sparkloom.plans.runner import Resources, Runner
 from sparkloom.sources import datasets, packages, readers, sinks
 from sparkloom.sources.samples import samples
+from sparkloom.streaming import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,6 +720,101 @@ def code_op_grouped(spark, sf_dir):
     return got.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n"))
 
 
+# joins by time and range, streams
+
+
+@_query("""SELECT p.event_id, p.user_id, c.event_id AS click_id, epoch_us(c.ts) AS click_us
+FROM (SELECT * FROM events WHERE event_type <> 'click') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def asof_join_events(spark, sf_dir):
+    """The last click of a user before each other event."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    got = temporal.asof_join(e.where("event_type <> 'click'"), clicks, "ts", by=["user_id"], columns=["click_id", "click_ts"], ties=["click_id"])
+    return got.select("event_id", "user_id", "click_id", _epoch_us("click_ts").alias("click_us"))
+
+
+def _epoch_us(name: str) -> F.Column:
+    """Microseconds since 1970 of a local time, whatever the session's time zone."""
+    return F.expr(f"(CAST(datediff({name}, DATE'1970-01-01') AS BIGINT) * 86400 + hour({name}) * 3600 + minute({name}) * 60) * 1000000 + CAST(extract(SECOND FROM {name}) * 1000000 AS BIGINT)")
+
+
+@_query("""SELECT p.event_id, CASE WHEN c.ts >= p.ts - INTERVAL 6 HOUR THEN c.event_id END AS before_id
+FROM events p ASOF LEFT JOIN events c ON p.event_type = c.event_type AND p.ts > c.ts""")
+def asof_join_tolerance(spark, sf_dir):
+    """The event before each one of its type, if it isn't six hours old; types are few, so each key is split by time."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    other = e.withColumnRenamed("event_id", "before_id")
+    return temporal.asof_join(e, other, "ts", by=["event_type"], columns=["before_id"], ties=["before_id"], exact=False, tolerance=F.expr("INTERVAL 6 HOURS")).select("event_id", "before_id")
+
+
+@_query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS b FROM events)
+SELECT x.event_id, y.event_id AS other_id FROM e x JOIN e y ON x.user_id = y.user_id AND x.a <= y.b AND y.a <= x.b AND x.event_type = 'purchase' AND y.event_type <> 'purchase'""")
+def interval_join_events(spark, sf_dir):
+    """Each event lasts ten minutes for each unit of its value: which of a user's overlap with purchases."""
+    begin = F.floor(_epoch_us("ts") / 1_000_000)
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", begin.alias("a"), (begin + F.floor(F.col("value") * 600)).alias("b"))
+    other = e.where("event_type <> 'purchase'").select(F.col("event_id").alias("other_id"), "user_id", "a", "b")
+    return temporal.interval_join(e.where("event_type = 'purchase'"), other, ("a", "b"), ("a", "b"), by=["user_id"]).select("event_id", "other_id")
+
+
+_SESSIONS = """SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM (
+ SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+
+
+def _session_rows(made: DataFrame) -> DataFrame:
+    return made.select("user_id", _epoch_us("first").alias("first_us"), _epoch_us("last").alias("last_us"), "n")
+
+
+@_query(_SESSIONS)
+def session_windows(spark, sf_dir):
+    return _session_rows(temporal.sessions(_t(spark, sf_dir, "events"), "ts", "12 hours", ["user_id"]))
+
+
+def _arriving(spark: SparkSession, sf_dir: str, *more: DataFrame, parts: int = 4) -> DataFrame:
+    """events as a stream whose micro-batches are quarters of the table by id, and then more."""
+    folder = _folder(spark, "arriving")
+    e = _t(spark, sf_dir, "events")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    for i in range(parts):
+        e.where((F.col("event_id") >= last * i // parts + (i > 0)) & (F.col("event_id") <= last * (i + 1) // parts)).coalesce(1).write.mode("append").parquet(folder)
+    for df in more:
+        df.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = _folder(spark, "streamed")
+    pipelines.append_batches(stream, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@_query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def stream_dedup(spark, sf_dir):
+    """The first event of each user and type, found across micro-batches by state."""
+    stream = pipelines.over_stream(_arriving(spark, sf_dir).select("event_id", "user_id", "event_type"), [{"op": "dedup", "columns": ["user_id", "event_type"]}], order="event_id")
+    return _streamed(spark, stream).select("event_id", "user_id", "event_type")
+
+
+@_query(_SESSIONS)
+def stream_sessions(spark, sf_dir):
+    """Sessions over micro-batches: a seventh of the events comes again far too late and counts nowhere."""
+    e = _t(spark, sf_dir, "events")
+    later = lambda days: e.groupBy().agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id")).select(
+        (F.col("event_id") + days).alias("event_id"), (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props")
+    )
+    # what is late is judged by the watermark of the batch before, so two later rows stand before the late ones
+    stream = _arriving(spark, sf_dir, later(3), later(4), e.where("event_id % 7 = 0"), later(9)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _session_rows(_streamed(spark, temporal.sessions(stream, "ts", "12 hours", ["user_id"], late="1 hour")).where("user_id >= 0"))
+
+
+@_query("""SELECT epoch_us(b) AS begin_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (
+ SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(CAST(30 * i AS INT)) AS b FROM events, range(4) t(i)) GROUP BY ALL""")
+def sliding_windows(spark, sf_dir):
+    made = temporal.windows(_t(spark, sf_dir, "events"), "ts", "2 hours", "30 minutes", ["event_type"], total=F.round(F.sum("value"), 2))
+    return made.select(_epoch_us("begin").alias("begin_us"), "event_type", "n", "total")
+
+
 # a whole pipeline
 
 
