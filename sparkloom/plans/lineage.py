@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from .graph import Graph, Node
 
@@ -58,24 +59,31 @@ def changes(node: Node) -> list[Change]:
     return [*NODES.get(node.type, lambda c: [])(node.config), Change(drops=node.config.get("drop_columns", []))]
 
 
-def propagate(graph: Graph, datasets: dict[str, Sequence[str]]) -> dict[str, dict[str, list[str]]]:
-    """{node: {"input": columns, "output": columns}}; datasets gives the columns of each dataset id.
+class Columns(Protocol):
+    """What knows the columns of datasets: a catalog does, from its manifests."""
+
+    def columns(self, name: str) -> Sequence[str]: ...
+
+
+def propagate(graph: Graph, datasets: dict[str, Sequence[str]] | Columns) -> dict[str, dict[str, list[str]]]:
+    """{node: {"input": columns, "output": columns}}; datasets gives the columns of each dataset id, or is a catalog.
 
     Datasets that are stacked offer the columns that all have; branches that
     are merged offer those that any has.
     """
+    of = datasets.__getitem__ if isinstance(datasets, dict) else datasets.columns
     out: dict[str, dict[str, list[str]]] = {}
     for name in graph.order():
         node = graph.node(name)
         if node.type == "input":
-            came = intersection([list(datasets[d]) for d in node.config.get("dataset_ids", [])])
+            came = intersection([list(of(d)) for d in node.config.get("dataset_ids", [])])
         else:
             came = union([out[p]["output"] for p in graph.parents(name)])
         out[name] = {"input": came, "output": reduce(lambda cols, change: change(cols), changes(node), list(came))}
     return out
 
 
-def merge_warnings(graph: Graph, datasets: dict[str, Sequence[str]]) -> list[str]:
+def merge_warnings(graph: Graph, datasets: dict[str, Sequence[str]] | Columns) -> list[str]:
     """Nodes whose branches share no column, so that merging them must fail."""
     cols = propagate(graph, datasets)
     return [n.id for n in graph.nodes if len(p := graph.parents(n.id)) > 1 and not intersection([cols[x]["output"] for x in p])]

@@ -14,9 +14,10 @@ from sparkloom.functions import jsonpath, session
 from sparkloom.functions.htmltext import html_text
 from sparkloom.functions.template import render, variables_of
 from sparkloom.functions.values import col
-from sparkloom.operators import generate, judge, merge, profile, runs, table, temporal
+from sparkloom.operators import generate, judge, merge, profile, runs, sketches, table, temporal
 from sparkloom.operators.enrich import UNIT, EchoModel, Response, fetch_units, synth_units, unit_rows, usage
 from sparkloom.operators.order import POS, TRACE, dense, visible, with_positions
+from sparkloom.operators.predicates import where_tree
 from sparkloom.plans.graph import Graph
 from sparkloom.plans.lineage import propagate
 from sparkloom.plans.rewrites import prompt_users
@@ -378,13 +379,16 @@ def qc_rescan(spark, sf_dir):
     return v.passed.select("doc_id", F.element_at(POS, 1).cast("int").alias("rounds"), "qc_status")
 
 
-@_query("SELECT id AS seed, 'echo<seed ' || CAST(id AS VARCHAR) || '>' AS output FROM range(400) t(id) WHERE id % 4 <> 0 ORDER BY id LIMIT 60")
+@_query("SELECT doc_id AS seed, 'echo<' || lang || ' ' || CAST(doc_id AS VARCHAR) || '>' AS output FROM documents WHERE n_chars >= 600 ORDER BY doc_id LIMIT 60")
 def generation_loop(spark, sf_dir):
+    """Seeds are documents, in order; those whose text is short yield nothing, so the loop goes on until it has 60."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+
     def synth(s, _):
-        rows = s.withColumn("seed", F.element_at(POS, -1))
-        return unit_rows(synth_units(rows, EchoModel(), "seed {{seed}}"), "llm")
+        rows = s.withColumn("seed", F.element_at(POS, -1)).join(docs, F.col("seed") == F.col("doc_id"))
+        return unit_rows(synth_units(rows, EchoModel(), "{{lang}} {{doc_id}}"), "llm")
 
-    got = generate.generate(session.prepare(spark), 60, synth, lambda d, _: d.where("seed % 4 <> 0"))
+    got = generate.generate(spark, 60, synth, lambda d, _: d.where("n_chars >= 600"))
     return visible(got).select("seed", "output")
 
 
@@ -499,6 +503,46 @@ def describe_missing(spark, sf_dir):
     return profile.describe(_t(spark, sf_dir, "events").select(F.when(F.expr("event_id % 3 <> 0"), F.col("event_id")).alias("k")), "k")
 
 
+@_query("""SELECT 'event_type' AS "column", count(*) AS rows, CAST(0 AS BIGINT) AS missing, min(event_type) AS least, max(event_type) AS greatest, count(DISTINCT event_type) AS few FROM events
+UNION ALL SELECT 'even', count(*), count(*) FILTER (event_id % 2 = 1), CAST(min(event_id) FILTER (event_id % 2 = 0) AS VARCHAR), CAST(max(event_id) FILTER (event_id % 2 = 0) AS VARCHAR), NULL FROM events
+UNION ALL SELECT 'user_id', count(*), 0, CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR), NULL FROM events""")
+def profile_merged(spark, sf_dir):
+    """Sketches of thirds of the events, merged; tests hold the estimates against exact figures."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("even"), "user_id")
+    parts = [sketches.sketch(e.where(F.col("event_id") % 3 == i), ["event_type", "even", "user_id"]) for i in range(3)]
+    got = sketches.report(sketches.merged(parts[0].union(parts[1]).union(parts[2])))
+    return got.select("column", "rows", "missing", "least", "greatest", F.when(F.col("column") == "event_type", F.col("distinct")).alias("few"))
+
+
+@_query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND NOT (o_orderstatus = 'F' OR o_custkey % 1000 < 0)
+ AND (o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderkey < 1000)""")
+def filter_tree(spark, sf_dir):
+    tree = {
+        "all": [
+            {"column": "o_totalprice", "op": "between", "value": [1000, 200000]},
+            {"not": {"any": [{"column": "o_orderstatus", "op": "eq", "value": "F"}, {"column": "o_orderkey", "op": "lt", "value": 0}]}},
+            {"any": [{"column": "o_orderpriority", "op": "in", "value": ["1-URGENT", "2-HIGH"]}, {"column": "o_orderkey", "op": "lt", "value": 1000}]},
+        ]
+    }
+    return where_tree(_t(spark, sf_dir, "orders"), tree).select("o_orderkey", "o_orderstatus")
+
+
+@_query("""WITH k AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 10 END AS k FROM events)
+SELECT event_id FROM k WHERE NOT coalesce(k < 5, FALSE) AND k IS DISTINCT FROM 7""")
+def filter_tree_nulls(spark, sf_dir):
+    """A comparison with a null is false, its negation true."""
+    df = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 10).alias("k"))
+    return where_tree(df, {"all": [{"not": {"column": "k", "op": "lt", "value": 5}}, {"column": "k", "op": "ne", "value": 7}]}).select("event_id")
+
+
+@_query("SELECT lang, round(avg(CAST(quality = 1 AND toxic = 0 AS INT)), 6) AS first_round_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def qc_node_rates(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    rules = lambda d: judge.by_rules({"quality": (F.col("quality") == 1, "q"), "toxic": (F.col("toxic") == 0, "t")})
+    seen = judge.judged(rows, rules, 2, 2, settle=False).groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if("_ok").alias("first_round_pass"))
+    return judge.node_rates(seen, "lang").withColumn("first_round_rate", F.round("first_round_rate", 6))
+
+
 # datasets
 
 
@@ -571,38 +615,54 @@ def shards_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("bigint").alias("dims"))
 
 
-@_query("SELECT event_id, event_type, value, event_id % 2 = 0 AS even, CAST(user_id AS BIGINT) AS second FROM events WHERE event_id < 500")
+@_query("SELECT event_id, event_type, value, event_id % 2 = 0 AS even, CAST(user_id AS BIGINT) AS second FROM events")
 def jsonl_inferred(spark, sf_dir):
     """Types are found from all lines."""
     path = _folder(spark, "inferred")
-    rows = _t(spark, sf_dir, "events").where("event_id < 500")
+    rows = _t(spark, sf_dir, "events")
     sinks.write_jsonl(rows.select("event_id", "event_type", "value", (F.col("event_id") % 2 == 0).alias("even"), F.array("event_id", "user_id").alias("both")), path)
     return readers.read_jsonl(spark, path).select("event_id", "event_type", "value", "even", F.element_at("both", 2).alias("second"))
 
 
-@_query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def _framed(lines: DataFrame, path: str, first: str, between: str, last: str | None) -> None:
+    """Each part of lines (value) as a file of its own, with a first and a last line."""
+
+    def run(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [first]})
+        held = None
+        for b in batches:
+            for v in b["value"]:
+                if held is not None:
+                    yield pd.DataFrame({"value": [held + between]})
+                held = v
+        yield pd.DataFrame({"value": [x for x in (held, last) if x is not None]})
+
+    lines.mapInPandas(run, "value string").write.text(path)
+
+
+@_query("SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, text, n_chars > 500 AS long FROM documents")
 def json_array_scan(spark, sf_dir):
+    """Arrays of objects, read by ranges; texts hold quotes, braces and newlines."""
     path = _folder(spark, "array")
-    rows = _t(spark, sf_dir, "region").select(F.struct("r_regionkey", "r_name").alias("r"))
-    rows.agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(path)
-    return readers.read_json(spark, path).select("r_regionkey", "r_name")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.struct("lang", "text").alias("o"), (F.col("n_chars") > 500).alias("long"))
+    _framed(rows.select(F.to_json(F.struct("*")).alias("value")), path, "[", ",", "]")
+    return readers.read_json(spark, path).select("doc_id", "o.lang", "o.text", "long")
 
 
-@_query("SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, CAST(n_regionkey AS VARCHAR) AS c FROM nation")
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS a, o_orderpriority AS b, CAST(o_custkey AS VARCHAR) AS c FROM orders")
 def csv_duplicate_headers(spark, sf_dir):
     path = _folder(spark, "headers")
-    lines = _t(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", F.lit("dropped")).alias("value"))
-    spark.createDataFrame([("x,x,x.1",)], "value string").coalesce(1).write.text(f"{path}/head")
-    whole = spark.read.text(f"{path}/head").unionByName(lines).coalesce(1)
-    whole.write.text(f"{path}/all")
-    return table.rename(readers.read_csv(spark, f"{path}/all"), {"x": "a", "x.1": "b", "x.1.1": "c"})
+    _framed(_t(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", "o_orderpriority", "o_custkey", F.lit("dropped")).alias("value")), path, "x,x,x.1", "", None)
+    return table.rename(readers.read_csv(spark, path), {"x": "a", "x.1": "b", "x.1.1": "c"})
 
 
-@_query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '\"quoted\"' AS note FROM customer")
+@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
 def csv_open_lines(spark, sf_dir):
-    """Cells with newlines: the reader finds them and doesn't split the files."""
+    """Cells with newlines and quotes, read by ranges that find out where cells begin."""
     path = _folder(spark, "open")
-    sinks.write_csv(_t(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"quoted"')).alias("note")), path)
+    sinks.write_csv(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
     return readers.read_csv(spark, path)
 
 
@@ -659,39 +719,64 @@ _GRAPH = {
         {"id": "in", "type": "input", "config": {"dataset_ids": ["d"]}},
         {
             "id": "clean", "type": "auto_process",
-            "config": {"operations": [{"op": "rename", "mapping": {"a": "b", "b": "a"}}, {"op": "concat", "target": "ab", "columns": ["a", "b"]}], "drop_columns": ["c"]}
+            "config": {"operations": [{"op": "rename", "mapping": {"r_regionkey": "r_name", "r_name": "r_regionkey"}}, {"op": "concat", "target": "both", "columns": ["r_name"]}]}
         },
-        {"id": "llm", "type": "llm_synth", "config": {"output_column": "said", "user_prompt_ref": 7}},
-        {"id": "qc", "type": "qc", "config": {"user_prompt_ref": 7, "system_prompt_ref": 8}},
+        {"id": "llm", "type": "llm_synth", "config": {"output_column": "said"}},
+        {"id": "qc", "type": "qc", "config": {}},
         {"id": "out", "type": "output", "config": {"drop_columns": ["qc_feedback"]}},
     ],
     "edges": [{"source": a, "target": b} for a, b in (("in", "clean"), ("in", "llm"), ("clean", "qc"), ("llm", "qc"), ("qc", "out"))],
 }
 
 
-@_query("SELECT * FROM (VALUES ('in', 'a,b,c'), ('clean', 'b,a,ab'), ('llm', 'a,b,c,said'), ('qc', 'b,a,ab,c,said,qc_status,qc_feedback'), ('out', 'b,a,ab,c,said,qc_status')) t(node, columns)")
+@_query("""WITH c AS (SELECT string_agg(column_name, ',' ORDER BY column_index) AS cols FROM duckdb_columns() WHERE table_name = 'region')
+SELECT 'in' AS node, cols AS columns FROM c UNION ALL SELECT 'clean', 'r_name,r_regionkey,both' FROM c UNION ALL SELECT 'llm', cols || ',said' FROM c
+UNION ALL SELECT 'qc', 'r_name,r_regionkey,both,said,qc_status,qc_feedback' FROM c UNION ALL SELECT 'out', 'r_name,r_regionkey,both,said,qc_status' FROM c""")
 def lineage_columns(spark, sf_dir):
-    got = propagate(Graph.parse(_GRAPH), {"d": ["a", "b", "c"]})
-    return session.prepare(spark).createDataFrame([(n, ",".join(x["output"])) for n, x in got.items()], "node string, columns string")
-
-
-@_query("""WITH RECURSIVE e(a, b) AS (VALUES ('in', 'clean'), ('in', 'llm'), ('clean', 'qc'), ('llm', 'qc'), ('qc', 'out')),
-r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS ancestor, b AS descendant FROM r""")
+    """The columns of a dataset are asked of its catalog."""
+    catalog = datasets.Catalog(spark, _folder(spark, "lineage"))
+    catalog.write("d", _t(spark, sf_dir, "region", "r_regionkey"))
+    got = propagate(Graph.parse(_GRAPH), catalog)
+    return spark.createDataFrame([(n, ",".join(x["output"])) for n, x in got.items()], "node string, columns string")
+
+
+def _nation_graphs(spark, sf_dir) -> dict[str, Graph]:
+    """A graph for each region: its nations read from one input, and each feeds the next by key."""
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    found: dict[str, list] = {}
+    for r in rows.select("r_name", "n_name", "n_nationkey").orderBy("n_nationkey").collect():  # the nations of the world
+        found.setdefault(r.r_name, []).append(r)
+    graphs = {}
+    for region, nations in found.items():
+        names = ["in", *(r.n_name for r in nations)]
+        nodes = [{"id": "in", "type": "input", "config": {"dataset_ids": ["d"]}}]
+        nodes += [{"id": r.n_name, "type": "llm_synth", "config": {"output_column": "o", "user_prompt_ref": r.n_nationkey % 7}} for r in nations]
+        graphs[region] = Graph.parse({"nodes": nodes, "edges": [{"source": a, "target": b} for a, b in zip(names, names[1:], strict=False)]})
+    return graphs
+
+
+@_query("""WITH n AS (SELECT r_name AS graph, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT a.graph, a.n_name AS ancestor, b.n_name AS descendant FROM n a JOIN n b ON a.graph = b.graph AND a.n_nationkey < b.n_nationkey UNION ALL SELECT graph, 'in', n_name FROM n""")
 def reachability(spark, sf_dir):
-    g = Graph.parse(_GRAPH)
-    down = {(n.id, d) for n in g.nodes for d in g.descendants(n.id)}
-    assert down == {(a, n.id) for n in g.nodes for a in g.ancestors(n.id)}
-    return session.prepare(spark).createDataFrame(sorted(down), "ancestor string, descendant string")
+    pairs = []
+    for name, g in _nation_graphs(spark, sf_dir).items():
+        down = {(n.id, d) for n in g.nodes for d in g.descendants(n.id)}
+        assert down == {(a, n.id) for n in g.nodes for a in g.ancestors(n.id)}
+        pairs += [(name, *p) for p in sorted(down)]
+    return spark.createDataFrame(pairs, "graph string, ancestor string, descendant string")
 
 
-@_query("SELECT * FROM (VALUES ('g', 'llm'), ('g', 'qc')) t(graph, node)")
+@_query("SELECT r_name AS graph, n_name AS node FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 = 3")
 def prompt_used_by(spark, sf_dir):
-    return session.prepare(spark).createDataFrame(prompt_users({"g": Graph.parse(_GRAPH)}, "7"), "graph string, node string")
+    return spark.createDataFrame(prompt_users(_nation_graphs(spark, sf_dir), "3"), "graph string, node string")
 
 
-@_query("SELECT 'What is ' || i || ' plus ' || (i * 7 % 10) || '?' AS question, CAST(i + i * 7 % 10 AS VARCHAR) AS answer FROM range(20) t(i)")
+@_query("""SELECT 'What is ' || i || ' plus ' || (i * 7 % 10) || '?' AS question, CAST(i + i * 7 % 10 AS VARCHAR) AS answer FROM range(20) t(i)
+UNION ALL SELECT text, lang FROM documents""")
 def sample_dataset(spark, sf_dir):
-    return visible(samples(session.prepare(spark))["sums"])
+    """A dataset that comes with the library, stacked with one of the user's."""
+    own = table.rename(_t(spark, sf_dir, "documents", "doc_id").select("text", "lang", POS), {"text": "question", "lang": "answer"})
+    return visible(table.stack([samples(spark)["sums"], own]))
 
 
 @_query(r"""
