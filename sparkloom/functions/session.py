@@ -4,15 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def package_zip(folder: str) -> str:
+    """This package as a zip that Python can import from."""
+    path = os.path.join(folder, "sparkloom.zip")
+    top = os.path.join(ROOT, "sparkloom")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for place, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(place, n), os.path.relpath(os.path.join(place, n), ROOT))
+    return path
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Spark's Python workers import this package."""
-    env = spark.sparkContext.environment
+    """Lets Spark's Python workers import this package.
+
+    On one machine they read it where it is; on a cluster the driver serves it as
+    a zip to each executor, once a session.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        if not any(f.endswith("/sparkloom.zip") for f in sc.listFiles):
+            sc.addPyFile(package_zip(tempfile.mkdtemp(prefix="spark-")))  # the driver's own: it sends the file
+        return spark
+    env = sc.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark

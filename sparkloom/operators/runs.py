@@ -90,6 +90,23 @@ def trace_events(units: DataFrame, failures: DataFrame, logs: DataFrame, trace:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+def listing(runs: DataFrame, workflows: DataFrame, users: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Runs with the names of their workflows and users, and what their judges passed at once.
+
+    runs has (id, workflow_id, user_id) and columns of its own, workflows and
+    users (id, name), metrics (run_id, total, first_round_pass), a row a judge.
+    A run whose workflow is gone isn't listed; one that judged nothing has totals
+    of 0 and no rate.
+    """
+    judged = metrics.groupBy(F.col("run_id").alias("id")).agg(F.sum("total").alias("_t"), F.sum("first_round_pass").alias("_p"))
+    named = runs.join(workflows.select(F.col("id").alias("workflow_id"), F.col("name").alias("workflow_name")), "workflow_id")
+    named = named.join(users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name")), "user_id", "left").join(judged, "id", "left")
+    return named.select(
+        *runs.columns, "workflow_name", "user_name", F.coalesce("_t", F.lit(0)).alias("total"), F.coalesce("_p", F.lit(0)).alias("first_round_pass"),
+        F.try_divide("_p", "_t").alias("first_round_rate")
+    )
+
+
 def threshold(text: str) -> float | None:
     """The share that a goal in words asks for: its first percentage, else its first decimal fraction; None if it names none."""
     percent = re.search(r"(\d+(?:\.\d+)?)\s*%", text)

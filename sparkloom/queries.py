@@ -486,6 +486,19 @@ def latest_version_argmax(spark, sf_dir):
     return runs.latest(_t(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
+@_query("""WITH m AS (SELECT l_orderkey AS id, count(*) AS total, count(*) FILTER (l_returnflag = 'N') AS p FROM lineitem WHERE l_linenumber < 3 AND l_orderkey % 5 <> 0 GROUP BY ALL)
+SELECT o_orderkey AS id, o_orderstatus AS status, n_name AS workflow_name, c_name AS user_name, coalesce(total, 0) AS total, coalesce(p, 0) AS first_round_pass, round(p / total, 6) AS first_round_rate
+FROM orders JOIN nation ON o_orderkey % 30 = n_nationkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN m ON o_orderkey = m.id""")
+def run_listing(spark, sf_dir):
+    """Orders stand for runs, nations for workflows and customers for users; an order line is a judge's metric."""
+    made = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 30).alias("workflow_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"))
+    flows = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    users = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    lines = _t(spark, sf_dir, "lineitem").where("l_linenumber < 3 AND l_orderkey % 5 <> 0")
+    metrics = lines.select(F.col("l_orderkey").alias("run_id"), F.lit(1).cast("long").alias("total"), (F.col("l_returnflag") == "N").cast("long").alias("first_round_pass"))
+    return runs.listing(made, flows, users, metrics).drop("workflow_id", "user_id").withColumn("first_round_rate", F.round("first_round_rate", 6))
+
+
 # profiles
 
 

@@ -9,6 +9,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,6 +302,38 @@ def read_xlsx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {s: spark.read.format("xlsx_table").option("path", path).option("sheet", s).load() for s in full}
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What one dataset of a file will be, as far as its beginning tells."""
+
+    name: str
+    columns: list[str]
+    header_row: int | None
+    first_row: int
+    #: in what the dataset is exported, and by what it is read
+    format: str
+    reader: str
+    sheet: str | None = None
+
+
+def structure(spark: SparkSession, path: str) -> list[Unit]:
+    """The datasets of a file, from its first bytes; JSON names its columns only when it is read whole."""
+    stem, _, suffix = path.rsplit("/", 1)[-1].rpartition(".")
+    suffix = suffix.lower()
+    if suffix == "csv":
+        head = probe(spark, path)
+        return [Unit(stem, csv_header(head, encoding_of(head)), 1, 2, "csv", "csv")]
+    if suffix in ("jsonl", "json"):
+        return [Unit(stem, [], None, 1, "jsonl", suffix)]
+    if suffix != "xlsx":
+        raise ValueError(f"files of type {suffix!r} aren't supported")
+    fs, local = file_system(path)
+    with fs.open_input_file(local) as f, zipfile.ZipFile(f) as book:
+        tops = {name: [r for r, _ in zip(xlsx_rows(book, part), range(2))] for name, part in xlsx_sheets(book).items()}
+    full = {name: distinct_names(["" if c is None else str(c) for c in top[0]]) for name, top in tops.items() if len(top) == 2}
+    return [Unit(stem if len(full) == 1 else f"{stem}-{name}", columns, 1, 2, "xlsx", "xlsx", name) for name, columns in full.items()]
+
+
 def read_any(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Datasets of a file, by name; a workbook's further sheets get the sheet's name behind the file's."""
     stem, _, suffix = path.rsplit("/", 1)[-1].rpartition(".")

@@ -256,3 +256,29 @@ def test_streams(spark, tmp_path):
     timed = source.withColumn("ts", F.timestamp_seconds("i"))
     assert windowed_counts(timed, "ts", "10 seconds", "1 minute", "k").isStreaming and deduplicated(timed, "ts", "1 minute", ["k"]).isStreaming
     assert POS not in source.columns
+
+
+def test_structure_of_files(spark, tmp_path):
+    put(tmp_path, "d.csv", "q,q,a\n1,2,3\n")
+    put(tmp_path, "d.jsonl", '{"a":1}\n')
+    put(tmp_path, "d.json", '[{"a":1}]')
+    (unit,) = readers.structure(spark, f"file://{tmp_path}/d.csv")
+    assert unit == readers.Unit("d", ["q", "q.1", "a"], 1, 2, "csv", "csv")
+    assert readers.structure(spark, f"file://{tmp_path}/d.jsonl") == [readers.Unit("d", [], None, 1, "jsonl", "jsonl")]
+    assert readers.structure(spark, f"file://{tmp_path}/d.json") == [readers.Unit("d", [], None, 1, "jsonl", "json")]
+    sinks.write_xlsx(spark.createDataFrame([(1, "x")], "n long, s string"), f"{tmp_path}/b.xlsx")
+    assert readers.structure(spark, f"{tmp_path}/b.xlsx") == [readers.Unit("b", ["n", "s"], 1, 2, "xlsx", "xlsx", "Sheet1")]
+    with pytest.raises(ValueError):
+        readers.structure(spark, "d.txt")
+
+
+def test_the_package_as_a_zip(tmp_path):
+    import subprocess
+    import sys
+
+    from sparkloom.functions.session import package_zip
+
+    path = package_zip(str(tmp_path))
+    code = f"import sys; sys.path[:] = [{path!r}, *[p for p in sys.path if 'repo' not in p]]; import sparkloom.operators.table as t; print(t.__file__)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}, check=False)
+    assert "sparkloom.zip" in said.stdout, said.stderr
