@@ -43,7 +43,7 @@ SCALE, PRIOR = 1_000_000_000, 1
 #: Ranks of a source's terms that are reported.
 TERM_RANKS = 200
 #: Counts that a partition holds at most before it hands them on; some 400 bytes each, with what is made of them.
-MAX_COUNTS = 120_000
+MAX_COUNTS = 200_000
 #: Pairs whose contributions one row of the sums holds.
 BLOCK = 16
 
