@@ -205,3 +205,28 @@ def test_the_main_path_is_native(spark, sf):
 
     plan = QUERIES["op13_fingerprints"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("percent, bands, rows", [(85, 40, 8), (80, 50, 6)])
+def test_recall_of_near_duplicates_by_similarity(spark, percent, bands, rows):
+    """Planted pairs with similarities around the threshold: all at or above it are linked, none below."""
+    from sparkloom.llm.minhash import near_duplicates
+
+    rng, docs, pairs = random.Random(12), [], []
+    fresh = lambda: f"t{rng.randrange(10**7)}"
+    for k in range(80):
+        w = [fresh() for _ in range(rng.choice([60, 150, 300]))]
+        v, target = w[:], 0.78 + 0.002 * k
+        while True:
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+            if len(a & b) <= target * len(a | b):
+                break
+            if len(w) > 100 and rng.random() < 0.7:
+                v[rng.randrange(len(v))] = fresh()
+            else:
+                v.append(fresh())
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs.append((2 * k, 100 * len(a & b) >= percent * len(a | b)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.id: r.component for r in near_duplicates(df, percent=percent, bands=bands, rows=rows).collect()}
+    assert [got[i] == got[i + 1] for i, _ in pairs] == [linked for _, linked in pairs] and len({linked for _, linked in pairs}) == 2

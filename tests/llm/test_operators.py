@@ -690,3 +690,48 @@ def test_all_matches_against_brute_force(spark, limit):
     got = decontaminate.find_matches(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_grams=limit)
     same([(r.id, r.item, round(r.score, 9)) for r in got.collect()], want)
     assert len(want) > 20
+
+
+def plain_sums(word, prob, unknown):
+    """Sums over the segmentations of each beginning and each end of a word, in plain loops."""
+    n = len(word)
+    a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for e in range(1, n + 1):
+        a[e] = a[e - 1] * unknown + sum(a[s] * prob[word[s:e]] for s in range(e) if word[s:e] in prob)
+    for s in range(n - 1, -1, -1):
+        b[s] = b[s + 1] * unknown + sum(b[e] * prob[word[s:e]] for e in range(s + 1, n + 1) if word[s:e] in prob)
+    return a, b
+
+
+def test_language_id_against_plain_em(spark):
+    """The whole fit and prediction, on the real pieces, against plain expectation-maximisation."""
+    learn = [("en", "the cat sat on the mat"), ("en", "The dog and the cat"), ("en", "a mat"), ("de", "die Katze saß auf der Matte"), ("de", "der Hund und die Katze")]
+    asked = ["the dog sat", "der Hund saß", "Matte mat", "und", "12 !"]
+    pieces = langid.read_pieces(langid.default_vocabulary())
+    model = {}
+    for lang in ("de", "en"):
+        words = Counter(w for k, t in learn if k == lang for w in langid.text_words(t))
+        prob = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(langid.ROUNDS):
+            total = dict.fromkeys(pieces, langid.SMOOTHING)
+            for w, n in words.items():
+                raw = ("▁" + w).encode()
+                a, b = plain_sums(raw, prob, langid.UNKNOWN)
+                for s in range(len(raw)):
+                    for e in range(s + 1, len(raw) + 1):
+                        if raw[s:e] in prob:
+                            total[raw[s:e]] += n * a[s] * prob[raw[s:e]] * b[e] / a[-1]
+            whole = sum(total.values())
+            prob = {p: x / whole for p, x in total.items()}
+        model[lang] = prob
+    prior = {lang: sum(k == lang for k, _ in learn) / len(learn) for lang in model}
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(learn)], "doc_id bigint, text string, lang string")
+    got = {r.row.text: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame([(t,) for t in asked], "text string"), langid.fit(df)).collect()}
+    for t in asked:
+        words = langid.text_words(t)
+        if not words:
+            assert got[t] == ("und", 0.0)
+            continue
+        logs = {k: math.log(prior[k]) + sum(math.log(plain_sums(("▁" + w).encode(), p, langid.UNKNOWN)[0][-1]) for w in words) for k, p in model.items()}
+        best = max(logs, key=logs.get)
+        assert got[t][0] == best and got[t][1] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-6)
