@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -64,11 +66,30 @@ def file_system(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def _columnar(kind: T.DataType) -> bool:
+    """Whether Parquet holds values of a type."""
+    if isinstance(kind, T.StructType):
+        names = {f.name.lower() for f in kind.fields}
+        return 0 < len(names) == len(kind.fields) and all(_columnar(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _columnar(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _columnar(kind.keyType) and _columnar(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, in the folder of spark.checkpoint.dir.
 
     Results of external calls are settled at once, so that a retried task or a
-    second use doesn't call again.
+    second use doesn't call again.  They are written as Parquet, so that what
+    follows reads only the columns and row groups that it needs; rows that
+    Parquet can't hold (columns without a type, without a field, or that differ
+    in case alone) are checkpointed as rows.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if not _columnar(df.schema):
+        return df.checkpoint()
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

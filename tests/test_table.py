@@ -192,3 +192,36 @@ def test_wide_and_long_names(spark):
 def test_separators_of_ascii_are_blank(spark):
     df = spark.createDataFrame([("\x1c",), ("\x1f \x1d",), ("\u3000\x85",), ("a\x1c",), ("",), (None,)], "s string")
     assert [r.s for r in table.filter_rows(df, "s", "not_empty").collect()] == ["a\x1c", None]
+
+
+def test_settled_rows_are_read_by_column(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions.session import settled
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def asked(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(20, numPartitions=4).select("id", asked.asNondeterministic()("id").alias("a b.c"), F.array(F.struct(F.lit(None).cast("string").alias("n"))).alias("nested"))
+    got = settled(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(r["a b.c"] for r in got.collect()) == sorted(r.id for r in got.select("id").collect()) == list(range(20))
+    assert seen.value == 20
+    plan = got.where("id > 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,3)" in plan and "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_settled_rows_that_parquet_cannot_hold(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions.session import settled
+
+    rows = spark.range(3)
+    for df in (rows.withColumn("v", F.lit(None)), rows.withColumn("v", F.array(F.lit(None))), rows.toDF("id").selectExpr("id", "id AS ID"), rows.select()):
+        assert settled(df).count() == 3
+    assert settled(rows.where("id < 0").select("id", F.lit("x").alias("t"))).count() == 0
+    assert [r.v for r in settled(rows.limit(1).select(F.parse_json(F.lit('{"a": 1}')).alias("v"))).selectExpr("variant_get(v, '$.a', 'int') AS v").collect()] == [1]
