@@ -101,6 +101,15 @@ def _gram_rows(short: int):
     return run
 
 
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, th, words): the hashes of each item's words."""
+    for b in batches:
+        for r0, r1, data, offsets in W.slices(b.column(2)):
+            w = W.split_words(data, offsets, alnum=True)
+            lists = pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(w.hashes().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, r1 - r0), b.column(1).slice(r0, r1 - r0), lists], ["id", "th", "words"])
+
+
 def _grams_of_rows(short: int):
     """Each n-gram of each row, once."""
 
@@ -250,11 +259,11 @@ def _match(shared, short: int, min_score: float):
 
 
 def _align_pairs(min_score: float):
-    """For rows (id, th, item, diagonals, text, item's text): the alignment where hits come from joins."""
+    """For rows (id, th, item, diagonals, text, item's text, n_hits): the alignment where hits come from joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, score, hits = [], [], []
+            found, score = [], []
             for i in range(b.num_rows):
                 one = [W.split_words(*W.text_buffers(b.column(c).slice(i, 1)), alnum=True) for c in (4, 5)]
                 h, item = one[0].hashes(), one[1].hashes()
@@ -264,9 +273,8 @@ def _align_pairs(min_score: float):
                 if s >= min_score:
                     found.append(i)
                     score.append(s)
-                    hits.append(len(d))
             pick = pa.array(found, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in range(3)), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], ["id", "th", "item", "score", "n_hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in range(3)), pa.array(score, pa.float64()), b.column(6).take(pick)], ["id", "th", "item", "score", "n_hits"])
 
     return run
 
@@ -303,10 +311,11 @@ def find_matches(
     if small:
         rows = seeds.collect()
         seeding = {(r.id, r.th) for r in rows}
-        texts = {(r.id, r.th): r.text for r in tests.collect() if (r.id, r.th) in seeding}
-        names = list(texts)
+        # a number a word, of items with n-grams alone, so the bound on n-grams holds for these as well
+        hashed = tests.mapInArrow(_hashed_words, f"id {item_type}, th long, words array<long>").where("size(words) > 0")
+        words_of = {(r.id, r.th): np.array(r.words, np.int64).view(np.uint64) for r in hashed.collect() if (r.id, r.th) in seeding}
+        names, words = list(words_of), list(words_of.values())
         number = {k: i for i, k in enumerate(names)}
-        words = [W.split_words(*W.text_buffers(pa.array([texts[k]])), alnum=True).hashes() for k in names]
         shared = spark.sparkContext.broadcast(
             Items(
                 [k[0] for k in names], words, np.array([r.gram for r in rows], np.int64).view(np.uint64),
@@ -318,11 +327,12 @@ def find_matches(
         seeds = stored(seeds.select(F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("place").alias("at"), "gram"), "seeds")
         weights = stored(known.join(seeds.select("gram").distinct(), "gram"), "weights")
         hits = join_dealt(doc_grams.drop("n_words"), seeds, ["gram"], F.xxhash64("id", "th", "place"), weights, "df")
-        pairs = hits.groupBy("id", "th", "item", "item_th").agg(F.collect_set(F.struct("place", "at")).alias("hits"))
-        pairs = pairs.withColumn("diagonals", F.expr("transform(hits, x -> x.place - x.at)")).drop("hits")
+        # a text and an item of repeats have as many hits as places times places, but no more diagonals than places
+        lines = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("id", "th", "item", "item_th", "diagonal").agg(F.count_distinct("place").alias("n"))
+        pairs = lines.groupBy("id", "th", "item", "item_th").agg(F.collect_list("diagonal").alias("diagonals"), F.sum("n").alias("n_hits"))
         pairs = pairs.join(docs.select(F.col("id").alias("d"), F.col("th").alias("dt"), F.col("text").alias("dtext")), [F.col("id").eqNullSafe(F.col("d")), F.col("th") == F.col("dt")])
         pairs = pairs.join(tests.select(F.col("id").alias("i"), F.col("th").alias("it"), F.col("text").alias("itext")), [F.col("item").eqNullSafe(F.col("i")), F.col("item_th") == F.col("it")])
-        found = pairs.select("id", "th", "item", "diagonals", "dtext", "itext").mapInArrow(_align_pairs(min_score), schema)
+        found = pairs.select("id", "th", "item", "diagonals", "dtext", "itext", "n_hits").mapInArrow(_align_pairs(min_score), schema)
     return found
 
 

@@ -161,11 +161,13 @@ def test_decontamination_finds_all_that_scores_enough(spark, limit):
 def test_decontamination_is_alike_on_both_paths(spark):
     """Full rows, with repeated rows and words: broadcast items give what joined ones give."""
     rng = __import__("random").Random(23)
-    items = [(k, " ".join(prose(rng, 30, v))) for k, v in enumerate((10**6, 10**6, 8, 3))] + [(9, "one two three four five six seven eight"), (10, "a b b c a b b c"), (11, "so it")]
-    docs = [(k, "x y " + t) for k, t in items] + [(20 + k, t + " z " + t) for k, t in items] + [(40, items[0][1][:90] + " " + items[1][1])] * 5 + [(41, items[0][1]), (42, "so it")]
+    items = [(k, " ".join(prose(rng, 30, v))) for k, v in enumerate((10**6, 10**6, 8, 3))] + [(9, "one two three four five six seven eight"), (10, "a b b c a b b c"), (11, "so it"), (12, "p q " * 40)]
+    docs = [(43, "p q " * 300)] + [(k, "x y " + t) for k, t in items] + [(20 + k, t + " z " + t) for k, t in items] + [(40, items[0][1][:90] + " " + items[1][1])] * 5 + [(41, items[0][1]), (42, "so it")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     small, large = (sorted((r.id, r.th, r.item, r.score, r.n_hits) for r in decontaminate.find_matches(frame(spark, docs), bench, broadcast_grams=n).collect()) for n in (10**6, 5))
     assert small == large and [r[0] for r in small].count(40) == 5 * len({r[2] for r in small if r[0] == 40})
+    # every second place of the text, for each of the item's seeds
+    assert [r[4] > 79 // 2 * 299 for r in small if (r[0], r[2]) == (43, 12)] == [True]
     # 8 - ceil(8 / 2 - 1) = 5 of the item's places seed
     assert [r[4] for r in small if (r[0], r[2]) == (9, 9)] == [5] and (42, 11) in {(r[0], r[2]) for r in small}
 
