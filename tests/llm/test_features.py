@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -80,6 +81,58 @@ def test_counts_don_t_depend_on_what_a_partition_may_hold(spark, lettered):
     assert a == b and len(a) > 100
 
 
+def counted(rows, most):
+    """What a partition of (lang, source, text) hands on, and in how many rows."""
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["lang", "source", "text"])
+    got = [tuple(r.values()) for b in divergence._count(most)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    n, docs = Counter(), Counter()
+    for *key, k, d in got:
+        n[tuple(key)] += k
+        docs[tuple(key)] += d
+    return n, docs, len(got)
+
+
+def test_a_partition_hands_on_each_count_once():
+    """Many counts in a partition: each used to be handed on again and again, for Spark to sum."""
+    terms = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(210_000)]
+    rows = [("x", "a", " ".join(terms)), ("x", "a", " ".join(terms[::-1]))]
+    n, docs, handed = counted(rows, divergence.term_counts.__defaults__[0])
+    assert handed == len(n) == 210_000 and set(n.values()) == set(docs.values()) == {2}
+
+
+def test_counts_are_shuffled_once(spark, lettered):
+    df = frame(spark, lettered)
+    before, after = (d._jdf.queryExecution().executedPlan().toString().count("Exchange ") for d in (df, divergence.term_counts(df)))
+    assert after - before == 1
+
+
+@pytest.mark.parametrize("most", [1, 500, 1 << 27])
+def test_counts_of_a_partition_against_plain_ones(most):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abAB \n0@[`{\x7fé漢\x00") for _ in range(rng.choice((0, 1, 2, 9, 40)))) for _ in range(400)] + ["", "ab", "AB", "", "ab " * 1000]
+    rows = [(rng.choice(("", "x", "y")), rng.choice(("", "a", "b")), t) for t in texts]
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text)))
+        n.update({(lang, source, t): k for t, k in found.items()})
+        docs.update({(lang, source, t): 1 for t in found})
+    assert counted(rows, most)[:2] == (n, docs)
+    assert counted([("x", "a", ""), ("x", "a", " 1")], most)[2] == 0
+
+
+def test_divergence_against_its_sql(spark, sf):
+    import duckdb
+
+    from sparkloom.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = con.execute(SQL["op11_source_divergence"])
+    cols = [c[0] for c in got.description]
+    want = got.fetchall()
+    assert want and Counter(want) == Counter(tuple(r[c] for c in cols) for r in QUERIES["op11_source_divergence"](spark, sf).collect())
+
+
 def plain_resample(rows, target, length, buckets=10_000, percent=10, least=20):
     def features(t):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
